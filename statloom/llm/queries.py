@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import mixing, quality, urls, warc
+from statloom.llm import language, mixing, packing, positive_unlabelled, quality, simhash, urls, warc
 from statloom.llm.base import table
 
 #: The site rules of the query.
@@ -17,6 +18,7 @@ URL_RULES = (
     urls.Rule("com", "/fr/", "allow"),
     urls.Rule("com", "/de/", "block"),
 )
+TOKENIZER = "word_bpe_49k.json"
 #: Names of unwanted sites, each listed under these parent domains.
 SPAM_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 SPAM_HOSTS = tuple(f"{n}.example.{t}" for n in SPAM_NAMES for t in ("com", "net", "org"))
@@ -26,10 +28,27 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positive_unlabelled.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,7 +59,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
+    "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filters": op10_url_filters,
 }
