@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from statloom.llm import language, mixing, packing, positive_unlabelled, quality, simhash, urls, warc
+from statloom.llm import html, language, mixing, neighbours, packing, positive_unlabelled, quality, simhash, urls, warc
 from statloom.llm.base import table
 
 #: The site rules of the query.
@@ -24,6 +25,10 @@ SPAM_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets",
 SPAM_HOSTS = tuple(f"{n}.example.{t}" for n in SPAM_NAMES for t in ("com", "net", "org"))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -32,6 +37,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positive_unlabelled.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -58,8 +67,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_warc": op2_warc,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
