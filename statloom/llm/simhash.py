@@ -141,11 +141,12 @@ def links(nodes: DataFrame) -> DataFrame:
     Under keys of at most COMMON fingerprints every link at most MOST_BITS bits apart, once; under more common ones a
     spanning forest for each pair of blocks.
     """
-    variants = _variants(nodes)
-    keys = variants.groupBy("bit", "value").agg(F.count("*").alias("n")).where("n > 1")
-    shared = variants.join(keys, ["bit", "value"])
-    kept, path = stash(shared, "variants")
-    rare, common = kept.where(F.col("n") <= COMMON), kept.where(F.col("n") > COMMON)
+    # 64 keys come from each row, so the rows are dealt out before
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = _variants(nodes.select("fp").repartition(parts, "fp"))
+    counts = variants.groupBy("bit", "value").agg(F.count("*").alias("n"))
+    marked = variants.join(counts.where(F.col("n") > COMMON), ["bit", "value"], "left")
+    rare, common = marked.where(F.col("n").isNull()), marked.where(F.col("n").isNotNull())
     x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
     same = (F.col("l.bit") == F.col("r.bit")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.fp") < F.col("r.fp"))
     found = rare.alias("l").join(rare.alias("r"), same & (F.bit_count(x) <= MOST_BITS) & _first_key(x, F.col("l.bit"))).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
@@ -155,7 +156,6 @@ def links(nodes: DataFrame) -> DataFrame:
     pairs = pairs.select("fp", "bit", "value", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
     forests = pairs.groupBy("bit", "value", "a", "b").applyInPandas(_block_pair, "a long, b long")
     edges, _ = stash(found.unionByName(forests), "links")
-    drop(nodes.sparkSession, path)
     return edges
 
 
