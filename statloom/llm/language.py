@@ -131,6 +131,16 @@ def fit(docs: DataFrame, most: int = MOST_PER_LANGUAGE) -> Model | None:
     return Model(x, got["lang"].to_numpy())
 
 
+def _predicted(texts: list[bytes | None], model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """Languages and scores of a batch of texts."""
+    languages, scores = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
+    told = [i for i, t in enumerate(texts) if model and has_letter(t)]
+    for k in range(0, len(told), 2048):
+        part = told[k : k + 2048]
+        languages[part], scores[part] = model.predict(np.stack([features(texts[i]) for i in part]).astype(np.float64))
+    return languages, scores
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score (0 to 1).
 
@@ -141,15 +151,28 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
         for b in batches:
-            texts = raw(b.column("text"))
-            languages, scores = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
-            told = [i for i, t in enumerate(texts) if known and has_letter(t)]
-            for k in range(0, len(told), 2048):
-                part = told[k : k + 2048]
-                languages[part], scores[part] = known.predict(np.stack([features(texts[i]) for i in part]).astype(np.float64))
+            languages, scores = _predicted(raw(b.column("text")), sent.value)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(languages, pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False))
     return docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is not `und` and scores at least `least`.
+
+    Without a model (no labelled text) only rows without a letter go.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = raw(b.column("text"))
+            if sent.value is None:
+                yield b.filter(pa.array([has_letter(t) for t in texts], pa.bool_()))
+            else:
+                languages, scores = _predicted(texts, sent.value)
+                yield b.filter(pa.array((languages != UNDETERMINED) & (scores >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -146,3 +146,33 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PA
     taken = pieces(placed, times, block_words).groupBy("row_id").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     told = sizes.join(taken, "row_id", "left").join(sources.select(F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source")))
     return told.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs as mixed: the k-th row of a document holds its words that the mix takes k times or more.
+
+    A row with all words of its document has its text unchanged; one with some of them has these in order, joined by
+    single spaces. n_chars, where docs has it, is that of the new text; the other columns are unchanged. Documents of
+    which nothing is taken, those without words among them, have no row.
+    """
+    rows = docs.withColumn("_text", F.col("text").cast("string")).withColumn("_hash", F.xxhash64("_text")).withColumn("_size", word_count(F.col("_text")))
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "_size", "_hash"))
+    keys = rows.select("doc_id", F.col("source").cast("string").alias("source"), F.col("_size").alias("size"), F.col("_hash"))
+    numbered = keys.withColumn("row_id", F.struct("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size", "_hash")).alias("again")))
+    sizes, _ = stash(numbered.drop("_hash"), "sizes")
+    placed, _, times = plan(sizes, weights, most, block_words)
+    parts = pieces(placed, times, block_words).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("parts"))
+    taken, _ = stash(parts.select(F.col("row_id.doc_id").alias("_doc_id"), F.col("row_id.again").alias("_again"), "parts"), "parts")
+    # only documents whose id repeats need the numbers of their rows
+    numbers = rows.withColumn("_again", again) if not taken.where("_again > 1").limit(1).isEmpty() else rows.withColumn("_again", F.lit(1))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (numbers["_again"] == taken["_again"])
+    copies = numbers.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max("parts.times").cast("int"))))
+    chosen = F.filter("parts", lambda p: p["times"] >= F.col("_copy"))
+    count = F.aggregate(chosen, F.lit(0).cast("long"), lambda n, p: n + p["words"])
+    whole = copies.withColumn("_chosen", chosen).withColumn("_whole", count == F.col("_size"))
+    words = F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))
+    cut = F.array_join(F.flatten(F.transform("_chosen", lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    mixed = whole.withColumn("text", F.when(F.col("_whole"), F.col("_text")).otherwise(cut))
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return mixed.select(*docs.columns)

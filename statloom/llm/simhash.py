@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.llm.base import drop, raw, stash
@@ -201,3 +201,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_print = rooted.join(smallest, "root").select("fp", "component_id")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(of_print, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates, with all columns of docs: the one with the smallest doc_id.
+
+    Of rows that repeat that doc_id, one stays: that with the smallest hash of its text and columns.
+    """
+    firsts = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    chosen, _ = stash(firsts, "firsts")
+    kept = docs.join(chosen.where("doc_id is not null").select("doc_id"), "doc_id", "left_semi")
+    nulls = chosen.where("doc_id is null").limit(1).count()
+    if nulls:
+        kept = kept.unionByName(docs.where("doc_id is null"))
+    if chosen.where("_rows > 1").limit(1).isEmpty():
+        return kept
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
+    return kept.withColumn("_rank", rank).where("_rank = 1").select(*docs.columns)
