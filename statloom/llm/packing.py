@@ -24,10 +24,10 @@ from statloom.llm.base import raw, stash
 LENGTH = 2048
 END_ID = 1
 DIMENSIONS, BITS = 3, 10
-HASHED = 4096
+HASHED = 1024
 SEED = 5
 #: Words that a worker remembers, the first that it meets; longer words than that many bytes are not remembered.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 LONG_WORD = 48
 #: Trailing marks that the tokenizer parts from a letter before them.
 MARKS = b".,;:!?"
@@ -68,12 +68,12 @@ class WordTokens:
 
     def ids(self, text: bytes | None) -> np.ndarray:
         words = (text or b"").split()
-        known = self.known
-        own = self._learn([w for w in dict.fromkeys(words) if w not in known])
-        get = own.get
-        out = np.frombuffer(b"".join([known.get(w) or get(w, b"") for w in words]), dtype="<u4")
-        self._remember(own)
-        return out
+        found = list(map(self.known.get, words))
+        if None in found:
+            own = self._learn(list(dict.fromkeys(w for w, x in zip(words, found, strict=True) if x is None)))
+            found = [own[w] if x is None else x for w, x in zip(words, found, strict=True)]
+            self._remember(own)
+        return np.frombuffer(b"".join(found), dtype="<u4")
 
 
 @cache
@@ -91,7 +91,7 @@ def coordinates(ids: np.ndarray) -> np.ndarray:
     """The document's hashed vector of log counts, scaled to length one, projected and cut to BITS bits a dimension."""
     if not len(ids):
         return np.zeros(DIMENSIONS, dtype=np.int64)
-    places = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 12)
+    places = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 10)
     vector = np.log1p(np.bincount(places.astype(np.int64), minlength=HASHED))
     point = vector @ _projection() / np.linalg.norm(vector)
     return np.clip((point + 3) / 6 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
