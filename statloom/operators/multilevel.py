@@ -114,7 +114,6 @@ def random_effects(df: DataFrame, y: str, xs: list[str], cluster: str, model: Mi
 def logistic_mixed(df: DataFrame, y: str, xs: list[str], cluster: str, nodes: int = NODES) -> Mixed:
     """Random-intercept logit. Clusters are independent, so each likelihood is a sum over tasks that hold whole clusters,
     as (pattern, count) rows; the search for its top runs on the driver with numeric derivatives."""
-    spark = df.sparkSession
     rows = design(df, y, xs, cluster)
     k = len(xs) + 1
     per = rows.groupBy("cluster", "x").agg(F.sum("y").alias("yes"), F.count("*").cast("double").alias("n"))
@@ -186,7 +185,6 @@ def logistic_mixed(df: DataFrame, y: str, xs: list[str], cluster: str, nodes: in
     ll = float(total(theta[None, :])[0])
     clusters = held.select("cluster").distinct().count()
     held.unpersist()
-    del spark
     between = math.exp(2 * theta[k])
     fit = Fit("logistic mixed", ("(intercept)", *xs), theta[:k], safe[:k, :k], start.n, max(ll, start.loglik), start.loglik)
     return Mixed(fit, between if ll >= start.loglik else 0.0, math.nan, clusters)
@@ -207,7 +205,7 @@ def staged(df: DataFrame, y: str, level1: list[str], level2: list[str], cluster:
         if m.clusters < 3:
             raise ValueError("a multilevel model needs three clusters at least")
         first = first or m
-        out.append((name, m.between, m.residual, m.icc, m.fit.loglik, 1 - m.between / first.between if first.between > 0 else math.nan, m.clusters))
+        out.append((name, float(m.between), float(m.residual), float(m.icc), float(m.fit.loglik), float(1 - m.between / first.between) if first.between > 0 else math.nan, m.clusters))
     return df.sparkSession.createDataFrame(out, "stage string, between double, residual double, icc double, loglik double, explained double, clusters int")
 
 

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a global order is split into.
+#: Most ranges that a global order is split into; fewer where the session has fewer shuffle partitions.
 RANGES = 128
 
 
 def _with_range(df: DataFrame, order: str, ranges: int) -> DataFrame:
+    ranges = max(1, min(ranges, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cuts = df.approxQuantile(order, [k / ranges for k in range(1, ranges)], 1.0 / (2 * ranges)) if ranges > 1 else []
     cuts = sorted(set(cuts))
     place = F.lit(0) if not cuts else F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order)))

@@ -88,12 +88,14 @@ def cox(df: DataFrame, time: str, event: str, xs: list[str], steps: int = 30) ->
         totals = per.agg(*[F.sum(k).alias(f"all_{k}") for k in parts])
         run = running_sums(per, "t", {k: f"b_{k}" for k in parts}).crossJoin(F.broadcast(totals)).where("deaths > 0")
 
+        names = list(parts)
+
         def add(batches):
             out = np.zeros(1 + p + p * p)
             for batch in batches:
                 for r in batch.to_dict("records"):
                     m = int(r["deaths"])
-                    full = {k: r[f"all_{k}"] - r[f"b_{k}"] for k in parts}
+                    full = {k: r[f"all_{k}"] - r[f"b_{k}"] for k in names}
                     z = np.array([r[f"z_{i}"] for i in range(p)])
                     out[0] += float(b @ z)
                     out[1 : 1 + p] += z
