@@ -16,7 +16,6 @@ from statloom.llm.base import stash, table
 TOKENIZER = "word_bpe_49k.json"
 #: Documents whose language is less sure than this go, as do those without a letter.
 LEAST_LANGUAGE_SCORE = 0.3
-MIX_BLOCK_WORDS = 64
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +35,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes: a row for each time that a document, or part of it, is taken."""
-    return mixing.apply_mix(docs, block_words=MIX_BLOCK_WORDS)
+    return mixing.apply_mix(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

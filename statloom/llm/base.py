@@ -63,5 +63,24 @@ def raw(column: pa.Array) -> list:
 
 
 def bounded_sample(ids: DataFrame, column: str, most: int, seed: int) -> DataFrame:
-    """At most `most` rows: those with the smallest hash of the id. A top-k, so no task holds more than that."""
-    return ids.orderBy(F.xxhash64(F.lit(seed), F.col(column)), column).limit(most)
+    """At most `most` rows: those with the smallest hash of the id.
+
+    Rows whose hash is far above the expected limit go before the sort, so that no task holds more than a few times
+    that many rows.
+    """
+    n = ids.count()
+    own = F.xxhash64(F.lit(seed), F.col(column))
+    if n > 4 * most:
+        ids = ids.where(uniform(own) < 2.0 * most / n + 1000.0 / n)
+    return ids.orderBy(own, column).limit(most)
+
+
+def uniform(digest):
+    """A number in [0, 1) that grows with a 64-bit hash."""
+    return digest / F.lit(2.0**64) + F.lit(0.5)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df over the session's number of shuffle partitions. For small rows that many rows are about to come from, which
+    Spark would else gather in a few tasks by their present size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.llm.base import fold, raw
+from statloom.llm.base import fold, raw, uniform
 
 FOLDS, HELD_OUT = 5, 0
 #: Bound of the training sample for each language.
@@ -115,8 +115,12 @@ class Model:
 def fit(docs: DataFrame, most: int = MOST_PER_LANGUAGE) -> Model | None:
     """A model from at most `most` documents of each language outside the held-out fold, those of smallest hash."""
     rows = docs.where("lang is not null and text is not null").where(F.coalesce(fold("doc_id", FOLDS) != HELD_OUT, F.lit(False)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id"))
-    wanted = rows.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "lang").distinct()
+    # per language about twice the rows wanted are left by their hash; only these are ranked
+    own = F.xxhash64(F.lit(SEED), "doc_id")
+    share = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(2.0 * most + 300.0) / F.col("n")).alias("share"))
+    thinned = rows.select("doc_id", "lang").join(share, "lang").where(uniform(own) < F.col("share"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(own, "doc_id"))
+    wanted = thinned.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

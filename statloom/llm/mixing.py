@@ -14,11 +14,11 @@ from math import ceil, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.llm.base import WORD, stash
+from statloom.llm.base import WORD, dealt, stash
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_PASSES = 3
-BLOCK_WORDS = 64
+BLOCK_WORDS = 32
 SHARD_SLOTS = 1024
 ROUNDS = 12
 SEED = 7
@@ -66,7 +66,7 @@ def running_total(rows: DataFrame, groups: list[str], order: list[str], value: s
     same = [F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(keys)]
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inner = split.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return inner.join(starts, on=same, how="inner").withColumn(out, F.col("_start") + F.col("_within")).select(*rows.columns, out)
+    return inner.join(starts.hint("merge"), on=same, how="inner").withColumn(out, F.col("_start") + F.col("_within")).select(*rows.columns, out)
 
 
 def permuted(index: Column, size: Column, *key: Column) -> Column:
@@ -100,6 +100,7 @@ def _slots(sources: DataFrame, block_words: int, shard_slots: int, most: int) ->
     starts = per_chunk.select("source_id", "chunk", F.coalesce(F.sum("chunk_n").over(before(Window.partitionBy("source_id").orderBy("chunk"))), F.lit(0)).alias("start"))
     inside = F.coalesce(F.sum("n").over(before(Window.partitionBy("source_id", "chunk").orderBy("shard"))), F.lit(0))
     placed = counts.withColumn("inside", inside).join(starts, ["source_id", "chunk"]).withColumn("from", F.col("start") + F.col("inside"))
+    placed = dealt(placed, "source_id", "shard")
     slots = placed.select("source_id", "blocks", "shard", F.explode(F.sequence("from", F.col("from") + F.col("n") - 1)).alias("k")).where(F.col("k") < most * F.col("blocks"))
     turn = F.floor(F.col("k") / F.col("blocks"))
     return slots.select("source_id", "shard", permuted(F.col("k") - turn * F.col("blocks"), F.col("blocks"), F.col("source_id"), turn).alias("block"))
@@ -119,12 +120,12 @@ def plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_
 
 def pieces(placed: DataFrame, times: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """row_id, first word, words and times taken of each part of a document that lies in one drawn block."""
-    filled = placed.where("size > 0").select("source_id", "row_id", "start", "size")
+    filled = dealt(placed.where("size > 0").select("source_id", "row_id", "start", "size"), "row_id")
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
     parts = filled.withColumn("block", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.lit(0).cast("long"), F.col("block") * block_words - F.col("start"))
     end = F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("start"))
-    return parts.select("source_id", "block", "row_id", begin.alias("first"), (end - begin).alias("words")).join(times, ["source_id", "block"]).select("row_id", "first", "words", "times")
+    return parts.select("source_id", "block", "row_id", begin.alias("first"), (end - begin).alias("words")).join(times.hint("merge"), ["source_id", "block"]).select("row_id", "first", "words", "times")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PA
     sizes, _ = stash(_rows(docs), "sizes")
     placed, sources, times = plan(sizes, weights, most, block_words)
     taken = pieces(placed, times, block_words).groupBy("row_id").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    told = sizes.join(taken, "row_id", "left").join(sources.select(F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source")))
+    told = sizes.join(taken.hint("merge"), "row_id", "left").join(sources.select(F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source")))
     return told.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
@@ -166,7 +167,7 @@ def apply_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = M
     # only documents whose id repeats need the numbers of their rows
     numbers = rows.withColumn("_again", again) if not taken.where("_again > 1").limit(1).isEmpty() else rows.withColumn("_again", F.lit(1))
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (numbers["_again"] == taken["_again"])
-    copies = numbers.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max("parts.times").cast("int"))))
+    copies = numbers.join(taken.hint("merge"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max("parts.times").cast("int"))))
     chosen = F.filter("parts", lambda p: p["times"] >= F.col("_copy"))
     count = F.aggregate(chosen, F.lit(0).cast("long"), lambda n, p: n + p["words"])
     whole = copies.withColumn("_chosen", chosen).withColumn("_whole", count == F.col("_size"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.llm.base import drop, raw, stash
+from statloom.llm.base import dealt, drop, raw, stash
 
 SHINGLE = 4
 MOST_BITS = 4
@@ -142,8 +142,7 @@ def links(nodes: DataFrame) -> DataFrame:
     spanning forest for each pair of blocks.
     """
     # 64 keys come from each row, so the rows are dealt out before
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    variants = _variants(nodes.select("fp").repartition(parts, "fp"))
+    variants = _variants(dealt(nodes.select("fp"), "fp"))
     counts = variants.groupBy("bit", "value").agg(F.count("*").alias("n"))
     marked = variants.join(counts.where(F.col("n") > COMMON), ["bit", "value"], "left")
     rare, common = marked.where(F.col("n").isNull()), marked.where(F.col("n").isNotNull())
@@ -151,8 +150,8 @@ def links(nodes: DataFrame) -> DataFrame:
     same = (F.col("l.bit") == F.col("r.bit")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.fp") < F.col("r.fp"))
     found = rare.alias("l").join(rare.alias("r"), same & (F.bit_count(x) <= MOST_BITS) & _first_key(x, F.col("l.bit"))).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
     blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
-    dealt = common.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    in_blocks = common.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    pairs = in_blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("fp", "bit", "value", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
     forests = pairs.groupBy("bit", "value", "a", "b").applyInPandas(_block_pair, "a long, b long")
     edges, _ = stash(found.unionByName(forests), "links")
