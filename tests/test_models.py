@@ -70,7 +70,7 @@ def test_negative_binomial(spark):
 
 def test_multinomial_against_mllib(data):
     fit = regression.multinomial(data, "group", ["x"], "a")
-    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(data.withColumn("label", F.array_position(F.array(F.lit("a"), F.lit("b"), F.lit("c")), "group") - 1.0))
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(data.withColumn("label", F.array_position(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.col("group")) - 1.0))
     m = LogisticRegression(family="multinomial", maxIter=200, tol=1e-12).fit(rows)
     c = np.column_stack([m.interceptVector.toArray(), m.coefficientMatrix.toArray()])
     assert np.allclose(fit.coef.reshape(2, 2), c[1:] - c[0], atol=1e-3)
