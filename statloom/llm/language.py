@@ -118,7 +118,8 @@ def fit(docs: DataFrame, most: int = MOST_PER_LANGUAGE) -> Model | None:
     # per language about twice the rows wanted are left by their hash; only these are ranked
     own = F.xxhash64(F.lit(SEED), "doc_id")
     share = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(2.0 * most + 300.0) / F.col("n")).alias("share"))
-    thinned = rows.select("doc_id", "lang").join(share, "lang").where(uniform(own) < F.col("share"))
+    # one row per language, far less than the model holds of it; a shuffled join would gather a language's ids in one task
+    thinned = rows.select("doc_id", "lang").join(F.broadcast(share), "lang").where(uniform(own) < F.col("share"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(own, "doc_id"))
     wanted = thinned.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "lang").distinct()
 
