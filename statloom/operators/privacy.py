@@ -11,28 +11,28 @@ DIRECT_NAME = re.compile(r"name|surname|phone|mobile|mail|address|passport|conta
 QUASI_NAME = re.compile(r"birth|postcode|zip|village|latitude|longitude|gps|ip$", re.I)
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"^[+0-9][0-9 .()/-]{6,}$"
-LOOKED_AT = 200
 
 
 def scan_identifiers(df: DataFrame) -> DataFrame:
     """variable, share_email, share_phone, finding (direct, quasi or null) of the text columns, by content and name.
 
-    Content is judged on the first 200 valid values of each column.
+    Content is judged on all values that are not null, of all columns in one pass.
     """
     spark = df.sparkSession
-    out = None
-    for name, kind in df.dtypes:
-        if kind != "string":
-            continue
-        c = F.col(f"`{name}`")
-        some = df.where(c.isNotNull()).select(c.alias("v")).limit(LOOKED_AT)
-        digits = F.length(F.regexp_replace("v", "[^0-9]", ""))
-        one = some.agg(F.avg(F.col("v").rlike(EMAIL).cast("double")).alias("share_email"), F.avg(F.col("v").rlike(PHONE).cast("double")).alias("share_phone"), F.avg(digits).alias("digits"))
-        content = F.when(F.col("share_email") > 0.5, "direct").when((F.col("share_phone") > 0.8) & (F.col("digits") >= 8), "direct")
+    names = [name for name, kind in df.dtypes if kind == "string"]
+    if not names:
+        return spark.createDataFrame([], "variable string, share_email double, share_phone double, finding string")
+
+    def shares(name: str) -> Column:
+        v = F.col(f"`{name}`")
+        digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
         named = "direct" if DIRECT_NAME.search(name) else "quasi" if QUASI_NAME.search(name) else None
-        row = one.select(F.lit(name).alias("variable"), "share_email", "share_phone", F.coalesce(content, F.lit(named)).alias("finding"))
-        out = row if out is None else out.unionByName(row)
-    return out if out is not None else spark.createDataFrame([], "variable string, share_email double, share_phone double, finding string")
+        share = lambda pattern: F.avg(v.rlike(pattern).cast("double"))
+        return F.struct(F.lit(name).alias("variable"), share(EMAIL).alias("share_email"), share(PHONE).alias("share_phone"), F.avg(digits).alias("digits"), F.lit(named).cast("string").alias("named"))
+
+    rows = df.agg(F.array(*[shares(name) for name in names]).alias("all")).select(F.inline("all"))
+    content = F.when(F.col("share_email") > 0.5, "direct").when((F.col("share_phone") > 0.8) & (F.col("digits") >= 8), "direct")
+    return rows.select("variable", "share_email", "share_phone", F.coalesce(content, "named").alias("finding"))
 
 
 def hmac_sha256(c: Column, key: bytes) -> Column:

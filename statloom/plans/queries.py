@@ -213,7 +213,15 @@ def infer_kinds(t):
     return catalog.infer(t("customer"))
 
 
-@query()
+def _scan_sql(name: str, named: str) -> str:
+    share = lambda pattern: f"avg(CAST(regexp_matches({name}, '{pattern}') AS DOUBLE))"
+    return f"SELECT '{name}' AS variable, {share(privacy.EMAIL)} AS share_email, {share(privacy.PHONE)} AS share_phone, avg(length(regexp_replace({name}, '[^0-9]', '', 'g'))) AS digits, {named} AS named FROM customer"
+
+
+@query(
+    f"WITH s AS ({_scan_sql('c_name', chr(39) + 'direct' + chr(39))} UNION ALL {_scan_sql('c_mktsegment', 'NULL')}) SELECT variable, share_email, share_phone, CASE WHEN share_email > 0.5 OR share_phone > 0.8 AND digits >= 8 THEN 'direct' ELSE named END AS finding FROM s",
+    "share_email share_phone",
+)
 def identifier_scan(t):
     return privacy.scan_identifiers(t("customer"))
 

@@ -128,3 +128,12 @@ def test_tables_out(spark, tmp_path):
     tables.append_log(spark, str(tmp_path / "log"), "me", "did")
     tables.append_log(spark, str(tmp_path / "log"), "me", "did")
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_identifiers_beyond_the_first_rows(spark):
+    rows = [("x", None)] * 300 + [("a@b.org", "+33 6 12 34 56 78")] * 700
+    df = spark.createDataFrame(rows, "v string, w string").coalesce(1)
+    got = {r["variable"]: r for r in privacy.scan_identifiers(df).collect()}
+    assert got["v"]["share_email"] == 0.7 and got["v"]["finding"] == "direct"
+    assert got["w"]["share_phone"] == 1.0 and got["w"]["finding"] == "direct"
+    assert privacy.scan_identifiers(df.select(F.lit(1).alias("n"))).count() == 0
