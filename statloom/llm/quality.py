@@ -1,7 +1,7 @@
 """Quality rules: per-document rule statistics, two fixed rules and an isolation forest over the statistics.
 
 The forest is fitted on a bounded sample of labelled documents of good quality; documents with short average path
-lengths are unlike them. The score limit is calibrated on all rows of the labelled sample.
+lengths are unlike them. The score limit is calibrated on all labelled rows, counted by score bin in Spark.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ WINDOW = 3
 MOST_LABELLED = 20_000
 TREES = 128
 ROWS_PER_TREE = 256
+#: Scores (0 to 1) are counted in so many bins of equal width.
+BINS = 1 << 16
 #: Splits may lie this many standard deviations outside a node's rows, so a column in which all good rows agree still counts.
 STEP = 1.0
 SEED = 9
@@ -139,16 +141,18 @@ class Forest:
         return np.exp2(-total / len(self.trees) / self.norm)
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray) -> float:
+def calibrate(scores: np.ndarray, good: np.ndarray, n: np.ndarray | None = None) -> float:
     """The limit with the highest balanced accuracy, good documents weighing four times as much as bad ones.
 
-    Scores up to the limit are kept. Ties go to the higher limit; without bad rows nothing is anomalous.
+    Scores up to the limit are kept. Ties go to the higher limit; without bad rows nothing is anomalous. n: rows that
+    each score stands for.
     """
     if good.all() or not good.any():
         return float("inf")
     order = np.argsort(scores, kind="stable")
     s, g = scores[order], good[order]
-    kept_good, kept_bad = np.cumsum(g) / g.sum(), np.cumsum(~g) / (~g).sum()
+    n = np.ones(len(s)) if n is None else n[order]
+    kept_good, kept_bad = np.cumsum(n * g) / (n * g).sum(), np.cumsum(n * ~g) / (n * ~g).sum()
     gain = 4 * kept_good - kept_bad
     gain[:-1][s[1:] == s[:-1]] = -np.inf  # a limit lies between different scores
     best = len(gain) - 1 - int(np.argmax(gain[::-1]))
@@ -169,23 +173,42 @@ def _features_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "quality int, features array<double>")
 
 
+def _score_counts(rows: DataFrame, forest: Forest) -> DataFrame:
+    """quality, bin, n: all rows of (text, quality) that the fixed rule on repeats leaves, by bin of their score."""
+    sent = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.array([statistics(t)[1] for t in raw(b.column("text"))])
+            sound = x[:, FEATURES.index("repeats")] * 100 <= MAX_REPEAT_PERCENT
+            at = np.minimum(sent.value.anomaly(x) * BINS, BINS - 1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(at)], names=["quality", "bin"]).filter(pa.array(sound))
+
+    return rows.mapInArrow(run, "quality int, bin long").groupBy("quality", "bin").agg(F.count("*").alias("n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, seed: int = SEED) -> tuple[Forest | None, float]:
-    """Forest and limit from at most `most` labelled rows, those with the smallest hash of doc_id.
+    """Forest from at most `most` labelled rows, those with the smallest hash of doc_id; limit from all labelled rows.
 
     Labels that are null or that contradict each other for one document are left out. Without any good row there is no
     forest, and the fixed rules decide alone.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").cast("int").alias("top")).where("quality = top").drop("top")
     sample = bounded_sample(known, "doc_id", most, seed)
-    rows = _features_of(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "quality")).toPandas()
+    texts = docs.select("doc_id", "text")
+    rows = _features_of(texts.join(F.broadcast(sample), "doc_id").select("text", "quality")).toPandas()
     if not (rows["quality"] == 1).any():
         return None, float("inf")
     x, good = np.stack(rows["features"].to_numpy()), (rows["quality"] == 1).to_numpy()
     order = np.lexsort((*x.T, good))  # the sample's order depends on Spark's partitions
     x, good = x[order], good[order]
     forest = Forest(x[good], STEP * x.std(axis=0), seed=seed)
-    sound = x[:, FEATURES.index("repeats")] * 100 <= MAX_REPEAT_PERCENT  # the fixed rules catch the others
-    return forest, calibrate(forest.anomaly(x[sound]), good[sound])
+    counts = _score_counts(texts.join(known, "doc_id").select("text", "quality"), forest).toPandas()
+    at, is_good, n = counts["bin"].to_numpy(), (counts["quality"] == 1).to_numpy(), counts["n"].to_numpy(dtype=float)
+    limit = calibrate(at.astype(float), is_good, n)
+    return forest, (np.floor(limit) + 1) / BINS if np.isfinite(limit) else limit
 
 
 def _verdicts(texts: list[bytes | None], trees: Forest | None, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

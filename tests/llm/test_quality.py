@@ -104,3 +104,15 @@ def test_held_out_accuracy(spark, sf_dir):
     got = QUERIES["op3_quality_classifier"](spark, d).toPandas().merge(pd.read_parquet(f"{d}/labels.parquet"), on="doc_id")
     held = got[got.held_out]
     assert (held.predicted == held.quality).mean() > 0.93
+
+
+def test_limit_covers_all_labelled_rows(spark):
+    texts = {k: good(k) + " ###" * (k % 20) for k in range(200)}
+    known = {k: (k * 37) // 20 % 20 >= k % 20 for k in texts}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(ok)) for k, ok in known.items()], "doc_id long, quality int")
+    forest, limit = quality.fit(docs, labels, most=8)
+    score = {k: forest.anomaly(np.array([quality.statistics(v.encode())[1]]))[0] for k, v in texts.items()}
+    gain = lambda at: 4 * np.mean([score[k] <= at for k, ok in known.items() if ok]) - np.mean([score[k] <= at for k, ok in known.items() if not ok])
+    found = (gain(limit), max(gain(v) for v in score.values()))
+    assert found[0] >= found[1] - 0.01, found
