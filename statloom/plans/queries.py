@@ -621,6 +621,16 @@ def title_dedupe(t):
     return literature.dedupe(works, "doc_id").select("doc_id", "title")
 
 
+_KEY = f"trim(regexp_replace(translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"WITH k AS (SELECT doc_id, text, {_KEY} AS k FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS n FROM k WHERE length(k) >= 8) SELECT doc_id, text FROM r WHERE n = 1")
+def text_dedupe(t):
+    """title_dedupe over whole texts: documents that only share their first 80 characters stay apart."""
+    works = t("documents").select("doc_id", F.col("text").alias("title"), F.lit(None).cast("string").alias("doi"))
+    return literature.dedupe(works, "doc_id").select("doc_id", F.col("title").alias("text"))
+
+
 @query()
 def sentence_split(t):
     return t("documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("at", "sentence"))

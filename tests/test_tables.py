@@ -137,3 +137,12 @@ def test_identifiers_beyond_the_first_rows(spark):
     assert got["v"]["share_email"] == 0.7 and got["v"]["finding"] == "direct"
     assert got["w"]["share_phone"] == 1.0 and got["w"]["finding"] == "direct"
     assert privacy.scan_identifiers(df.select(F.lit(1).alias("n"))).count() == 0
+
+
+def test_shared_openings_stay_apart(spark, tmp_path):
+    from statloom.plans.queries import QUERIES
+
+    opening = "All rights reserved. " * 5
+    rows = [(1, opening + "one"), (2, opening + "two"), (3, opening + "One!")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["doc_id"] for r in QUERIES["text_dedupe"](spark, str(tmp_path)).collect()) == [1, 2]
