@@ -649,7 +649,7 @@ def rank_score_topk(t):
 
 @query()
 def tfidf_themes(t):
-    works = t("benchmark").select("item_id", F.substring("text", 1, 60).alias("title"), "text")
+    works = t("benchmark").select("item_id", F.lit(None).cast("string").alias("title"), "text")  # items have no title
     return literature.themes(works, "item_id", "title", "text")[0]
 
 
@@ -674,6 +674,12 @@ def token_sets(t):
     return t("documents").select("doc_id", F.size(text.tokens(F.substring("text", 1, 80))).cast("long").alias("n"))
 
 
+@query(f"SELECT doc_id, len(list_distinct(list_filter(str_split_regex(translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}'), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], w)))) AS n FROM documents")
+def text_token_sets(t):
+    """token_sets over whole texts."""
+    return t("documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n"))
+
+
 # joins, sets, top-k, time
 
 

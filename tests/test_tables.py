@@ -146,3 +146,10 @@ def test_shared_openings_stay_apart(spark, tmp_path):
     rows = [(1, opening + "one"), (2, opening + "two"), (3, opening + "One!")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r["doc_id"] for r in QUERIES["text_dedupe"](spark, str(tmp_path)).collect()) == [1, 2]
+
+
+def test_tokens_of_whole_texts(spark, tmp_path):
+    from statloom.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(500)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["text_token_sets"](spark, str(tmp_path)).first()["n"] == 500
