@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys that hold more than one in so many rows are joined by broadcast.
+MOST_HOT = 256
 #: A word is a run of anything but these six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,11 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it back, which cuts its lineage. Returns it and its path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/statloom/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own in this application's part of the shared folder, which goes when the application ends."""
+    folder = f"{shared_dir(spark)}/statloom/{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return f"{folder}/{tag}-{uuid.uuid4().hex}"
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a table that stash() wrote."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -82,5 +94,19 @@ def uniform(digest):
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """df over the session's number of shuffle partitions. For small rows that many rows are about to come from, which
-    Spark would else gather in a few tasks by their present size."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    Spark would else gather in a few tasks by their present size.
+
+    The rows go by a hash of the keys: Spark leaves out a repartition by keys that the rows are already parted by.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(F.lit(1), *keys))
+
+
+def join_hot(rows: DataFrame, told: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of rows with told, which has one row a key and in n the number of rows with it; n is left out.
+
+    total: the number of rows. Keys with more than 1/MOST_HOT of them, less than MOST_HOT keys, are broadcast with what
+    told says of them, so that no task gathers the rows of one; the rest is joined as usual.
+    """
+    limit = total / MOST_HOT
+    hot = F.broadcast(told.where(F.col(n) > limit).drop(n))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(told.where(F.col(n) <= limit).drop(n), key))

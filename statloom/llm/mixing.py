@@ -1,9 +1,10 @@
 """Mix sources to target weights with DataFrame functions only.
 
 The words of each source, its documents one after another in a fixed pseudorandom order, form blocks of equal length.
-Every output shard draws multinomial source counts by systematic resampling, so its counts stray from their means by
-less than one; the k-th slot that a source gets over all shards takes block pi(k) of it, where pi is a pseudorandom
-permutation for each pass over the source; and slots and blocks meet in an equality join on source and block index.
+Every output shard draws multinomial source counts, conditioned on the sources' totals over all shards: a pseudorandom
+permutation deals the slots of all sources to the shards, so no total strays from its target by more than a block. The
+k-th slot of a source takes block pi(k) of it, where pi is a pseudorandom permutation for each pass over the source; and
+slots and blocks meet in an equality join on source and block index.
 """
 
 from __future__ import annotations
@@ -22,18 +23,12 @@ BLOCK_WORDS = 32
 SHARD_SLOTS = 1024
 ROUNDS = 12
 SEED = 7
-_GOLDEN = 0.6180339887498949
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _uniform(*parts: Column) -> Column:
-    """A number in [0, 1) from 52 bits of a hash."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 12) / F.lit(2.0**52)
-
-
 def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
     """(source, source_size) with target: weights in turn by code point, null last, as shares of all sizes.
 
@@ -79,31 +74,26 @@ def permuted(index: Column, size: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index, swap)
 
 
-def _slots(sources: DataFrame, block_words: int, shard_slots: int, most: int) -> DataFrame:
-    """One row per slot of the mix: source_id and block. Counts are drawn for each shard and source."""
-    everything = Window.partitionBy()
-    by_source = Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, 0)
+def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, most: int = MOST_PASSES) -> DataFrame:
+    """One row per slot of the mix: source_id, shard and block. sources: source_id, source_size, target.
+
+    A source has as many slots as its target fills, rounded so that all sources together have the right number. A
+    permutation of all slots deals them to shards of shard_slots.
+    """
+    up_to = Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)
     blocks = F.ceil(F.col("source_size") / F.lit(float(block_words)))
     drawn = sources.where("source_size > 0").withColumn("blocks", blocks).withColumn("share", F.col("target") * F.col("blocks") / F.col("source_size"))
-    drawn = drawn.withColumn("high", F.sum("share").over(by_source)).withColumn("low", F.col("high") - F.col("share")).withColumn("slots", F.greatest(F.lit(1), F.round(F.sum("share").over(everything)).cast("long")))
-    drawn = drawn.withColumn("shards", F.ceil(F.col("slots") / F.lit(float(shard_slots)))).withColumn("whole", F.sum("share").over(everything))
-    # shards in chunks of about the root of their number, so that no task unrolls them all
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt("shards"))).cast("long")
-    chunks = drawn.withColumn("step", step).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("shards") - 1) / F.col("step"))))).repartition("source_id", "chunk")
-    shards = chunks.withColumn("shard", F.explode(F.sequence(F.col("chunk") * F.col("step"), F.least(F.col("shards"), (F.col("chunk") + 1) * F.col("step")) - 1)))
-    size = F.least(F.lit(shard_slots), F.col("slots") - F.col("shard") * shard_slots)
-    jitter = F.pmod(_uniform(F.lit(SEED)) + F.col("shard") * F.lit(_GOLDEN), F.lit(1.0))
-    edge = lambda c: F.ceil(size * F.col(c) / F.col("whole") - jitter)
-    counts = shards.withColumn("n", (edge("high") - edge("low")).cast("long")).where("n > 0")
-    per_chunk = counts.groupBy("source_id", "chunk").agg(F.sum("n").alias("chunk_n"))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_chunk.select("source_id", "chunk", F.coalesce(F.sum("chunk_n").over(before(Window.partitionBy("source_id").orderBy("chunk"))), F.lit(0)).alias("start"))
-    inside = F.coalesce(F.sum("n").over(before(Window.partitionBy("source_id", "chunk").orderBy("shard"))), F.lit(0))
-    placed = counts.withColumn("inside", inside).join(starts, ["source_id", "chunk"]).withColumn("from", F.col("start") + F.col("inside"))
-    placed = dealt(placed, "source_id", "shard")
-    slots = placed.select("source_id", "blocks", "shard", F.explode(F.sequence("from", F.col("from") + F.col("n") - 1)).alias("k")).where(F.col("k") < most * F.col("blocks"))
+    drawn = drawn.withColumn("high", F.sum("share").over(up_to)).withColumn("n", (F.round("high") - F.round(F.col("high") - F.col("share"))).cast("long"))
+    drawn = drawn.withColumn("n", F.least("n", most * F.col("blocks")))
+    drawn = drawn.withColumn("low", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy())).where("n > 0")
+    # in chunks of about the root of their number, so that no task unrolls them all
+    step = F.ceil(F.sqrt("n")).cast("long")
+    chunks = drawn.withColumn("step", step).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("step")))))
+    each = dealt(chunks, "source_id", "chunk").select("source_id", "blocks", "low", "all", F.explode(F.sequence(F.col("chunk") * F.col("step"), F.least("n", (F.col("chunk") + 1) * F.col("step")) - 1)).alias("k"))
     turn = F.floor(F.col("k") / F.col("blocks"))
-    return slots.select("source_id", "shard", permuted(F.col("k") - turn * F.col("blocks"), F.col("blocks"), F.col("source_id"), turn).alias("block"))
+    shard = F.floor(permuted(F.col("low") + F.col("k"), F.col("all")) / F.lit(shard_slots))
+    return each.select("source_id", shard.alias("shard"), permuted(F.col("k") - turn * F.col("blocks"), F.col("blocks"), F.col("source_id"), turn).alias("block"))
 
 
 def plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -114,25 +104,39 @@ def plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_
     n = sizes.count()
     told = sizes.join(sources.select(F.col("source").alias("_source"), "source_id"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = running_total(told, ["source_id"], ["row_id"], "size", "start", max(1, ceil(sqrt(n))))
-    times = _slots(sources, block_words, shard_slots, most).groupBy("source_id", "block").agg(F.count("*").alias("times"))
+    times = slots(sources, block_words, shard_slots, most).groupBy("source_id", "block").agg(F.count("*").alias("times"))
     return placed, sources, times
 
 
 def pieces(placed: DataFrame, times: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """row_id, first word, words and times taken of each part of a document that lies in one drawn block."""
+    """row_id, size, first word, words and times taken of each part of a document that lies in one drawn block."""
     filled = dealt(placed.where("size > 0").select("source_id", "row_id", "start", "size"), "row_id")
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
     parts = filled.withColumn("block", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.lit(0).cast("long"), F.col("block") * block_words - F.col("start"))
     end = F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("start"))
-    return parts.select("source_id", "block", "row_id", begin.alias("first"), (end - begin).alias("words")).join(times.hint("merge"), ["source_id", "block"]).select("row_id", "first", "words", "times")
+    return parts.select("source_id", "block", "row_id", "size", begin.alias("first"), (end - begin).alias("words")).join(times.hint("merge"), ["source_id", "block"]).select("row_id", "size", "first", "words", "times")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and a row_id that tells rows of equal doc_id apart, the same in each run."""
-    counted = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size", "_text"))
-    return counted.withColumn("row_id", F.struct("doc_id", again.alias("again"))).drop("_text")
+    """doc_id, source, size and a row_id of each row of docs, the same in each run.
+
+    row_id: doc_id, a hash of source and text, and the number of the row among those that are alike in all three.
+    """
+    counted = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), _mark().alias("mark"))
+    again = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("mark"))
+    return counted.select("doc_id", "source", "size", F.struct("doc_id", "mark", again.alias("again")).alias("row_id"))
+
+
+def _mark() -> Column:
+    return F.xxhash64(F.col("source").cast("string"), F.col("text").cast("string"))
+
+
+def _words(text: Column) -> Column:
+    """The words of a text. Splitting at a plain space is much faster than by a pattern."""
+    for c in "\t\n\v\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -154,26 +158,25 @@ def apply_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = M
 
     A row with all words of its document has its text unchanged; one with some of them has these in order, joined by
     single spaces. n_chars, where docs has it, is that of the new text; the other columns are unchanged. Documents of
-    which nothing is taken, those without words among them, have no row.
+    which nothing is taken, those without words among them, have no row. Further columns may have any name.
     """
-    rows = docs.withColumn("_text", F.col("text").cast("string")).withColumn("_hash", F.xxhash64("_text")).withColumn("_size", word_count(F.col("_text")))
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "_size", "_hash"))
-    keys = rows.select("doc_id", F.col("source").cast("string").alias("source"), F.col("_size").alias("size"), F.col("_hash"))
-    numbered = keys.withColumn("row_id", F.struct("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size", "_hash")).alias("again")))
-    sizes, _ = stash(numbered.drop("_hash"), "sizes")
+    sizes, _ = stash(_rows(docs), "sizes")
     placed, _, times = plan(sizes, weights, most, block_words)
-    parts = pieces(placed, times, block_words).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("parts"))
-    taken, _ = stash(parts.select(F.col("row_id.doc_id").alias("_doc_id"), F.col("row_id.again").alias("_again"), "parts"), "parts")
-    # only documents whose id repeats need the numbers of their rows
-    numbers = rows.withColumn("_again", again) if not taken.where("_again > 1").limit(1).isEmpty() else rows.withColumn("_again", F.lit(1))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (numbers["_again"] == taken["_again"])
-    copies = numbers.join(taken.hint("merge"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max("parts.times").cast("int"))))
-    chosen = F.filter("parts", lambda p: p["times"] >= F.col("_copy"))
+    parts = pieces(placed, times, block_words).groupBy("row_id").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("parts"))
+    taken, _ = stash(parts, "parts")
+    # the row as a whole, so that no column of docs meets one of ours; only rows that are alike need numbers
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), _mark().alias("own_mark"))
+    alike = not taken.where("row_id.again > 1").limit(1).isEmpty()
+    again = F.row_number().over(Window.partitionBy("own_id", "own_mark").orderBy("own_mark")) if alike else F.lit(1)
+    same = F.col("own_id").eqNullSafe(F.col("row_id.doc_id")) & (F.col("own_mark") == F.col("row_id.mark")) & (F.col("own_again") == F.col("row_id.again"))
+    copies = rows.withColumn("own_again", again).join(taken.hint("merge"), same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.array_max("parts.times").cast("int"))))
+    chosen = F.filter("parts", lambda p: p["times"] >= F.col("copy"))
     count = F.aggregate(chosen, F.lit(0).cast("long"), lambda n, p: n + p["words"])
-    whole = copies.withColumn("_chosen", chosen).withColumn("_whole", count == F.col("_size"))
-    words = F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("_chosen", lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    mixed = whole.withColumn("text", F.when(F.col("_whole"), F.col("_text")).otherwise(cut))
+    text = F.col("row.text").cast("string")
+    # the outer function binds the words, so a copy's text is split once
+    cut = F.transform(F.array(_words(text)), lambda w: F.array_join(F.flatten(F.transform(chosen, lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " "))[0]
+    mixed = copies.select("row", F.when(count == F.col("size"), text).otherwise(cut).alias("mixed"))
+    new = {"text": F.col("mixed")}
     if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return mixed.select(*docs.columns)
+        new["n_chars"] = F.char_length("mixed").cast(docs.schema["n_chars"].dataType)
+    return mixed.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

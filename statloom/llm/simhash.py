@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.llm.base import dealt, drop, raw, stash
+from statloom.llm.base import dealt, drop, join_hot, raw, stash
 
 SHINGLE = 4
 MOST_BITS = 4
@@ -167,11 +167,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     current, path = stash(edges.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "stars")
     for _ in range(most_rounds):
         both = current.select(F.col("low").alias("u"), F.col("high").alias("v")).union(current.select("high", "low"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("low"), F.col("v").alias("high")).where("low <> high").distinct()
+        total = 2 * current.count()
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = join_hot(both, least, "u", "n", total).where("v > u").select(F.col("m").alias("low"), F.col("v").alias("high")).where("low <> high").distinct()
         # small star: every node and its lower neighbours point to the lowest of them
-        lower = large.groupBy("high").agg(F.min("low").alias("m"))
-        linked = large.join(lower, "high")
+        lower = large.groupBy("high").agg(F.min("low").alias("m"), F.count("*").alias("n"))
+        linked = join_hot(large, lower, "high", "n", total)
         small = linked.select(F.col("m").alias("low"), F.col("low").alias("high")).where("low <> high").union(lower.select(F.col("m").alias("low"), "high")).distinct()
         after, after_path = stash(small, "stars")
         # stars: no node is both a root and a leaf, and each leaf has one root
@@ -193,13 +194,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whatever their number; an empty table gives an empty result; further columns are ignored.
     """
     prints, _ = stash(fingerprints(docs), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes, _ = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "nodes")
     roots = components(links(nodes.select("fp")))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = rooted.join(smallest, "root").select("fp", "component_id")
+    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    of_print = join_hot(rooted, smallest, "root", "n", nodes.count()).select("fp", "copies", "component_id")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(of_print, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
+    return join_hot(prints, of_print, "fp", "copies", prints.count()).select("doc_id", text.alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -207,13 +208,14 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat that doc_id, one stays: that with the smallest hash of its text and columns.
     """
-    firsts = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    firsts = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("times"))
     chosen, _ = stash(firsts, "firsts")
     kept = docs.join(chosen.where("doc_id is not null").select("doc_id"), "doc_id", "left_semi")
     nulls = chosen.where("doc_id is null").limit(1).count()
     if nulls:
         kept = kept.unionByName(docs.where("doc_id is null"))
-    if chosen.where("_rows > 1").limit(1).isEmpty():
+    if chosen.where("times > 1").limit(1).isEmpty():
         return kept
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    return kept.withColumn("_rank", rank).where("_rank = 1").select(*docs.columns)
+    whole = kept.select(F.struct(*docs.columns).alias("row"))
+    rank = F.row_number().over(Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row")))
+    return whole.withColumn("rank", rank).where("rank = 1").select("row.*")

@@ -92,3 +92,34 @@ def test_word_count(spark):
     texts = ["a b", " a\tb\n c\x0b ", "\u2003", None, "", "é\u00a0ü x"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.word_count(F.col("t"))).collect()]
     assert got == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
+def test_slots_and_shards(spark):
+    """Totals stand on the targets, every block is drawn once a pass, and a shard's counts vary like multinomial ones."""
+    sources = spark.createDataFrame([(1, 32 * 600, 32 * 1800.0), (2, 32 * 4000, 32 * 3000.0), (3, 32 * 5000, 32 * 200.0), (4, 0, 0.0)], "source_id long, source_size long, target double")
+    rows = mixing.slots(sources, 32, 50).toPandas()
+    assert rows.groupby("source_id").size().to_dict() == {1: 1800, 2: 3000, 3: 200}
+    assert (rows[rows.source_id == 1].groupby("block").size() == 3).all()
+    assert rows[rows.source_id == 2].block.is_unique
+    counts = rows.groupby(["shard", "source_id"]).size().unstack(fill_value=0)
+    assert len(counts) == 100 and (counts.sum(axis=1) == 50).all()
+    share = np.array([1800, 3000, 200]) / 5000
+    chi = ((counts - 50 * share) ** 2 / (50 * share)).sum(axis=1).sum()
+    assert 140 < chi < 260  # 99 x 2 degrees of freedom
+
+
+def test_applied_mix_with_clashing_columns(spark):
+    df = table(spark, [(300, "a")] * 4 + [(90, "b")] * 3)
+    names = ["parts", "row", "copy", "size", "mixed", "own_id", "row_id", "_doc_id", "_text"]
+    odd = df.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    out = mixing.apply_mix(odd)
+    assert out.columns == odd.columns
+    rows = out.collect()
+    assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((r["doc_id"], r["text"]) for r in mixing.apply_mix(df).collect())
+
+
+def test_rows_without_ids(spark):
+    df = table(spark, [(50, "a")] * 4).withColumn("doc_id", F.lit(None).cast("long"))
+    rows = mixing.mix(df.union(df)).collect()
+    assert len(rows) == 8 and sum(r["taken"] for r in rows) >= 0.8 * 400
