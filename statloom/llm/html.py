@@ -23,9 +23,9 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _NAME_PART = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 #: Elements whose content is not text of the page.
-RAW = frozenset(("script", "style", "template", "noscript", "iframe", "textarea", "title", "svg", "math", "object", "select", "canvas", "audio", "video"))
+RAW = frozenset(("script", "style", "template", "noscript", "iframe", "textarea", "title", "svg", "object", "select", "canvas", "audio", "video"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
-INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"))
+INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "math", "mfrac", "mi", "mn", "mo", "mover", "mrow", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "munder", "semantics"))
 #: Elements that the same element's start closes, up to the nearest of the second kind.
 SELF_CLOSING = {"p": (), "li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 #: A paragraph ends where one of these starts.
@@ -86,6 +86,9 @@ def blocks(page: str) -> list[_Block]:
     found: list[_Block] = []
     # open elements: tag, content, named, boilerplate, number
     stack: list[tuple[str, bool, bool, bool, int]] = [("", False, False, False, 0)]
+    # places in the stack of each tag, and of all that are not inline, so that no tag searches it
+    places: dict[str, list[int]] = {}
+    standing: list[int] = [0]
     number = 0
     current: _Block | None = None
     links = 0
@@ -97,9 +100,7 @@ def blocks(page: str) -> list[_Block]:
         if current is None:
             if not piece or piece.isspace():
                 return
-            k = len(stack) - 1
-            while k and stack[k][0] in INLINE:
-                k -= 1
+            k = standing[-1]
             tag, content, named, boilerplate, n = stack[-1]
             current = _Block(stack[k][0], stack[k - 1][4] if k else 0, content, named, boilerplate)
             found.append(current)
@@ -107,6 +108,16 @@ def blocks(page: str) -> list[_Block]:
         if links:
             current.links += len(piece)
 
+    def cut(k: int) -> None:
+        """Close the k-th open element and those inside it."""
+        nonlocal links
+        while len(stack) > k:
+            open_tag = stack.pop()[0]
+            places[open_tag].pop()
+            links -= open_tag == "a"
+            if open_tag not in INLINE:
+                standing.pop()
+
     at = 0
     search = _TAG.search
     while m := search(page, at):
@@ -120,15 +131,12 @@ def blocks(page: str) -> list[_Block]:
         if m[1]:
             if tag not in INLINE:
                 current = None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    links -= sum(1 for s in stack[k:] if s[0] == "a")
-                    del stack[k:]
-                    break
+            if places.get(tag):
+                cut(places[tag][-1])
             continue
         attributes = m[3]
         if tag in RAW:
-            if not attributes.endswith("/"):
+            if tag != "svg" or not attributes.endswith("/"):  # elements of HTML itself are not closed by a slash
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
@@ -137,26 +145,23 @@ def blocks(page: str) -> list[_Block]:
         if tag in VOID:
             continue
         if tag == "body":
-            del stack[1:]
-            links = 0
+            cut(1)
         closes = tag if tag in SELF_CLOSING else ""
         if tag in ENDS_PARAGRAPH:
             closes = "p"
-        if closes:
+        if closes and places.get(closes):
             stops = SELF_CLOSING[closes]
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = stack[k][0]
-                if open_tag == closes:
-                    links -= sum(1 for s in stack[k:] if s[0] == "a")
-                    del stack[k:]
-                    break
-                if open_tag in stops or not stops and open_tag not in INLINE:
-                    break
+            last = max((places[s][-1] for s in stops if places.get(s)), default=0) if stops else standing[-1]
+            if places[closes][-1] >= last:
+                cut(places[closes][-1])
         if attributes.endswith("/") and tag in INLINE:
             continue
         number += 1
         above = stack[-1]
         content, named, boilerplate = _roles(tag, attributes, above[1])
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            standing.append(len(stack))
         stack.append((tag, above[1] or content, above[2] or named, above[3] or boilerplate, number))
         links += tag == "a"
     if at < len(page):

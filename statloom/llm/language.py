@@ -126,9 +126,11 @@ def fit(docs: DataFrame, most: int = MOST_PER_LANGUAGE) -> Model | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = raw(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([features(t).tobytes() if has_letter(t) else None for t in texts], pa.binary())], names=["lang", "features"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([features(t).tobytes() if has_letter(t) else None for t in texts], pa.binary())], names=["doc_id", "lang", "features"])
 
-    got = rows.select("doc_id", "lang", "text").join(F.broadcast(wanted), ["doc_id", "lang"]).select("lang", "text").mapInArrow(run, "lang string, features binary").where("features is not null").toPandas()
+    told = rows.select("doc_id", "lang", "text").join(F.broadcast(wanted), ["doc_id", "lang"]).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, features binary")
+    # an id that many rows repeat counts once
+    got = told.where("features is not null").groupBy("doc_id", "lang").agg(F.min("features").alias("features")).select("lang", "features").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["lang", "features"], kind="stable")

@@ -163,14 +163,15 @@ _STAT_SCHEMA = ", ".join(f"{s} long" for s in STATS)
 
 
 def _features_of(docs: DataFrame) -> DataFrame:
-    """quality, features of each row of (text, quality)."""
+    """quality, features of each row of (doc_id, text, quality); of rows that repeat an id, one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [statistics(t)[1] for t in raw(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(rows, pa.list_(pa.float64()))], names=["quality", "features"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "quality", "features"])
 
-    return docs.mapInArrow(run, "quality int, features array<double>")
+    each = docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, features array<double>")
+    return each.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("features").alias("features"))
 
 
 def _score_counts(rows: DataFrame, forest: Forest) -> DataFrame:
@@ -198,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, seed: int
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").cast("int").alias("top")).where("quality = top").drop("top")
     sample = bounded_sample(known, "doc_id", most, seed)
     texts = docs.select("doc_id", "text")
-    rows = _features_of(texts.join(F.broadcast(sample), "doc_id").select("text", "quality")).toPandas()
+    rows = _features_of(texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")).toPandas()
     if not (rows["quality"] == 1).any():
         return None, float("inf")
     x, good = np.stack(rows["features"].to_numpy()), (rows["quality"] == 1).to_numpy()

@@ -24,7 +24,7 @@ from statloom.llm.base import shared_dir
 #: A list file above this many bytes is not sent to the executors; it is joined instead.
 MOST_BYTES = 256 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_HEAD = 2  # int64 words before the keys: number of entries, number of path lengths
+_HEAD = 3  # int64 words before the keys: number of entries, number of path lengths, length of the longest host
 _SEPARATOR = "\x00"
 
 
@@ -67,7 +67,8 @@ def build(rules: Iterable[Rule], blocked: Iterable[str]) -> bytes:
     ordered = [keys[i] for i in order]
     offsets = np.cumsum([0, *map(len, ordered)], dtype=np.int64)
     lengths = np.array(sorted({len(r.path) for r in rules}), dtype=np.int64)
-    head = np.array([len(keys), len(lengths)], dtype=np.int64)
+    longest = max([len(h) for h in [*hosts, *(r.host for r in rules)]], default=0)
+    head = np.array([len(keys), len(lengths), longest], dtype=np.int64)
     parts = (head, lengths, digests[order], offsets, np.array(codes, dtype=np.int64)[order])
     return b"".join(p.tobytes() for p in parts) + b"".join(ordered)
 
@@ -77,7 +78,7 @@ class DigestArray:
 
     def __init__(self, path: str):
         words = np.memmap(path, dtype=np.int64, mode="r", shape=(_HEAD,))
-        n, k = int(words[0]), int(words[1])
+        n, k, self.longest = map(int, words)
         all_words = np.memmap(path, dtype=np.int64, mode="r", shape=(_HEAD + k + 3 * n + 1,))
         self.lengths = all_words[_HEAD : _HEAD + k]
         at = _HEAD + k
@@ -107,17 +108,21 @@ class DigestArray:
         return out
 
 
-def _suffixes(host: str) -> Iterator[str]:
-    """The host and its parent domains."""
-    while host:
+def _suffixes(host: str, longest: int) -> Iterator[str]:
+    """The host and its parent domains, of those at most `longest` long; longer ones are in no list."""
+    if host and len(host) <= longest:
         yield host
-        host = host.partition(".")[2]
+    tail = host[-longest - 1 :]
+    at = tail.find(".")
+    while -1 < at < len(tail) - 1:
+        yield tail[at + 1 :]
+        at = tail.find(".", at + 1)
 
 
 def _judge(array: DigestArray, hosts: list[str], paths: list[str]) -> tuple[list, list]:
     keys, owner, texts = [], [], []
     for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-        for part in _suffixes(host):
+        for part in _suffixes(host, array.longest):
             keys.append(_key(part, None))
             owner.append(i)
             texts.append(None)
@@ -154,22 +159,30 @@ def publish(spark: SparkSession, content: bytes) -> str:
     return name
 
 
-def filter_urls(pages: DataFrame, rules: Iterable[Rule], blocked: Iterable[str], id_column: str = "page_id", most_bytes: int = MOST_BYTES) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Iterable[Rule], blocked: Iterable[str] | DataFrame, id_column: str = "page_id", most_bytes: int = MOST_BYTES) -> DataFrame:
     """One row per row of pages: id, host, path, rule, verdict.
 
     The longest fitting rule decides (of equally long ones that with the longer host); without one, `block` if the host
     or a parent domain of it is listed in blocked, else `allow`. A null url, or one without ://, has empty host and path
     and is allowed with rule null. Rows with equal ids or urls are judged each for itself; an empty table gives an empty
-    result; further columns are ignored. A list above most_bytes is not sent to executors: see join_urls().
+    result; further columns are ignored. However long a host is, only parent domains no longer than the longest listed
+    host are tried. blocked may be a DataFrame with a column host. A list above most_bytes is not sent to executors, and
+    as a DataFrame doesn't reach the driver: see join_urls().
     """
-    rules, blocked = list(rules), list(blocked)
+    rules = list(rules)
     if any(r.verdict not in ("allow", "block") for r in rules):
         raise ValueError("a rule allows or blocks")
     host, path = host_and_path()
     judged = pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path"))
+    if isinstance(blocked, DataFrame):
+        blocked = blocked.select(F.col("host").cast("string").alias("host")).where("host is not null")
+        size = blocked.agg(F.coalesce(F.sum(F.octet_length("host") + 24), F.lit(0)).alias("bytes")).first()["bytes"]
+        if size > most_bytes:
+            return join_urls(judged, rules, blocked)
+        blocked = [r["host"] for r in blocked.collect()]
     content = build(rules, blocked)
     if len(content) > most_bytes:
-        return join_urls(judged, rules, blocked)
+        return join_urls(judged, rules, pages.sparkSession.createDataFrame([(h,) for h in blocked], "host string"))
     name = publish(pages.sparkSession, content)
     schema = StructType([*judged.schema.fields, StructField("rule", StringType()), StructField("verdict", StringType())])
 
@@ -182,13 +195,17 @@ def filter_urls(pages: DataFrame, rules: Iterable[Rule], blocked: Iterable[str],
     return judged.mapInArrow(probe, schema)
 
 
-def join_urls(judged: DataFrame, rules: list[Rule], blocked: list[str]) -> DataFrame:
+def join_urls(judged: DataFrame, rules: list[Rule], blocked: DataFrame) -> DataFrame:
     """The same verdicts by shuffled equality joins on digest and string, for lists too large to send out."""
     spark = judged.sparkSession
-    entries = [(r.host, r.path, r.verdict, r.text) for r in rules] + [(h, None, "block", None) for h in blocked]
-    listed = spark.createDataFrame(entries, "host string, prefix string, verdict string, rule string").distinct()
-    parts = F.split("host", r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws(".", F.slice(parts, i, F.size(parts))))
+    entries = spark.createDataFrame([(r.host, r.path, r.verdict, r.text) for r in rules], "host string, prefix string, verdict string, rule string")
+    none = F.lit(None).cast("string")
+    listed = entries.unionByName(blocked.select("host", none.alias("prefix"), F.lit("block").alias("verdict"), none.alias("rule"))).distinct()
+    longest = listed.agg(F.max(F.length("host")).alias("n")).first()["n"] or 0
+    # of a longer host only the parts after the first point of its end can be listed
+    parts = F.split(F.expr(f"right(host, {longest + 1})"), r"\.")
+    first = F.when(F.length("host") > longest, 2).otherwise(1)
+    domains = F.when(F.size(parts) >= first, F.transform(F.sequence(first, F.size(parts)), lambda i: F.concat_ws(".", F.slice(parts, i, F.size(parts)))))
     lengths = sorted({len(r.path) for r in rules})
     prefixes = F.array(F.lit(None).cast("string"), *[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])
     rows = judged.withColumn("row", F.monotonically_increasing_id())

@@ -1,17 +1,16 @@
 """Content-addressed web archive.
 
-Payload bytes lie once in a table keyed by their SHA-256 digest; the exact header bytes of every record lie in another.
-A record is rebuilt by joining the two. Records whose payload another record already holds are revisits.
+Payload bytes lie once in a table keyed by their SHA-256 digest; the exact header bytes of every record, with the HTTP
+header that its block begins with, lie in another. A record is rebuilt by joining the two. Records whose payload another
+record already holds are revisits. Rebuilt records can be written as WARC files, which other tools read.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm.base import drop, shared_dir
+from statloom.llm.base import MOST_HOT, drop, join_hot, new_path
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
@@ -51,11 +50,13 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST_BYTES, id_colu
     keys = rows.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("sha1"), F.xxhash64("payload").alias("check"))
     order = F.struct(F.col("page_id").isNull(), "page_id")
     both = [F.struct("payload_bytes", "sha1", "check")]
-    first = keys.groupBy("digest").agg(F.min(order)["page_id"].alias("first_id"), F.min(*both).alias("low"), F.max(*both).alias("high"))
-    first = first.select("digest", F.when(F.col("low") == F.col("high"), F.col("first_id")).otherwise(F.raise_error(F.lit("two payloads share a SHA-256 digest"))).alias("first_id"))
-    joined = keys.join(first, "digest")
+    first = keys.groupBy("digest").agg(F.min(order)["page_id"].alias("first_id"), F.min(*both).alias("low"), F.max(*both).alias("high"), F.count("*").alias("records"))
+    first = first.select("digest", "records", F.when(F.col("low") == F.col("high"), F.col("first_id")).otherwise(F.raise_error(F.lit("two payloads share a SHA-256 digest"))).alias("first_id"))
+    joined = join_hot(keys, first.withColumn("n", F.col("records")), "digest", "n", pages.count())
     revisit = (F.col("payload_bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     kind = F.when(revisit, "revisit").otherwise("response")
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
+    block_bytes = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         _line("WARC-Type", kind),
@@ -65,14 +66,17 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST_BYTES, id_colu
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")),
         _line("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         _line("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:page:"), F.col("first_id").cast("string"), F.lit(">")))),
-        _line("Content-Length", F.when(revisit, "0").otherwise(F.col("payload_bytes").cast("string"))),
+        _line("Content-Type", F.lit("application/http; msgtype=response")),
+        _line("Content-Length", block_bytes.cast("string")),
         F.lit(CRLF),
+        http,
     )
-    joined.select("page_id", F.encode(head, "UTF-8").alias("header"), "digest").write.parquet(f"{path}/headers", compression="zstd")
-    owners = first.select("digest", F.col("first_id").alias("page_id"))
+    joined.select("page_id", F.encode(head, "UTF-8").alias("header"), "digest", "records").write.parquet(f"{path}/headers", compression="zstd")
+    owners = first.select("digest", F.col("first_id").alias("page_id"), "records")
     same = (F.col("o.digest") == F.col("r.digest")) & F.col("o.page_id").eqNullSafe(F.col("r.page_id"))
-    stored = rows.withColumn("digest", F.sha2("payload", 256)).alias("r").join(owners.alias("o"), same, "left_semi").select("digest", "payload")
-    stored.write.parquet(f"{path}/payloads", compression="zstd")
+    filed = rows.withColumn("digest", F.sha2("payload", 256)).alias("r").join(owners.alias("o"), same).select("o.digest", "o.page_id", "payload", "records")
+    # rows that repeat page_id and payload lie together after the join
+    filed.dropDuplicates(["digest", "page_id"]).select("digest", "payload", "records").write.parquet(f"{path}/payloads", compression="zstd")
 
 
 def _header(name: str) -> Column:
@@ -86,14 +90,14 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     whose SHA-1 differs fails the job.
     """
     headers = spark.read.parquet(f"{path}/headers")
-    stored = spark.read.parquet(f"{path}/payloads").select("digest", F.when(F.sha2("payload", 256) == F.col("digest"), F.octet_length("payload").cast("long")).otherwise(F.raise_error(F.lit("a payload differs from its digest"))).alias("payload_bytes"), base32_sha1(F.col("payload")).alias("sha1"))
-    # rows that repeat the first page_id each filed the payload
-    stored = stored.groupBy("digest").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("sha1").alias("sha1"))
+    stored = spark.read.parquet(f"{path}/payloads").select("digest", F.when(F.sha2("payload", 256) == F.col("digest"), F.octet_length("payload").cast("long")).otherwise(F.raise_error(F.lit("a payload differs from its digest"))).alias("payload_bytes"), base32_sha1(F.col("payload")).alias("sha1"), F.col("records").alias("n"))
+    told_of = join_hot(headers.drop("records"), stored, "digest", "n", headers.count())
+    missing = headers.drop("records").join(stored.select("digest"), "digest", "left_anti").select("*", F.lit(None).cast("long").alias("payload_bytes"), F.lit(None).cast("string").alias("sha1"))
     kind = headers.schema["page_id"].dataType
     told = F.substring_index(_header("WARC-Payload-Digest"), "sha1:", -1)
     refers = F.regexp_extract(_header("WARC-Refers-To"), r"^<urn:page:(.*)>$", 1)
     return (
-        headers.join(stored, "digest", "left")
+        told_of.unionByName(missing)
         .select(
             "page_id",
             _header("WARC-Target-URI").alias("url"),
@@ -106,14 +110,23 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id and the full record bytes: header, block (the payload; empty for revisits) and the closing line ends.
+    """page_id and the full record bytes: headers, payload (none for revisits) and the closing line ends.
 
-    `payload` has the full payload of revisits as well.
+    `payload` has the full payload of revisits as well. Records with a payload that many share are spread over as many
+    copies of it as they are 1/MOST_HOT of all records, so that no task gathers them.
     """
     headers = spark.read.parquet(f"{path}/headers")
-    stored = spark.read.parquet(f"{path}/payloads").groupBy("digest").agg(F.first("payload").alias("payload"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("records") * F.lit(float(MOST_HOT)) / max(headers.count(), 1))).cast("int")
+    stored = spark.read.parquet(f"{path}/payloads").select("digest", "payload", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = headers.withColumn("part", F.pmod(F.xxhash64("page_id", "header"), parts).cast("int"))
     block = F.when(_header("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return headers.join(stored, "digest").select("page_id", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+    return dealt.join(stored, ["digest", "part"]).select("page_id", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+
+
+def write_warc(records: DataFrame, path: str) -> None:
+    """Write rebuilt records one after another as gzipped WARC files below path. Records of read_records() are UTF-8."""
+    text = F.decode(F.expr("substring(record, 1, octet_length(record) - 4)"), "UTF-8")
+    records.select(text.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -123,7 +136,7 @@ def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     pages are ignored.
     """
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark)}/statloom/warc-{uuid.uuid4().hex}"
+    path = path or new_path(spark, "warc")
     write_archive(pages, path)
     return read_index(spark, path)
 

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -64,3 +65,15 @@ def test_test_pages_against_their_articles():
         article = re.search(r"<article>(.*?)</article>", page, re.S)[1]
         plain = entities.unescape(re.sub(r"</?(h1|p|br)>", " ", re.sub(r"</?b>", "", article)))
         assert main_text(page) == " ".join(plain.split())
+
+
+def test_slash_does_not_close_a_script():
+    assert main_text(f'<article><p>{LONG}</p><script src="a.js"/>var leaked = 1;</script><style/>p {{}}</style><svg/><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>') == f"{LONG} So x=2 holds."
+
+
+def test_deep_nesting_takes_linear_time():
+    pages = ["<div>" * 40_000 + "x" + "</p>" * 40_000, "<dl><dt>" + "<div>" * 40_000 + "x" + "<dt></dt><b>" * 40_000, "<b>" * 40_000 + "x<br>" * 40_000]
+    began = time.process_time()
+    for page in pages:
+        assert isinstance(main_text(page), str)
+    assert time.process_time() - began < 20

@@ -47,3 +47,55 @@ def test_families_and_votes():
     assert (got == y).mean() > 0.95 and ((scores >= 0) & (scores <= 1)).all()
     one = language.Model(x[:30], y[:30])
     assert set(one.predict(x[:5])[0]) == {"en"}
+
+
+def plain_features(text):
+    """Square roots of the shares of hashed byte triples, counted one by one."""
+    data, out = b" " + text.encode().lower() + b" ", np.zeros(language.WIDTH)
+    for k in range(len(data) - 2):
+        out[((data[k] << 16 | data[k + 1] << 8 | data[k + 2]) * 2654435761 % 2**32) >> (32 - language.BITS)] += 1
+    return np.sqrt(out / (len(data) - 2))
+
+
+def plain_machine(x, positive, steps=6000):
+    """Squared hinge loss by plain gradient steps."""
+    y, weight = np.where(positive, 1.0, -1.0), np.where(positive, 0.5 / positive.sum(), 0.5 / (~positive).sum())
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        w += 0.5 * x.T @ (weight * y * np.maximum(0, 1 - y * (x @ w)))
+    return w
+
+
+def test_against_brute_force(spark, sf_dir):
+    """The query's languages are those of machines trained one by one on all open documents, at a size below the bound."""
+    docs = pd.read_parquet(f"{sf_dir}/documents.parquet")
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in docs.doc_id])
+    lettered = docs.text.notna() & docs.text.fillna("").str.contains(r"[^\W\d_]", regex=True)
+    x = np.stack([plain_features(t) if ok else np.zeros(language.WIDTH) for t, ok in zip(docs.text, lettered, strict=True)])
+    train = ~held & docs.lang.notna().to_numpy() & lettered.to_numpy()
+    names = docs.lang.to_numpy(dtype=object)
+    families = np.array([language.family(k) if isinstance(k, str) else None for k in names], dtype=object)
+    top = {f: plain_machine(x[train], families[train] == f) for f in sorted(set(families[train]))}
+    value = lambda w, v: v @ w[:-1] + w[-1]
+    want = []
+    pairs = {}
+    for v, ok in zip(x, lettered, strict=True):
+        if not ok:
+            want.append("und")
+            continue
+        f = max(top, key=lambda k: value(top[k], v))
+        own = sorted({n for n, g in zip(names[train], families[train], strict=True) if g == f})
+        votes = dict.fromkeys(own, 0.0)
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                some = train & ((names == a) | (names == b))
+                w = pairs.get((a, b))
+                if w is None:
+                    w = pairs[a, b] = plain_machine(x[some], names[some] == a)
+                won = 1 / (1 + np.exp(-4 * value(w, v)))
+                votes[a] += won
+                votes[b] += 1 - won
+        want.append(max(votes, key=votes.get))
+    got = QUERIES["op6_language_id"](spark, sf_dir).toPandas().set_index("doc_id").lang_pred
+    assert np.mean([got[i] == k for i, k in zip(docs.doc_id, want, strict=True)]) >= 0.99

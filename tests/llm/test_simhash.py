@@ -4,7 +4,10 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from statloom.llm import simhash
+from statloom.llm.base import dealt
 
 
 def brute(text):
@@ -83,3 +86,18 @@ def test_whole_operator(spark):
     kept = simhash.keep_first(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({r["component_id"] for r in rows})
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_keep_first_with_clashing_columns(spark):
+    rows = [(1, "some words that are here twice", "r", 7), (1, "some words that are here twice", "r", 8), (2, "quite other words over there today", "s", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string, rank int").withColumn("_rank", F.col("rank"))
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2] and all(r["rank"] == r["_rank"] for r in got)
+
+
+def test_rows_are_dealt_before_the_variants(spark):
+    nodes = spark.range(1000).select(F.xxhash64("id").alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
+    plan = dealt(nodes.select("fp"), "fp")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2

@@ -1,3 +1,5 @@
+import itertools
+
 import xxhash
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from statloom.llm.queries import SPAM_HOSTS, URL_RULES
 ROWS = [
     (1, "http://a.example.org/es/x?q=1"), (2, "https://EXAMPLE.org/en/12#t"), (3, "http://b.net/x"), (4, "http://www.cheap-pills.example.net/"), (5, None), (6, "no scheme"),
     (7, "http://x.com/fr/1"), (8, "http://x.com/de/1"), (9, "http://org"), (10, "http://notexample.org/es/"), (3, "http://b.net/x"), (None, "http://example.org"), (11, "x://"),
+    (12, "http://" + "a." * 50_000 + "cheap-pills.example.net/"), (13, "http://" + "." * 100_000 + "com/de/"), (14, "http://xcheap-pills.example.net"), (15, "http://com./de/"),
 ]
 
 
@@ -26,8 +29,9 @@ def expect(url):
 def test_verdicts_against_brute_force(spark):
     pages = spark.createDataFrame([(i, u, "host") for i, u in ROWS], "page_id long, url string, host string")
     want = sorted((str(i), *map(str, expect(u))) for i, u in ROWS)
-    for limit in (urls.MOST_BYTES, 0):  # the array, and the join for long lists
-        got = urls.filter_urls(pages, URL_RULES, SPAM_HOSTS, most_bytes=limit).select("page_id", "host", "path", "rule", "verdict").collect()
+    listed = spark.createDataFrame([(h, 1) for h in SPAM_HOSTS], "host string, n int")
+    for limit, blocked in itertools.product((urls.MOST_BYTES, 0), (SPAM_HOSTS, listed)):  # the array, and the join for long lists
+        got = urls.filter_urls(pages, URL_RULES, blocked, most_bytes=limit).select("page_id", "host", "path", "rule", "verdict").collect()
         assert sorted(tuple(map(str, r)) for r in got) == want
 
 

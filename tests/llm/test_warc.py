@@ -1,5 +1,7 @@
 import base64
+import gzip
 import hashlib
+from pathlib import Path
 
 import pytest
 from pyspark.errors import SparkRuntimeException
@@ -27,7 +29,7 @@ def test_round_trip(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
-def test_records_and_single_storage(spark):
+def test_records_and_single_storage(spark, tmp_path):
     df, rows = table(spark)
     path = f"{shared_dir(spark)}/records"
     warc.write_archive(df, path)
@@ -37,9 +39,23 @@ def test_records_and_single_storage(spark):
     for p, record, payload in got:
         head, block = record.split(b"\r\n\r\n", 1)
         assert head.startswith(b"WARC/1.1\r\n") and block.endswith(b"\r\n\r\n")
-        assert block[:-4] == (b"" if b"WARC-Type: revisit" in head else payload)
+        http, body = block[:-4].split(b"\r\n\r\n", 1)
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and b"Content-Length: %d" % len(payload) in http
+        assert body == (b"" if b"WARC-Type: revisit" in head else payload)
         assert b"Content-Length: %d\r\n" % len(block[:-4]) in head + b"\r\n"
-    assert spark.read.parquet(f"{path}/payloads").select("digest").distinct().count() == 4
+    assert spark.read.parquet(f"{path}/payloads").count() == 4
+    target = str(tmp_path / "files")
+    warc.write_warc(warc.read_records(spark, path), target)
+    read = []
+    for file in Path(target).glob("*.gz"):
+        data = gzip.decompress(file.read_bytes())
+        while data:  # as any reader of WARC files: header, length, block
+            head, rest = data.split(b"\r\n\r\n", 1)
+            n = int(next(x for x in head.split(b"\r\n") if x.startswith(b"Content-Length: "))[16:])
+            assert rest[n : n + 4] == b"\r\n\r\n"
+            read.append(head + b"\r\n\r\n" + rest[: n + 4])
+            data = rest[n + 4 :]
+    assert sorted(read) == sorted(bytes(r["record"]) for r in warc.read_records(spark, path).collect())
     warc.delete_archive(spark, path)
 
 
