@@ -48,19 +48,40 @@ def shorten(c: Column, n: int = 260) -> Column:
     return F.when(F.length(c) <= n, c).otherwise(F.concat(F.when(cut != "", cut).otherwise(F.substring(c, 1, n)), F.lit("…")))
 
 
+#: A written number, once its parts stand apart: groups of three digits after spaces, or a run of letters, digits and marks.
+_RUN = r"[-−]?[0-9]{1,3}(?:\p{Zs}[0-9]{3}\b)+[\p{L}\p{N}_.,]*|[-−]?[\p{L}\p{N}_.,]+"
+_NUMBER = r"^[-−]?[0-9]+([.,][0-9]+)?$"
+
+
+def number_texts(c: Column) -> Column:
+    """The numbers of a text as they are written, without spaces.
+
+    A hyphen after a letter, digit or mark is no sign, and a mark before a letter ends a number; so both become bars.
+    Runs of letters, digits and marks are numbers if they are digits with at most one decimal mark.
+    """
+    apart = F.regexp_replace(c, r"([\p{L}\p{N}_.,])[-−]", "$1|")
+    apart = F.regexp_replace(apart, r"([0-9])[.,](\p{L})", "$1|$2")
+    runs = F.regexp_extract_all(apart, F.lit(_RUN), F.lit(0))
+    bare = F.transform(runs, lambda x: F.regexp_replace(F.regexp_replace(x, r"\p{Zs}", ""), "[.,]+$", ""))
+    return F.filter(bare, lambda x: x.rlike(_NUMBER))
+
+
 def numbers(c: Column) -> Column:
     """The numbers of a text as doubles: digits with spaces between thousands, a decimal comma or point, a sign."""
-    found = F.regexp_extract_all(c, F.lit(r"(?<![\w.,])([-−]?\d{1,3}(?:[   ]\d{3})+(?:[.,]\d+)?|[-−]?\d+(?:[.,]\d+)?)(?![\w])"), F.lit(1))
-    plain = F.transform(found, lambda x: F.replace(F.replace(F.regexp_replace(x, r"[   ]", ""), F.lit(","), F.lit(".")), F.lit("−"), F.lit("-")))
-    return F.transform(plain, lambda x: x.try_cast("double"))
+    return F.transform(number_texts(c), lambda x: F.translate(x, ",−", ".-").try_cast("double"))
+
+
+def decimals(c: Column) -> Column:
+    """How many decimals each number of numbers() is written with."""
+    return F.transform(number_texts(c), lambda x: F.length(F.regexp_extract(x, "[.,]([0-9]+)$", 1)))
 
 
 def clean_markdown(c: Column) -> Column:
-    out = F.regexp_replace(c, r"(?m)^\s{0,3}#{1,6}\s*", "")
-    out = F.regexp_replace(out, r"(?m)^\s*[-*+]\s+", "")
-    out = F.regexp_replace(out, r"\*\*([^*]+)\*\*|__([^_]+)__", "$1$2")
-    out = F.regexp_replace(out, r"`([^`]*)`", "$1")
-    return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    """Paragraphs without headings, whose whole lines go, and without marks of lists and of emphasis."""
+    lines = F.transform(F.split(c, r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    kept = F.filter(lines, lambda x: ~x.startswith("#"))
+    bare = F.transform(kept, lambda x: F.regexp_replace(F.regexp_replace(x, r"^[-*•]\s+", ""), r"\*\*", ""))
+    return F.regexp_replace(F.regexp_replace(F.array_join(bare, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def citations(c: Column) -> Column:

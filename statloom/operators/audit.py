@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.expressions import d, ratio
+from statloom.operators.order import quantiles
 
 MISSING_LIMIT, RARE = 0.05, 5
 
@@ -21,7 +22,7 @@ def missing(df: DataFrame) -> DataFrame:
 def outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """variable, extreme (beyond 3 interquartile ranges), mild (beyond 1.5, not extreme), for at least four values."""
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), d(F.col(c)).alias("x")) for c in columns])).alias("v")).select("v.*").where("x is not null")
-    q = rows.groupBy("variable").agg(F.count("*").alias("n"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).where("n >= 4")
+    q = quantiles(rows, "x", [0.25, 0.75], ["variable"]).where("n >= 4")
     q = q.select("variable", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
     away = F.greatest(F.col("q1") - F.col("x"), F.col("x") - F.col("q3"))
     joined = rows.join(F.broadcast(q), "variable")  # a row for each column

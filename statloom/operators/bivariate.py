@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import dist
 from statloom.functions.expressions import Z_95, d, fisher_z, odds_ratio, ratio
-from statloom.operators.order import add_ranks, tie_sum, value_ranks
+from statloom.operators.order import adjust_p, quantiles, tie_sum, value_ranks
 
 
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -115,7 +115,9 @@ def group_moments(df: DataFrame, value: str, group: str) -> DataFrame:
 
 def group_quantiles(df: DataFrame, value: str, group: str) -> DataFrame:
     x = d(F.col(value))
-    p = _pairs(df, value, group).groupBy(F.col(group).cast("string").alias("group")).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    p = _pairs(df, value, group).groupBy(F.col(group).cast("string").alias("group")).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))
+    rows = _pairs(df, value, group).select(F.col(group).cast("string").alias("group"), x.alias("x"))
+    p = p.join(quantiles(rows, "x", [0.25, 0.5, 0.75], ["group"]).drop("n"), "group")
     return p.select("group", "n", "mean", "sd", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
 
 
@@ -164,15 +166,17 @@ def welch_anova(df: DataFrame, value: str, group: str) -> DataFrame:
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     """Levene's test centred on the medians: an analysis of variance of the distances to them."""
     p = _pairs(df, value, group).select(F.col(group).cast("string").alias("group"), d(F.col(value)).alias("x"))
-    medians = p.groupBy("group").agg(F.percentile("x", F.lit(0.5)).alias("median"))
+    medians = quantiles(p, "x", [0.5], ["group"]).select("group", F.col("q")[0].alias("median"))
     away = p.join(medians, "group").select("group", F.abs(F.col("x") - F.col("median")).alias("away"))
     return anova(away, "away", "group").select("df1", "df2", F.col("f").alias("w"))
 
 
 def rank_sums(df: DataFrame, value: str, group: str) -> DataFrame:
     """group, n, rank_sum of the average ranks of value over all groups."""
-    ranked = add_ranks(_pairs(df, value, group).select(F.col(group).cast("string").alias("group"), d(F.col(value)).alias("x")), "x")
-    return ranked.groupBy("group").agg(F.count("*").alias("n"), F.sum("rank_avg").alias("rank_sum"))
+    rows = _pairs(df, value, group).select(F.col(group).cast("string").alias("group"), d(F.col(value)).alias("value"))
+    counted = rows.groupBy("group", "value").agg(F.count("*").alias("n"))  # counts meet the ranks, not rows
+    ranked = counted.join(value_ranks(rows, "value").select("value", "rank_avg"), "value")
+    return ranked.groupBy("group").agg(F.sum("n").alias("n"), F.sum(d(F.col("n")) * F.col("rank_avg")).alias("rank_sum"))
 
 
 def _ties(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -203,14 +207,16 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def dunn(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Pairs of groups with Dunn's z under tie-corrected variance."""
+    """Pairs of groups with Dunn's z under tie-corrected variance, its p and Holm's p over the pairs."""
     sums = rank_sums(df, value, group).select("group", d(F.col("n")).alias("n"), (F.col("rank_sum") / d(F.col("n"))).alias("mean_rank"))
     total = sums.agg(F.sum("n").alias("total")).crossJoin(_ties(df, value, group))
     a, b = sums.alias("a"), sums.alias("b")
     pairs = a.join(b, F.col("a.group") < F.col("b.group")).crossJoin(F.broadcast(total))  # groups, not rows
     n = F.col("total")
     variance = (n * (n + 1.0) / 12.0 - F.col("ties") / (12.0 * (n - 1.0))) * (1.0 / F.col("a.n") + 1.0 / F.col("b.n"))
-    return pairs.select(F.col("a.group").alias("a"), F.col("b.group").alias("b"), ((F.col("a.mean_rank") - F.col("b.mean_rank")) / F.sqrt(variance)).alias("z"))
+    told = pairs.select(F.col("a.group").alias("a"), F.col("b.group").alias("b"), ((F.col("a.mean_rank") - F.col("b.mean_rank")) / F.sqrt(variance)).alias("z"))
+    told = told.withColumn("p", dist.p_normal(F.col("z"))).withColumn("pair", F.concat_ws("/", "a", "b"))
+    return adjust_p(told, "p", "pair").drop("pair", "p_bh")
 
 
 def _moment_pairs(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -240,8 +246,14 @@ def tukey_kramer(df: DataFrame, value: str, group: str) -> DataFrame:
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     """n, Pearson's r with Fisher bounds and Spearman's rho; null below four rows or without variation."""
     p = _pairs(df, x, y).select(d(F.col(x)).alias("x"), d(F.col(y)).alias("y"))
-    ranked = add_ranks(add_ranks(p, "x", "rx"), "y", "ry")
-    one = ranked.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.corr("rx", "ry").alias("rho"))
+    cells = p.groupBy("x", "y").agg(F.count("*").alias("w"))
+    rank = lambda c: value_ranks(p, c).select(F.col("value").alias(c), F.col("rank_avg").alias(f"r{c}"))
+    moments = p.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
+    ranked = cells.join(rank("x"), "x").join(rank("y"), "y").crossJoin(F.broadcast(moments))  # one row
+    middle, w = (d(F.col("n")) + 1.0) / 2.0, d(F.col("w"))
+    a, b = F.col("rx") - middle, F.col("ry") - middle
+    spread = F.sqrt(F.sum(w * a * a)) * F.sqrt(F.sum(w * b * b))
+    one = ranked.groupBy("n", "r").agg(F.try_divide(F.sum(w * a * b), spread).alias("rho"))
     ok = F.col("n") >= 4
     one = one.select("n", F.when(ok & ~F.isnan("r"), F.col("r")).alias("r"), F.when(ok & ~F.isnan("rho"), F.col("rho")).alias("rho"))
     low, high = fisher_z(F.col("r"), F.col("n"))
@@ -315,8 +327,8 @@ def compare_categories(df: DataFrame, x: str, y: str) -> DataFrame:
 def compare_numbers(df: DataFrame, x: str, y: str, nonparametric: bool = False) -> DataFrame:
     """Pearson's or Spearman's correlation, by the shapes of both, in the columns of compare_groups()."""
     both = _pairs(df, x, y)
-    shape = both.agg(F.abs(F.skewness(d(F.col(x)))).alias("sx"), F.abs(F.skewness(d(F.col(y)))).alias("sy"), F.count("*").alias("n")).first()
-    pearson = not nonparametric and shape["n"] >= SMALL_GROUP and max(shape["sx"] or 9, shape["sy"] or 9) <= MOST_SKEW
+    one = both.select(F.lit("all").alias("group"), d(F.col(x)).alias("x"), d(F.col(y)).alias("y"))
+    pearson = not nonparametric and all(near_normal(one, c, "group").agg(F.bool_and("ok").alias("ok")).first()["ok"] or False for c in ("x", "y"))
     c = correlation(df, x, y)
     r = F.col("r" if pearson else "rho")
     t = r * F.sqrt((d(F.col("n")) - 2.0) / F.greatest(F.lit(1e-12), 1.0 - r * r))

@@ -29,6 +29,10 @@ class Variable:
     categories: tuple[str, ...] = field(default=())
 
 
+#: Categories that a column may have where they become columns or levels of a model.
+MOST_LISTED = 1000
+
+
 def _is_number(kind) -> bool:
     return isinstance(kind, NumericType)
 
@@ -89,9 +93,12 @@ def variables(df: DataFrame, overrides: dict[str, str] | None = None) -> dict[st
 
 
 def categories(df: DataFrame, column: str, order: list[str] | None = None) -> list[str]:
-    """Categories in the user's order, then others in natural order. For columns with few categories."""
+    """Categories in the user's order, then others in natural order. More than MOST_LISTED are an error: such a column
+    names units rather than categories, and its values don't belong on the driver."""
     from statloom.functions.expressions import category_text
 
-    found = df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(1000).select(category_text(F.col(column)).alias("c")).collect()
+    found = df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(MOST_LISTED + 1).select(category_text(F.col(column)).alias("c")).collect()
+    if len(found) > MOST_LISTED:
+        raise ValueError(f"{column} has more than {MOST_LISTED} categories")
     names = [r["c"] for r in found]
     return [c for c in order or [] if c in names] + [c for c in names if c not in (order or [])]

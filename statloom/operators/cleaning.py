@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Texts that stand for a missing value.
-NULL_WORDS = ("", "na", "n/a", "nan", "null", "none", "-", ".", "?", "missing")
+#: Texts that stand for a missing value: fixed values, compared as they are after trimming.
+NULL_WORDS = ("", "NA", "N/A", "na", "NaN", ".", "NSP", "nsp")
 NUMERIC_SHARE = 0.95
 LONGEST_NAME = 60
 
@@ -19,7 +19,7 @@ def clean_names(names: list[str]) -> list[str]:
     """Compatible column names: NFKC, words joined by _, no leading digit, at most 60 characters, no repeats."""
     out: list[str] = []
     for raw in names:
-        name = re.sub(r"\W", "", re.sub(r"\s+", "_", unicodedata.normalize("NFKC", str(raw)).strip())) or "column"
+        name = re.sub(r"[^\w-]", "", re.sub(r"\s+", "_", unicodedata.normalize("NFKC", str(raw)).strip())) or "column"
         name = (f"v_{name}" if name[0].isdigit() else name)[:LONGEST_NAME]
         base, k = name, 2
         while name in out:
@@ -30,12 +30,12 @@ def clean_names(names: list[str]) -> list[str]:
 
 def null_words(c: Column) -> Column:
     t = F.trim(c)
-    return F.when(F.lower(t).isin(*NULL_WORDS), F.lit(None)).otherwise(t)
+    return F.when(t.isin(*NULL_WORDS), F.lit(None)).otherwise(t)
 
 
 def number(c: Column) -> Column:
     """A text as number, with spaces dropped and a decimal comma read as point; null where it is none."""
-    return F.replace(F.regexp_replace(c, r"[\s  ]", ""), F.lit(","), F.lit(".")).try_cast("double")
+    return F.replace(F.regexp_replace(c, r"[\p{Zs}\t]", ""), F.lit(","), F.lit(".")).try_cast("double")
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -97,6 +97,7 @@ def event_level(names: list[str], chosen: str | None = None) -> str:
 
 
 def formula_guard(c: Column) -> Column:
-    """A cell that a spreadsheet would run gets a leading apostrophe; plain numbers and percentages stay."""
-    risky = c.rlike(r"^[=+\-@\t\r|]") & ~c.rlike(r"^[+\-]?[0-9]+([.,][0-9]+)?( ?%)?$")
+    """A cell that a spreadsheet would run gets a leading apostrophe; negative numbers, also with spaces between their
+    digits, and percentages stay."""
+    risky = c.rlike(r"^[=+\-@\t\r|]") & ~c.rlike(r"^-?[0-9\p{Zs}.,]+%?$")
     return F.when(risky, F.concat(F.lit("'"), c)).otherwise(c)

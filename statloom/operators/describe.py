@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.expressions import d, ratio, wilson
+from statloom.operators.order import quantiles
 
 
 def frequencies(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:
@@ -24,14 +25,16 @@ def frequencies(df: DataFrame, column: str, weight: str | None = None) -> DataFr
 
 
 def quantitative(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """variable, n, mean, sd, min, max, quartiles, skewness and excess kurtosis (population form), one pass."""
+    """variable, n, mean, sd, min, max, quartiles, skewness and excess kurtosis (population form). Rows
+    whose `by` is null are left out where there is one."""
     by = by or []
     rows = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), d(F.col(c)).alias("x")) for c in columns])).alias("v")).select(*by, "v.*").where("x is not null")
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.groupBy(*by, "variable").agg(
+    q = quantiles(rows, "x", [0.25, 0.5, 0.75], [*by, "variable"]).drop("n")
+    moments = rows.groupBy(*by, "variable").agg(
         F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"), F.max("x").alias("max"),
-        q.alias("q"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurtosis"),
-    ).select(*by, "variable", "n", "mean", "sd", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max",
+        F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurtosis"),
+    )
+    return moments.join(q, [*by, "variable"]).select(*by, "variable", "n", "mean", "sd", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max",
              F.when(F.col("n") > 2, F.col("skew")).alias("skewness"), F.when(F.col("n") > 3, F.col("kurtosis")).alias("kurtosis"))
 
 
@@ -70,7 +73,7 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     """bin, low, high, n. The number of bins is the larger of the Sturges and Freedman-Diaconis ones."""
     x = d(F.col(column))
     valid = df.where(F.col(column).isNotNull()).select(x.alias("x"))
-    s = valid.agg(F.count("*").cast("double").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    s = valid.agg(F.count("*").cast("double").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).crossJoin(F.broadcast(quantiles(valid, "x", [0.25, 0.75]).select("q")))  # one row each
     iqr = F.col("q")[1] - F.col("q")[0]
     sturges = F.ceil(F.log2("n") + 1.0)
     fd = F.when(iqr > 0, F.ceil((F.col("high") - F.col("low")) / (2.0 * iqr / F.pow(F.col("n"), F.lit(1.0 / 3))))).otherwise(F.lit(1))
@@ -83,7 +86,7 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
 def box_plot(df: DataFrame, column: str, by: str) -> DataFrame:
     """Quartiles by group, and the furthest values within 1.5 interquartile ranges of them."""
     valid = df.where(F.col(column).isNotNull() & F.col(by).isNotNull()).select(F.col(by).alias("group"), d(F.col(column)).alias("x"))
-    q = valid.groupBy("group").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(valid, "x", [0.25, 0.5, 0.75], ["group"]).drop("n")
     fence = 1.5 * (F.col("q")[2] - F.col("q")[0])
     inside = (F.col("x") >= F.col("q")[0] - fence) & (F.col("x") <= F.col("q")[2] + fence)
     rows = valid.join(q, "group")

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.text import citations, fold, is_causal, is_injection, numbers
+from statloom.functions.text import citations, decimals, fold, is_causal, is_injection, numbers
 
 FREE_INTEGERS, FIRST_YEAR, LAST_YEAR = 10, 1900, 2100
 
 
 def quoted_numbers(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, value, decimals of every number in the texts."""
-    raw = F.regexp_extract_all(text, F.lit(r"(?<![\w.,])[-−]?\d+(?:[   ]\d{3})*(?:[.,](\d+))?(?![\w])"), F.lit(1))
-    both = F.arrays_zip(numbers(F.col(text)).alias("value"), F.transform(raw, F.length).alias("decimals"))
+    both = F.arrays_zip(numbers(F.col(text)).alias("value"), decimals(F.col(text)).alias("decimals"))
     return texts.select(key, F.explode(both).alias("v")).select(key, F.col("v.value").alias("value"), F.coalesce("v.decimals", F.lit(0)).alias("decimals")).where("value is not null")
 
 

@@ -17,8 +17,19 @@ def _with_range(df: DataFrame, order: str, ranges: int) -> DataFrame:
     ranges = max(1, min(ranges, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cuts = df.approxQuantile(order, [k / ranges for k in range(1, ranges)], 1.0 / (2 * ranges)) if ranges > 1 else []
     cuts = sorted(set(cuts))
-    place = F.lit(0) if not cuts else F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order)))
-    return df.withColumn("_range", place)
+    return df.withColumn("_range", cut_place(F.col(order), cuts))
+
+
+def cut_place(x: Column, cuts: list[float]) -> Column:
+    """How many of the sorted cuts lie below x, by halving, as nested comparisons."""
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(x > F.lit(float(cuts[mid])), between(mid + 1, high)).otherwise(between(low, mid))
+
+    return between(0, len(cuts))
 
 
 def running_sums(df: DataFrame, order: str, sums: dict[str, str], within: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
@@ -37,6 +48,29 @@ def running_sums(df: DataFrame, order: str, sums: dict[str, str], within: list[s
     return joined.select(*df.columns, *[(F.col(f"_s_{c}") + F.col(f"_i_{c}")).alias(out) for c, out in sums.items()])
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float], within: list[str] | None = None) -> DataFrame:
+    """One row per group: n, and q, the exact quantiles of value with linear interpolation between neighbours.
+
+    Values are reduced to distinct ones with counts and running sums; a quantile is picked from the rows that hold its
+    two neighbours, so no task holds a column's values.
+    """
+    within = within or []
+    counted = df.where(F.col(value).isNotNull()).groupBy(*within, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("ties"))
+    run = running_sums(counted, "value", {"ties": "_before"}, within)
+    totals = counted.groupBy(*within).agg(F.sum("ties").alias("n"))
+    rows = run.join(totals, within) if within else run.crossJoin(F.broadcast(totals))  # one row without groups
+    last = F.col("_before") + F.col("ties")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((place >= F.col("_before")) & (place < last), F.col("value")))
+
+    place = [F.lit(float(p)) * (F.col("n") - 1) for p in shares]
+    ends = [x for k, h in enumerate(place) for x in (at(F.floor(h)).alias(f"_l{k}"), at(F.ceil(h)).alias(f"_h{k}"))]
+    found = rows.groupBy(*within, "n").agg(*ends)
+    pick = lambda k, h: F.col(f"_l{k}") + (F.col(f"_h{k}") - F.col(f"_l{k}")) * (h - F.floor(h))
+    return found.select(*within, "n", F.array(*[pick(k, h) for k, h in enumerate(place)]).alias("q"))
+
+
 def value_ranks(df: DataFrame, value: str, within: list[str] | None = None) -> DataFrame:
     """One row per group and distinct value: its count `ties` and the average rank `rank_avg` of its rows."""
     within = within or []

@@ -64,8 +64,21 @@ def apply_actions(df: DataFrame, actions: dict[str, str], key: bytes) -> tuple[D
 
 
 def network_key(address: Column) -> Column:
-    """An IPv4 address whole, of an IPv6 address its first four groups."""
-    return F.when(F.contains(address, F.lit(":")), F.concat(F.array_join(F.slice(F.split(address, ":"), 1, 4), ":"), F.lit("::/64"))).otherwise(address)
+    """One key for each IPv4 address and for each /64 of IPv6.
+
+    An IPv6 address in any notation gives its first four groups, without leading zeros and with zero groups at their end
+    left out; one that maps an IPv4 address gives that. Anything else is cut to 64 characters.
+    """
+    low = F.lower(F.trim(address))
+    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    before = groups(F.substring_index(low, "::", 1))
+    after = F.when(F.contains(low, F.lit("::")), groups(F.substring_index(low, "::", -1))).otherwise(F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(before) - F.size(after)))
+    first = F.transform(F.slice(F.concat(before, F.when(F.contains(low, F.lit("::")), zeros).otherwise(F.array().cast("array<string>")), after), 1, 4), lambda g: F.regexp_replace(g, "^0+([0-9a-f])", "$1"))
+    text = F.regexp_replace(F.array_join(first, ":"), "(^|:)0(:0)*$", "")
+    mapped = F.regexp_extract(low, r"^(?:0*:)*:?(?:0+:)*ffff:([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
+    is_six = low.rlike("^[0-9a-f:]*:[0-9a-f:]*$") & (F.size(before) + F.size(after) <= 8) & (F.contains(low, F.lit("::")) | (F.size(before) == 8))
+    return F.when(mapped != "", mapped).when(is_six, F.concat(text, F.lit("::/64"))).otherwise(F.substring(address, 1, 64))
 
 
 def token_digest(token: Column) -> Column:

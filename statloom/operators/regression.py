@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -79,50 +79,64 @@ def ols(df: DataFrame, y: str, xs: list[str], cluster: str | None = None) -> Fit
     """Least squares with HC3 covariance, or cluster-robust where a cluster is named."""
     rows = design(df, y, xs, cluster)
     k = len(xs) + 1
-    one = patterns(rows, ["cluster"] if cluster else None)
-
-    def moments(yv, x, n):
-        xn = x * n[:, None]
-        return np.concatenate([(xn.T @ x).ravel(), xn.T @ yv, [n @ yv, n @ (yv * yv), n.sum()]])
-
-    s = summed(one, moments, k * k + k + 3)
-    a, b, (sy, syy, n) = s[: k * k].reshape(k, k), s[k * k : k * k + k], s[-3:]
+    a, b, (sy, syy, n) = _least_squares_sums(rows, k)
     inverse = np.linalg.pinv(a)
     beta = inverse @ b
     rss, tss = syy - beta @ b, syy - sy * sy / n
 
+    x = [F.col("x")[i] for i in range(k)]
+    e = F.col("y") - sum((F.lit(float(beta[i])) * x[i] for i in range(1, k)), F.lit(float(beta[0])) * x[0])
     if cluster:
-        scores = one.select("cluster", "y", "x", "n").groupBy("cluster").applyInPandas(lambda g: pd.DataFrame({"s": [list((np.stack(g["x"].to_numpy()) * ((g["y"].to_numpy() - np.stack(g["x"].to_numpy()) @ beta) * g["n"].to_numpy())[:, None]).sum(axis=0))]}), "s array<double>")
-        meat, groups = _outer(scores, k)
+        scores = rows.groupBy("cluster").agg(*[F.sum(e * x[i]).alias(f"s{i}") for i in range(k)])
+        meat, groups = cluster_meat(scores, k)
         cov = inverse @ meat @ inverse * groups / (groups - 1) * (n - 1) / (n - k)
     else:
-
-        def hc3(yv, x, m):
-            e = yv - x @ beta
-            h = np.einsum("ij,jk,ik->i", x, inverse, x)
-            w = m * (e / np.maximum(1 - h, 1e-12)) ** 2
-            return np.concatenate([((x * w[:, None]).T @ x).ravel()])
-
-        cov = inverse @ summed(one, hc3, k * k).reshape(k, k) @ inverse
-    one.unpersist()
+        h = sum((F.lit(float(inverse[i, j] * (1 if i == j else 2))) * x[i] * x[j] for i in range(k) for j in range(i, k)), F.lit(0.0))
+        away = e / F.greatest(F.lit(1e-12), 1.0 - h)
+        cov = inverse @ _products(rows.withColumn("w", away * away), k) @ inverse
     ll = lambda r: -n / 2 * (math.log(2 * math.pi) + math.log(max(r, 1e-300) / n) + 1)
     return Fit("linear", ("(intercept)", *xs), beta, cov, int(n), ll(rss), ll(tss), extra={"r2": 1 - rss / tss if tss else math.nan, "sigma2": rss / max(n - k, 1)})
 
 
-def _outer(scores: DataFrame, k: int) -> tuple[np.ndarray, int]:
-    """Sum of s s' over rows of score vectors, and their number."""
+def _pairs_of(k: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(k) for j in range(i, k)]
 
-    def run(batches):
-        total, count = np.zeros((k, k)), 0
-        for b in batches:
-            if len(b):
-                s = np.stack(b["s"].to_numpy())
-                total += s.T @ s
-                count += len(s)
-        yield pd.DataFrame({"i": np.arange(k * k + 1), "v": np.append(total.ravel(), count)})
 
-    got = scores.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
-    return got[:-1].reshape(k, k), int(got[-1])
+def _symmetric(row, name: str, k: int) -> np.ndarray:
+    out = np.zeros((k, k))
+    for i, j in _pairs_of(k):
+        out[i, j] = out[j, i] = row[f"{name}{i}_{j}"] or 0.0
+    return out
+
+
+def _products(rows: DataFrame, k: int) -> np.ndarray:
+    """Sum of w x x' over rows (x, w), as plain sums."""
+    one = rows.agg(*[F.sum(F.col("w") * F.col("x")[i] * F.col("x")[j]).alias(f"a{i}_{j}") for i, j in _pairs_of(k)]).first()
+    return _symmetric(one, "a", k)
+
+
+def _least_squares_sums(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, tuple[float, float, int]]:
+    """X'X, X'y and (sum of y, of its squares, n) of rows (y, x) in one aggregate."""
+    y, x = F.col("y"), F.col("x")
+    one = rows.agg(*[F.sum(x[i] * x[j]).alias(f"a{i}_{j}") for i, j in _pairs_of(k)], *[F.sum(x[i] * y).alias(f"b{i}") for i in range(k)], F.sum(y * y).alias("yy"), F.count("*").alias("n")).first()
+    return _symmetric(one, "a", k), np.array([one[f"b{i}"] or 0.0 for i in range(k)]), (one["b0"] or 0.0, one["yy"] or 0.0, one["n"])
+
+
+def cluster_meat(scores: DataFrame, k: int) -> tuple[np.ndarray, int]:
+    """Sum of s s' over rows (s0, s1 ...), one a cluster, and their number."""
+    one = scores.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"a{i}_{j}") for i, j in _pairs_of(k)], F.count("*").alias("n")).first()
+    return _symmetric(one, "a", k), int(one["n"])
+
+
+def clustered(df: DataFrame, y: str, xs: list[str], cluster: str, fit: Fit) -> Fit:
+    """A logistic or Poisson fit with cluster-robust covariance instead of its own."""
+    k = len(fit.coef)
+    rows = design(df, y, xs, cluster)
+    eta = sum((F.lit(float(fit.coef[i])) * F.col("x")[i] for i in range(1, k)), F.lit(float(fit.coef[0])))
+    mean = 1.0 / (1.0 + F.exp(-eta)) if fit.kind in ("logistic", "firth") else F.exp(eta)
+    scores = rows.groupBy("cluster").agg(*[F.sum((F.col("y") - mean) * F.col("x")[i]).alias(f"s{i}") for i in range(k)])
+    meat, groups = cluster_meat(scores, k)
+    return replace(fit, covariance=fit.covariance @ meat @ fit.covariance * groups / max(groups - 1, 1))
 
 
 def _newton(one: DataFrame, step: Callable, k: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, bool]:
@@ -492,9 +506,9 @@ def hosmer_lemeshow(predicted: DataFrame, key: list[str], groups: int = 10) -> D
 
 def auc(predicted: DataFrame) -> DataFrame:
     """Exact area under the ROC curve of (y, fitted) through average ranks."""
-    ranks = value_ranks(predicted.select("fitted"), "fitted")
-    ranked = predicted.withColumn("value", d(F.col("fitted"))).join(ranks, "value")
-    one = ranked.agg(F.sum(F.when(F.col("y") == 1, F.col("rank_avg"))).alias("r"), F.count_if(F.col("y") == 1).cast("double").alias("n1"), F.count_if(F.col("y") == 0).cast("double").alias("n0"))
+    ranks = value_ranks(predicted.select("fitted"), "fitted").select("value", "rank_avg")
+    counted = predicted.groupBy(d(F.col("fitted")).alias("value"), "y").agg(F.count("*").cast("double").alias("n"))
+    one = counted.join(ranks, "value").agg(F.sum(F.when(F.col("y") == 1, F.col("n") * F.col("rank_avg"))).alias("r"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0.0)).alias("n1"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0.0)).alias("n0"))
     return one.select(((F.col("r") - F.col("n1") * (F.col("n1") + 1.0) / 2.0) / (F.col("n1") * F.col("n0"))).alias("auc"), F.col("n1").cast("long").alias("events"), F.col("n0").cast("long").alias("others"))
 
 

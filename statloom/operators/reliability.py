@@ -8,13 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions import dist
 from statloom.functions.expressions import d
-from statloom.operators.order import adjust_p
+from statloom.operators.order import adjust_p, quantiles
 from statloom.operators.regression import design, fit_kind
 
 SEED, REPLICATES, FOLDS = 42, 200, 5
@@ -98,7 +99,7 @@ def cross_validated(df: DataFrame, y: str, xs: list[str], binary: bool, cluster:
         usual = predictions(test, "y", xs, fit_kind(train, "y", xs, "logistic" if binary else "linear"))
         model = tree(labelCol="y", featuresCol="features", maxIter=20, stepSize=0.1, maxDepth=4, seed=SEED).fit(assemble.transform(train))
         boosted = model.transform(assemble.transform(test))
-        value = F.udf(lambda v: float(v[1]), "double")("probability") if binary else F.col("prediction")
+        value = vector_to_array("probability")[1] if binary else F.col("prediction")
         boosted = boosted.select("y", value.alias("fitted"))
         for name, p in (("usual", usual), ("boosted", boosted)):
             out.append((k, name, auc(p).first()["auc"] if binary else r2(p)))
@@ -107,7 +108,7 @@ def cross_validated(df: DataFrame, y: str, xs: list[str], binary: bool, cluster:
 
 
 def spline_knots(df: DataFrame, x: str) -> list[float]:
-    return df.agg(F.percentile(d(F.col(x)), F.array(*[F.lit(q) for q in (0.05, 0.35, 0.65, 0.95)])).alias("q")).first()["q"]
+    return quantiles(df.select(d(F.col(x)).alias("x")), "x", [0.05, 0.35, 0.65, 0.95]).first()["q"]
 
 
 def spline_basis(x: Column, knots: list[float]) -> list[Column]:
@@ -130,11 +131,11 @@ def specification_search(df: DataFrame, y: str, xs: list[str], kind: str, pairs:
         if len(set(knots)) == 4:
             wide = rows.select("*", *[c.alias(f"_s{i}") for i, c in enumerate(spline_basis(F.col(x), knots))])
             lr = max(0.0, 2 * (fit_kind(wide, y, [*xs, "_s0", "_s1"], kind).loglik - base.loglik))
-            out.append((f"spline({x})", lr, 2, dist.chi2_sf(lr, 2)))
+            out.append((f"spline({x})", float(lr), 2, float(dist.chi2_sf(lr, 2))))
     for a, b in [(a, b) for i, a in enumerate(xs[:4]) for b in xs[i + 1 : 4]][:pairs]:
         wide = rows.withColumn("_i", d(F.col(a)) * d(F.col(b)))
         lr = max(0.0, 2 * (fit_kind(wide, y, [*xs, "_i"], kind).loglik - base.loglik))
-        out.append((f"{a} x {b}", lr, 1, dist.chi2_sf(lr, 1)))
+        out.append((f"{a} x {b}", float(lr), 1, float(dist.chi2_sf(lr, 1))))
     found = df.sparkSession.createDataFrame(out, "term string, lr double, df int, p double")
     return adjust_p(found, "p", "term").drop("p_bh")
 

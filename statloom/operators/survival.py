@@ -132,30 +132,27 @@ def cox(df: DataFrame, time: str, event: str, xs: list[str], steps: int = 30) ->
     return spark.createDataFrame(out, "term string, coef double, hazard_ratio double, se double, z double, p double, low double, high double")
 
 
-def concordance(df: DataFrame, time: str, event: str, score: str, bins: int = 200) -> DataFrame:
-    """Harrell's C of a risk score: pairs whose earlier time is an event; scores are compared in quantile bins.
+def concordance(df: DataFrame, time: str, event: str, score: str) -> DataFrame:
+    """Harrell's C of a risk score and the pairs it rests on: those whose earlier time is an event; equal scores are half.
 
-    Counts by (time, bin) meet through running sums over time for each bin, so no pairs of rows are made.
+    Exact without pairs of rows: scores become dense ranks, and two ranks are told apart at the highest bit in which
+    they differ. For each bit and the bits above it, counts by time meet through running sums.
     """
     rows = df.where(f"`{time}` is not null and `{event}` is not null and `{score}` is not null").select(d(F.col(time)).alias("t"), F.when(d(F.col(event)) > 0, 1).otherwise(0).alias("e"), d(F.col(score)).alias("s"))
-    cuts = sorted(set(rows.approxQuantile("s", [k / bins for k in range(1, bins)], 1 / (4 * bins))))
-    width = len(cuts) + 1
-    bin_of = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("s"))) if cuts else F.lit(0)
-    per = rows.withColumn("bin", bin_of).groupBy("t", "bin").agg(F.count("*").alias("n"), F.sum("e").alias("d"))
-    wide = per.groupBy("t").agg(F.collect_list(F.struct("bin", "n", "d")).alias("cells"), *[F.sum(F.when(F.col("bin") == b, F.col("n")).otherwise(0)).alias(f"n{b}") for b in range(width)])
-    totals = wide.agg(*[F.sum(f"n{b}").alias(f"a{b}") for b in range(width)])
-    run = running_sums(wide, "t", {f"n{b}": f"b{b}" for b in range(width)}).crossJoin(F.broadcast(totals))
-
-    def count(batches):
-        good = even = every = 0.0
-        for batch in batches:
-            later = np.stack([batch[f"a{b}"] - batch[f"b{b}"] - batch[f"n{b}"] for b in range(width)], axis=1).astype(float)
-            below = np.cumsum(later, axis=1) - later
-            for i, cells in enumerate(batch["cells"]):
-                for c in cells:
-                    good += c["d"] * below[i, c["bin"]]
-                    even += c["d"] * later[i, c["bin"]]
-                    every += c["d"] * later[i].sum()
-        yield pd.DataFrame({"good": [good], "even": [even], "every": [every]})
-
-    return run.mapInPandas(count, "good double, even double, every double").agg(F.sum("good").alias("g"), F.sum("even").alias("h"), F.sum("every").alias("p")).select(((F.col("g") + F.col("h") / 2.0) / F.nullif(F.col("p"), F.lit(0.0))).alias("concordance"), F.col("p").alias("pairs"))
+    ranks = running_sums(rows.select("s").distinct().withColumn("one", F.lit(1)), "s", {"one": "rank"})
+    cells = rows.join(ranks.select("s", "rank"), "s").groupBy("t", "rank").agg(F.count("*").alias("n"), F.sum("e").alias("e"))
+    bits = max(1, int(ranks.agg(F.max("rank").alias("r")).first()["r"] or 0).bit_length())
+    high = F.expr(f"shiftright(rank, {bits} - level)")
+    level = cells.withColumn("level", F.explode(F.array(*[F.lit(k) for k in range(bits)]))).withColumn("above", high)
+    bit = F.expr(f"shiftright(rank, {bits - 1} - level) & 1")
+    part = lambda b, c, name: F.sum(F.when(bit == b, F.col(c)).otherwise(0)).alias(name)
+    per = level.groupBy("level", "above", "t").agg(part(0, "n", "n0"), part(1, "n", "n1"), part(0, "e", "e0"), part(1, "e", "e1"))
+    totals = per.groupBy("level", "above").agg(F.sum("n0").alias("all0"), F.sum("n1").alias("all1"))
+    run = running_sums(per, "t", {"n0": "b0", "n1": "b1"}, ["level", "above"]).join(totals, ["level", "above"])
+    later0, later1 = F.col("all0") - F.col("b0") - F.col("n0"), F.col("all1") - F.col("b1") - F.col("n1")
+    told = run.agg(F.sum(d(F.col("e1")) * later0).alias("good"), F.sum(d(F.col("e0")) * later1).alias("bad"))
+    by_time = cells.groupBy("t").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    every = running_sums(by_time, "t", {"n": "before"}).crossJoin(F.broadcast(by_time.agg(F.sum("n").alias("all"))))  # one row
+    pairs = every.agg(F.sum(d(F.col("e")) * (F.col("all") - F.col("before") - F.col("n"))).alias("pairs"))
+    both = told.crossJoin(pairs)  # one row each
+    return both.select(((F.col("good") + F.col("pairs") - F.col("bad")) / 2.0 / F.nullif(F.col("pairs"), F.lit(0.0))).alias("concordance"), "pairs")

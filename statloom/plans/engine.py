@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from statloom.operators import audit, bivariate, catalog, describe, factorial, hypotheses, multilevel, privacy, regression, reliability, survival
 from statloom.operators.cleaning import complete_cases, event_level, reference_level
+from statloom.functions.expressions import category_text
 from statloom.operators.order import adjust_p
 
 NUMERIC = ("count", "continuous")
@@ -65,7 +66,8 @@ def numeric_columns(df: DataFrame, plan: AnalysisPlan, kinds: dict[str, catalog.
             xs.append(x)
             continue
         names = catalog.categories(df, x, plan.orders.get(x))
-        counts = {r["c"]: r["n"] for r in df.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("string").alias("c")).agg(F.count("*").alias("n")).limit(1000).collect()}
+        # categories() allows no more of them
+        counts = {r["c"]: r["n"] for r in df.where(F.col(x).isNotNull()).groupBy(category_text(F.col(x)).alias("c")).agg(F.count("*").alias("n")).orderBy("c").collect()}
         reference = reference_level({c: counts.get(c, 0) for c in names}, kinds[x].kind)
         for level in names:
             if level != reference:

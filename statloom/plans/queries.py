@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import dist, text
 from statloom.functions.expressions import association_grade, d, p_stars
-from statloom.operators import audit, bivariate, catalog, cleaning, describe, factorial, guards, literature, multilevel, order, privacy, regression, reliability, survival
+from statloom.operators import audit, bivariate, catalog, cleaning, describe, factorial, guards, literature, multilevel, order, privacy, regression, reliability, results, survival
 from statloom.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,9 +231,9 @@ def pseudonymize(t):
     return t("customer").select("c_custkey", privacy.pseudonym(F.col("c_name"), KEY).alias("pseudonym"))
 
 
-@query("SELECT o_orderkey, CASE WHEN regexp_matches(c, '^[=+\\-@\\t\\r|]') AND NOT regexp_matches(c, '^[+\\-]?[0-9]+([.,][0-9]+)?( ?%)?$') THEN '''' || c ELSE c END AS cell FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '=' || o_orderstatus WHEN 1 THEN '-3,5' WHEN 2 THEN '@SUM' ELSE o_orderpriority END AS c FROM orders)")
+@query("SELECT o_orderkey, CASE WHEN regexp_matches(c, '^[=+\\-@\\t\\r|]') AND NOT regexp_matches(c, '^-?[0-9 .,]+%?$') THEN '''' || c ELSE c END AS cell FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '=' || o_orderstatus WHEN 1 THEN '-1 250,5' WHEN 2 THEN '@SUM' ELSE o_orderpriority END AS c FROM orders)")
 def formula_guard(t):
-    c = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("="), "o_orderstatus")).when(F.col("o_orderkey") % 4 == 1, "-3,5").when(F.col("o_orderkey") % 4 == 2, "@SUM").otherwise(F.col("o_orderpriority"))
+    c = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("="), "o_orderstatus")).when(F.col("o_orderkey") % 4 == 1, "-1 250,5").when(F.col("o_orderkey") % 4 == 2, "@SUM").otherwise(F.col("o_orderpriority"))
     return t("orders").select("o_orderkey", cleaning.formula_guard(c).alias("cell"))
 
 
@@ -368,7 +368,7 @@ def mannwhitney_u(t):
     "z", 5,
 )
 def dunn_pairs(t):
-    return bivariate.dunn(t("customer"), "c_acctbal", "c_mktsegment")
+    return bivariate.dunn(t("customer"), "c_acctbal", "c_mktsegment").select("a", "b", "z")
 
 
 @query()
@@ -612,12 +612,12 @@ def strip_tags(t):
     return t("pages").select("page_id", text.strip_tags(F.col("html")).alias("text"))
 
 
-_FOLD = f"translate(lower(substr(text, 1, 80)), '{text.ACCENTED}', '{text.PLAIN}')"
+_FOLD = f"translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}')"
 
 
-@query(f"WITH k AS (SELECT doc_id, trim(regexp_replace({_FOLD}, '[^a-z0-9]+', ' ', 'g')) AS k FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS n FROM k WHERE length(k) >= 8) SELECT doc_id, substr(text, 1, 80) AS title FROM r JOIN documents USING (doc_id) WHERE n = 1")
+@query(f"WITH k AS (SELECT doc_id, trim(regexp_replace({_FOLD}, '[^a-z0-9]+', ' ', 'g')) AS k FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS n FROM k WHERE length(k) >= 8) SELECT doc_id, text AS title FROM r JOIN documents USING (doc_id) WHERE n = 1")
 def title_dedupe(t):
-    works = t("documents").select("doc_id", F.substring("text", 1, 80).alias("title"), F.lit(None).cast("string").alias("doi"))
+    works = t("documents").select("doc_id", F.col("text").alias("title"), F.lit(None).cast("string").alias("doi"))
     return literature.dedupe(works, "doc_id").select("doc_id", "title")
 
 
@@ -626,7 +626,7 @@ _KEY = f"trim(regexp_replace(translate(lower(text), '{text.ACCENTED}', '{text.PL
 
 @query(f"WITH k AS (SELECT doc_id, text, {_KEY} AS k FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS n FROM k WHERE length(k) >= 8) SELECT doc_id, text FROM r WHERE n = 1")
 def text_dedupe(t):
-    """title_dedupe over whole texts: documents that only share their first 80 characters stay apart."""
+    """Documents, the first of each folded whole text."""
     works = t("documents").select("doc_id", F.col("text").alias("title"), F.lit(None).cast("string").alias("doi"))
     return literature.dedupe(works, "doc_id").select("doc_id", F.col("title").alias("text"))
 
@@ -671,32 +671,31 @@ def number_guard(t):
 
 @query("SELECT doc_id, len(list_distinct(list_filter(str_split_regex(" + _FOLD + ", '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], w)))) AS n FROM documents")
 def token_sets(t):
-    return t("documents").select("doc_id", F.size(text.tokens(F.substring("text", 1, 80))).cast("long").alias("n"))
+    return t("documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n"))
 
 
 @query(f"SELECT doc_id, len(list_distinct(list_filter(str_split_regex(translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}'), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], w)))) AS n FROM documents")
 def text_token_sets(t):
-    """token_sets over whole texts."""
+    """How many distinct words each whole text has."""
     return t("documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n"))
 
 
 # joins, sets, top-k, time
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def anti_orphans(t):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return results.dangling(t("documents"), "doc_id", t("labels"), "doc_id").select("doc_id")
 
 
 @query("SELECT c_custkey, c_name, count(o_orderkey) AS projects FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2")
 def users_with_counts(t):
-    per = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("projects"))
-    return t("customer").join(per, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("projects", F.lit(0)).alias("projects"))
+    return results.with_counts(t("customer").select("c_custkey", "c_name"), "c_custkey", t("orders"), "o_custkey", "projects")
 
 
 @query("SELECT p_type AS category FROM part GROUP BY 1 INTERSECT SELECT p_type FROM part WHERE p_size > 25")
 def observed_categories(t):
-    return t("part").select(F.col("p_type").alias("category")).distinct().join(t("part").where("p_size > 25").select(F.col("p_type").alias("category")), "category", "left_semi")
+    return results.present_categories(t("part"), "p_type", F.col("p_size") > 25)
 
 
 @query("WITH k AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS rank FROM k) SELECT p_brand, p_type, n, rank FROM r WHERE rank <= 2")

@@ -17,6 +17,35 @@ def window_counts(events: DataFrame, key: str, ts: str, seconds: int) -> DataFra
     return events.withColumn("in_window", F.count("*").over(w))
 
 
+def limited_sessions(events: DataFrame, key: str, ts: str, idle_minutes: int = IDLE_MINUTES, absolute_hours: int = ABSOLUTE_HOURS) -> DataFrame:
+    """key, session, start_us, end_us, n: as sessions(), but none lasts longer than absolute_hours.
+
+    Whether an event opens a session depends on where the one before began, so sorted partitions are read in order;
+    only the open session is held.
+    """
+    idle, longest = idle_minutes * 60_000_000, absolute_hours * 3_600_000_000
+    kind = dict(events.dtypes)[key]
+
+    def cut(batches):
+        owner, session, start, end, n = None, 0, 0, 0, 0
+        for b in batches:
+            out = []
+            for k, t in zip(b["key"].tolist(), b["at"].tolist(), strict=True):
+                if k == owner and t - end <= idle and t - start <= longest:
+                    end, n = t, n + 1
+                    continue
+                if n:
+                    out.append((owner, session, start, end, n))
+                session, owner, start, end, n = (session + 1 if k == owner else 1), k, t, t, 1
+            yield pd.DataFrame(out, columns=["key", "session", "start_us", "end_us", "n"])
+        if n:
+            yield pd.DataFrame([(owner, session, start, end, n)], columns=["key", "session", "start_us", "end_us", "n"])
+
+    rows = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+    told = rows.repartition("key").sortWithinPartitions("key", "at").mapInPandas(cut, f"key {kind}, session long, start_us long, end_us long, n long")
+    return told.withColumnRenamed("key", key)
+
+
 def sessions(events: DataFrame, key: str, ts: str, idle_minutes: int = IDLE_MINUTES) -> DataFrame:
     """key, session, start, end, n: runs of events no more than the idle time apart."""
     order = Window.partitionBy(key).orderBy(ts)
@@ -43,11 +72,13 @@ def stream_window_counts(events: DataFrame, key: str, ts: str, size: str, slide:
     return timed.groupBy(F.window("_ts", size, slide), key).agg(F.count("*").alias("n")).select(key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
 
 
-def rate_limit(events: DataFrame, key: str, ts: str, seconds: int, limit: int) -> DataFrame:
-    """key, ts_us, admitted of each event of a stream: admitted while fewer than `limit` admitted ones lie in the window.
+def rate_limit(events: DataFrame, key: str, ts: str, seconds: int, limit: int, late: str = "10 minutes") -> DataFrame:
+    """key, ts_us, admitted of each event of a stream: admitted while fewer than `limit` admitted ones lie in the window,
+    those exactly `seconds` old included.
 
     What counts are earlier admissions, so the decision is recursive; the state is a key's recent admissions, at most
-    `limit` of them, and ends when the window has passed without events.
+    `limit` of them. It ends by event time, once the watermark has passed the last event by the window, so a replay
+    decides as the first run did.
     """
     kind = dict(events.dtypes)[key]
     width = seconds * 1_000_000
@@ -60,17 +91,18 @@ def rate_limit(events: DataFrame, key: str, ts: str, seconds: int, limit: int) -
         times = sorted(int(t) for f in frames for t in f["ts_us"])
         out = []
         for t in times:
-            recent = [r for r in recent if r > t - width]
+            recent = [r for r in recent if r >= t - width]
             ok = len(recent) < limit
             if ok:
                 recent.append(t)
             out.append((name[0], t, ok))
         state.update((recent,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(max(times) // 1000, state.getCurrentWatermarkMs()) + seconds * 1000 + 1)
         yield pd.DataFrame(out, columns=["key", "ts_us", "admitted"])
 
-    rows = events.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"))
-    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, ts_us long, admitted boolean", "recent array<long>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("at")).withWatermark("at", late)
+    rows = timed.withColumn("ts_us", F.unix_micros("at"))
+    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, ts_us long, admitted boolean", "recent array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_seen(events: DataFrame, key: str, ts: str, keep: str) -> DataFrame:
