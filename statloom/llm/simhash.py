@@ -144,11 +144,12 @@ def links(nodes: DataFrame) -> DataFrame:
     # 64 keys come from each row, so the rows are dealt out before
     variants = _variants(dealt(nodes.select("fp"), "fp"))
     counts = variants.groupBy("bit", "value").agg(F.count("*").alias("n"))
-    marked = variants.join(counts.where(F.col("n") > COMMON), ["bit", "value"], "left")
+    # Spark sizes exploded rows by what they came from, and would broadcast them: so it is told to merge
+    marked = variants.join(counts.where(F.col("n") > COMMON).hint("merge"), ["bit", "value"], "left")
     rare, common = marked.where(F.col("n").isNull()), marked.where(F.col("n").isNotNull())
     x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
     same = (F.col("l.bit") == F.col("r.bit")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.fp") < F.col("r.fp"))
-    found = rare.alias("l").join(rare.alias("r"), same & (F.bit_count(x) <= MOST_BITS) & _first_key(x, F.col("l.bit"))).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+    found = rare.alias("l").join(rare.hint("merge").alias("r"), same & (F.bit_count(x) <= MOST_BITS) & _first_key(x, F.col("l.bit"))).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
     blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
     in_blocks = common.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     pairs = in_blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
