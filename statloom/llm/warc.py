@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm.base import MOST_HOT, drop, join_hot, new_path
+from statloom.llm.base import MOST_HOT, drop, join_hot, new_path, stash
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
@@ -48,11 +48,12 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST_BYTES, id_colu
     payload = F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(id_column).alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     keys = rows.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("sha1"), F.xxhash64("payload").alias("check"))
+    keys, keys_path = stash(keys, "keys")  # small, and the digests are taken once
     order = F.struct(F.col("page_id").isNull(), "page_id")
     both = [F.struct("payload_bytes", "sha1", "check")]
     first = keys.groupBy("digest").agg(F.min(order)["page_id"].alias("first_id"), F.min(*both).alias("low"), F.max(*both).alias("high"), F.count("*").alias("records"))
     first = first.select("digest", "records", F.when(F.col("low") == F.col("high"), F.col("first_id")).otherwise(F.raise_error(F.lit("two payloads share a SHA-256 digest"))).alias("first_id"))
-    joined = join_hot(keys, first.withColumn("n", F.col("records")), "digest", "n", pages.count())
+    joined = join_hot(keys, first.withColumn("n", F.col("records")), "digest", "n", keys.count())
     revisit = (F.col("payload_bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     kind = F.when(revisit, "revisit").otherwise("response")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
@@ -72,11 +73,12 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST_BYTES, id_colu
         http,
     )
     joined.select("page_id", F.encode(head, "UTF-8").alias("header"), "digest", "records").write.parquet(f"{path}/headers", compression="zstd")
-    owners = first.select("digest", F.col("first_id").alias("page_id"), "records")
-    same = (F.col("o.digest") == F.col("r.digest")) & F.col("o.page_id").eqNullSafe(F.col("r.page_id"))
-    filed = rows.withColumn("digest", F.sha2("payload", 256)).alias("r").join(owners.alias("o"), same).select("o.digest", "o.page_id", "payload", "records")
-    # rows that repeat page_id and payload lie together after the join
-    filed.dropDuplicates(["digest", "page_id"]).select("digest", "payload", "records").write.parquet(f"{path}/payloads", compression="zstd")
+    # an id that is never null, so that join and removal of repeats deal the payloads out alike, in one shuffle
+    own = lambda c: F.when(F.col(c).isNull(), "none").otherwise(F.concat(F.lit("id "), F.col(c).cast("string"))).alias("own")
+    owners = first.select("digest", own("first_id"), "records")
+    filed = rows.select(F.sha2("payload", 256).alias("digest"), own("page_id"), "payload").join(owners.hint("merge"), ["digest", "own"])
+    filed.dropDuplicates(["digest", "own"]).select("digest", "payload", "records").write.parquet(f"{path}/payloads", compression="zstd")
+    drop(pages.sparkSession, keys_path)
 
 
 def _header(name: str) -> Column:
@@ -91,6 +93,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """
     headers = spark.read.parquet(f"{path}/headers")
     stored = spark.read.parquet(f"{path}/payloads").select("digest", F.when(F.sha2("payload", 256) == F.col("digest"), F.octet_length("payload").cast("long")).otherwise(F.raise_error(F.lit("a payload differs from its digest"))).alias("payload_bytes"), base32_sha1(F.col("payload")).alias("sha1"), F.col("records").alias("n"))
+    stored, _ = stash(stored, "stored")  # small, and every payload is read and hashed once
     told_of = join_hot(headers.drop("records"), stored, "digest", "n", headers.count())
     missing = headers.drop("records").join(stored.select("digest"), "digest", "left_anti").select("*", F.lit(None).cast("long").alias("payload_bytes"), F.lit(None).cast("string").alias("sha1"))
     kind = headers.schema["page_id"].dataType

@@ -8,7 +8,7 @@ from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from statloom.llm import warc
-from statloom.llm.base import shared_dir
+from statloom.llm.base import new_path
 
 
 def table(spark):
@@ -31,7 +31,7 @@ def test_round_trip(spark):
 
 def test_records_and_single_storage(spark, tmp_path):
     df, rows = table(spark)
-    path = f"{shared_dir(spark)}/records"
+    path = new_path(spark, "records")
     warc.write_archive(df, path)
     got = {(r["page_id"], bytes(r["record"]), bytes(r["payload"])) for r in warc.read_records(spark, path).collect()}
     payloads = {(p, (h or "").encode()) for p, _, h, _ in rows}
@@ -61,7 +61,7 @@ def test_records_and_single_storage(spark, tmp_path):
 
 def test_least_size_and_tampering(spark):
     df, _ = table(spark)
-    path = f"{shared_dir(spark)}/least"
+    path = new_path(spark, "least")
     warc.write_archive(df, path, least=1)
     index = {r["page_id"]: r["record_type"] for r in warc.read_index(spark, path).collect()}
     assert index[7] == index[9] == "response" and index[5] == "revisit"
