@@ -107,6 +107,19 @@ def somers(df: DataFrame, x_rank: Column, y_rank: Column) -> DataFrame:
     return one.select("concordant", "discordant", ratio(F.col("concordant") - F.col("discordant"), F.col("pairs")).alias("somers_d"))
 
 
+def somers_test(df: DataFrame, x_rank: Column, y_rank: Column) -> DataFrame:
+    """somers_d of y given x, z and p from the deviation that holds when the true value is zero (tables of a few levels)."""
+    cells = df.select(x_rank.cast("double").alias("x"), y_rank.cast("double").alias("y")).na.drop().groupBy("x", "y").agg(F.count("*").cast("double").alias("n"))
+    a, b = cells.alias("a"), cells.alias("b")
+    sides = F.signum((F.col("a.x") - F.col("b.x")) * (F.col("a.y") - F.col("b.y"))) * F.col("b.n")
+    per = a.join(b, F.col("a.x") != F.col("b.x")).groupBy("a.x", "a.y", "a.n").agg(F.sum(sides).alias("s"), F.sum("b.n").alias("apart"))  # cells of a small table
+    n = F.col("n")
+    one = per.agg(F.sum(n * F.col("s")).alias("s"), F.sum(n * F.col("apart")).alias("pairs"), F.sum(n * F.col("s") * F.col("s")).alias("ss"), F.sum(n).alias("n"))
+    z = ratio(F.col("s"), F.sqrt(4.0 * (F.col("ss") - F.col("s") * F.col("s") / F.col("n"))))
+    told = one.select(ratio(F.col("s"), F.col("pairs")).alias("somers_d"), z.alias("z"))
+    return told.withColumn("p", dist.p_normal(F.col("z")))
+
+
 def group_moments(df: DataFrame, value: str, group: str) -> DataFrame:
     """group, n, mean, variance, sd, skewness: what the parametric tests need."""
     x = d(F.col(value))
@@ -306,13 +319,22 @@ def compare_groups(df: DataFrame, value: str, group: str, nonparametric: bool =
     return row(f, "Kruskal-Wallis", F.col("h"), F.col("df"), none, dist.p_chi2(F.col("h"), F.col("df")), F.col("epsilon2"), "epsilon squared")
 
 
-def compare_categories(df: DataFrame, x: str, y: str) -> DataFrame:
-    """The chosen test between two categorical variables, in the columns of compare_groups()."""
+def place(column: str, order: list[str]) -> Column:
+    """The place of a category in its order, from 1; null where it isn't there."""
+    return F.nullif(F.array_position(F.array(*[F.lit(c) for c in order]), F.col(column).cast("string")), F.lit(0))
+
+
+def compare_categories(df: DataFrame, x: str, y: str, x_order: list[str] | None = None, y_order: list[str] | None = None) -> DataFrame:
+    """The chosen test between two categorical variables, in the columns of compare_groups(). With an order of both,
+    Somers' d and its p replace the test and its p."""
     c = chi_square(df, x, y).first()
     none = F.lit(None).cast("double")
     base = chi_square(df, x, y)
     if c is None or c["chi2"] is None:
         return base.select(F.lit(x).alias("variable"), F.lit("not computable").alias("test"), F.lit(0).alias("n_groups"), none.alias("statistic"), none.alias("df1"), none.alias("df2"), none.alias("p"), none.alias("effect"), F.lit("none").alias("effect_name"))
+    if x_order and y_order:
+        told = somers_test(df, place(x, x_order), place(y, y_order))
+        return told.select(F.lit(x).alias("variable"), F.lit("Somers").alias("test"), F.lit(c["df"] + 1).cast("int").alias("n_groups"), F.col("z").alias("statistic"), none.alias("df1"), none.alias("df2"), "p", F.col("somers_d").alias("effect"), F.lit("Somers d").alias("effect_name"))
     if c["needs_fisher"]:
         levels = [r["x"] for r in crosstab(df, x, y).select("x").distinct().orderBy("x").collect()]
         answers = [r["y"] for r in crosstab(df, x, y).select("y").distinct().orderBy("y").collect()]
@@ -334,3 +356,18 @@ def compare_numbers(df: DataFrame, x: str, y: str, nonparametric: bool = False)
     t = r * F.sqrt((d(F.col("n")) - 2.0) / F.greatest(F.lit(1e-12), 1.0 - r * r))
     none = F.lit(None).cast("double")
     return c.select(F.lit(x).alias("variable"), F.lit("Pearson" if pearson else "Spearman").alias("test"), F.lit(0).alias("n_groups"), r.alias("statistic"), (d(F.col("n")) - 2.0).alias("df1"), none.alias("df2"), dist.p_t(t, F.col("n") - 2).alias("p"), r.alias("effect"), F.lit("r" if pearson else "rho").alias("effect_name"))
+
+
+#: Which comparison of pairs follows a test across three groups or more.
+POST_HOC = {"Kruskal-Wallis": "Dunn", "Welch ANOVA": "Games-Howell", "ANOVA": "Tukey-Kramer"}
+
+
+def post_hoc(df: DataFrame, value: str, group: str, test: str) -> DataFrame | None:
+    """test, a, b, statistic, p of the pairs of groups, by the test that found them different; None if none follows it."""
+    if test not in POST_HOC:
+        return None
+    if test == "Kruskal-Wallis":
+        pairs = dunn(df, value, group).select("a", "b", F.col("z").alias("statistic"), F.col("p_holm").alias("p"))
+    else:
+        pairs = (games_howell if test == "Welch ANOVA" else tukey_kramer)(df, value, group).select("a", "b", F.col("q").alias("statistic"), "p")
+    return pairs.select(F.lit(POST_HOC[test]).alias("test"), "a", "b", "statistic", "p")

@@ -1,8 +1,9 @@
-"""Two-level models: linear by clusters' sufficient statistics, logistic by adaptive quadrature within clusters."""
+"""Two-level models: linear by clusters' sufficient statistics, with random slopes; logistic by adaptive quadrature."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,6 +112,125 @@ def random_effects(df: DataFrame, y: str, xs: list[str], cluster: str, model: Mi
     return per.select("cluster", F.col("n").cast("long").alias("n"), effect.alias("effect"), se.alias("se"), (effect - 1.96 * se).alias("low"), (effect + 1.96 * se).alias("high"))
 
 
+def climb(total: Callable[[np.ndarray], np.ndarray], theta: np.ndarray, edge: Callable[[np.ndarray], bool], step: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """The top of a log-likelihood that is taken at many points at once, by Newton steps with numeric derivatives, and
+    the inverse of its curvature there. Ends early where theta reaches an edge."""
+    size = len(theta)
+    unit = np.eye(size) * step
+    pairs = [(i, j) for i in range(size) for j in range(i + 1, size)]
+    moves = np.array([np.zeros(size), *[m for u in unit for m in (u, -u)], *[unit[i] + unit[j] for i, j in pairs]])
+    for _ in range(25):
+        f = total(theta + moves)
+        up, down = f[1 : 2 * size + 1 : 2], f[2 : 2 * size + 2 : 2]
+        hessian = np.diag((up - 2 * f[0] + down) / step**2)
+        for q, (i, j) in enumerate(pairs):
+            hessian[i, j] = hessian[j, i] = (f[2 * size + 1 + q] - up[i] - up[j] + f[0]) / step**2
+        values, vectors = np.linalg.eigh(-hessian)
+        safe = vectors @ np.diag(1 / np.maximum(values, 1e-3)) @ vectors.T
+        move = np.clip(safe @ ((up - down) / (2 * step)), -1, 1)
+        tries = np.array([0.5**s for s in range(6)])
+        after = total(theta + tries[:, None] * move)
+        best = int(np.argmax(after))
+        if after[best] <= f[0] + 1e-9:
+            break
+        theta = theta + tries[best] * move
+        if np.max(np.abs(tries[best] * move)) < 1e-5 or edge(theta):
+            break
+    return theta, safe
+
+
+@dataclass(frozen=True)
+class Slopes:
+    """A linear model with random intercepts and random slopes of one covariate, against random intercepts alone."""
+
+    fit: Fit
+    between: float
+    slope: float
+    covariance: float
+    residual: float
+    clusters: int
+
+    @property
+    def lr(self) -> float:
+        return max(0.0, 2 * (self.fit.loglik - self.fit.loglik_null))
+
+    @property
+    def p_slope(self) -> float:
+        """The slope's variance lies on the edge of its range, its covariance doesn't: half a chi-square with one degree
+        of freedom and half of one with two."""
+        return 0.5 * dist.chi2_sf(self.lr, 1) + 0.5 * dist.chi2_sf(self.lr, 2) if self.lr > 0 else 1.0
+
+
+def random_slope(df: DataFrame, y: str, xs: list[str], cluster: str, slope: str) -> Slopes:
+    """Maximum likelihood with a random intercept and a random slope of `slope`, one of xs.
+
+    Clusters' sums of products hold all that the likelihood needs; each step adds up their terms in Spark for many values
+    of the variances at once, and fixed part and residual variance follow in closed form.
+    """
+    first = linear_mixed(df, y, xs, cluster)
+    k, q = len(xs) + 1, xs.index(slope) + 1
+    per = _statistics(design(df, y, xs, cluster), k).persist()
+    upper = np.triu_indices(k)
+    products, sums = [f"a{i}_{j}" for i, j in zip(*upper, strict=True)], [f"b{i}" for i in range(k)]
+    width = 1 + k * k + k + 1
+
+    def gathered(thetas: np.ndarray) -> np.ndarray:
+        """For each theta: sums over clusters of log determinants, x'Vx, x'Vy and y'Vy, V relative to the residual."""
+
+        def run(batches):
+            out = np.zeros((len(thetas), width))
+            for batch in batches:
+                m = len(batch)
+                a = np.zeros((m, k, k))
+                a[:, upper[0], upper[1]] = batch[products].to_numpy()
+                a[:, upper[1], upper[0]] = a[:, upper[0], upper[1]]
+                b, yy = batch[sums].to_numpy(), batch["syy"].to_numpy()
+                zx, zy = a[:, [0, q], :], b[:, [0, q]]
+                zz = zx[:, :, [0, q]]
+                for at, (u, v, w) in enumerate(thetas):
+                    root = np.array([[math.exp(u), 0.0], [v, math.exp(w)]])
+                    inner = np.eye(2) + root.T @ zz @ root
+                    weight = root @ np.linalg.inv(inner) @ root.T
+                    wx, wy = weight @ zx, np.einsum("mij,mj->mi", weight, zy)
+                    out[at, 0] += np.sum(np.log(np.linalg.det(inner)))
+                    out[at, 1 : 1 + k * k] += (a.sum(axis=0) - np.einsum("mai,maj->ij", zx, wx)).ravel()
+                    out[at, 1 + k * k : -1] += b.sum(axis=0) - np.einsum("mai,ma->i", zx, wy)
+                    out[at, -1] += yy.sum() - np.sum(zy * wy)
+            yield pd.DataFrame({"i": np.arange(out.size), "v": out.ravel()})
+
+        got = per.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
+        return got.reshape(len(thetas), width)
+
+    n = first.fit.n
+
+    def solved(row: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
+        a, b = row[1 : 1 + k * k].reshape(k, k), row[1 + k * k : -1]
+        inverse = np.linalg.pinv(a)
+        beta = inverse @ b
+        s2 = float(row[-1] - beta @ b) / n
+        return -n / 2 * (math.log(2 * math.pi * s2) + 1) - 0.5 * row[0], beta, inverse * s2, s2
+
+    spread = df.agg(F.stddev_samp(d(F.col(slope))).alias("s")).first()["s"] or 1.0
+    ratio = math.sqrt(max(first.between / first.residual, 1e-4))
+    theta, _ = climb(lambda t: np.array([solved(r)[0] for r in gathered(t)]), np.array([math.log(ratio), 0.0, math.log(0.5 * ratio / spread)]), lambda t: min(t[0], t[2] + math.log(spread)) < -9)
+    ll, beta, covariance, s2 = solved(gathered(theta[None, :])[0])
+    per.unpersist()
+    if ll <= first.fit.loglik:  # slopes that don't vary
+        return Slopes(Fit("random slope", first.fit.names, first.fit.coef, first.fit.covariance, n, first.fit.loglik, first.fit.loglik), first.between, 0.0, 0.0, first.residual, first.clusters)
+    u, v, w = math.exp(theta[0]), float(theta[1]), math.exp(theta[2])
+    return Slopes(Fit("random slope", first.fit.names, beta, covariance, n, ll, first.fit.loglik), s2 * u * u, s2 * (v * v + w * w), s2 * u * v, s2, first.clusters)
+
+
+def explained(df: DataFrame, xs: list[str], cluster: str, model: Mixed) -> tuple[float, float]:
+    """Marginal and conditional R squared: the fixed part's share of variance, and that of it and the clusters."""
+    if not xs:
+        return 0.0, model.icc
+    eta = sum((F.lit(float(b)) * d(F.col(c)) for c, b in zip(xs[1:], model.fit.coef[2:], strict=True)), F.lit(float(model.fit.coef[1])) * d(F.col(xs[0])))
+    fixed = df.agg(F.var_pop(eta).alias("v")).first()["v"] or 0.0
+    rest = model.residual if model.residual == model.residual else math.pi**2 / 3
+    return fixed / (fixed + model.between + rest), (fixed + model.between) / (fixed + model.between + rest)
+
+
 def logistic_mixed(df: DataFrame, y: str, xs: list[str], cluster: str, nodes: int = NODES) -> Mixed:
     """Random-intercept logit. Clusters are independent, so each likelihood is a sum over tasks that hold whole clusters,
     as (pattern, count) rows; the search for its top runs on the driver with numeric derivatives."""
@@ -156,32 +276,7 @@ def logistic_mixed(df: DataFrame, y: str, xs: list[str], cluster: str, nodes: in
         return held.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
 
     start = logistic(df, y, xs)
-    theta = np.append(start.coef, math.log(0.7))
-    step = 1e-3
-    size = k + 1
-    for _ in range(25):
-        moves = [np.zeros(size)]
-        for i in range(size):
-            moves += [np.eye(size)[i] * step, -np.eye(size)[i] * step]
-        pairs = [(i, j) for i in range(size) for j in range(i + 1, size)]
-        moves += [np.eye(size)[i] * step + np.eye(size)[j] * step for i, j in pairs]
-        f = total(theta + np.array(moves))
-        up, down = f[1 : 2 * size + 1 : 2], f[2 : 2 * size + 2 : 2]
-        gradient = (up - down) / (2 * step)
-        hessian = np.diag((up - 2 * f[0] + down) / step**2)
-        for q, (i, j) in enumerate(pairs):
-            hessian[i, j] = hessian[j, i] = (f[2 * size + 1 + q] - up[i] - up[j] + f[0]) / step**2
-        values, vectors = np.linalg.eigh(-hessian)
-        safe = vectors @ np.diag(1 / np.maximum(values, 1e-3)) @ vectors.T
-        move = np.clip(safe @ gradient, -1, 1)
-        tries = np.array([0.5**s for s in range(6)])
-        after = total(theta + tries[:, None] * move)
-        best = int(np.argmax(after))
-        if after[best] <= f[0] + 1e-9:
-            break
-        theta = theta + tries[best] * move
-        if np.max(np.abs(tries[best] * move)) < 1e-5 or theta[k] < -6:
-            break
+    theta, safe = climb(total, np.append(start.coef, math.log(0.7)), lambda theta: theta[k] < -6)
     ll = float(total(theta[None, :])[0])
     clusters = held.select("cluster").distinct().count()
     held.unpersist()
@@ -190,23 +285,36 @@ def logistic_mixed(df: DataFrame, y: str, xs: list[str], cluster: str, nodes: in
     return Mixed(fit, between if ll >= start.loglik else 0.0, math.nan, clusters)
 
 
-def staged(df: DataFrame, y: str, level1: list[str], level2: list[str], cluster: str, binary: bool) -> DataFrame:
-    """stage, between, residual, icc, loglik, share of the empty model's variance explained, for M0, M1 and M2.
+#: Clusters below which, and mean cluster size below which, staged() warns.
+FEW_CLUSTERS, SMALL_CLUSTERS = 10, 5
+
+
+def staged(df: DataFrame, y: str, level1: list[str], level2: list[str], cluster: str, binary: bool, slope: str | None = None) -> DataFrame:
+    """stage, between, residual, icc, loglik, share of the empty model's variance explained, clusters, marginal and
+    conditional R squared, slope variance, lr and p of the slope, warning; for M0, M1, M2 and, with a slope in a linear
+    model, M3.
 
     At least three clusters are needed; grand-mean centring is up to the caller.
     """
     fit = logistic_mixed if binary else linear_mixed
     rows = df.where(" and ".join(f"`{c}` is not null" for c in [y, *level1, *level2, cluster]))
     out, first = [], None
+    warning = None
     for name, xs in (("M0", []), ("M1", level1), ("M2", [*level1, *level2])):
         if name == "M2" and not level2:
             continue
         m = fit(rows, y, xs, cluster)
         if m.clusters < 3:
             raise ValueError("a multilevel model needs three clusters at least")
+        warning = "few clusters" if m.clusters < FEW_CLUSTERS else "small clusters" if m.fit.n / m.clusters < SMALL_CLUSTERS else None
         first = first or m
-        out.append((name, float(m.between), float(m.residual), float(m.icc), float(m.fit.loglik), float(1 - m.between / first.between) if first.between > 0 else math.nan, m.clusters))
-    return df.sparkSession.createDataFrame(out, "stage string, between double, residual double, icc double, loglik double, explained double, clusters int")
+        marginal, conditional = explained(rows, xs, cluster, m)
+        out.append((name, float(m.between), float(m.residual), float(m.icc), float(m.fit.loglik), float(1 - m.between / first.between) if first.between > 0 else math.nan, m.clusters, float(marginal), float(conditional), None, None, None, warning))
+    every = [*level1, *level2]
+    if slope in every and not binary:
+        m = random_slope(rows, y, every, cluster, slope)
+        out.append(("M3", float(m.between), float(m.residual), None, float(m.fit.loglik), None, m.clusters, None, None, float(m.slope), float(m.lr), float(m.p_slope), warning))
+    return df.sparkSession.createDataFrame(out, "stage string, between double, residual double, icc double, loglik double, explained double, clusters int, marginal double, conditional double, slope double, lr double, p double, warning string")
 
 
 def centred(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,11 +1,10 @@
-"""Survival: Kaplan-Meier curves, log-rank test, Cox model."""
+"""Survival: Kaplan-Meier curves, log-rank test, Cox model and its proportional hazards."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,71 +64,97 @@ def log_rank(rows: DataFrame) -> DataFrame:
     return spark.createDataFrame([(chi2, k - 1, dist.chi2_sf(chi2, k - 1))], "chi2 double, df int, p double")
 
 
-def cox(df: DataFrame, time: str, event: str, xs: list[str], steps: int = 30) -> DataFrame:
-    """Cox regression with Efron's ties: term, coef, hazard_ratio, se, z, p, low, high.
+class _Cox:
+    """The sums of a Cox model with Efron's ties, taken by Spark for given coefficients.
 
-    A Newton step sums weights, weighted covariates and their products by distinct time, turns them into sums over those
-    still at risk, and adds up the times' contributions; only vectors and matrices of coefficients reach the driver.
+    Weights, weighted covariates and their products are summed by distinct time, running sums turn them into sums over
+    those still at risk, and one row a death holds its Efron term; only sums over all deaths reach the driver.
     """
-    spark = df.sparkSession
-    p = len(xs)
-    rows = df.where(" and ".join(f"`{c}` is not null" for c in [time, event, *xs])).where(F.col(time) >= 0)
-    rows = rows.select(d(F.col(time)).alias("t"), F.when(d(F.col(event)) > 0, 1.0).otherwise(0.0).alias("e"), *[d(F.col(c)).alias(f"x{i}") for i, c in enumerate(xs)]).persist()
-    centre = rows.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(p)]).first()
-    x = [F.col(f"x{i}") - F.lit(float(centre[f"x{i}"])) for i in range(p)]
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    beta = np.zeros(p)
-
-    def moments(b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+
+    def __init__(self, df: DataFrame, time: str, event: str, xs: list[str]):
+        rows = df.where(" and ".join(f"`{c}` is not null" for c in [time, event, *xs])).where(F.col(time) >= 0)
+        self.p = len(xs)
+        self.rows = rows.select(d(F.col(time)).alias("t"), F.when(d(F.col(event)) > 0, 1.0).otherwise(0.0).alias("e"), *[d(F.col(c)).alias(f"x{i}") for i, c in enumerate(xs)]).persist()
+        centre = self.rows.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(self.p)]).first()
+        self.x = [F.col(f"x{i}") - F.lit(float(centre[f"x{i}"] or 0.0)) for i in range(self.p)]
+        self.pairs = [(i, j) for i in range(self.p) for j in range(i, self.p)]
+
+    def deaths(self, b: np.ndarray) -> DataFrame:
+        """One row a death: its place k among those of its time t, rank (of t among all rows, the least of ties), z_i
+        (the deaths' summed covariates), and Efron's s0, m_i and s2_i_j of those at risk."""
+        x, p = self.x, self.p
         w = F.exp(sum((F.lit(float(b[i])) * x[i] for i in range(1, p)), F.lit(float(b[0])) * x[0]))
-        parts = {"s0": w, **{f"s1_{i}": w * x[i] for i in range(p)}, **{f"s2_{i}_{j}": w * x[i] * x[j] for i, j in pairs}}
+        parts = {"s0": w, **{f"s1_{i}": w * x[i] for i in range(p)}, **{f"s2_{i}_{j}": w * x[i] * x[j] for i, j in self.pairs}}
         died = {f"d{k}": F.col("e") * c for k, c in parts.items()}
-        per = rows.groupBy("t").agg(F.sum("e").alias("deaths"), *[F.sum(c).alias(k) for k, c in {**parts, **died}.items()], *[F.sum(F.col("e") * x[i]).alias(f"z_{i}") for i in range(p)])
+        per = self.rows.groupBy("t").agg(F.count("*").cast("double").alias("m"), F.sum("e").alias("deaths"), *[F.sum(c).alias(k) for k, c in {**parts, **died}.items()], *[F.sum(F.col("e") * x[i]).alias(f"z_{i}") for i in range(p)])
         totals = per.agg(*[F.sum(k).alias(f"all_{k}") for k in parts])
-        run = running_sums(per, "t", {k: f"b_{k}" for k in parts}).crossJoin(F.broadcast(totals)).where("deaths > 0")
-
-        names = list(parts)
-
-        def add(batches):
-            out = np.zeros(1 + p + p * p)
-            for batch in batches:
-                for r in batch.to_dict("records"):
-                    m = int(r["deaths"])
-                    full = {k: r[f"all_{k}"] - r[f"b_{k}"] for k in names}
-                    z = np.array([r[f"z_{i}"] for i in range(p)])
-                    out[0] += float(b @ z)
-                    out[1 : 1 + p] += z
-                    for k in range(m):
-                        f = k / m
-                        s0 = full["s0"] - f * r["ds0"]
-                        s1 = np.array([full[f"s1_{i}"] - f * r[f"ds1_{i}"] for i in range(p)]) / s0
-                        s2 = np.empty((p, p))
-                        for i, j in pairs:
-                            s2[i, j] = s2[j, i] = (full[f"s2_{i}_{j}"] - f * r[f"ds2_{i}_{j}"]) / s0
-                        out[0] -= math.log(s0)
-                        out[1 : 1 + p] -= s1
-                        out[1 + p :] += (s2 - np.outer(s1, s1)).ravel()
-            yield pd.DataFrame({"i": np.arange(len(out)), "v": out})
-
-        got = run.mapInPandas(add, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
-        return got[0], got[1 : 1 + p], got[1 + p :].reshape(p, p)
-
-    ll, g, info = moments(beta)
-    for _ in range(steps):
-        move = np.linalg.pinv(info) @ g
-        scale = 1.0
-        for _ in range(20):
-            new = moments(beta + scale * move)
-            if np.isfinite(new[0]) and new[0] >= ll - 1e-10:
+        run = running_sums(per, "t", {"m": "before", **{k: f"b_{k}" for k in parts}}).crossJoin(F.broadcast(totals)).where("deaths > 0")  # one row
+        each = run.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("deaths").cast("int") - 1)))
+        at_risk = lambda k: F.col(f"all_{k}") - F.col(f"b_{k}") - F.col("k") / F.col("deaths") * F.col(f"d{k}")
+        each = each.select("t", "k", "deaths", (F.col("before") + 1.0).alias("rank"), *[F.col(f"z_{i}") for i in range(p)], at_risk("s0").alias("s0"), *[at_risk(f"s1_{i}").alias(f"s1_{i}") for i in range(p)], *[at_risk(f"s2_{i}_{j}").alias(f"s2_{i}_{j}") for i, j in self.pairs])
+        return each.select("t", "k", "rank", *[F.when(F.col("k") == 0, F.col(f"z_{i}")).otherwise(0.0).alias(f"z_{i}") for i in range(p)], "s0", *[(F.col(f"s1_{i}") / F.col("s0")).alias(f"m_{i}") for i in range(p)], *[(F.col(f"s2_{i}_{j}") / F.col("s0")).alias(f"s2_{i}_{j}") for i, j in self.pairs])
+
+    def moments(self, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log-likelihood, score and information."""
+        p = self.p
+        sums = [F.sum(F.log("s0")).alias("log"), *[F.sum(f"z_{i}").alias(f"z_{i}") for i in range(p)], *[F.sum(f"m_{i}").alias(f"m_{i}") for i in range(p)], *[F.sum(F.col(f"s2_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")).alias(f"v_{i}_{j}") for i, j in self.pairs]]
+        one = self.deaths(b).agg(*sums).first()
+        z, m = (np.array([one[f"{k}_{i}"] or 0.0 for i in range(p)]) for k in "zm")
+        info = np.zeros((p, p))
+        for i, j in self.pairs:
+            info[i, j] = info[j, i] = one[f"v_{i}_{j}"] or 0.0
+        return float(b @ z) - (one["log"] or 0.0), z - m, info
+
+    def fit(self, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients and their covariance."""
+        beta = np.zeros(self.p)
+        ll, g, info = self.moments(beta)
+        for _ in range(steps):
+            move = np.linalg.pinv(info) @ g
+            scale = 1.0
+            for _ in range(20):
+                new = self.moments(beta + scale * move)
+                if np.isfinite(new[0]) and new[0] >= ll - 1e-10:
+                    break
+                scale /= 2
+            beta, (ll, g, info) = beta + scale * move, new
+            if np.max(np.abs(scale * move)) < 1e-8:
                 break
-            scale /= 2
-        beta, (ll, g, info) = beta + scale * move, new
-        if np.max(np.abs(scale * move)) < 1e-8:
-            break
-    rows.unpersist()
-    se = np.sqrt(np.diag(np.linalg.pinv(info)))
+        return beta, np.linalg.pinv(info)
+
+
+def cox(df: DataFrame, time: str, event: str, xs: list[str], steps: int = 30) -> DataFrame:
+    """Cox regression with Efron's ties: term, coef, hazard_ratio, se, z, p, low, high."""
+    model = _Cox(df, time, event, xs)
+    beta, covariance = model.fit(steps)
+    model.rows.unpersist()
+    se = np.sqrt(np.diag(covariance))
     out = [(c, float(b), math.exp(b), float(s), float(b / s), 2 * dist.normal_sf(abs(b / s)), math.exp(b - 1.96 * s), math.exp(b + 1.96 * s)) for c, b, s in zip(xs, beta, se, strict=True)]
-    return spark.createDataFrame(out, "term string, coef double, hazard_ratio double, se double, z double, p double, low double, high double")
+    return df.sparkSession.createDataFrame(out, "term string, coef double, hazard_ratio double, se double, z double, p double, low double, high double")
+
+
+def proportional_hazards(df: DataFrame, time: str, event: str, xs: list[str], steps: int = 30) -> DataFrame:
+    """term, chi2, p: whether the scaled Schoenfeld residuals of a Cox model go with the rank of time.
+
+    A time's residuals enter only through their sum, so the deaths' terms are summed with and without the rank. Both are
+    null where no two deaths differ in rank.
+    """
+    model = _Cox(df, time, event, xs)
+    beta, covariance = model.fit(steps)
+    p = len(xs)
+    away = [F.col(f"z_{i}") - F.col(f"m_{i}") for i in range(p)]
+    one = model.deaths(beta).agg(F.count("*").cast("double").alias("n"), F.avg("rank").alias("mean"), F.var_pop("rank").alias("spread"), *[F.sum(away[i]).alias(f"r{i}") for i in range(p)], *[F.sum(F.col("rank") * away[i]).alias(f"g{i}") for i in range(p)]).first()
+    model.rows.unpersist()
+    out = []
+    with_time = np.array([(one[f"g{i}"] or 0.0) - (one["mean"] or 0.0) * (one[f"r{i}"] or 0.0) for i in range(p)])
+    for i, c in enumerate(xs):
+        if not one["n"] or not one["spread"] or covariance[i, i] <= 0:
+            out.append((c, None, None))
+            continue
+        scaled = one["n"] * float(covariance[i] @ with_time)
+        chi2 = scaled**2 / (one["n"] * covariance[i, i] * one["n"] * one["spread"])
+        out.append((c, float(chi2), float(dist.chi2_sf(float(chi2), 1))))
+    return df.sparkSession.createDataFrame(out, "term string, chi2 double, p double")
 
 
 def concordance(df: DataFrame, time: str, event: str, score: str) -> DataFrame:

@@ -8,10 +8,12 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statloom.functions import dist
 from statloom.operators import audit, bivariate, catalog, describe, factorial, hypotheses, multilevel, privacy, regression, reliability, survival
 from statloom.operators.cleaning import complete_cases, event_level, reference_level
 from statloom.functions.expressions import category_text
 from statloom.operators.order import adjust_p
+from statloom.operators.results import top_contributions
 
 NUMERIC = ("count", "continuous")
 
@@ -33,6 +35,9 @@ class AnalysisPlan:
     privacy: dict[str, str] = field(default_factory=dict)
     analyses: tuple[str, ...] = ("audit", "describe", "bivariate", "model")
     hypotheses: tuple[dict, ...] = ()
+    scales: dict[str, list[str]] = field(default_factory=dict)
+    row_key: str | None = None
+    random_slope: str | None = None
     alpha: float = 0.05
     nonparametric: bool = False
 
@@ -48,18 +53,8 @@ class AnalysisPlan:
         return json.dumps(asdict(self), sort_keys=True)
 
 
-def numeric_columns(df: DataFrame, plan: AnalysisPlan, kinds: dict[str, catalog.Variable]) -> tuple[DataFrame, str, list[str], str]:
-    """Rows with a coded outcome _y and numeric model columns: numbers as they are, categories as 0/1 columns."""
-    outcome, kind = plan.outcome, kinds[plan.outcome].kind
-    model = regression.model_kind(kind)
-    if kind == "binary":
-        yes = event_level(catalog.categories(df, outcome), plan.event_level)
-        df = df.withColumn("_y", F.when(F.col(outcome).isNotNull(), (F.col(outcome).cast("string") == yes).cast("double")))
-    elif kind == "ordinal":
-        names = catalog.categories(df, outcome, plan.orders.get(outcome))
-        df = df.withColumn("_y", (F.array_position(F.array(*[F.lit(c) for c in names]), F.col(outcome).cast("string")) - 1).cast("double"))
-    else:
-        df = df.withColumn("_y", F.col(outcome))
+def coded(df: DataFrame, plan: AnalysisPlan, kinds: dict[str, catalog.Variable]) -> tuple[DataFrame, list[str]]:
+    """df with numeric columns for the explanatory variables, and their names: numbers as they are, categories as 0/1."""
     xs = []
     for x in plan.explanatory:
         if kinds[x].kind in NUMERIC:
@@ -74,8 +69,49 @@ def numeric_columns(df: DataFrame, plan: AnalysisPlan, kinds: dict[str, catalog.
                 name = f"{x}[{level}]"
                 df = df.withColumn(name, F.when(F.col(x).isNotNull(), (F.col(x).cast("string") == level).cast("double")))
                 xs.append(name)
-    spread = df.na.drop(subset=["_y", *xs]).agg(*[(F.min(f"`{c}`") < F.max(f"`{c}`")).alias(c) for c in xs]).first() if xs else {}
-    return df, model, [c for c in xs if spread[c]], "_y"
+    return df, xs
+
+
+def plain_names(df: DataFrame, xs: list[str]) -> tuple[DataFrame, list[str]]:
+    """df with a column under a plain name for each of xs, and these names."""
+    quoted = [c.replace("[", "_").replace("]", "_").replace(" ", "_") for c in xs]
+    return df.select("*", *[F.col(f"`{c}`").alias(q) for c, q in zip(xs, quoted, strict=True) if q != c]), quoted
+
+
+def varying(df: DataFrame, xs: list[str], needed: list[str]) -> list[str]:
+    """The columns of xs that have more than one value among the rows complete for xs and the needed ones."""
+    if not xs:
+        return []
+    spread = df.na.drop(subset=[*needed, *xs]).agg(*[(F.min(f"`{c}`") < F.max(f"`{c}`")).alias(c) for c in xs]).first()
+    return [c for c in xs if spread[c]]
+
+
+def covariates(df: DataFrame, plan: AnalysisPlan, kinds: dict[str, catalog.Variable]) -> tuple[DataFrame, list[str]]:
+    """df with the coded explanatory variables that vary among the subjects at risk, under plain names."""
+    wide, xs = coded(df, plan, kinds)
+    return plain_names(wide, varying(wide, xs, [plan.duration, plan.event]))
+
+
+def numeric_columns(df: DataFrame, plan: AnalysisPlan, kinds: dict[str, catalog.Variable]) -> tuple[DataFrame, str, list[str], str]:
+    """Rows with a coded outcome _y and numeric model columns: numbers as they are, categories as 0/1 columns."""
+    outcome, kind = plan.outcome, kinds[plan.outcome].kind
+    model = regression.model_kind(kind)
+    if kind == "binary":
+        yes = event_level(catalog.categories(df, outcome), plan.event_level)
+        df = df.withColumn("_y", F.when(F.col(outcome).isNotNull(), (F.col(outcome).cast("string") == yes).cast("double")))
+    elif kind == "ordinal":
+        names = catalog.categories(df, outcome, plan.orders.get(outcome))
+        df = df.withColumn("_y", (F.array_position(F.array(*[F.lit(c) for c in names]), F.col(outcome).cast("string")) - 1).cast("double"))
+    else:
+        df = df.withColumn("_y", F.col(outcome))
+    df, xs = coded(df, plan, kinds)
+    return df, model, varying(df, xs, ["_y"]), "_y"
+
+
+def _order(df: DataFrame, plan: AnalysisPlan, kinds: dict[str, catalog.Variable], x: str, other: str) -> list[str] | None:
+    """The order of x's levels where it may count as ordered against other: both ordinal, or one ordinal and one binary."""
+    pair = {kinds[x].kind, kinds[other].kind}
+    return catalog.categories(df, x, plan.orders.get(x)) if "ordinal" in pair and pair <= {"ordinal", "binary"} else None
 
 
 def associations(df: DataFrame, plan: AnalysisPlan, kinds: dict[str, catalog.Variable]) -> DataFrame:
@@ -91,11 +127,43 @@ def associations(df: DataFrame, plan: AnalysisPlan, kinds: dict[str, catalog.Var
         elif other:
             row = bivariate.compare_groups(df, x, plan.outcome, plan.nonparametric)
         else:
-            row = bivariate.compare_categories(df, x, plan.outcome)
+            row = bivariate.compare_categories(df, x, plan.outcome, _order(df, plan, kinds, x, plan.outcome), _order(df, plan, kinds, plan.outcome, x))
         out = row if out is None else out.unionByName(row)
     return adjust_p(out)
 
 
+def post_hoc(df: DataFrame, plan: AnalysisPlan, kinds: dict[str, catalog.Variable], tests: DataFrame) -> DataFrame | None:
+    """variable, test, a, b, statistic, p: pairs of groups, for tests across three or more that hold after correction."""
+    out = None
+    number = kinds[plan.outcome].kind in NUMERIC
+    for r in tests.where((F.col("p_bh") < plan.alpha) & (F.col("n_groups") >= 3)).select("variable", "test").collect():  # one row a variable
+        value, group = (plan.outcome, r["variable"]) if number else (r["variable"], plan.outcome)
+        pairs = bivariate.post_hoc(df, value, group, r["test"])
+        if pairs is not None:
+            pairs = pairs.select(F.lit(r["variable"]).alias("variable"), "*")
+            out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+#: Complete rows that a model needs, and the share of rows left out above which a warning is given.
+LEAST_ROWS, MOST_LEFT_OUT = 20, 0.1
+
+
+def diagnostics(rows: DataFrame, y: str, xs: list[str], fit: regression.Fit) -> dict[str, float]:
+    """What speaks for or against a fitted model, by its kind; events_per_parameter counts the rarer outcome."""
+    found = {f"vif {c}": v for c, v in regression.vif(rows, xs).items()}
+    if fit.kind in ("logistic", "firth"):
+        # a hash of the whole row orders equal fitted values, so that y doesn't
+        told = regression.predictions(rows.withColumn("_place", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])), y, xs, fit, ["_place"])
+        fit_test = regression.hosmer_lemeshow(told, ["_place"]).first()
+        area = regression.auc(told).first()
+        p = dist.chi2_sf(fit_test["chi2"], fit_test["df"]) if fit_test["chi2"] is not None and fit_test["df"] > 0 else None
+        found |= {"hosmer_lemeshow": fit_test["chi2"], "hosmer_lemeshow_p": p, "auc": area["auc"], "events_per_parameter": min(area["events"], area["others"]) / len(xs)}
+    if fit.kind == "linear":
+        found |= regression.linear_diagnostics(rows, y, xs)
+    return {k: float(v) for k, v in found.items() if v is not None}
+
+
 def run(df: DataFrame, plan: AnalysisPlan, key: bytes = b"") -> dict[str, DataFrame]:
     """Result tables by name. Privacy actions come first, then typing, then the analyses asked for."""
     spark = df.sparkSession
@@ -122,34 +190,64 @@ def run(df: DataFrame, plan: AnalysisPlan, key: bytes = b"") -> dict[str, DataFr
     tests = terms = None
     if plan.outcome and plan.explanatory and "bivariate" in plan.analyses:
         tests = results["tests"] = associations(df, plan, kinds)
+        pairs = post_hoc(df, plan, kinds, tests)
+        if pairs is not None:
+            results["post_hoc"] = pairs
     if plan.outcome and plan.explanatory and "model" in plan.analyses:
         wide, model, xs, y = numeric_columns(df, plan, kinds)
-        quoted = [c.replace("[", "_").replace("]", "_").replace(" ", "_") for c in xs]
-        wide = wide.select("*", *[F.col(f"`{c}`").alias(q) for c, q in zip(xs, quoted, strict=True) if q != c])
+        wide, quoted = plain_names(wide, xs)
         rows, told = complete_cases(wide, [y, *quoted])
-        fit = regression.fit_kind(rows, y, quoted, model)
-        results["coefficients"] = fit.table(spark)
-        results["cases"] = told
-        owner = {q: c.split("[")[0] for c, q in zip(xs, quoted, strict=True)}
-        named = F.coalesce(*[F.when(F.col("term") == q, v) for q, v in owner.items()])
-        terms = results["coefficients"].where("term <> '(intercept)'").select(named.alias("variable"), "term", "estimate", "p")
-        if model in ("logistic", "poisson"):
-            results["fit"] = spark.createDataFrame([(k, float(v)) for k, v in regression.fit_measures(fit).items()], "measure string, value double")
-        if model == "logistic" and fit.kind in ("logistic", "firth") and "reliability" in plan.analyses:
-            boot = reliability.bootstrap(rows, y, quoted, True)
-            results["reliability"] = reliability.scorecard(spark, {"auc_corrected": boot["corrected"], "calibration_slope": boot["slope"], "left_out": told.first()["left_out"], "vif_max": max(regression.vif(rows, quoted).values())})
-        if plan.cluster and "multilevel" in plan.analyses and model in ("logistic", "linear"):
-            second = [q for q, v in owner.items() if v in plan.level2]
-            results["multilevel"] = multilevel.staged(rows, y, [q for q in quoted if q not in second], second, plan.cluster, model == "logistic")
+        left = told.first()
+        results["cases"] = told.withColumn("warning", F.when(F.col("left_out") > MOST_LEFT_OUT, "many rows left out"))
+        if quoted and left["n_used"] >= LEAST_ROWS:
+            fit = regression.fit_kind(rows, y, quoted, model)
+            results["coefficients"] = fit.table(spark)
+            owner = {q: c.split("[")[0] for c, q in zip(xs, quoted, strict=True)}
+            named = F.coalesce(*[F.when(F.col("term") == q, v) for q, v in owner.items()])
+            terms = results["coefficients"].where("term <> '(intercept)'").select(named.alias("variable"), "term", "estimate", "p")
+            if model in ("logistic", "linear"):
+                results["diagnostics"] = spark.createDataFrame(list(diagnostics(rows, y, quoted, fit).items()), "measure string, value double")
+            if model in ("logistic", "poisson"):
+                results["fit"] = spark.createDataFrame([(k, float(v)) for k, v in regression.fit_measures(fit).items()], "measure string, value double")
+            if model == "logistic" and fit.kind in ("logistic", "firth") and "reliability" in plan.analyses:
+                boot = reliability.bootstrap(rows, y, quoted, True)
+                results["reliability"] = reliability.scorecard(spark, {"auc_corrected": boot["corrected"], "calibration_slope": boot["slope"], "left_out": left["left_out"], "vif_max": max(regression.vif(rows, quoted).values())})
+            if plan.cluster and "multilevel" in plan.analyses and model in ("logistic", "linear"):
+                second = [q for q, v in owner.items() if v in plan.level2]
+                results["multilevel"] = multilevel.staged(rows, y, [q for q in quoted if q not in second], second, plan.cluster, model == "logistic", plan.random_slope)
     if plan.duration and plan.event and "survival" in plan.analyses:
         subjects = survival.subjects(df, plan.duration, plan.event)
         curve = results["survival"] = survival.kaplan_meier(subjects)
         results["survival_medians"] = survival.medians(curve)
+        groups = [x for x in plan.explanatory if kinds[x].kind not in NUMERIC]
+        for x in groups:
+            told = survival.log_rank(survival.subjects(df, plan.duration, plan.event, x)).select(F.lit(x).alias("variable"), "*")
+            results["log_rank"] = results["log_rank"].unionByName(told) if "log_rank" in results else told
+        if plan.explanatory:
+            wide, xs = covariates(df, plan, kinds)
+            if xs:
+                results["cox"] = survival.cox(wide, plan.duration, plan.event, xs)
+                results["proportional_hazards"] = survival.proportional_hazards(wide, plan.duration, plan.event, xs)
     if "factorial" in plan.analyses:
         numbers = [c for c in used if kinds[c].kind in NUMERIC]
         if len(numbers) >= 3:
             found = factorial.pca(df, numbers)
             results["components"] = spark.createDataFrame([(i + 1, float(v), float(s), float(q), i < found["retained"]) for i, (v, s, q) in enumerate(zip(found["eigenvalues"], found["shares"], found["noise"], strict=True))], "axis int, eigenvalue double, share double, noise double, retained boolean")
+        names = [c for c in used if kinds[c].kind in ("binary", "nominal", "ordinal")]
+        if len(names) >= 3:
+            found = factorial.mca(df, names)
+            results["mca"] = spark.createDataFrame([(i + 1, float(v), float(c)) for i, (v, c) in enumerate(zip(found["inertia"], found["corrected"], strict=True))], "axis int, inertia double, corrected double")
+            points = [(i + 1, c, float(found["coordinates"][j, i]), float(found["contributions"][j, i]), float(found["cos2"][j, i])) for i in range(len(found["inertia"])) for j, c in enumerate(found["categories"])]
+            results["mca_categories"] = spark.createDataFrame(points, "axis int, category string, coordinate double, contribution double, cos2 double")
+            results["mca_leading"] = top_contributions(results["mca_categories"])
+            if plan.row_key and len(found["inertia"]) >= 2:
+                scores = factorial.mca_scores(df, names, found, [plan.row_key])
+                classes, _ = factorial.classify(scores, ["axis1", "axis2"], plan.row_key)
+                results["classes"] = classes
+                results["profiles"] = factorial.top_profiles(factorial.class_profile(df.join(classes, plan.row_key), "class", names, numbers))
+    for name, items in plan.scales.items():
+        told = describe.cronbach(df, items).select(F.lit(name).alias("scale"), "*")
+        results["scales"] = results["scales"].unionByName(told) if "scales" in results else told
     if plan.hypotheses and (tests is not None or terms is not None):
         declared = spark.createDataFrame([(i, h.get("text", ""), h.get("variable"), h.get("direction")) for i, h in enumerate(plan.hypotheses)], "id int, text string, variable string, direction int")
         empty_tests, empty_terms = spark.createDataFrame([], "variable string, p double"), spark.createDataFrame([], "variable string, term string, estimate double, p double")

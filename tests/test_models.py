@@ -109,6 +109,77 @@ def test_cox_and_log_rank(data):
     assert p["df"] == 2 and 0 <= p["p"] <= 1
 
 
+def test_proportional_hazards_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 2))
+    t, e = np.ceil(rng.exponential(8, 120)), (rng.random(120) < 0.7).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), float(c), float(u)) for a, b, (c, u) in zip(t, e, x, strict=True)], "t double, e double, x double, u double")
+    found = {r["term"]: r for r in survival.cox(df, "t", "e", ["x", "u"]).collect()}
+    beta = np.array([found[c]["coef"] for c in ("x", "u")])
+    w, away, info, ranks = np.exp(x @ beta), [], np.zeros((2, 2)), []
+    for time in np.unique(t[e == 1]):
+        risk, dead = t >= time, (t == time) & (e == 1)
+        m = dead.sum()
+        means = []
+        for k in range(m):
+            v = w * risk - k / m * w * dead
+            mean = v @ x / v.sum()
+            means.append(mean)
+            info += (x * v[:, None]).T @ x / v.sum() - np.outer(mean, mean)
+        away += [row - np.mean(means, axis=0) for row in x[dead]]
+        ranks += [np.sum(t < time) + 1.0] * m
+    away, ranks = np.array(away), np.array(ranks)
+    assert np.abs(away.sum(axis=0)).max() < 1e-5
+    v = np.linalg.inv(info)
+    assert [found[c]["se"] for c in ("x", "u")] == pytest.approx(np.sqrt(np.diag(v)), rel=1e-6)
+    g, n = ranks - ranks.mean(), len(ranks)
+    want = (g @ (n * away @ v)) ** 2 / (n * np.diag(v) * (g @ g))
+    got = {r["term"]: r for r in survival.proportional_hazards(df, "t", "e", ["x", "u"]).collect()}
+    assert [got[c]["chi2"] for c in ("x", "u")] == pytest.approx(want, rel=1e-4) and 0 <= got["x"]["p"] <= 1
+    same = spark.createDataFrame([(1.0, 1.0, 0.0), (1.0, 1.0, 1.0), (1.0, 0.0, 2.0)], "t double, e double, x double")
+    assert survival.proportional_hazards(same, "t", "e", ["x"]).first()["p"] is None
+
+
+def test_random_slope_against_dense_likelihood(spark):
+    rng = np.random.default_rng(3)
+    group = np.repeat(np.arange(60), 15)
+    x = rng.normal(size=900)
+    u = rng.multivariate_normal([0, 0], [[1.0, 0.3], [0.3, 0.5]], 60)
+    y = 1 + 0.8 * x + u[group, 0] + u[group, 1] * x + rng.normal(size=900)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for a, b, c in zip(y, x, group, strict=True)], "y double, x double, g long")
+    m = multilevel.random_slope(df, "y", ["x"], "g", "x")
+
+    def dense(a, c, b, s2, beta):
+        total = 0.0
+        for j in range(60):
+            z = np.column_stack([np.ones(15), x[group == j]])
+            v = z @ np.array([[a, c], [c, b]]) @ z.T + s2 * np.eye(15)
+            e = y[group == j] - z @ beta
+            total -= 0.5 * (15 * math.log(2 * math.pi) + np.linalg.slogdet(v)[1] + e @ np.linalg.solve(v, e))
+        return total
+
+    top = dense(m.between, m.covariance, m.slope, m.residual, m.fit.coef)
+    assert m.fit.loglik == pytest.approx(top, abs=1e-4)
+    for move in np.vstack([np.eye(4), -np.eye(4)]) * 0.03:
+        assert dense(m.between + move[0], m.covariance + move[1], m.slope + move[2], m.residual + move[3], m.fit.coef) < top + 1e-4
+    assert m.slope == pytest.approx(0.5, abs=0.3) and m.lr > 20 and m.p_slope < 1e-4
+    stages = {r["stage"]: r for r in multilevel.staged(df, "y", ["x"], [], "g", False, "x").collect()}
+    assert stages["M3"]["lr"] == pytest.approx(m.lr, abs=1e-3) and 0 < stages["M1"]["marginal"] < stages["M1"]["conditional"] < 1
+
+
+def test_somers_against_pairs(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(1, 5, 200)
+    y = np.clip(x // 2 + rng.integers(0, 3, 200), 1, 3)
+    df = spark.createDataFrame([(str(a), str(b)) for a, b in zip(x, y, strict=True)], "x string, y string")
+    sign = np.sign(x[:, None] - x[None]) * np.sign(y[:, None] - y[None])
+    s = sign.sum(axis=1)
+    want = sign.sum() / np.sum(x[:, None] != x[None])
+    z = sign.sum() / (2 * math.sqrt(np.sum(s**2) - sign.sum() ** 2 / 200))
+    row = bivariate.compare_categories(df, "x", "y", ["1", "2", "3", "4"], ["1", "2", "3"]).first()
+    assert row["test"] == "Somers" and row["effect"] == pytest.approx(want) and row["statistic"] == pytest.approx(z) and row["p"] == pytest.approx(math.erfc(abs(z) / math.sqrt(2)))
+
+
 def test_components(spark):
     rng = np.random.default_rng(7)
     f = rng.standard_normal(500)

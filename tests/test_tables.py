@@ -93,9 +93,25 @@ def test_engine(spark):
     levels = {r["group"]: r["count"] for r in df.groupBy("group").count().collect()}
     reference, terms = min(levels, key=lambda g: (-levels[g], g)), {r["term"] for r in out["coefficients"].collect()}
     assert out["survival"].count() > 100 and terms == {"x", *(f"group_{g}_" for g in levels if g != reference), "(intercept)"} | {t for t in terms if t.startswith("z")}
+    assert out["log_rank"].first()["variable"] == "group" and out["cox"].where("term = 'x'").first()["coef"] == pytest.approx(0.5, abs=0.2)
+    assert out["proportional_hazards"].where("p < 0 or p > 1").count() == 0
+    told = {r["measure"]: r["value"] for r in out["diagnostics"].collect()}
+    assert told["auc"] > 0.6 and told["vif x"] < 1.2 and told["hosmer_lemeshow"] >= 0 and told["events_per_parameter"] > 50
+    assert out["cases"].first()["warning"] is None
     assert facts({"coefficients": out["coefficients"]}).count() == out["coefficients"].count() * 6
 
 
+def test_engine_pairs_and_axes(spark):
+    df = survey(spark, 30, 20).withColumn("size", F.when(F.col("x") < -0.5, "low").when(F.col("x") < 0.5, "mid").otherwise("top")).withColumn("yes", F.when(F.col("outcome") == 1, "yes").otherwise("no"))
+    plan = AnalysisPlan(outcome="score", explanatory=("size",), analyses=("bivariate", "factorial"), kinds={"size": "ordinal", "yes": "binary", "group": "nominal", "score": "continuous"}, orders={"size": ["low", "mid", "top"]}, row_key="id", scales={"both": ["x", "score"]})
+    out = run(df, plan)
+    pairs = out["post_hoc"].collect()
+    assert {(r["a"], r["b"]) for r in pairs} == {("low", "mid"), ("low", "top"), ("mid", "top")} and all(r["test"] in ("Dunn", "Games-Howell", "Tukey-Kramer") and r["p"] < 0.05 for r in pairs)
+    assert out["mca"].count() >= 2 and out["classes"].count() == df.count() and out["profiles"].count() > 0 and out["scales"].count() == 3
+    ordered = run(df, AnalysisPlan(outcome="yes", explanatory=("size",), analyses=("bivariate",), kinds=plan.kinds, orders=plan.orders))["tests"].first()
+    assert ordered["test"] == "Somers" and ordered["effect"] > 0.1 and ordered["p_bh"] < 0.001
+
+
 def test_streams(spark, tmp_path, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     events.write.parquet(str(tmp_path / "in"))
