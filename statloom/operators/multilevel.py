@@ -171,6 +171,7 @@ def random_slope(df: DataFrame, y: str, xs: list[str], cluster: str, slope: str)
     k, q = len(xs) + 1, xs.index(slope) + 1
     per = _statistics(design(df, y, xs, cluster), k).persist()
     upper = np.triu_indices(k)
+    spread = df.agg(F.stddev_samp(d(F.col(slope))).alias("s")).first()["s"] or 1.0
     products, sums = [f"a{i}_{j}" for i, j in zip(*upper, strict=True)], [f"b{i}" for i in range(k)]
     width = 1 + k * k + k + 1
 
@@ -188,7 +189,7 @@ def random_slope(df: DataFrame, y: str, xs: list[str], cluster: str, slope: str)
                 zx, zy = a[:, [0, q], :], b[:, [0, q]]
                 zz = zx[:, :, [0, q]]
                 for at, (u, v, w) in enumerate(thetas):
-                    root = np.array([[math.exp(u), 0.0], [v, math.exp(w)]])
+                    root = np.array([[math.exp(u), 0.0], [v / spread, math.exp(w) / spread]])  # in deviations of the covariate
                     inner = np.eye(2) + root.T @ zz @ root
                     weight = root @ np.linalg.inv(inner) @ root.T
                     wx, wy = weight @ zx, np.einsum("mij,mj->mi", weight, zy)
@@ -210,14 +211,13 @@ def random_slope(df: DataFrame, y: str, xs: list[str], cluster: str, slope: str)
         s2 = float(row[-1] - beta @ b) / n
         return -n / 2 * (math.log(2 * math.pi * s2) + 1) - 0.5 * row[0], beta, inverse * s2, s2
 
-    spread = df.agg(F.stddev_samp(d(F.col(slope))).alias("s")).first()["s"] or 1.0
     ratio = math.sqrt(max(first.between / first.residual, 1e-4))
-    theta, _ = climb(lambda t: np.array([solved(r)[0] for r in gathered(t)]), np.array([math.log(ratio), 0.0, math.log(0.5 * ratio / spread)]), lambda t: min(t[0], t[2] + math.log(spread)) < -9)
+    theta, _ = climb(lambda t: np.array([solved(r)[0] for r in gathered(t)]), np.array([math.log(ratio), 0.0, math.log(0.5 * ratio)]), lambda t: min(t[0], t[2]) < -9)
     ll, beta, covariance, s2 = solved(gathered(theta[None, :])[0])
     per.unpersist()
     if ll <= first.fit.loglik:  # slopes that don't vary
         return Slopes(Fit("random slope", first.fit.names, first.fit.coef, first.fit.covariance, n, first.fit.loglik, first.fit.loglik), first.between, 0.0, 0.0, first.residual, first.clusters)
-    u, v, w = math.exp(theta[0]), float(theta[1]), math.exp(theta[2])
+    u, v, w = math.exp(theta[0]), float(theta[1]) / spread, math.exp(theta[2]) / spread
     return Slopes(Fit("random slope", first.fit.names, beta, covariance, n, ll, first.fit.loglik), s2 * u * u, s2 * (v * v + w * w), s2 * u * v, s2, first.clusters)
 
 

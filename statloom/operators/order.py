@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 RANGES = 128
 
 
-def _with_range(df: DataFrame, order: str, ranges: int) -> DataFrame:
+def cuts_of(df: DataFrame, order: str, ranges: int = RANGES) -> list[float]:
+    """Approximate quantiles at which rows are split into ranges of the order."""
     ranges = max(1, min(ranges, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = df.approxQuantile(order, [k / ranges for k in range(1, ranges)], 1.0 / (2 * ranges)) if ranges > 1 else []
-    cuts = sorted(set(cuts))
-    return df.withColumn("_range", cut_place(F.col(order), cuts))
+    return sorted(set(df.approxQuantile(order, [k / ranges for k in range(1, ranges)], 1.0 / (2 * ranges)))) if ranges > 1 else []
 
 
 def cut_place(x: Column, cuts: list[float]) -> Column:
@@ -32,13 +31,14 @@ def cut_place(x: Column, cuts: list[float]) -> Column:
     return between(0, len(cuts))
 
 
-def running_sums(df: DataFrame, order: str, sums: dict[str, str], within: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+def running_sums(df: DataFrame, order: str, sums: dict[str, str], within: list[str] | None = None, ranges: int = RANGES, cuts: list[float] | None = None) -> DataFrame:
     """Adds, for each column c of sums, the sum of c over rows of the group with a smaller `order` as sums[c].
 
-    df has one row per group and order value; order is numeric and not null.
+    df has one row per group and order value; order is numeric and not null. Cuts of the order, from cuts_of(), spare
+    finding them again; whatever they are, the sums are the same.
     """
     within = within or []
-    split = _with_range(df, order, ranges)
+    split = df.withColumn("_range", cut_place(F.col(order), cuts_of(df, order, ranges) if cuts is None else cuts))
     totals = split.groupBy(*within, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*within, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in sums])

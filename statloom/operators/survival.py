@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import dist
 from statloom.functions.expressions import d
-from statloom.operators.order import running_sums
+from statloom.operators.order import cuts_of, running_sums
 
 
 def subjects(df: DataFrame, time: str, event: str, group: str | None = None) -> DataFrame:
@@ -78,6 +78,7 @@ class _Cox:
         centre = self.rows.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(self.p)]).first()
         self.x = [F.col(f"x{i}") - F.lit(float(centre[f"x{i}"] or 0.0)) for i in range(self.p)]
         self.pairs = [(i, j) for i in range(self.p) for j in range(i, self.p)]
+        self.cuts = cuts_of(self.rows.select("t").distinct(), "t")
 
     def deaths(self, b: np.ndarray) -> DataFrame:
         """One row a death: its place k among those of its time t, rank (of t among all rows, the least of ties), z_i
@@ -88,7 +89,7 @@ class _Cox:
         died = {f"d{k}": F.col("e") * c for k, c in parts.items()}
         per = self.rows.groupBy("t").agg(F.count("*").cast("double").alias("m"), F.sum("e").alias("deaths"), *[F.sum(c).alias(k) for k, c in {**parts, **died}.items()], *[F.sum(F.col("e") * x[i]).alias(f"z_{i}") for i in range(p)])
         totals = per.agg(*[F.sum(k).alias(f"all_{k}") for k in parts])
-        run = running_sums(per, "t", {"m": "before", **{k: f"b_{k}" for k in parts}}).crossJoin(F.broadcast(totals)).where("deaths > 0")  # one row
+        run = running_sums(per, "t", {"m": "before", **{k: f"b_{k}" for k in parts}}, cuts=self.cuts).crossJoin(F.broadcast(totals)).where("deaths > 0")  # one row
         each = run.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("deaths").cast("int") - 1)))
         at_risk = lambda k: F.col(f"all_{k}") - F.col(f"b_{k}") - F.col("k") / F.col("deaths") * F.col(f"d{k}")
         each = each.select("t", "k", "deaths", (F.col("before") + 1.0).alias("rank"), *[F.col(f"z_{i}") for i in range(p)], at_risk("s0").alias("s0"), *[at_risk(f"s1_{i}").alias(f"s1_{i}") for i in range(p)], *[at_risk(f"s2_{i}_{j}").alias(f"s2_{i}_{j}") for i, j in self.pairs])
@@ -123,38 +124,41 @@ class _Cox:
         return beta, np.linalg.pinv(info)
 
 
-def cox(df: DataFrame, time: str, event: str, xs: list[str], steps: int = 30) -> DataFrame:
-    """Cox regression with Efron's ties: term, coef, hazard_ratio, se, z, p, low, high."""
-    model = _Cox(df, time, event, xs)
-    beta, covariance = model.fit(steps)
-    model.rows.unpersist()
-    se = np.sqrt(np.diag(covariance))
-    out = [(c, float(b), math.exp(b), float(s), float(b / s), 2 * dist.normal_sf(abs(b / s)), math.exp(b - 1.96 * s), math.exp(b + 1.96 * s)) for c, b, s in zip(xs, beta, se, strict=True)]
-    return df.sparkSession.createDataFrame(out, "term string, coef double, hazard_ratio double, se double, z double, p double, low double, high double")
-
-
-def proportional_hazards(df: DataFrame, time: str, event: str, xs: list[str], steps: int = 30) -> DataFrame:
-    """term, chi2, p: whether the scaled Schoenfeld residuals of a Cox model go with the rank of time.
-
-    A time's residuals enter only through their sum, so the deaths' terms are summed with and without the rank. Both are
-    null where no two deaths differ in rank.
-    """
+def cox_tables(df: DataFrame, time: str, event: str, xs: list[str], steps: int = 30) -> tuple[DataFrame, DataFrame]:
+    """cox() and proportional_hazards() of one fit."""
     model = _Cox(df, time, event, xs)
     beta, covariance = model.fit(steps)
     p = len(xs)
     away = [F.col(f"z_{i}") - F.col(f"m_{i}") for i in range(p)]
     one = model.deaths(beta).agg(F.count("*").cast("double").alias("n"), F.avg("rank").alias("mean"), F.var_pop("rank").alias("spread"), *[F.sum(away[i]).alias(f"r{i}") for i in range(p)], *[F.sum(F.col("rank") * away[i]).alias(f"g{i}") for i in range(p)]).first()
     model.rows.unpersist()
-    out = []
+    se = np.sqrt(np.diag(covariance))
+    terms = [(c, float(b), math.exp(b), float(s), float(b / s), 2 * dist.normal_sf(abs(b / s)), math.exp(b - 1.96 * s), math.exp(b + 1.96 * s)) for c, b, s in zip(xs, beta, se, strict=True)]
     with_time = np.array([(one[f"g{i}"] or 0.0) - (one["mean"] or 0.0) * (one[f"r{i}"] or 0.0) for i in range(p)])
+    tests: list[tuple] = []
     for i, c in enumerate(xs):
         if not one["n"] or not one["spread"] or covariance[i, i] <= 0:
-            out.append((c, None, None))
+            tests.append((c, None, None))
             continue
         scaled = one["n"] * float(covariance[i] @ with_time)
         chi2 = scaled**2 / (one["n"] * covariance[i, i] * one["n"] * one["spread"])
-        out.append((c, float(chi2), float(dist.chi2_sf(float(chi2), 1))))
-    return df.sparkSession.createDataFrame(out, "term string, chi2 double, p double")
+        tests.append((c, float(chi2), float(dist.chi2_sf(float(chi2), 1))))
+    table = df.sparkSession.createDataFrame
+    return table(terms, "term string, coef double, hazard_ratio double, se double, z double, p double, low double, high double"), table(tests, "term string, chi2 double, p double")
+
+
+def cox(df: DataFrame, time: str, event: str, xs: list[str], steps: int = 30) -> DataFrame:
+    """Cox regression with Efron's ties: term, coef, hazard_ratio, se, z, p, low, high."""
+    return cox_tables(df, time, event, xs, steps)[0]
+
+
+def proportional_hazards(df: DataFrame, time: str, event: str, xs: list[str], steps: int = 30) -> DataFrame:
+    """term, chi2, p: whether the scaled Schoenfeld residuals of a Cox model go with the rank of time.
+
+    A time's residuals enter only through their sum, so the deaths' terms are summed with and without the rank. Both are
+    null where no two deaths differ in rank.
+    """
+    return cox_tables(df, time, event, xs, steps)[1]
 
 
 def concordance(df: DataFrame, time: str, event: str, score: str) -> DataFrame:

@@ -226,8 +226,7 @@ def run(df: DataFrame, plan: AnalysisPlan, key: bytes = b"") -> dict[str, DataFr
         if plan.explanatory:
             wide, xs = covariates(df, plan, kinds)
             if xs:
-                results["cox"] = survival.cox(wide, plan.duration, plan.event, xs)
-                results["proportional_hazards"] = survival.proportional_hazards(wide, plan.duration, plan.event, xs)
+                results["cox"], results["proportional_hazards"] = survival.cox_tables(wide, plan.duration, plan.event, xs)
     if "factorial" in plan.analyses:
         numbers = [c for c in used if kinds[c].kind in NUMERIC]
         if len(numbers) >= 3:

@@ -418,6 +418,17 @@ def effect_grades(t):
     return t("customer").select("c_custkey", association_grade(F.col("c_acctbal") / 10000.0).alias("grade"), p_stars(F.abs("c_acctbal") / 100000.0).alias("stars"))
 
 
+@query(
+    """WITH k AS (SELECT CAST(substr(o_orderpriority,1,1) AS DOUBLE) AS x, CASE o_orderstatus WHEN 'F' THEN 1e0 WHEN 'O' THEN 2e0 ELSE 3e0 END AS y, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1, 2),
+    c AS (SELECT a.n AS n, sum(sign((a.x-b.x)*(a.y-b.y))*b.n) AS s, sum(b.n) AS apart FROM k a JOIN k b ON a.x <> b.x GROUP BY a.x, a.y, a.n),
+    o AS (SELECT sum(n*s) AS s, sum(n*apart) AS pairs, sum(n*s*s) AS ss, sum(n) AS n FROM c) SELECT s/pairs AS somers_d, s/sqrt(4e0*(ss-s*s/n)) AS z FROM o""",
+    "somers_d z",
+)
+def somers_z(t):
+    y = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
+    return bivariate.somers_test(t("orders"), F.substring("o_orderpriority", 1, 1), y).drop("p")
+
+
 @query()
 def chosen_test_orders(t):
     """The flagship: which test suits the order price across statuses, and its result."""
@@ -529,6 +540,12 @@ def lmm_stages(t):
     return multilevel.staged(rows, "y", ["x"], ["z"], "g", False)
 
 
+@query()
+def slope_stages(t):
+    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_totalprice").alias("y"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").alias("g"))
+    return multilevel.staged(rows, "y", ["x"], [], "g", False, "x")
+
+
 @query()
 def bootstrap_optimism(t):
     rows = t("lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_quantity") > 25).cast("double").alias("a"), F.round(F.col("l_discount") * 100).alias("b"))
@@ -593,6 +610,11 @@ def cox_table(t):
     return survival.cox(_times(t).withColumn("big", (F.col("l_quantity") > 25).cast("double")), "days", "returned", ["big", "l_discount"])
 
 
+@query()
+def hazards_test(t):
+    return survival.proportional_hazards(_times(t).withColumn("big", (F.col("l_quantity") > 25).cast("double")), "days", "returned", ["big", "l_discount"])
+
+
 @query()
 def concordance_index(t):
     return survival.concordance(_times(t), "days", "returned", "l_quantity")
