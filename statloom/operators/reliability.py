@@ -19,65 +19,151 @@ from statloom.operators.order import adjust_p, quantiles
 from statloom.operators.regression import design, fit_kind
 
 SEED, REPLICATES, FOLDS = 42, 200, 5
-#: Distinct covariate patterns that a bootstrap task may hold.
-MOST_PATTERNS = 200_000
+#: Ranges of the score that AUC counts are kept in: quantiles of the whole table's score, each split in equal parts.
+SCORE_QUANTILES, SCORE_PARTS = 128, 8
+MOST_STEPS, TOLERANCE, RIDGE = 30, 1e-8, 1e-6
 
 
-def _logit(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
-    beta = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        w = n * p * (1 - p)
-        step = np.linalg.solve((x * w[:, None]).T @ x + ridge * np.eye(len(beta)), x.T @ (n * (y - p)) - ridge * beta)
+def _draws(key: np.ndarray, n: np.ndarray, replicates: int) -> np.ndarray:
+    """Poisson counts with mean n, one column a replicate, seeded by each row's key, so that a task run again draws alike."""
+    return np.stack([np.random.default_rng([SEED, k & 0xFFFFFFFF, (k >> 32) & 0xFFFFFFFF]).poisson(c, replicates) for k, c in zip(key.tolist(), n.tolist(), strict=True)]).astype(float)
+
+
+def _replicate_sums(rows: DataFrame, replicates: int, size: int, function) -> np.ndarray:
+    """Sums over all rows of function(y, x, n, drawn), a matrix of replicates by size, added up in Spark."""
+
+    def run(batches):
+        total = np.zeros((replicates, size))
+        for b in batches:
+            if len(b):
+                y, x, n = b["y"].to_numpy(dtype=float), np.stack(b["x"].to_numpy()), b["n"].to_numpy(dtype=float)
+                total += function(y, x, n, _draws(b["key"].to_numpy(), n, replicates))
+        r, i = np.nonzero(total)
+        yield pd.DataFrame({"r": r.astype("int32"), "i": i.astype("int32"), "v": total[r, i]})
+
+    got = rows.mapInPandas(run, "r int, i int, v double").groupBy("r", "i").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros((replicates, size))
+    out[got["r"].to_numpy(), got["i"].to_numpy()] = got["v"].to_numpy()
+    return out
+
+
+def _chance(eta: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
+
+
+def _replicate_logits(rows: DataFrame, replicates: int, start: np.ndarray, moments) -> np.ndarray:
+    """Newton steps of all replicates' logistic fits at once; moments(beta) gives the function of each pass's sums,
+    which are a gradient and then a matrix of curvature for each replicate."""
+    beta, k = np.tile(start, (replicates, 1)), len(start)
+    for _ in range(MOST_STEPS):
+        sums = _replicate_sums(rows, replicates, k + k * k, moments(beta))
+        curvature = sums[:, k:].reshape(replicates, k, k) + RIDGE * np.eye(k)
+        step = np.linalg.solve(curvature, (sums[:, :k] - RIDGE * beta)[:, :, None])[:, :, 0]
         beta = beta + step
-        if np.max(np.abs(step)) < 1e-8:
+        if np.max(np.abs(step)) < TOLERANCE:
             break
     return beta
 
 
-def _auc(score: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
-    _, at = np.unique(score, return_inverse=True)
-    pos, neg = np.bincount(at, n * y), np.bincount(at, n * (1 - y))
-    return float(np.sum(pos * (np.cumsum(neg) - neg + neg / 2)) / max(pos.sum() * neg.sum(), 1e-300))
+def _score_edges(rows: DataFrame, beta: np.ndarray) -> np.ndarray:
+    """Edges of the score's ranges: near-quantiles over all rows, with equal parts between neighbours."""
+    eta = sum((F.lit(float(b)) * F.col("x")[i] for i, b in enumerate(beta)), F.lit(0.0))
+    shares = [k / SCORE_QUANTILES for k in range(SCORE_QUANTILES + 1)]
+    q = np.unique(rows.agg(F.percentile_approx(eta, shares).alias("q")).first()["q"])
+    parts = np.arange(SCORE_PARTS) / SCORE_PARTS
+    return np.append((q[:-1, None] + parts * np.diff(q)[:, None]).ravel(), q[-1])
+
+
+def _auc_counts(rows: DataFrame, beta: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Counts by replicate, set (drawn or all rows), outcome (1 or 0) and range of the replicate's score."""
+    replicates, width = len(beta), len(edges) + 1
+
+    def count(y, x, n, drawn):
+        place = np.searchsorted(edges, x @ beta.T, "right")
+        out = np.empty((replicates, 4, width))
+        for r in range(replicates):
+            for j, w in enumerate((drawn[:, r] * y, drawn[:, r] * (1 - y), n * y, n * (1 - y))):
+                out[r, j] = np.bincount(place[:, r], w, width)
+        return out.reshape(replicates, 4 * width)
+
+    return _replicate_sums(rows, replicates, 4 * width, count).reshape(replicates, 2, 2, width)
+
+
+def _auc(counts: np.ndarray) -> np.ndarray:
+    pos, neg = counts[..., 0, :], counts[..., 1, :]
+    wins = np.sum(pos * (np.cumsum(neg, -1) - neg / 2), -1)
+    return wins / np.maximum(pos.sum(-1) * neg.sum(-1), 1e-300)
 
 
 def bootstrap(df: DataFrame, y: str, xs: list[str], binary: bool, replicates: int = REPLICATES) -> dict[str, float]:
     """Optimism-corrected AUC and calibration slope (binary) or R squared (linear).
 
-    Rows are reduced to distinct patterns with counts; a replicate draws counts for them, so replicates run in parallel
-    over one small table. More patterns than MOST_PATTERNS are refused.
+    Rows stay distributed, as distinct patterns with counts. A replicate weighs each pattern by a Poisson count seeded
+    by the pattern's hash, the limit of drawing rows with replacement. Each pass sums the gradients and curvatures of
+    all replicates; only these small matrices reach the driver. AUC counts pairs within one of some thousand ranges of
+    the score as ties; auc_error bounds what that can change in the apparent AUC.
     """
-    per = design(df, y, xs).groupBy("y", "x").agg(F.count("*").cast("double").alias("n")).limit(MOST_PATTERNS + 1).toPandas()
-    if len(per) > MOST_PATTERNS:
-        raise ValueError("too many distinct rows: round the covariates or draw a sample first")
-    per = per.assign(_k=per["x"].map(tuple)).sort_values(["y", "_k"])
-    yv, x, n = per["y"].to_numpy(), np.stack(per["x"].to_numpy()), per["n"].to_numpy()
-    sent = df.sparkSession.sparkContext.broadcast((yv, x, n))
-
-    def measures(y_, x_, train, test):
-        if binary:
-            beta = _logit(x_, y_, train)
-            eta = x_ @ beta
-            slope = _logit(np.column_stack([np.ones(len(eta)), eta]), y_, test)[1]
-            return _auc(eta, y_, train), _auc(eta, y_, test), slope
-        beta = np.linalg.lstsq((x_ * np.sqrt(train)[:, None]), y_ * np.sqrt(train), rcond=None)[0]
-        r2 = lambda w: 1 - np.sum(w * (y_ - x_ @ beta) ** 2) / max(np.sum(w * (y_ - np.sum(w * y_) / w.sum()) ** 2), 1e-300)
-        return r2(train), r2(test), math.nan
-
-    def run(batches):
-        y_, x_, n_ = sent.value
-        for b in batches:
-            out = []
-            for k in b["id"]:
-                rng = np.random.default_rng([SEED, int(k)])
-                drawn = rng.multinomial(int(n_.sum()), n_ / n_.sum()).astype(float)
-                out.append(measures(y_, x_, drawn, n_))
-            yield pd.DataFrame(out, columns=["train", "test", "slope"])
-
-    drawn = df.sparkSession.range(replicates).mapInPandas(run, "train double, test double, slope double")
-    one = drawn.agg(F.avg(F.col("train") - F.col("test")).alias("optimism"), F.avg("slope").alias("slope")).first()
-    apparent = measures(yv, x, n, n)[0]
-    return {"apparent": apparent, "optimism": one["optimism"], "corrected": apparent - one["optimism"], "slope": one["slope"]}
+    k = len(xs) + 1
+    rows = design(df, y, xs).groupBy("y", "x").agg(F.count("*").cast("double").alias("n")).withColumn("key", F.xxhash64("y", "x")).persist()
+    try:
+        if not binary:
+            return _linear_optimism(rows, k, replicates)
+
+        def fitted(beta):
+            def moments(y_, x, n, drawn):
+                p = _chance(x @ beta.T)
+                gradient = (drawn * (y_[:, None] - p)).T @ x
+                products = (x[:, :, None] * x[:, None, :]).reshape(len(x), k * k)
+                return np.hstack([gradient, (drawn * p * (1 - p)).T @ products])
+
+            return moments
+
+        def whole(beta):
+            f = fitted(beta)
+            return lambda y_, x, n, drawn: f(y_, x, n, n[:, None])
+
+        base = _replicate_logits(rows, 1, np.zeros(k), whole)[0]
+        beta = _replicate_logits(rows, replicates, base, fitted)
+
+        def calibrated(line):
+            def moments(y_, x, n, drawn):
+                eta = x @ beta.T
+                p = _chance(line[:, 0] + line[:, 1] * eta)
+                away, w = n[:, None] * (y_[:, None] - p), n[:, None] * p * (1 - p)
+                cross = (w * eta).sum(0)
+                return np.stack([away.sum(0), (away * eta).sum(0), w.sum(0), cross, cross, (w * eta * eta).sum(0)], 1)
+
+            return moments
+
+        line = _replicate_logits(rows, replicates, np.array([0.0, 1.0]), calibrated)
+        edges = _score_edges(rows, base)
+        auc = _auc(_auc_counts(rows, beta, edges))
+        own = _auc_counts(rows, base[None], edges)[0, 1]
+        apparent, optimism = float(_auc(own)), float(np.mean(auc[:, 0] - auc[:, 1]))
+        error = float(np.sum(own[0] * own[1]) / 2 / max(own[0].sum() * own[1].sum(), 1e-300))
+        return {"apparent": apparent, "optimism": optimism, "corrected": apparent - optimism, "slope": float(np.mean(line[:, 1])), "auc_error": error}
+    finally:
+        rows.unpersist()
+
+
+def _linear_optimism(rows: DataFrame, k: int, replicates: int) -> dict[str, float]:
+    """R squared from moments: one pass gives those of every replicate, another those of the table."""
+
+    def moments(y, x, n, drawn):
+        products = (x[:, :, None] * x[:, None, :]).reshape(len(x), k * k)
+        return np.hstack([drawn.T @ products, drawn.T @ (x * y[:, None]), (drawn.T @ (y * y))[:, None]])
+
+    sums = _replicate_sums(rows, replicates, k * k + k + 1, moments)
+    whole = _replicate_sums(rows, 1, k * k + k + 1, lambda y, x, n, drawn: moments(y, x, n, n[:, None]))[0]
+
+    def r2(beta, m):
+        a, b, yy = m[: k * k].reshape(k, k), m[k * k : -1], m[-1]
+        return 1 - (yy - 2 * beta @ b + beta @ a @ beta) / max(yy - b[0] * b[0] / max(a[0, 0], 1e-300), 1e-300)
+
+    solve = lambda m: np.linalg.pinv(m[: k * k].reshape(k, k)) @ m[k * k : -1]
+    apparent = float(r2(solve(whole), whole))
+    optimism = float(np.mean([r2(solve(m), m) - r2(solve(m), whole) for m in sums]))
+    return {"apparent": apparent, "optimism": optimism, "corrected": apparent - optimism, "slope": math.nan}
 
 
 def cross_validated(df: DataFrame, y: str, xs: list[str], binary: bool, cluster: str | None = None, folds: int = FOLDS) -> DataFrame:

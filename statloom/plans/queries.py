@@ -548,8 +548,8 @@ def slope_stages(t):
 
 @query()
 def bootstrap_optimism(t):
-    rows = t("lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_quantity") > 25).cast("double").alias("a"), F.round(F.col("l_discount") * 100).alias("b"))
-    b = reliability.bootstrap(rows, "y", ["a", "b"], True, 50)
+    rows = t("lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_quantity") / 50.0).alias("a"), "l_discount", (F.col("l_extendedprice") / 1e5).alias("b"))
+    b = reliability.bootstrap(rows, "y", ["a", "l_discount", "b"], True)
     return rows.sparkSession.createDataFrame([(k, float(v)) for k, v in b.items()], "measure string, value double")
 
 

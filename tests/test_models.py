@@ -216,6 +216,43 @@ def test_reliability(data):
     assert len(card) == 3 and card[0]["overall"] == "high"
 
 
+def test_bootstrap_against_whole_arrays(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((1500, 2))
+    y = (rng.random(1500) < 1 / (1 + np.exp(-x @ [1.0, -0.5]))).astype(float)
+    rows = spark.createDataFrame([(float(b), *map(float, a)) for a, b in zip(x, y, strict=True)], "y double, a double, b double")
+    keyed = regression.design(rows.union(rows.limit(300)), "y", ["a", "b"]).groupBy("y", "x").agg(F.count("*").alias("n")).withColumn("key", F.xxhash64("y", "x")).toPandas()
+    y, x, n, key = keyed["y"].to_numpy(), np.stack(keyed["x"]), keyed["n"].to_numpy(float), keyed["key"].to_numpy()
+    drawn = reliability._draws(key, n, 12)
+
+    def logit(x, w):
+        b = np.zeros(x.shape[1])
+        for _ in range(25):
+            p = 1 / (1 + np.exp(-x @ b))
+            b = b + np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x, x.T @ (w * (y - p)))
+        return b
+
+    def auc(score, w):
+        above = (score[:, None] > score[None, :]) + 0.5 * (score[:, None] == score[None, :])
+        pos, neg = w * y, w * (1 - y)
+        return pos @ above @ neg / (pos.sum() * neg.sum())
+
+    def r2(b, w):
+        return 1 - (w @ (y - x @ b) ** 2) / (w @ (y - w @ y / w.sum()) ** 2)
+
+    apparent = auc(x @ logit(x, n), n)
+    fits = [logit(x, w) for w in drawn.T]
+    optimism = np.mean([auc(x @ b, w) - auc(x @ b, n) for b, w in zip(fits, drawn.T, strict=True)])
+    slope = np.mean([logit(np.column_stack([np.ones(len(x)), x @ b]), n)[1] for b in fits])
+    got = reliability.bootstrap(rows.union(rows.limit(300)), "y", ["a", "b"], True, 12)
+    assert got["auc_error"] < 1e-3 and abs(got["apparent"] - apparent) <= got["auc_error"]
+    assert got["optimism"] == pytest.approx(optimism, abs=1e-4) and got["slope"] == pytest.approx(slope, abs=1e-6)
+    line = lambda w: np.linalg.lstsq(x * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
+    got = reliability.bootstrap(rows.union(rows.limit(300)), "y", ["a", "b"], False, 12)
+    assert got["apparent"] == pytest.approx(r2(line(n), n), abs=1e-9)
+    assert got["optimism"] == pytest.approx(np.mean([r2(line(w), w) - r2(line(w), n) for w in drawn.T]), abs=1e-9)
+
+
 def test_choice_of_tests(spark):
     rng = np.random.default_rng(9)
     two = spark.createDataFrame([("a" if i % 2 else "b", float(rng.standard_normal())) for i in range(120)], "g string, v double")
