@@ -174,9 +174,14 @@ def _features_of(docs: DataFrame) -> DataFrame:
     return each.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("features").alias("features"))
 
 
-def _score_counts(rows: DataFrame, forest: Forest) -> DataFrame:
-    """quality, bin, n: all rows of (text, quality) that the fixed rule on repeats leaves, by bin of their score."""
-    sent = rows.sparkSession.sparkContext.broadcast(forest)
+def _score_counts(docs: DataFrame, known: DataFrame, forest: Forest) -> DataFrame:
+    """quality, bin, n: all rows of docs (doc_id, text) with a label in known that the fixed rule on repeats leaves, by
+    bin of their score.
+
+    Rows are scored before they meet the labels, so that only ids and bins are shuffled, never texts; then they are
+    counted by id, so that a repeated id is one row of the join.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,9 +190,12 @@ def _score_counts(rows: DataFrame, forest: Forest) -> DataFrame:
             x = np.array([statistics(t)[1] for t in raw(b.column("text"))])
             sound = x[:, FEATURES.index("repeats")] * 100 <= MAX_REPEAT_PERCENT
             at = np.minimum(sent.value.anomaly(x) * BINS, BINS - 1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(at)], names=["quality", "bin"]).filter(pa.array(sound))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(at)], names=["doc_id", "bin"]).filter(pa.array(sound))
 
-    return rows.mapInArrow(run, "quality int, bin long").groupBy("quality", "bin").agg(F.count("*").alias("n"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = docs.where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, bin long")
+    counted = scored.groupBy("doc_id", "bin").agg(F.count("*").alias("n"))
+    return counted.join(known, "doc_id").groupBy("quality", "bin").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, seed: int = SEED) -> tuple[Forest | None, float]:
@@ -206,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, seed: int
     order = np.lexsort((*x.T, good))  # the sample's order depends on Spark's partitions
     x, good = x[order], good[order]
     forest = Forest(x[good], STEP * x.std(axis=0), seed=seed)
-    counts = _score_counts(texts.join(known, "doc_id").select("text", "quality"), forest).toPandas()
+    counts = _score_counts(texts, known, forest).toPandas()
     at, is_good, n = counts["bin"].to_numpy(), (counts["quality"] == 1).to_numpy(), counts["n"].to_numpy(dtype=float)
     limit = calibrate(at.astype(float), is_good, n)
     return forest, (np.floor(limit) + 1) / BINS if np.isfinite(limit) else limit
