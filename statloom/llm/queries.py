@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import html, language, mixing, neighbours, packing, positive_unlabelled, quality, simhash, urls, warc
+from statloom.llm import alignment, html, language, line_dedup, mixing, neighbours, packing, positive_unlabelled, prefix_trie, quality, simhash, urls, warc
 from statloom.llm.base import table
 
 #: The site rules of the query.
@@ -20,6 +20,8 @@ URL_RULES = (
     urls.Rule("com", "/de/", "block"),
 )
 TOKENIZER = "word_bpe_49k.json"
+#: The vocabulary of byte_bpe_50k.json as ranks, which gives the same ids at four times the speed, and the pieces.
+ALIGNED = ("byte_bpe_50k.tiktoken", "piece_bpe_32k.model")
 #: Names of unwanted sites, each listed under these parent domains.
 SPAM_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 SPAM_HOSTS = tuple(f"{n}.example.{t}" for n in SPAM_NAMES for t in ("com", "net", "org"))
@@ -66,6 +68,20 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, SPAM_HOSTS)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = map(public_tokenizers.path, ALIGNED)
+    return alignment.align(table(spark, sf_dir, "documents"), a, b, public_tokenizers.PATTERN)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = line_dedup.line_report(table(spark, sf_dir, "documents"))
+    return report.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_warc": op2_warc,
@@ -77,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filters": op10_url_filters,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_alignment": op12_alignment,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 _HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -120,4 +139,52 @@ ORACLE_SQL: dict[str, str] = {
             coalesce(f.verdict, CASE WHEN EXISTS (SELECT 1 FROM blocked b WHERE ('.' || p.host) LIKE ('%.' || b.host)) THEN 'block' ELSE 'allow' END) AS verdict
         FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND f.n = 1
     """,
+    "op11_prefix_trie": """
+        WITH ordered AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), words AS (
+            SELECT role, text, row_number() OVER (ORDER BY role, text) AS id, strlen(text) AS bytes FROM (SELECT DISTINCT role, text FROM ordered)
+        ), convs AS (
+            SELECT c, list(id ORDER BY pos) AS ids FROM ordered JOIN words USING (role, text) GROUP BY c
+        ), lent AS (
+            SELECT c, ids, c - c % 5 AS base FROM convs
+        ), bytes_of AS (
+            SELECT c, list_transform(range(1, CAST(length(CAST(c AS VARCHAR)) AS BIGINT) + 1), lambda i: ascii(substr(CAST(c AS VARCHAR), i, 1))) AS b FROM convs
+        ), crc AS (
+            SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda r, x: list_reduce(list_prepend(xor(r, x::BIGINT), range(0, 8)),
+                lambda v, k: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 9 AS h FROM bytes_of
+        ), rebuilt AS (
+            SELECT l.c, list_concat(coalesce(l2.ids, [])[1:h], l.ids[h + 1:]) AS ids FROM lent l JOIN crc USING (c) LEFT JOIN convs l2 ON l2.c = l.base
+        ), prefixes AS (
+            SELECT c, len(ids) AS total, d, ids[1:d] AS node, ids[d] AS last FROM (SELECT c, ids, unnest(range(0, len(ids) + 1)) AS d FROM rebuilt)
+        ), nodes AS (
+            SELECT d, node, min(c) AS conv_id, count(*) AS n, any_value(last) AS last, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (total = d), '')) AS ends
+            FROM prefixes GROUP BY d, node
+        ), sized AS (
+            SELECT nodes.*, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * bytes END AS own FROM nodes LEFT JOIN words ON last = id
+        ), kids AS (
+            SELECT d - 1 AS d, node[1:d - 1] AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+        ), told AS (
+            SELECT s.*, coalesce(n_children, 0) AS n_children, p.conv_id AS parent FROM sized s LEFT JOIN kids USING (d, node) LEFT JOIN nodes p ON s.d > 0 AND p.d = s.d - 1 AND p.node = s.node[1:s.d - 1]
+        ), up AS (
+            SELECT top AS d, node[1:top] AS node, sum(own) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS top FROM told) GROUP BY ALL
+        )
+        SELECT conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256
+        FROM told JOIN up USING (d, node)
+    """,
+    "op13_line_dedup": r"""
+        WITH lines AS (
+            SELECT rowid AS r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+            FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)
+        ), keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+        ), repeated AS (
+            SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+        )
+        SELECT doc_id, count(*) AS n_lines, count(keeper) FILTER (keeper <> doc_id) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+        FROM keyed LEFT JOIN repeated USING (k) GROUP BY r, doc_id
+    """,
 }
