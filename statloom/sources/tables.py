@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.operators.cleaning import clean, clean_names, formula_guard
+from statloom.sources.labelled import read_labelled
 from statloom.sources.workbook import read_workbook
 
 DELIMITERS = (";", ",", "\t", "|")
@@ -48,7 +49,7 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table by its suffix: csv, tsv, txt, xlsx, json, orc, parquet."""
+    """A table by its suffix: csv, tsv, txt, xlsx, sav, dta, json, orc, parquet."""
     suffix = PurePosixPath(path).suffix.lower().lstrip(".")
     if suffix in ("csv", "tsv", "txt"):
         return read_delimited(spark, path)
@@ -56,6 +57,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.format(suffix).load(path)
     if suffix == "xlsx":
         return read_workbook(spark, path)
+    if suffix in ("sav", "dta"):
+        return read_labelled(spark, path)
     raise ValueError(f"unknown format {suffix!r}")
 
 
