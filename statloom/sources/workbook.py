@@ -1,4 +1,4 @@
-"""First sheets of XLSX workbooks, and checks of files against their suffix.
+"""First sheets of XLSX workbooks.
 
 A workbook is one ZIP archive, so a task reads one file; Spark spreads the files of a path over tasks. Rows stream out of
 the sheet's XML and are never held whole.
@@ -14,15 +14,13 @@ from collections.abc import Iterator
 from xml.etree.ElementTree import iterparse
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.operators.cleaning import clean, clean_names
 
 #: Widest sheet; blank rows in a row after which a sheet ends; rows handed to Spark at once.
 MOST_COLUMNS, MOST_BLANK, BATCH = 2000, 10_000, 2000
-#: Largest unpacked size of a workbook, and its largest ratio to the packed size.
-MOST_UNPACKED, MOST_RATIO = 1 << 30, 200
 
 
 def _local(tag: str) -> str:
@@ -138,43 +136,3 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
     names = clean_names([c if c.strip() else f"column {i + 1}" for i, c in enumerate(given)])
     rows = cells.where("row > 0").select(*[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(names)])
     return clean(rows)
-
-
-def _archive_fault(content: bytes) -> str | None:
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as book:
-            names, size = book.namelist(), sum(i.file_size for i in book.infolist())
-    except zipfile.BadZipFile:
-        return "damaged"
-    if "[Content_Types].xml" not in names or not any(n.startswith("xl/") for n in names):
-        return "not a workbook"
-    if size > MOST_UNPACKED or size > MOST_RATIO * len(content):
-        return "unpacks to too much"
-    return "holds macros" if any(n.lower().endswith((".bin", ".vba")) or "vbaproject" in n.lower() for n in names) else None
-
-
-def file_faults(spark: SparkSession, path: str, most_bytes: int = 50 << 20) -> DataFrame:
-    """file, fault (null if none) of each file below path: its suffix, its size, and what its first bytes say it is.
-
-    Empty files don't appear, as Spark's reader leaves them out.
-    """
-    files = spark.read.format("binaryFile").load(path)
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    start = F.hex(F.substring("content", 1, 16))
-    begins = lambda *signs: F.coalesce(*[F.when(start.startswith(s), True) for s in signs], F.lit(False))
-
-    @F.pandas_udf("string")
-    def archive(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda c: None if c is None else _archive_fault(c))
-
-    as_hex: list[str] = [t.encode().hex().upper() for t in ("$FL2", "$FL3", "<stata_dta>")]
-    text = F.when(F.instr(F.substring("content", 1, 65536).cast("string"), "\0") > 0, "binary data in a text file").when(begins("504B0304", "7F454C46", "4D5A", "25504446"), "not a text file")
-    known: Column = (
-        F.when(suffix == "xlsx", F.when(~begins("504B0304"), "not a workbook").otherwise(archive(F.when((suffix == "xlsx") & (F.col("length") <= most_bytes), F.col("content")))))
-        .when(suffix == "sav", F.when(~begins(*as_hex[:2]), "not an SPSS file"))
-        .when(suffix == "dta", F.when(~begins(as_hex[2], "6E", "6F", "71", "72", "73"), "not a Stata file"))
-        .when(suffix.isin("csv", "tsv", "txt"), text)
-        .otherwise("unknown format")
-    )
-    fault = F.when(F.col("length") > most_bytes, "too large").otherwise(known)
-    return files.select(F.col("path").alias("file"), fault.alias("fault"))

@@ -3,7 +3,7 @@ import zipfile
 import pytest
 
 from statloom.sources.tables import read_table
-from statloom.sources.workbook import column_number, file_faults
+from statloom.sources.workbook import column_number
 
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -43,15 +43,3 @@ def test_empty_sheet_and_long_gaps(spark, tmp_path):
 
 def test_places():
     assert [column_number(c) for c in ("A1", "Z9", "AA1", "AB12")] == [0, 25, 26, 27]
-
-
-def test_faults(spark, tmp_path):
-    cell = '<row r="1"><c r="A1"><v>1</v></c></row>'
-    workbook(tmp_path / "good.xlsx", cell)
-    workbook(tmp_path / "macro.xlsx", cell, more=[("xl/vbaProject.bin", "x")])
-    workbook(tmp_path / "bomb.xlsx", cell, more=[("xl/big.xml", "0" * 3_000_000)])
-    for name, content in {"fake.xlsx": b"a;b", "cut.xlsx": b"PK\x03\x04abc", "a.csv": b"a;b\n1;2\n", "nul.csv": b"a\0b", "pdf.txt": b"%PDF-1", "none.csv": b"", "x.exe": b"MZ", "s.sav": b"$FL2@(#)", "t.sav": b"abcd", "d.dta": b"<stata_dta><header>", "e.dta": b"abc"}.items():
-        (tmp_path / name).write_bytes(content)
-    got = {r["file"].rsplit("/", 1)[1]: r["fault"] for r in file_faults(spark, str(tmp_path)).collect()}
-    assert {k for k, v in got.items() if v is None} == {"good.xlsx", "a.csv", "s.sav", "d.dta"}
-    assert got["macro.xlsx"] == "holds macros" and got["bomb.xlsx"] == "unpacks to too much" and "none.csv" not in got and got["x.exe"] == "unknown format"
