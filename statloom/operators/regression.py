@@ -192,7 +192,11 @@ def _glm(df: DataFrame, y: str, xs: list[str], kind: str, step: Callable) -> tup
 
 
 def logistic(df: DataFrame, y: str, xs: list[str]) -> Fit:
-    """Binary logit; y is 0 or 1. Where it shows separation, the penalised fit is returned instead."""
+    """Binary logit; y is 0 or 1. Where it shows separation, or where y has one class only, the penalised fit is
+    returned instead."""
+    classes = df.na.drop(subset=[y, *xs]).agg((F.min(y) < F.max(y)).alias("two")).first()["two"]
+    if classes is False:
+        return replace(out := firth(df, y, xs), extra=out.extra | {"separation": True})
     fit, one = _glm(df, y, xs, "logistic", logit_step)
     fit.extra["separation"] = separated(fit, one)
     out = firth(df, y, xs) if fit.extra["separation"] else fit
@@ -518,7 +522,7 @@ def fit_measures(fit: Fit) -> dict[str, float]:
     lr = 2 * (fit.loglik - fit.loglik_null)
     cox = 1 - math.exp(-lr / fit.n)
     most = 1 - math.exp(2 * fit.loglik_null / fit.n)
-    return {"lr": lr, "df": df, "p": dist.chi2_sf(lr, df) if df else math.nan, "mcfadden": 1 - fit.loglik / fit.loglik_null, "cox_snell": cox, "nagelkerke": cox / most, "aic": 2 * len(fit.coef) - 2 * fit.loglik}
+    return {"lr": lr, "df": df, "p": dist.chi2_sf(lr, df) if df else math.nan, "mcfadden": 1 - fit.loglik / fit.loglik_null if fit.loglik_null else math.nan, "cox_snell": cox, "nagelkerke": cox / most if most else math.nan, "aic": 2 * len(fit.coef) - 2 * fit.loglik}
 
 
 def linear_diagnostics(df: DataFrame, y: str, xs: list[str]) -> dict[str, float]:
@@ -531,7 +535,7 @@ def linear_diagnostics(df: DataFrame, y: str, xs: list[str]) -> dict[str, float]
     rss1, rss2 = fit.extra["sigma2"] * (n - k), reset.extra["sigma2"] * (n - k - 1)
     f = (rss1 - rss2) / (rss2 / (n - k - 1))
     shape = rows.agg(F.skewness("e").alias("s"), F.kurtosis("e").alias("k")).first()
-    gram = summed(patterns(design(df, y, xs)), lambda yv, x, m: ((x * m[:, None]).T @ x).ravel(), k * k).reshape(k, k)
+    gram = _least_squares_sums(design(df, y, xs), k)[0]
     inverse, s2 = np.linalg.pinv(gram), fit.extra["sigma2"]
     x = F.array(F.lit(1.0), *[d(F.col(c)) for c in xs])
     h = sum((F.lit(float(inverse[i, j])) * x[i] * x[j] for i in range(k) for j in range(k)), F.lit(0.0))
@@ -543,7 +547,14 @@ def model_kind(outcome_kind: str) -> str:
     return {"binary": "logistic", "nominal": "multinomial", "ordinal": "ordinal", "count": "poisson"}.get(outcome_kind, "linear")
 
 
-def fit_kind(df: DataFrame, y: str, xs: list[str], kind: str) -> Fit:
+def fit_kind(df: DataFrame, y: str, xs: list[str], kind: str, cluster: str | None = None) -> Fit:
+    """The model of a kind of outcome; with a cluster, linear, logistic and Poisson ones have errors robust to it."""
+    if cluster and kind in ("linear", "logistic", "poisson"):
+        rows = df.where(F.col(cluster).isNotNull())
+        if kind == "linear":
+            return ols(rows, y, xs, cluster)
+        fit = fit_kind(rows, y, xs, kind)
+        return clustered(rows, y, xs, cluster, fit) if fit.kind in ("logistic", "firth", "poisson") else fit
     return {"linear": ols, "logistic": logistic, "poisson": poisson, "multinomial": multinomial, "ordinal": ordinal}[kind](df, y, xs)
 
 

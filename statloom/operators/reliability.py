@@ -1,4 +1,4 @@
-"""How far results can be trusted: bootstrap optimism, cross-validation against boosted trees, specification search."""
+"""How far results can be trusted: bootstrap optimism, specification search, the scorecard."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +14,7 @@ from statloom.functions.expressions import d
 from statloom.operators.order import adjust_p, quantiles
 from statloom.operators.regression import design, fit_kind
 
-SEED, REPLICATES, FOLDS = 42, 200, 5
+SEED, REPLICATES = 42, 200
 #: Ranges of the score that AUC counts are kept in: quantiles of the whole table's score, each split in equal parts.
 SCORE_QUANTILES, SCORE_PARTS = 128, 8
 MOST_STEPS, TOLERANCE, RIDGE = 30, 1e-8, 1e-6
@@ -166,33 +162,6 @@ def _linear_optimism(rows: DataFrame, k: int, replicates: int) -> dict[str, floa
     return {"apparent": apparent, "optimism": optimism, "corrected": apparent - optimism, "slope": math.nan}
 
 
-def cross_validated(df: DataFrame, y: str, xs: list[str], binary: bool, cluster: str | None = None, folds: int = FOLDS) -> DataFrame:
-    """fold, model, measure: the usual model against boosted trees, AUC or R squared on held-out folds.
-
-    Folds come from a hash of the cluster, so that clusters stay whole, or of the row's values without one.
-    """
-    from statloom.operators.regression import auc, predictions
-
-    rows = df.where(" and ".join(f"`{c}` is not null" for c in [y, *xs]))
-    fold = F.pmod(F.xxhash64(F.lit(SEED), *([F.col(cluster)] if cluster else [F.col(c) for c in [y, *xs]])), F.lit(folds)).cast("int")
-    rows = rows.select(d(F.col(y)).alias("y"), *[d(F.col(c)).alias(c) for c in xs], fold.alias("fold")).persist()
-    assemble = VectorAssembler(inputCols=xs, outputCol="features")
-    tree = GBTClassifier if binary else GBTRegressor
-    r2 = lambda p: p.agg((1.0 - F.sum((F.col("y") - F.col("fitted")) * (F.col("y") - F.col("fitted"))) / (F.var_pop("y") * F.count("y"))).alias("m")).first()["m"]
-    out = []
-    for k in range(folds):
-        train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
-        usual = predictions(test, "y", xs, fit_kind(train, "y", xs, "logistic" if binary else "linear"))
-        model = tree(labelCol="y", featuresCol="features", maxIter=20, stepSize=0.1, maxDepth=4, seed=SEED).fit(assemble.transform(train))
-        boosted = model.transform(assemble.transform(test))
-        value = vector_to_array("probability")[1] if binary else F.col("prediction")
-        boosted = boosted.select("y", value.alias("fitted"))
-        for name, p in (("usual", usual), ("boosted", boosted)):
-            out.append((k, name, auc(p).first()["auc"] if binary else r2(p)))
-    rows.unpersist()
-    return df.sparkSession.createDataFrame(out, "fold int, model string, measure double")
-
-
 def spline_knots(df: DataFrame, x: str) -> list[float]:
     return quantiles(df.select(d(F.col(x)).alias("x")), "x", [0.05, 0.35, 0.65, 0.95]).first()["q"]
 
@@ -206,8 +175,9 @@ def spline_basis(x: Column, knots: list[float]) -> list[Column]:
     return [one(a), one(b)]
 
 
-def specification_search(df: DataFrame, y: str, xs: list[str], kind: str, pairs: int = 6) -> DataFrame:
-    """term, lr, df, p, p_holm: gain from a spline of each number with ten values or more, and from interactions."""
+def specification_search(df: DataFrame, y: str, xs: list[str], kind: str, pairs: int = 6, importance: dict[str, float] | None = None) -> DataFrame:
+    """term, lr, df, p, p_holm: gain from a spline of each number with ten values or more, and from interactions among
+    the four most important columns (the first four where importance says nothing)."""
     rows = df.where(" and ".join(f"`{c}` is not null" for c in [y, *xs]))
     base = fit_kind(rows, y, xs, kind)
     distinct = rows.agg(*[F.count_distinct(c).alias(c) for c in xs]).first()
@@ -218,7 +188,8 @@ def specification_search(df: DataFrame, y: str, xs: list[str], kind: str, pairs:
             wide = rows.select("*", *[c.alias(f"_s{i}") for i, c in enumerate(spline_basis(F.col(x), knots))])
             lr = max(0.0, 2 * (fit_kind(wide, y, [*xs, "_s0", "_s1"], kind).loglik - base.loglik))
             out.append((f"spline({x})", float(lr), 2, float(dist.chi2_sf(lr, 2))))
-    for a, b in [(a, b) for i, a in enumerate(xs[:4]) for b in xs[i + 1 : 4]][:pairs]:
+    leading = sorted(xs, key=lambda c: -(importance or {}).get(c, 0.0))[:4]
+    for a, b in [(a, b) for i, a in enumerate(leading) for b in leading[i + 1 :]][:pairs]:
         wide = rows.withColumn("_i", d(F.col(a)) * d(F.col(b)))
         lr = max(0.0, 2 * (fit_kind(wide, y, [*xs, "_i"], kind).loglik - base.loglik))
         out.append((f"{a} x {b}", float(lr), 1, float(dist.chi2_sf(lr, 1))))

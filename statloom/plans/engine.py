@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions import dist
-from statloom.operators import audit, bivariate, catalog, describe, factorial, hypotheses, multilevel, privacy, regression, reliability, survival
+from statloom.operators import audit, bivariate, boosting, catalog, describe, factorial, hypotheses, multilevel, privacy, regression, reliability, survival
 from statloom.operators.cleaning import complete_cases, event_level, reference_level
 from statloom.functions.expressions import category_text
 from statloom.operators.order import adjust_p
@@ -40,6 +40,7 @@ class AnalysisPlan:
     random_slope: str | None = None
     alpha: float = 0.05
     nonparametric: bool = False
+    boosting_rounds: int = 300
 
     @classmethod
     def from_json(cls, text: str) -> AnalysisPlan:
@@ -67,7 +68,7 @@ def coded(df: DataFrame, plan: AnalysisPlan, kinds: dict[str, catalog.Variable])
         for level in names:
             if level != reference:
                 name = f"{x}[{level}]"
-                df = df.withColumn(name, F.when(F.col(x).isNotNull(), (F.col(x).cast("string") == level).cast("double")))
+                df = df.withColumn(name, F.when(F.col(x).isNotNull(), (category_text(F.col(x)) == level).cast("double")))
                 xs.append(name)
     return df, xs
 
@@ -98,10 +99,10 @@ def numeric_columns(df: DataFrame, plan: AnalysisPlan, kinds: dict[str, catalog.
     model = regression.model_kind(kind)
     if kind == "binary":
         yes = event_level(catalog.categories(df, outcome), plan.event_level)
-        df = df.withColumn("_y", F.when(F.col(outcome).isNotNull(), (F.col(outcome).cast("string") == yes).cast("double")))
+        df = df.withColumn("_y", F.when(F.col(outcome).isNotNull(), (category_text(F.col(outcome)) == yes).cast("double")))
     elif kind == "ordinal":
         names = catalog.categories(df, outcome, plan.orders.get(outcome))
-        df = df.withColumn("_y", (F.array_position(F.array(*[F.lit(c) for c in names]), F.col(outcome).cast("string")) - 1).cast("double"))
+        df = df.withColumn("_y", (F.array_position(F.array(*[F.lit(c) for c in names]), category_text(F.col(outcome))) - 1).cast("double"))
     else:
         df = df.withColumn("_y", F.col(outcome))
     df, xs = coded(df, plan, kinds)
@@ -164,6 +165,28 @@ def diagnostics(rows: DataFrame, y: str, xs: list[str], fit: regression.Fit) ->
     return {k: float(v) for k, v in found.items() if v is not None}
 
 
+def reliability_tables(rows: DataFrame, plan: AnalysisPlan, y: str, xs: list[str], owner: dict[str, str], model: str, left_out: float) -> dict[str, DataFrame]:
+    """Cross-validation against boosted trees, importance of the variables, the specification search that it leads, and
+    the scorecard. owner: the variable that each column of xs stands for."""
+    spark, binary = rows.sparkSession, model == "logistic"
+    groups: dict[str, list[str]] = {}
+    for x in xs:
+        groups.setdefault(owner[x], []).append(x)
+    measures, importance = boosting.cross_validated(rows, y, xs, binary, plan.cluster, groups, boosting.Settings(rounds=plan.boosting_rounds))
+    found = {r["variable"]: r["importance"] for r in importance.collect()}  # a row a variable
+    per = {r["model"]: r["m"] for r in measures.groupBy("model").agg(F.avg("measure").alias("m")).collect()}
+    boot = reliability.bootstrap(rows, y, xs, binary)
+    vif = regression.vif(rows, xs)
+    values = {"left_out": left_out, "vif_max": max(vif.values()) if vif else None, "boosting_gain": per["boosted"] - per["usual"]}
+    if binary:
+        values |= {"auc_corrected": boot["corrected"], "calibration_slope": boot["slope"]}
+    return {
+        "cross_validation": measures, "importance": spark.createDataFrame(list(found.items()), "variable string, importance double"),
+        "specification": reliability.specification_search(rows, y, xs, model, importance={x: found[owner[x]] for x in xs}),
+        "bootstrap": spark.createDataFrame([(k, float(v)) for k, v in boot.items()], "measure string, value double"), "reliability": reliability.scorecard(spark, values),
+    }
+
+
 def run(df: DataFrame, plan: AnalysisPlan, key: bytes = b"") -> dict[str, DataFrame]:
     """Result tables by name. Privacy actions come first, then typing, then the analyses asked for."""
     spark = df.sparkSession
@@ -200,7 +223,7 @@ def run(df: DataFrame, plan: AnalysisPlan, key: bytes = b"") -> dict[str, DataFr
         left = told.first()
         results["cases"] = told.withColumn("warning", F.when(F.col("left_out") > MOST_LEFT_OUT, "many rows left out"))
         if quoted and left["n_used"] >= LEAST_ROWS:
-            fit = regression.fit_kind(rows, y, quoted, model)
+            fit = regression.fit_kind(rows, y, quoted, model, plan.cluster)
             results["coefficients"] = fit.table(spark)
             owner = {q: c.split("[")[0] for c, q in zip(xs, quoted, strict=True)}
             named = F.coalesce(*[F.when(F.col("term") == q, v) for q, v in owner.items()])
@@ -209,9 +232,17 @@ def run(df: DataFrame, plan: AnalysisPlan, key: bytes = b"") -> dict[str, DataFr
                 results["diagnostics"] = spark.createDataFrame(list(diagnostics(rows, y, quoted, fit).items()), "measure string, value double")
             if model in ("logistic", "poisson"):
                 results["fit"] = spark.createDataFrame([(k, float(v)) for k, v in regression.fit_measures(fit).items()], "measure string, value double")
-            if model == "logistic" and fit.kind in ("logistic", "firth") and "reliability" in plan.analyses:
-                boot = reliability.bootstrap(rows, y, quoted, True)
-                results["reliability"] = reliability.scorecard(spark, {"auc_corrected": boot["corrected"], "calibration_slope": boot["slope"], "left_out": left["left_out"], "vif_max": max(regression.vif(rows, quoted).values())})
+            if model in ("logistic", "linear", "poisson") and len(quoted) > 1:
+                results["crude_adjusted"] = regression.crude_and_adjusted(rows, y, quoted, model, plan.alpha)
+            if model == "ordinal":
+                results["parallel_lines"] = spark.createDataFrame([(k, float(v)) for k, v in regression.brant(rows, y, quoted).items()], "measure string, value double")
+            if plan.level2 and model != "multinomial":
+                second = [q for q, v in owner.items() if v in plan.level2]
+                first = [q for q in quoted if q not in second]
+                if first and second:
+                    results["nested"] = regression.nested(rows, y, [first, second], model)
+            if model in ("logistic", "linear") and "reliability" in plan.analyses:
+                results |= reliability_tables(rows, plan, y, quoted, owner, model, left["left_out"])
             if plan.cluster and "multilevel" in plan.analyses and model in ("logistic", "linear"):
                 second = [q for q, v in owner.items() if v in plan.level2]
                 results["multilevel"] = multilevel.staged(rows, y, [q for q in quoted if q not in second], second, plan.cluster, model == "logistic", plan.random_slope)

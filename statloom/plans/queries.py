@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import dist, text
 from statloom.functions.expressions import association_grade, d, p_stars
-from statloom.operators import audit, bivariate, catalog, cleaning, describe, factorial, guards, literature, multilevel, order, privacy, regression, reliability, results, survival
+from statloom.operators import audit, bivariate, boosting, catalog, cleaning, describe, factorial, guards, literature, multilevel, order, privacy, regression, reliability, results, survival
 from statloom.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -747,3 +747,10 @@ def spline_columns(t):
     rows = t("lineitem")
     a, b = reliability.spline_basis(F.col("l_quantity"), reliability.spline_knots(rows, "l_quantity"))
     return rows.select("l_orderkey", "l_linenumber", a.alias("s1"), b.alias("s2"))
+
+
+@query(None, "importance")
+def boosted_importance(t):
+    """What held-out AUC loses when a variable comes from another order's row, for whether an order is fulfilled."""
+    rows = t("orders").select((F.col("o_orderstatus") == "F").cast("double").alias("y"), d(F.col("o_totalprice")).alias("price"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), "o_custkey")
+    return boosting.cross_validated(rows, "y", ["price", "year", "month"], True, "o_custkey", {"price": ["price"], "date": ["year", "month"]}, boosting.Settings(rounds=3, rate=0.3))[1]

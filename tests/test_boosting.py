@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from statloom.operators import boosting
 from statloom.operators.boosting import Settings
+from statloom.operators.regression import fit_kind, logistic
+from statloom.plans.engine import AnalysisPlan, run
 
 
 def brute(y, bins, fold, settings, binary):
@@ -87,3 +89,19 @@ def test_quality(table, spark):
     rows = [(0, "v", 1.0, 0.9), (0, "v", 0.0, 0.9), (0, "v", 0.0, 0.1), (0, None, 1.0, 0.2), (0, None, 0.0, 0.4)]
     got = {r["variable"]: r["measure"] for r in boosting.quality(spark.createDataFrame(rows, "fold int, variable string, y double, score double"), ["fold", "variable"], True).collect()}
     assert got == {"v": 0.75, "": 0.0}
+
+
+def test_engine(table):
+    plan = AnalysisPlan(outcome="y", explanatory=("a", "b", "c"), cluster="house", level2=("c",), analyses=("model", "reliability"), kinds={"y": "binary", "a": "continuous", "b": "continuous", "c": "nominal"}, boosting_rounds=3)
+    found = run(table, plan)
+    assert {r["variable"] for r in found["importance"].collect()} == {"a", "b", "c"}
+    assert {r["criterion"] for r in found["reliability"].collect()} >= {"boosting_gain", "auc_corrected", "vif_max"}
+    assert found["specification"].where("term LIKE '% x %'").count() == 6 and found["nested"].agg(F.max("model")).first()[0] == 2
+    rows = table.where("y is not null").withColumns({"c1": (F.col("c") == 1).cast("double")})
+    assert not np.allclose(fit_kind(rows, "y", ["a", "b"], "logistic", "house").se, fit_kind(rows, "y", ["a", "b"], "logistic").se)
+
+
+@pytest.mark.parametrize("value", [0.0, 1.0])
+def test_outcome_with_one_class(table, value):
+    fit = logistic(table.withColumn("y", F.lit(value)), "y", ["a", "b"])
+    assert fit.kind == "firth" and np.all(np.isfinite(fit.coef)) and (fit.coef[0] > 0) == (value == 1.0)
