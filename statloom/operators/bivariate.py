@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import dist
 from statloom.functions.expressions import Z_95, d, fisher_z, odds_ratio, ratio
+from statloom.operators.describe import shapiro
 from statloom.operators.order import adjust_p, quantiles, tie_sum, value_ranks
 
 
@@ -209,6 +210,19 @@ def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     return one.select(F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), "u", (F.greatest(F.lit(0.0), away - 0.5) / sd).alias("z"), (-(1.0 - 2.0 * F.col("u") / (F.col("n1") * F.col("n2")))).alias("effect"))
 
 
+#: Rows of the smaller group up to which U's exact distribution is used, where no values are tied.
+EXACT_ROWS = 8
+
+
+def mann_whitney_p(df: DataFrame, value: str, group: str) -> DataFrame:
+    """mann_whitney() with p and exact: the exact p where a group has at most EXACT_ROWS rows and no values are tied, else
+    that of z."""
+    one = mann_whitney(df, value, group).crossJoin(_ties(df, value, group))  # one row each
+    exact = (F.least("n1", "n2") <= EXACT_ROWS) & (F.col("ties") == 0)
+    asked = [F.when(exact, F.col(c)) for c in ("n1", "n2", "u")]
+    return one.withColumn("exact", exact).withColumn("p", F.coalesce(dist.p_mann_whitney(*asked), dist.p_normal(F.col("z")))).drop("ties")
+
+
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     """Tie-corrected H, its df, epsilon squared."""
     sums = rank_sums(df, value, group)
@@ -280,14 +294,8 @@ SMALL_GROUP, MOST_SKEW = 30, 1.0
 def near_normal(df: DataFrame, value: str, group: str) -> DataFrame:
     """group, ok: below 3 rows no; from 30 on by skewness; between them by Shapiro-Wilk at 5 %."""
     g = group_moments(df, value, group)
-    small = g.where((F.col("n") >= 3) & (F.col("n") < SMALL_GROUP)).select("group")
-    rows = _pairs(df, value, group).select(F.col(group).cast("string").alias("group"), d(F.col(value)).alias("x")).join(F.broadcast(small), "group")
-
-    @F.pandas_udf("double")
-    def shapiro_p(x: pd.Series) -> float:
-        return float(dist.shapiro(x.to_numpy())[1])
-
-    tested = rows.groupBy("group").agg(shapiro_p(F.col("x")).alias("p"))
+    rows = _pairs(df, value, group).select(F.col(group).cast("string").alias("group"), d(F.col(value)).alias("x"))
+    tested = shapiro(rows, "x", ["group"], 3, SMALL_GROUP - 1).select("group", "p")
     ok = F.when(F.col("n") < 3, False).when(F.col("n") >= SMALL_GROUP, F.abs("skewness") <= MOST_SKEW).otherwise(F.coalesce(F.col("p") >= 0.05, F.lit(False)))
     return g.join(tested, "group", "left").select("group", "n", F.coalesce(ok, F.lit(False)).alias("ok"))
 
@@ -308,8 +316,8 @@ def compare_groups(df: DataFrame, value: str, group: str, nonparametric: bool =
         if ok:
             f = welch_t(df, value, group)
             return row(f, "Welch t", F.col("t"), F.col("df"), none, dist.p_t(F.col("t"), F.col("df")), F.col("cohen_d"), "Cohen d")
-        f = mann_whitney(df, value, group)
-        return row(f, "Mann-Whitney", F.col("u"), none, none, dist.p_normal(F.col("z")), F.col("effect"), "rank-biserial")
+        f = mann_whitney_p(df, value, group)
+        return row(f, "Mann-Whitney", F.col("u"), none, none, F.col("p"), F.col("effect"), "rank-biserial")
     if ok:
         spread = levene(df, value, group)
         equal = spread.select(dist.p_f(F.col("w"), F.col("df1"), F.col("df2")).alias("p")).first()["p"]

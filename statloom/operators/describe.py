@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statloom.functions import dist
 from statloom.functions.expressions import d, ratio, wilson
-from statloom.operators.order import quantiles
+from statloom.operators.order import quantiles, running_sums
 
 
 def frequencies(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:
@@ -69,6 +70,59 @@ def dagostino(df: DataFrame, column: str, by: list[str] | None = None) -> DataFr
     return m.select(*by, F.col("n").cast("long").alias("n"), "z_skew", "z_kurt", "k2", F.exp(-F.col("k2") / 2.0).alias("p"))
 
 
+#: Values from which on Shapiro-Wilk's approximation isn't used.
+MOST_SHAPIRO = 5000
+
+
+def shapiro(df: DataFrame, column: str, by: list[str] | None = None, least: int = 3, most: int = MOST_SHAPIRO) -> DataFrame:
+    """Shapiro-Wilk by group: n, w, p of the groups with least to most valid values that aren't all equal. Rows whose `by`
+    is null are left out.
+
+    Distinct values get their places from counts, so no task gathers a group; a place's weight is an expression of the
+    place and n alone, and a value that takes several places is weighed by each of them.
+    """
+    by = by or []
+    rows = df.na.drop(subset=[column, *by]).select(*by, d(F.col(column)).alias("_x")).where(~F.isnan("_x"))
+    groups = rows.groupBy(*by).agg(F.count("*").alias("_n"), (F.var_pop("_x") * F.count("*")).alias("_ss"), (F.min("_x") < F.max("_x")).alias("_spread")).where(F.col("_n").between(least, most) & F.col("_spread"))
+    told = groups.select(*by, "_n", "_ss")
+    counted = rows.groupBy(*by, "_x").agg(F.count("*").alias("_ties"))
+    counted = counted.join(told, by) if by else counted.crossJoin(F.broadcast(told))  # one row without groups
+    placed = running_sums(counted, "_x", {"_ties": "_before"}, by).withColumn("_i", F.explode(F.sequence(F.col("_before") + 1, F.col("_before") + F.col("_ties"))))
+    n = d(F.col("_n"))
+    m = dist.normal_quantile((d(F.col("_i")) - 0.375) / (n + 0.25))
+    last = lambda c, back=0: F.max(F.when(F.col("_i") == F.col("_n") - back, F.col(c)))
+    first = lambda i: F.max(F.when(F.col("_i") == i, F.col("_x")))
+    sums = [F.sum(F.col("_m") * F.col("_m")).alias("_mm"), F.sum(F.col("_m") * F.col("_x")).alias("_mx"), (last("_x") - first(1)).alias("_outer"), (last("_x", 1) - first(2)).alias("_inner"), last("_m").alias("_high"), last("_m", 1).alias("_second")]
+    one = placed.withColumn("_m", m).groupBy(*by, "_n", "_ss").agg(*sums)
+    high, second = F.col("_high"), F.col("_second")
+    u, mm, outer, inner = 1.0 / F.sqrt(n), F.col("_mm"), F.col("_outer"), F.col("_inner")
+
+    def power(*coefficients: float) -> Column:
+        """A polynomial of u without constant term, lowest power first."""
+        total = F.lit(0.0)
+        for c in coefficients[::-1]:
+            total = (total + F.lit(c)) * u
+        return total
+
+    weights = {"_a1": high / F.sqrt(mm) + power(0.221157, -0.147981, -2.07119, 4.434685, -2.706056), "_a2": second / F.sqrt(mm) + power(0.042981, -0.293762, -1.752461, 5.682633, -3.582633)}
+    one, a1, a2 = one.withColumns(weights), F.col("_a1"), F.col("_a2")
+    few = a1 * outer + (F.col("_mx") - high * outer) / F.sqrt((mm - 2.0 * high * high) / (1.0 - 2.0 * a1 * a1))
+    many = a1 * outer + a2 * inner + (F.col("_mx") - high * outer - second * inner) / F.sqrt((mm - 2.0 * high * high - 2.0 * second * second) / (1.0 - 2.0 * a1 * a1 - 2.0 * a2 * a2))
+    top = F.when(F.col("_n") == 3, F.sqrt(F.lit(0.5)) * outer).when(F.col("_n") <= 5, few).otherwise(many)
+    w = F.least(F.lit(1.0), top * top / F.col("_ss"))
+    return one.select(*by, F.col("_n").alias("n"), w.alias("w")).withColumn("p", dist.p_shapiro(F.col("w"), F.col("n")))
+
+
+def normality(df: DataFrame, columns: list[str]) -> DataFrame:
+    """variable, n, test, statistic, p: Shapiro-Wilk up to MOST_SHAPIRO values, D'Agostino-Pearson above. Columns with
+    fewer than three values or one value only have no row."""
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), d(F.col(c)).alias("x")) for c in columns])).alias("v")).select("v.*").where("x is not null")
+    small = shapiro(rows, "x", ["variable"]).select("variable", "n", F.lit("Shapiro-Wilk").alias("test"), F.col("w").alias("statistic"), "p")
+    spread = rows.groupBy("variable").agg((F.min("x") < F.max("x")).alias("spread")).where("spread").select("variable")
+    large = dagostino(rows, "x", ["variable"]).join(spread, "variable").where(F.col("n") > MOST_SHAPIRO).select("variable", "n", F.lit("D'Agostino-Pearson").alias("test"), F.col("k2").alias("statistic"), "p")
+    return small.unionByName(large.where(F.col("statistic").isNotNull() & ~F.isnan("statistic") & ~F.isnan("p")))
+
+
 def histogram(df: DataFrame, column: str) -> DataFrame:
     """bin, low, high, n. The number of bins is the larger of the Sturges and Freedman-Diaconis ones."""
     x = d(F.col(column))

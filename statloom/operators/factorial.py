@@ -6,8 +6,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,14 +131,36 @@ def mca_scores(df: DataFrame, xs: list[str], result: dict, keep: list[str], axes
     return rows.select(*keep, *columns)
 
 
-#: Rows up to which Ward's method runs; more are clustered by k-means. Rows that the silhouette looks at.
-WARD_ROWS, SILHOUETTE_ROWS = 6000, 3000
+#: Most leaves that Ward's method joins, and halvings of the axes' spans among which their width is sought.
+MOST_LEAVES, HALVINGS = 5000, 24
 
 
-def ward(points: np.ndarray, k: int) -> np.ndarray:
-    """Ward's clustering of a bounded number of points, by a chain of nearest neighbours; labels from 0."""
+def clustering_features(scores: DataFrame, axes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """scores with the columns _c0, _c1 ... that name each row's leaf, and the leaves: these columns, n, and by axis the
+    sum s0, s1 ... of their rows.
+
+    Leaves are sums that merge, so Spark adds them up in partitions first. Where there are at most MOST_LEAVES distinct
+    points each is a leaf; else leaves are cells of a grid, the finest one with no more of them.
+    """
+    x = [d(F.col(c)) for c in axes]
+    cells = [c.alias(f"_c{i}") for i, c in enumerate(x)]
+    if scores.select(*cells).distinct().limit(MOST_LEAVES + 1).count() > MOST_LEAVES:
+        spans = scores.agg(*[F.min(c).alias(f"low{i}") for i, c in enumerate(x)], *[F.max(c).alias(f"high{i}") for i, c in enumerate(x)]).first()
+        low, span = [spans[f"low{i}"] for i in range(len(axes))], max(spans[f"high{i}"] - spans[f"low{i}"] for i in range(len(axes)))
+        grid = lambda k: [F.floor((c - F.lit(low[i])) * F.lit(2.0**k / span)).cast("double").alias(f"_c{i}") for i, c in enumerate(x)]
+        tried = scores.select(F.posexplode(F.array(*[F.xxhash64(*grid(k)) for k in range(HALVINGS)])).alias("k", "cell"))
+        counts = {r["k"]: r["n"] for r in tried.groupBy("k").agg(F.approx_count_distinct("cell", 0.02).alias("n")).collect()}  # a row a halving
+        k = max((k for k in range(HALVINGS) if counts[k] <= 0.9 * MOST_LEAVES), default=0)
+        cells = grid(k)
+    told = scores.select("*", *cells)
+    leaves = told.groupBy(*[f"_c{i}" for i in range(len(axes))]).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)])
+    return told, leaves
+
+
+def ward_merges(points: np.ndarray, sizes: np.ndarray) -> list[tuple[float, int, int]]:
+    """Ward's merges of a bounded number of points with sizes, by a chain of nearest neighbours."""
     n = len(points)
-    centre, size, alive = points.astype(float).copy(), np.ones(n), np.ones(n, dtype=bool)
+    centre, size, alive = points.astype(float).copy(), sizes.astype(float).copy(), np.ones(n, dtype=bool)
     merges, chain = [], []
     for _ in range(n - 1):
         if not chain:
@@ -159,6 +179,11 @@ def ward(points: np.ndarray, k: int) -> np.ndarray:
         total = size[i] + size[j]
         centre[i] = (size[i] * centre[i] + size[j] * centre[j]) / total
         size[i], alive[j] = total, False
+    return sorted(merges)
+
+
+def cut_tree(merges: list[tuple[float, int, int]], n: int, k: int) -> np.ndarray:
+    """Labels from 0 of n points after all but the last k - 1 merges."""
     parent = list(range(n))
 
     def root(a: int) -> int:
@@ -167,52 +192,53 @@ def ward(points: np.ndarray, k: int) -> np.ndarray:
             a = parent[a]
         return a
 
-    for _, i, j in sorted(merges)[: n - k]:
+    for _, i, j in merges[: max(0, n - k)]:
         parent[root(i)] = root(j)
     return np.unique([root(a) for a in range(n)], return_inverse=True)[1]
 
 
-def silhouette(points: np.ndarray, labels: np.ndarray) -> float:
-    """Mean Euclidean silhouette of a bounded sample, block by block."""
+def silhouette(points: np.ndarray, labels: np.ndarray, sizes: np.ndarray) -> float:
+    """Mean Euclidean silhouette of the rows of a bounded number of leaves, block by block; rows of a leaf lie at its centre."""
     classes = np.unique(labels)
     if len(classes) < 2:
         return -1.0
     total, squares = 0.0, np.sum(points**2, axis=1)
-    counts = np.array([np.sum(labels == c) for c in classes])
     own = np.searchsorted(classes, labels)
+    member = (own[:, None] == np.arange(len(classes))) * sizes[:, None].astype(float)
+    counts = member.sum(axis=0)
     for a in range(0, len(points), 500):
         gap = np.sqrt(np.maximum(squares[a : a + 500, None] + squares[None, :] - 2 * points[a : a + 500] @ points.T, 0))
-        sums = np.stack([gap[:, labels == c].sum(axis=1) for c in classes], axis=1)
-        me = own[a : a + 500]
+        gap[np.arange(len(gap)), np.arange(a, a + len(gap))] = 0.0
+        sums, me = gap @ member, own[a : a + 500]
         at = np.arange(len(me))
         inner = sums[at, me] / np.maximum(counts[me] - 1, 1)
         means = sums / counts
         means[at, me] = np.inf
         outer = means.min(axis=1)
-        total += np.sum(np.where(counts[me] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0))
-    return float(total / len(points))
+        total += np.sum(sizes[a : a + 500] * np.where(counts[me] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0))
+    return float(total / sizes.sum())
 
 
 def classify(scores: DataFrame, axes: list[str], key: str, ks: range = range(2, 8)) -> tuple[DataFrame, int]:
-    """key and class of each row, and the number of classes with the best mean silhouette on a bounded sample."""
-    n = scores.count()
-    if n <= WARD_ROWS:
-        local = scores.select(key, *axes).orderBy(key).toPandas()
-        points = local[axes].to_numpy(dtype=float)
-        some = np.random.default_rng(SEED).permutation(n)[:SILHOUETTE_ROWS]
-        best = max(ks, key=lambda k: (silhouette(points[some], ward(points, k)[some]), -k))
-        local["class"] = ward(points, best) + 1
-        return scores.sparkSession.createDataFrame(local[[key, "class"]]), best
-    features = VectorAssembler(inputCols=axes, outputCol="features").transform(scores).persist()
-    some = features.orderBy(F.xxhash64(F.lit(SEED), key), key).limit(SILHOUETTE_ROWS)
-    best = None
-    for k in ks:
-        model = KMeans(k=k, seed=SEED, initSteps=5).fit(features)
-        local = model.transform(some).select(*axes, "prediction").toPandas()
-        value = silhouette(local[axes].to_numpy(dtype=float), local["prediction"].to_numpy())
-        if best is None or value > best[0]:
-            best = (value, k, model)
-    return best[2].transform(features).select(key, (F.col("prediction") + 1).alias("class")), best[1]
+    """key and class of each row, by Ward's method, and the number of classes with the best mean silhouette.
+
+    Ward joins the leaves of clustering_features() by their sizes, at any number of rows; up to MOST_LEAVES distinct
+    points the classes are those of Ward's method on the rows themselves. Rows with a missing coordinate have no class.
+    """
+    rows = scores.na.drop(subset=axes)
+    told, leaves = clustering_features(rows, axes)
+    names = [f"_c{i}" for i in range(len(axes))]
+    local = leaves.toPandas().sort_values(names, ignore_index=True)  # at most about MOST_LEAVES rows
+    if not len(local):
+        return rows.select(key, F.lit(1).cast("long").alias("class")), 1
+    sizes = local["n"].to_numpy()
+    points = local[[f"s{i}" for i in range(len(axes))]].to_numpy(dtype=float) / sizes[:, None]
+    merges = ward_merges(points, sizes)
+    labels = {k: cut_tree(merges, len(points), k) for k in ks if k <= len(points)} or {1: np.zeros(len(points), dtype=int)}
+    best = max(labels, key=lambda k: (silhouette(points, labels[k], sizes), -k))
+    local["class"] = labels[best] + 1
+    named = scores.sparkSession.createDataFrame(local[[*names, "class"]])
+    return told.join(F.broadcast(named), names).select(key, F.col("class").cast("long").alias("class")), best
 
 
 def class_profile(df: DataFrame, klass: str, categorical: list[str], numeric: list[str]) -> DataFrame:

@@ -207,6 +207,7 @@ def run(df: DataFrame, plan: AnalysisPlan, key: bytes = b"") -> dict[str, DataFr
         numbers = [c for c in used if kinds[c].kind in NUMERIC]
         if numbers:
             results["numbers"] = describe.quantitative(df, numbers)
+            results["normality"] = describe.normality(df, numbers)
         tables = [describe.frequencies(df, c, plan.weight).withColumn("variable", F.lit(c)) for c in used if kinds[c].kind in ("binary", "nominal", "ordinal")]
         for t in tables:
             results["frequencies"] = results["frequencies"].unionByName(t) if "frequencies" in results else t

@@ -754,3 +754,58 @@ def boosted_importance(t):
     """What held-out AUC loses when a variable comes from another order's row, for whether an order is fulfilled."""
     rows = t("orders").select((F.col("o_orderstatus") == "F").cast("double").alias("y"), d(F.col("o_totalprice")).alias("price"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), "o_custkey")
     return boosting.cross_validated(rows, "y", ["price", "year", "month"], True, "o_custkey", {"price": ["price"], "date": ["year", "month"]}, boosting.Settings(rounds=3, rate=0.3))[1]
+
+
+def _sql_quantile(p: str) -> str:
+    """The normal quantile of p in SQL."""
+
+    def ratio(r: str, tables) -> str:
+        sums = []
+        for table in tables:
+            total = f"{table[-1]!r}e0" if "e" not in repr(table[-1]) else repr(table[-1])
+            for c in table[-2::-1]:
+                total = f"({total} * {r} + {c!r}{'' if 'e' in repr(c) else 'e0'})"
+            sums.append(total)
+        return f"{sums[0]} / {sums[1]}"
+
+    far = f"(sqrt(-ln(least({p}, 1e0 - ({p})))) - 1.6e0)"
+    return f"CASE WHEN abs({p} - 0.5e0) <= 0.425e0 THEN ({p} - 0.5e0) * {ratio(f'(0.180625e0 - ({p} - 0.5e0) * ({p} - 0.5e0))', dist.CENTRE)} ELSE sign({p} - 0.5e0) * {ratio(far, dist.SIDES)} END"
+
+
+@query(
+    f"""WITH r AS (SELECT c_nationkey AS nation, CAST(c_acctbal AS DOUBLE) AS x FROM customer WHERE c_acctbal IS NOT NULL),
+    v AS (SELECT nation, x, row_number() OVER (PARTITION BY nation ORDER BY x) AS i, count(*) OVER (PARTITION BY nation) AS n FROM r),
+    q AS (SELECT *, {_sql_quantile('((i - 0.375e0) / (n + 0.25e0))')} AS m FROM v),
+    s AS (SELECT nation, n, sum(m * m) AS mm, sum(m * x) AS mx, var_pop(x) * n AS ss, max(m) AS high, max(m) FILTER (i = n - 1) AS second, max(x) FILTER (i = n) - max(x) FILTER (i = 1) AS outer_, max(x) FILTER (i = n - 1) - max(x) FILTER (i = 2) AS inner_, 1e0 / sqrt(n) AS u FROM q GROUP BY nation, n),
+    a AS (SELECT *, high / sqrt(mm) + 0.221157e0*u - 0.147981e0*u*u - 2.07119e0*u*u*u + 4.434685e0*u*u*u*u - 2.706056e0*u*u*u*u*u AS a1, second / sqrt(mm) + 0.042981e0*u - 0.293762e0*u*u - 1.752461e0*u*u*u + 5.682633e0*u*u*u*u - 3.582633e0*u*u*u*u*u AS a2 FROM s WHERE n BETWEEN 6 AND 5000)
+    SELECT nation, n, power(a1 * outer_ + a2 * inner_ + (mx - high * outer_ - second * inner_) / sqrt((mm - 2e0*high*high - 2e0*second*second) / (1e0 - 2e0*a1*a1 - 2e0*a2*a2)), 2) / ss AS w FROM a""",
+    "w",
+)
+def shapiro_by_group(t):
+    """Shapiro-Wilk of the balances of each nation's customers."""
+    return describe.shapiro(t("customer"), "c_acctbal", ["c_nationkey"], 6).select(F.col("c_nationkey").alias("nation"), "n", "w")
+
+
+_BY_NATION = "SELECT n_regionkey AS g, row_number() OVER (ORDER BY avg(CAST(c_acctbal AS DOUBLE))) AS r, count(*) OVER () AS total FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey IN (0, 1) GROUP BY n_nationkey, n_regionkey"
+
+
+@query(
+    f"""WITH RECURSIVE v AS ({_BY_NATION}), sizes AS (SELECT count(*) FILTER (g = 0) AS n1, count(*) FILTER (g = 1) AS n2, CAST(sum(r) FILTER (g = 0) AS DOUBLE) - count(*) FILTER (g = 0) * (count(*) FILTER (g = 0) + 1) / 2e0 AS u FROM v),
+    w(i, k, s) AS (SELECT 0, 0, 0 UNION ALL SELECT w.i + 1, w.k + pick, w.s + pick * (w.i + 1) FROM w, (VALUES (0), (1)) p(pick), sizes WHERE w.i < n1 + n2),
+    us AS (SELECT s - n1 * (n1 + 1) / 2e0 AS x FROM w, sizes WHERE i = n1 + n2 AND k = n1)
+    SELECT n1, n2, u, least(1e0, 2e0 * (SELECT count(*) FROM us, sizes z WHERE x <= least(z.u, z.n1 * z.n2 - z.u)) / (SELECT count(*) FROM us)) AS p, true AS exact FROM sizes""",
+    "u p",
+    9,
+)
+def mannwhitney_exact(t):
+    """Mean balances of the nations of two regions: few groups, no ties, so U's exact distribution."""
+    per = t("customer").join(t("nation").where("n_regionkey in (0, 1)"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey", "n_regionkey").agg(F.avg(d(F.col("c_acctbal"))).alias("mean"))
+    return bivariate.mann_whitney_p(per, "mean", "n_regionkey").select("n1", "n2", "u", "p", "exact")
+
+
+@query(None)
+def ward_classes(t):
+    """Sizes of the classes of line items by price and quantity: Ward's method on leaves of the whole table."""
+    rows = t("lineitem").select(F.monotonically_increasing_id().alias("id"), (d(F.col("l_quantity")) / 50.0).alias("a"), (d(F.col("l_extendedprice")) / 100000.0).alias("b"))
+    classes, _ = factorial.classify(rows, ["a", "b"], "id")
+    return classes.groupBy("class").agg(F.count("*").alias("n"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 IDLE_MINUTES, ABSOLUTE_HOURS = 30, 8
@@ -105,6 +108,75 @@ def rate_limit(events: DataFrame, key: str, ts: str, seconds: int, limit: int, l
     return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, ts_us long, admitted boolean", "recent array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Sessions(StatefulProcessor):
+    """A key's events wait in a list until the watermark has passed them, so that they are taken in order of time; the
+    open session is a value. A timer at each event's time takes it up, one behind the idle time ends the session, and a
+    key without either leaves the state."""
+
+    def __init__(self, kind: str, idle_us: int, longest_us: int):
+        self.kind, self.idle, self.longest = kind, idle_us, longest_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "start_us long, end_us long, n long")
+        self.waiting = handle.getListState("waiting", "ts_us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = [int(t) for frame in rows for t in frame["ts_us"]]
+        self.waiting.appendList([(t,) for t in times])
+        for at in {t // 1000 + 1 for t in times}:
+            self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs() + 1))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+        times = sorted(t for (t,) in self.waiting.get())
+        session = self.open.get() if self.open.exists() else None
+        start, end, n = session if session else (0, 0, 0)
+        for t in [t for t in times if t <= passed]:
+            if n and t - end <= self.idle and t - start <= self.longest:
+                end, n = t, n + 1
+                continue
+            if n:
+                out.append((key[0], start, end, n))
+            start, end, n = t, t, 1
+        left = [(t,) for t in times if t > passed]
+        if len(left) < len(times):
+            self.waiting.put(left) if left else self.waiting.clear()
+        if n and passed > end + self.idle and not any(t - end <= self.idle for (t,) in left):
+            out.append((key[0], start, end, n))
+            n = 0
+        if n:
+            self.open.update((start, end, n))
+            self.handle.registerTimer(max((end + self.idle) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        elif self.open.exists():
+            self.open.clear()
+        yield pd.DataFrame(out, columns=["key", "start_us", "end_us", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_limited_sessions(events: DataFrame, key: str, ts: str, idle_minutes: int = IDLE_MINUTES, absolute_hours: int = ABSOLUTE_HOURS, late: str = "10 minutes") -> DataFrame:
+    """key, start_us, end_us, n of the sessions of a stream: those of limited_sessions(), none longer than absolute_hours.
+
+    A session appears once the watermark has passed its end by the idle time, or once a later event has been taken up;
+    then its key's state goes. Events within `late` of the newest may come in any order; rows without key or time are
+    left out. All is decided by event time, so a replay gives the same rows. Uses the RocksDB state store, which it sets
+    for the session.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    kind = dict(events.dtypes)[key]
+    timed = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("at")).withWatermark("at", late)
+    rows = timed.withColumn("ts_us", F.unix_micros("at"))
+    processor = _Sessions(kind, idle_minutes * 60_000_000, absolute_hours * 3_600_000_000)
+    told = rows.groupBy("key").transformWithStateInPandas(processor, f"key {kind}, start_us long, end_us long, n long", "Append", "EventTime")
+    return told.withColumnRenamed("key", key)
+
+
 def first_seen(events: DataFrame, key: str, ts: str, keep: str) -> DataFrame:
     """The first event of each key of a stream within the time that state is kept."""
     return events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", keep).dropDuplicatesWithinWatermark([key]).drop("_ts")
