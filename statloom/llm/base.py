@@ -36,11 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+#: Paths of the tables that stash() wrote and that are still there.
+_STASHED: list[str] = []
+
+
 def stash(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it back, which cuts its lineage. Returns it and its path."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path, compression="zstd")
+    _STASHED.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -54,8 +59,18 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{folder}/{tag}-{uuid.uuid4().hex}"
 
 
+def drop_earlier(docs: DataFrame) -> None:
+    """Delete the tables that stash() wrote, but for those that docs is read from. For a stage whose documents are the
+    written result of the ones before."""
+    files = docs.inputFiles()
+    for path in [p for p in _STASHED if not any(p.rsplit("/", 1)[1] in f for f in files)]:
+        drop(docs.sparkSession, path)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a table that stash() wrote."""
+    if path in _STASHED:
+        _STASHED.remove(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 

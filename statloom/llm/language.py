@@ -115,13 +115,13 @@ class Model:
 def fit(docs: DataFrame, most: int = MOST_PER_LANGUAGE) -> Model | None:
     """A model from at most `most` documents of each language outside the held-out fold, those of smallest hash."""
     rows = docs.where("lang is not null and text is not null").where(F.coalesce(fold("doc_id", FOLDS) != HELD_OUT, F.lit(False)))
-    # per language about twice the rows wanted are left by their hash; only these are ranked
+    # per language about twice the ids wanted are left by their hash; only these are ranked, each once
     own = F.xxhash64(F.lit(SEED), "doc_id")
-    share = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(2.0 * most + 300.0) / F.col("n")).alias("share"))
+    share = rows.groupBy("lang").agg(F.greatest(F.lit(1), F.approx_count_distinct("doc_id", 0.02)).alias("n")).select("lang", (F.lit(2.0 * most + 300.0) / F.col("n")).alias("share"))
     # one row per language, far less than the model holds of it; a shuffled join would gather a language's ids in one task
-    thinned = rows.select("doc_id", "lang").join(F.broadcast(share), "lang").where(uniform(own) < F.col("share"))
+    thinned = rows.select("doc_id", "lang").join(F.broadcast(share), "lang").where(uniform(own) < F.col("share")).select("doc_id", "lang").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(own, "doc_id"))
-    wanted = thinned.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "lang").distinct()
+    wanted = thinned.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,10 +1,11 @@
 """Mix sources to target weights with DataFrame functions only.
 
 The words of each source, its documents one after another in a fixed pseudorandom order, form blocks of equal length.
-Every output shard draws multinomial source counts, conditioned on the sources' totals over all shards: a pseudorandom
-permutation deals the slots of all sources to the shards, so no total strays from its target by more than a block. The
-k-th slot of a source takes block pi(k) of it, where pi is a pseudorandom permutation for each pass over the source; and
-slots and blocks meet in an equality join on source and block index.
+Every output shard draws its source counts: the whole part of what it expects of each source, and for its remaining
+slots a multinomial draw by the fractions left, which keeps a source's total within about the root of the number of
+shards of its target. The shards' counts, one after another, number a source's slots; its k-th slot takes block pi(k) of
+it, where pi is a pseudorandom permutation for each pass over the source; and slots and blocks meet in an equality join
+on source and block index.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from math import ceil, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.llm.base import WORD, dealt, stash
+from statloom.llm.base import WORD, dealt, stash, uniform
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_PASSES = 3
 BLOCK_WORDS = 32
-SHARD_SLOTS = 1024
+SHARD_SLOTS = 1 << 16
 ROUNDS = 12
 SEED = 7
 
@@ -74,48 +75,94 @@ def permuted(index: Column, size: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index, swap)
 
 
-def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, most: int = MOST_PASSES) -> DataFrame:
-    """One row per slot of the mix: source_id, shard and block. sources: source_id, source_size, target.
+def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, most: int = MOST_PASSES, seed: int = SEED) -> DataFrame:
+    """One row per slot of the mix: source_id, shard, slot (its number within the source) and block. sources: source_id,
+    source_size, target.
 
-    A source has as many slots as its target fills, rounded so that all sources together have the right number. A
-    permutation of all slots deals them to shards of shard_slots.
+    All shards have the same number of slots, about shard_slots. No source has more slots than `most` passes over it; a
+    shard is short of those that its draws would have beyond them.
     """
-    up_to = Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)
     blocks = F.ceil(F.col("source_size") / F.lit(float(block_words)))
-    drawn = sources.where("source_size > 0").withColumn("blocks", blocks).withColumn("share", F.col("target") * F.col("blocks") / F.col("source_size"))
-    drawn = drawn.withColumn("high", F.sum("share").over(up_to)).withColumn("n", (F.round("high") - F.round(F.col("high") - F.col("share"))).cast("long"))
-    drawn = drawn.withColumn("n", F.least("n", most * F.col("blocks")))
-    drawn = drawn.withColumn("low", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy())).where("n > 0")
-    # in chunks of about the root of their number, so that no task unrolls them all
-    step = F.ceil(F.sqrt("n")).cast("long")
-    chunks = drawn.withColumn("step", step).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("step")))))
-    each = dealt(chunks, "source_id", "chunk").select("source_id", "blocks", "low", "all", F.explode(F.sequence(F.col("chunk") * F.col("step"), F.least("n", (F.col("chunk") + 1) * F.col("step")) - 1)).alias("k"))
-    turn = F.floor(F.col("k") / F.col("blocks"))
-    shard = F.floor(permuted(F.col("low") + F.col("k"), F.col("all")) / F.lit(shard_slots))
-    return each.select("source_id", shard.alias("shard"), permuted(F.col("k") - turn * F.col("blocks"), F.col("blocks"), F.col("source_id"), turn).alias("block"))
-
-
-def plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From (row_id, source, size): the rows with source_id and start, the sources, and (source_id, block, times)."""
+    drawn = sources.where("source_size > 0").select("source_id", blocks.alias("blocks"), (F.col("target") * blocks / F.col("source_size")).alias("share"))
+    whole = drawn.agg(F.sum("share").alias("n")).first()["n"] or 0.0
+    shards = max(1, ceil(whole / shard_slots))
+    per_shard = max(1, round(whole / shards))
+    expected = F.col("share") * F.lit(per_shard / max(whole, 1e-300))
+    drawn = drawn.withColumn("sure", F.floor(expected + 1e-9)).withColumn("rest", F.greatest(F.lit(0.0), expected - F.col("sure")))
+    told = drawn.agg(F.sum("sure").alias("sure"), F.sum("rest").alias("rest"), F.count("*").alias("sources")).first()
+    left = per_shard - (told["sure"] or 0)
+    # the sure slots: those of the first shard, then those of the next; in chunks of about the root of their number, so
+    # that no task unrolls them all
+    n = F.col("sure") * shards
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(n))).cast("long")
+    chunks = drawn.where("sure > 0").withColumn("n", n).withColumn("step", step).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("step")))))
+    each = dealt(chunks, "source_id", "chunk").select("source_id", "blocks", "sure", F.explode(F.sequence(F.col("chunk") * F.col("step"), F.least("n", (F.col("chunk") + 1) * F.col("step")) - 1)).alias("slot"))
+    each = each.select("source_id", "blocks", F.floor(F.col("slot") / F.col("sure")).alias("shard"), "slot")
+    if left > 0 and told["rest"] and told["rest"] > 0:
+        each = each.unionByName(_draws(drawn, shards, int(left), told["rest"], told["sources"], seed))
+    each = each.where(F.col("slot") < most * F.col("blocks"))
+    turn = F.floor(F.col("slot") / F.col("blocks"))
+    return each.select("source_id", "shard", "slot", permuted(F.col("slot") - turn * F.col("blocks"), F.col("blocks"), F.col("source_id"), turn, F.lit(seed)).alias("block"))
+
+
+def _draws(drawn: DataFrame, shards: int, left: int, rest: float, buckets: int, seed: int) -> DataFrame:
+    """The slots that shards draw beyond their sure ones: left of them a shard, a source by its fraction each.
+
+    A draw is a point on the line of all fractions; points and the sources' stretches of it meet in buckets, as many as
+    there are sources.
+    """
+    spark = drawn.sparkSession
+    by_source = Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, 0)
+    lines = drawn.where("rest > 0").withColumn("high", F.sum("rest").over(by_source)).withColumn("low", F.col("high") - F.col("rest"))
+    bucket = lambda x: F.least(F.lit(buckets - 1), F.floor(x * F.lit(buckets / rest))).cast("long")
+    lines = lines.select("source_id", "blocks", "sure", "low", "high", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))).alias("bucket"))
+    points = spark.range(shards).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(left - 1))).alias("draw"))
+    points = points.withColumn("at", F.least(uniform(F.xxhash64(F.lit(seed), "shard", "draw")), F.lit(1.0 - 1e-12)) * F.lit(rest * (1.0 - 1e-12)))
+    met = points.withColumn("bucket", bucket(F.col("at"))).join(lines.hint("merge"), "bucket").where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")))
+    counts = met.groupBy("source_id", "blocks", "sure", "shard").agg(F.count("*").alias("n"))
+    placed = running_total(counts, ["source_id"], ["shard"], "n", "start", max(1, ceil(sqrt(shards))))
+    one = placed.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return one.select("source_id", "blocks", "shard", (F.col("sure") * shards + F.col("start") + F.col("i")).alias("slot"))
+
+
+def plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From (row_id, source, size): the rows with source_id and start, the sources, and the slots."""
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").isNull(), "source")
     sources = targets(per_source, weights, most).withColumn("source_id", F.row_number().over(order).cast("long"))
     n = sizes.count()
     told = sizes.join(sources.select(F.col("source").alias("_source"), "source_id"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = running_total(told, ["source_id"], ["row_id"], "size", "start", max(1, ceil(sqrt(n))))
-    times = slots(sources, block_words, shard_slots, most).groupBy("source_id", "block").agg(F.count("*").alias("times"))
-    return placed, sources, times
+    return placed, sources, slots(sources, block_words, shard_slots, most, seed)
 
 
-def pieces(placed: DataFrame, times: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """row_id, size, first word, words and times taken of each part of a document that lies in one drawn block."""
+def _times(drawn: DataFrame) -> DataFrame:
+    """How often the slots take each block."""
+    return drawn.groupBy("source_id", "block").agg(F.count("*").alias("times"))
+
+
+def parts(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """source_id, block, row_id, size, first word and words of each part of a document that lies in one block."""
     filled = dealt(placed.where("size > 0").select("source_id", "row_id", "start", "size"), "row_id")
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
-    parts = filled.withColumn("block", F.explode(F.sequence(first, last)))
+    cut = filled.withColumn("block", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.lit(0).cast("long"), F.col("block") * block_words - F.col("start"))
     end = F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("start"))
-    return parts.select("source_id", "block", "row_id", "size", begin.alias("first"), (end - begin).alias("words")).join(times.hint("merge"), ["source_id", "block"]).select("row_id", "size", "first", "words", "times")
+    return cut.select("source_id", "block", "row_id", "size", begin.alias("first"), (end - begin).alias("words"))
+
+
+def pieces(placed: DataFrame, drawn: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """row_id, size, first word, words and times taken of each part of a document that lies in one drawn block."""
+    return parts(placed, block_words).join(_times(drawn).hint("merge"), ["source_id", "block"]).select("row_id", "size", "first", "words", "times")
+
+
+def shard_pieces(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """What each output shard holds: shard, source, slot (of the source), doc_id, first word and words, a row for each
+    part of a document in a drawn block. Rows without words are in no shard; nulls and repeats are as in mix()."""
+    sizes, _ = stash(_rows(docs), "sizes")
+    placed, sources, drawn = plan(sizes, weights, most, block_words, shard_slots, seed)
+    held = parts(placed, block_words).join(drawn.hint("merge"), ["source_id", "block"]).join(sources.select("source_id", "source"), "source_id")
+    return held.select("shard", "source", "slot", "row_id.doc_id", "first", "words")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -139,7 +186,7 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken.
 
     A null or empty text has size 0 and taken 0; a null source is a source of its own, the last; rows that repeat a
@@ -147,13 +194,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PA
     takes at most `most` times its size, as each block is drawn once a pass.
     """
     sizes, _ = stash(_rows(docs), "sizes")
-    placed, sources, times = plan(sizes, weights, most, block_words)
-    taken = pieces(placed, times, block_words).groupBy("row_id").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    placed, sources, drawn = plan(sizes, weights, most, block_words, seed=seed)
+    taken = pieces(placed, drawn, block_words).groupBy("row_id").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     told = sizes.join(taken.hint("merge"), "row_id", "left").join(sources.select(F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source")))
     return told.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
-def apply_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, block_words: int = BLOCK_WORDS) -> DataFrame:
+def apply_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """docs as mixed: the k-th row of a document holds its words that the mix takes k times or more.
 
     A row with all words of its document has its text unchanged; one with some of them has these in order, joined by
@@ -161,9 +208,9 @@ def apply_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = M
     which nothing is taken, those without words among them, have no row. Further columns may have any name.
     """
     sizes, _ = stash(_rows(docs), "sizes")
-    placed, _, times = plan(sizes, weights, most, block_words)
-    parts = pieces(placed, times, block_words).groupBy("row_id").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("parts"))
-    taken, _ = stash(parts, "parts")
+    placed, _, drawn = plan(sizes, weights, most, block_words, seed=seed)
+    held = pieces(placed, drawn, block_words).groupBy("row_id").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("parts"))
+    taken, _ = stash(held, "parts")
     # the row as a whole, so that no column of docs meets one of ours; only rows that are alike need numbers
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), _mark().alias("own_mark"))
     alike = not taken.where("row_id.again > 1").limit(1).isEmpty()

@@ -99,3 +99,13 @@ def test_against_brute_force(spark, sf_dir):
         want.append(max(votes, key=votes.get))
     got = QUERIES["op6_language_id"](spark, sf_dir).toPandas().set_index("doc_id").lang_pred
     assert np.mean([got[i] == k for i, k in zip(docs.doc_id, want, strict=True)]) >= 0.99
+
+
+def test_an_id_in_many_rows_leaves_its_language_the_others(spark, monkeypatch):
+    words = {"en": "the of and house water", "fr": "le la été maison eau"}
+    rows = [(k, f"{words[lang]} {lang}{k}", lang) for k in range(100) for lang in [("en", "fr")[k % 2]]]
+    rows += [(2, "the of and house water en2", "en")] * 900
+    seen = []
+    monkeypatch.setattr(language, "Model", lambda x, langs: seen.append(list(langs)))
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 30)
+    assert seen[0].count("en") == 30 and seen[0].count("fr") == 30

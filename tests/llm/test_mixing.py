@@ -94,18 +94,35 @@ def test_word_count(spark):
     assert got == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
 
 
-def test_slots_and_shards(spark):
-    """Totals stand on the targets, every block is drawn once a pass, and a shard's counts vary like multinomial ones."""
-    sources = spark.createDataFrame([(1, 32 * 600, 32 * 1800.0), (2, 32 * 4000, 32 * 3000.0), (3, 32 * 5000, 32 * 200.0), (4, 0, 0.0)], "source_id long, source_size long, target double")
+SOURCES = [(1, 32 * 600, 32 * 1800.0), (2, 32 * 4000, 32 * 3000.0), (3, 32 * 5000, 32 * 215.0), (4, 0, 0.0)]
+
+
+def test_shards_draw_their_counts(spark):
+    """Shards are equal in size, a count is its sure part and draws, and the draws' totals stand near the targets."""
+    sources = spark.createDataFrame(SOURCES, "source_id long, source_size long, target double")
     rows = mixing.slots(sources, 32, 50).toPandas()
-    assert rows.groupby("source_id").size().to_dict() == {1: 1800, 2: 3000, 3: 200}
-    assert (rows[rows.source_id == 1].groupby("block").size() == 3).all()
-    assert rows[rows.source_id == 2].block.is_unique
+    share = np.array([1800, 3000, 215])
     counts = rows.groupby(["shard", "source_id"]).size().unstack(fill_value=0)
-    assert len(counts) == 100 and (counts.sum(axis=1) == 50).all()
-    share = np.array([1800, 3000, 200]) / 5000
-    chi = ((counts - 50 * share) ** 2 / (50 * share)).sum(axis=1).sum()
-    assert 140 < chi < 260  # 99 x 2 degrees of freedom
+    assert len(counts) == 101 and counts.sum(axis=1).between(48, 50).all()  # a full source has no slots beyond its passes
+    sure = np.floor(share * 50 / share.sum())
+    drawn = counts.to_numpy() - sure
+    assert (drawn >= -1).all() and (drawn[:, 1:] >= 0).all() and drawn[:, 1].std() > 0.3
+    assert np.all(np.abs(counts.sum().to_numpy() - share) <= 3 * np.sqrt(101) / 2 + 40)
+    assert rows.groupby("source_id").slot.apply(lambda x: sorted(x) == list(range(len(x)))).all()
+    assert rows[rows.source_id == 1].groupby("block").size().max() <= 3 and rows[rows.source_id == 2].block.is_unique
+
+
+def test_draws_decide_the_rows(spark):
+    df = table(spark, [(300, "a")] * 60 + [(90, "b")] * 40 + [(500, "c")] * 20)
+    told, target = {}, {"a" if r["doc_id"] < 60 else "b" if r["doc_id"] < 100 else "c": r["target"] for r in mixing.mix(df).collect()}
+    for shard_slots, seed in ((50, 7), (50, 8), (20, 7)):
+        rows = mixing.shard_pieces(df, shard_slots=shard_slots, seed=seed).toPandas()
+        told[shard_slots, seed] = {tuple(r) for r in rows[["doc_id", "first", "slot"]].itertuples(index=False)}
+        words = rows.groupby("source").words.sum()
+        assert all(abs(words[s] - target[s]) <= 3 * 32 * np.sqrt(rows.shard.nunique()) + 64 for s in target)
+        assert (rows.groupby(["shard", "source", "slot"]).words.sum() <= 32).all()
+    taken = [sorted((d, f) for d, f, _ in told[k]) for k in ((50, 7), (50, 8), (20, 7))]
+    assert taken[0] != taken[1] and taken[0] != taken[2]
 
 
 def test_applied_mix_with_clashing_columns(spark):
