@@ -17,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A tag with quoted attributes, a comment or a declaration.
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>"'<]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
+#: Where a comment, a declaration or a tag starts, and a tag's attributes, in which quotes hide its end.
+_START = re.compile(r"""<!--|<[!?]|<(/?)([a-zA-Z][^\s/>"'<]*+)""")
+_QUOTED = re.compile(r"""((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _NAME_PART = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
-#: Elements whose content is not text of the page.
-RAW = frozenset(("script", "style", "template", "noscript", "iframe", "textarea", "title", "svg", "object", "select", "canvas", "audio", "video"))
+#: Elements whose content is not text of the page: up to the end tag whatever it holds, and, where an end tag follows at
+#: all, elements like others.
+RAW = frozenset(("script", "style", "template", "noscript", "iframe", "textarea", "title"))
+EMBEDDED = frozenset(("svg", "object", "select", "canvas", "audio", "video"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "math", "mfrac", "mi", "mn", "mo", "mover", "mrow", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "munder", "semantics"))
 #: Elements that the same element's start closes, up to the nearest of the second kind.
@@ -60,7 +63,7 @@ class _Block:
 
 def _roles(tag: str, attributes: str, inside_content: bool) -> tuple[bool, bool, bool]:
     """Whether an element marks content by its tag, content by its names, boilerplate."""
-    boilerplate = tag in BOILERPLATE_TAGS or tag == "header" and not inside_content
+    boilerplate = tag in BOILERPLATE_TAGS or tag in EMBEDDED or tag == "header" and not inside_content
     content, named = tag in CONTENT_TAGS, False
     if attributes and not attributes.isspace():
         low = attributes.lower()
@@ -118,15 +121,36 @@ def blocks(page: str) -> list[_Block]:
             if open_tag not in INLINE:
                 standing.pop()
 
-    at = 0
-    search = _TAG.search
-    while m := search(page, at):
+    last: dict[str, int] = {}  # where each embedded element's last end tag starts
+
+    def ends_later(tag: str, place: int) -> bool:
+        if tag not in last:
+            last[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)), default=-1)
+        return last[tag] >= place
+
+    # quotes hide the end of a tag until some quote stays open to the end of the page; then they no longer do, so that
+    # no more than one tag is read to the page's end in vain
+    at, quotes = 0, True
+    while m := _START.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
         name = m[2]
         if name is None:
+            close = "-->" if m[0] == "<!--" else ">"
+            end = page.find(close, m.end())
+            at = len(page) if end < 0 else end + len(close)
             continue
+        told = _QUOTED.match(page, m.end()) if quotes else None
+        if told:
+            attributes, end = told[1], told.end()
+        else:
+            quotes, close = False, page.find(">", m.end())
+            if close < 0:  # no tag ends any more: the rest is text, up to a comment
+                add(re.split("<[!?]", page[m.start() :], maxsplit=1)[0])
+                at = len(page)
+                break
+            attributes, end = page[m.end() : close], close + 1
+        at = end
         tag = name.lower()
         if m[1]:
             if tag not in INLINE:
@@ -134,11 +158,12 @@ def blocks(page: str) -> list[_Block]:
             if places.get(tag):
                 cut(places[tag][-1])
             continue
-        attributes = m[3]
         if tag in RAW:
-            if tag != "svg" or not attributes.endswith("/"):  # elements of HTML itself are not closed by a slash
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            end_tag = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            close = page.find(">", end_tag.end()) if end_tag else -1
+            at = len(page) if close < 0 else close + 1
+            continue
+        if tag in EMBEDDED and (attributes.endswith("/") and tag == "svg" or not ends_later(tag, at)):
             continue
         if tag not in INLINE:
             current = None

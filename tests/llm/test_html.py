@@ -77,3 +77,30 @@ def test_deep_nesting_takes_linear_time():
     for page in pages:
         assert isinstance(main_text(page), str)
     assert time.process_time() - began < 20
+
+
+SENTENCE = "A sentence of the article that is long enough to be told from the menus and the notes around it on the page."
+
+
+@pytest.mark.parametrize("stray", ['<video src="x">', "<select><option>one", "<object data=x>", "<canvas>", "<audio controls>"])
+def test_elements_that_never_end_keep_the_article(stray):
+    page = f"<body><article><p>{SENTENCE}</p>{stray}<p>Then {SENTENCE}</p></article></body>"
+    assert f"{SENTENCE} " in html.main_text(page) and html.main_text(page).endswith(f"Then {SENTENCE}")
+
+
+def test_embedded_elements_are_no_text():
+    page = f"<article><p>{SENTENCE}</p><object><object>inner</object>no plugin</object><video><source src=a>no video</video><p>{SENTENCE}</p></article>"
+    assert html.main_text(page) == f"{SENTENCE} {SENTENCE}"
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', '<a ">', "<a '>x", "<", "</a", "<!--", "<!", "<p <", "<video>", "&lt", "<script "])
+def test_long_tag_soup_is_read_in_linear_time(piece):
+    began = time.time()
+    html.main_text(f"<article><p>{SENTENCE}</p></article>" + piece * (400_000 // len(piece)))
+    assert time.time() - began < 5
+
+
+def test_quotes_hide_the_end_of_a_tag():
+    assert html.main_text(f'<article><p title="a > b">{SENTENCE}</p></article>') == SENTENCE
+    assert html.main_text(f'<article><p title="a>{SENTENCE}</p></article>') == SENTENCE
+    assert html.main_text(f"<article><p>{SENTENCE}<!-- no > text --></p></article><!-- to the end {SENTENCE}") == SENTENCE
