@@ -2,22 +2,56 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and the plain ones that they fold to, in the same order.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
+
+def _bare(letter: str) -> str:
+    """A letter's compatibility decomposition without combining marks."""
+    return "".join(x for x in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(x))
+
+
+#: Letters of the first plane that fold to one other, and those that they fold to, in the same order.
+_FOLDS = [(chr(k), b) for k in range(0x80, 0x10000) if not 0xD800 <= k < 0xE000 for b in [_bare(chr(k))] if len(b) == 1 and b != chr(k)]
+ACCENTED, PLAIN = ("".join(x) for x in zip(*_FOLDS, strict=True))
 STOP_WORDS = ("the", "and", "for", "are", "was", "with", "that", "this", "from", "not", "but", "have", "has", "les", "des", "une", "dans", "pour", "que", "qui", "par", "sur", "aux", "est")
-#: Entities that strip_tags() decodes.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: Named references with what they stand for, and numbers that stand for another character or for none.
+_NAMED = json.dumps(html5)
+_OTHER = json.dumps({"0": "\ufffd"} | {str(k): bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0)})
 CAUSAL = r"(?i)\b(because of|due to|caused by|causes|leads to|results in|the effect of|the impact of|thanks to)\b"
 INJECTION = r"(?i)(ignore (all )?(the )?(previous|above) (instructions|rules)|disregard (the )?(previous|above)|system prompt|you are now|act as (a|an) )"
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    """Lower case without accents: letters that decompose to one base letter become it, and combining marks go."""
+    return F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), r"\p{Mn}+", "")
+
+
+def decoded(c: Column) -> Column:
+    """The text with its character references replaced, as browsers do: numeric ones, and named ones with or without a
+    semicolon, the longest name first. One pass from left to right, so what a reference yields isn't decoded again."""
+    named, other = F.from_json(F.lit(_NAMED), "map<string,string>"), F.from_json(F.lit(_OTHER), "map<string,string>")
+    pieces = F.regexp_extract_all(c, F.lit(r"(&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&)"), F.lit(1))
+
+    def numeric(piece: Column) -> Column:
+        digits, base_16 = F.regexp_extract(piece, "([0-9a-fA-F]+);?$", 1), F.substring(F.lower(piece), 3, 1) == "x"
+        code = F.when(base_16, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("decimal(20,0)")
+        low = code % 65_536
+        none = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (low >= 0xFFFE)
+        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+        return F.coalesce(other[code.cast("string")], F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").when(none, "").otherwise(char))
+
+    def by_name(piece: Column) -> Column:
+        name = F.substr(piece, F.lit(2))
+        known = F.filter(F.sequence(F.length(name), F.lit(2), F.lit(-1)), lambda n: named[F.substr(name, F.lit(1), n)].isNotNull())
+        return F.when(F.size(known) > 0, F.concat(named[F.substr(name, F.lit(1), known[0])], F.substr(name, known[0] + 1))).otherwise(piece)
+
+    one = lambda p: F.when(~p.startswith("&") | (F.length(p) < 3), p).when(F.substring(p, 2, 1) == "#", numeric(p)).otherwise(by_name(p))
+    return F.when(F.instr(c, "&") == 0, c).otherwise(F.array_join(F.transform(pieces, one), ""))
 
 
 def title_key(c: Column) -> Column:
@@ -25,10 +59,8 @@ def title_key(c: Column) -> Column:
 
 
 def strip_tags(c: Column) -> Column:
-    out = F.regexp_replace(c, "<[^>]+>", " ")
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"[ \t\n\r]+", " "))
+    """The text between tags, references decoded, white space as single spaces."""
+    return F.trim(F.regexp_replace(decoded(F.regexp_replace(c, "<[^>]+>", " ")), r"[ \t\n\r\u00a0]+", " "))
 
 
 def sentences(c: Column, shortest: int = 20) -> Column:
@@ -132,3 +164,45 @@ def within_budget(parts: Column, longest: int) -> Column:
         return F.struct(F.when(fits, joined).otherwise(state["text"]).alias("text"), fits.alias("open"))
 
     return F.aggregate(parts, start, add)["text"]
+
+
+#: Openers and closers of what a cut leaves whole, and what marks brackets as technical.
+OPENERS, CLOSERS = "(«", ")»"
+TECHNICAL = r"\b(?:CI|IC|OR|HR)\b|\bp\s?[<=≤]|χ²|chi-square|khi-deux"
+
+
+def _letters(c: Column) -> Column:
+    return F.filter(F.split(c, ""), lambda x: x != "")
+
+
+def cut_at_comma(c: Column, limit: int = 170) -> Column:
+    """The text, or, if it is longer than limit, its part before the last comma within limit that stands outside brackets
+    and quotes and before a space, with a full stop; whole if that comma comes in the first half."""
+    letters = _letters(F.substring(c, 1, limit + 1))
+    places = F.sequence(F.lit(0), F.least(F.size(letters), F.lit(limit)) - 1)
+
+    def step(state: Column, i: Column) -> Column:
+        x = letters[i]
+        depth = F.when(F.instr(F.lit(OPENERS), x) > 0, state["depth"] + 1).when(F.instr(F.lit(CLOSERS), x) > 0, F.greatest(F.lit(0), state["depth"] - 1)).otherwise(state["depth"])
+        here = (x == ",") & (state["depth"] == 0) & (F.get(letters, i + 1) == " ")
+        return F.struct(depth.alias("depth"), F.when(here, i).otherwise(state["cut"]).alias("cut"))
+
+    cut = F.aggregate(places, F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("cut")), step)["cut"]
+    return F.when((F.length(c) > limit) & (cut > limit // 2), F.concat(F.substr(c, F.lit(1), cut), F.lit("."))).otherwise(c)
+
+
+def without_technical_brackets(c: Column, technical: str = TECHNICAL) -> Column:
+    """The text without the outermost brackets that hold a technical mark, at whatever depth, and without the spaces that
+    they leave. Brackets that don't close stay."""
+
+    def step(state: Column, x: Column) -> Column:
+        depth = F.when(x == "(", state["depth"] + 1).when((x == ")") & (state["depth"] > 0), state["depth"] - 1).otherwise(state["depth"])
+        held = F.concat(state["held"], x)
+        inside = (state["depth"] > 0) | (x == "(")
+        closed = inside & (depth == 0)
+        out = F.when(~inside, F.concat(state["out"], x)).when(closed & ~F.regexp_like(held, F.lit(technical)), F.concat(state["out"], held)).otherwise(state["out"])
+        return F.struct(depth.alias("depth"), F.when(inside & ~closed, held).otherwise(F.lit("")).alias("held"), out.alias("out"))
+
+    end = F.aggregate(_letters(c), F.struct(F.lit(0).alias("depth"), F.lit("").alias("held"), F.lit("").alias("out")), step)
+    plain = F.regexp_replace(F.concat(end["out"], end["held"]), r"\s{2,}", " ")
+    return F.when(F.instr(c, "(") == 0, c).otherwise(F.trim(F.regexp_replace(plain, r"\s+([.,;:])", "$1")))

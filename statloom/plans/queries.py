@@ -623,10 +623,14 @@ def concordance_index(t):
 # text
 
 
+#: The references that occur in pages; the ampersand comes last, so that what it yields isn't decoded again.
+_REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"))
+
+
 def _replace_sql(c: str) -> str:
-    for entity, char in text.ENTITIES:
+    for entity, char in _REFERENCES:
         c = f"replace({c}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return c
+    return f"regexp_replace({c}, '&amp;?', '&', 'g')"
 
 
 @query("SELECT page_id, trim(regexp_replace(" + _replace_sql("regexp_replace(html, '<[^>]+>', ' ', 'g')") + ", '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM pages")
@@ -634,7 +638,7 @@ def strip_tags(t):
     return t("pages").select("page_id", text.strip_tags(F.col("html")).alias("text"))
 
 
-_FOLD = f"translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}')"
+_FOLD = "strip_accents(lower(text))"
 
 
 @query(f"WITH k AS (SELECT doc_id, trim(regexp_replace({_FOLD}, '[^a-z0-9]+', ' ', 'g')) AS k FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS n FROM k WHERE length(k) >= 8) SELECT doc_id, text AS title FROM r JOIN documents USING (doc_id) WHERE n = 1")
@@ -643,7 +647,7 @@ def title_dedupe(t):
     return literature.dedupe(works, "doc_id").select("doc_id", "title")
 
 
-_KEY = f"trim(regexp_replace(translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}'), '[^a-z0-9]+', ' ', 'g'))"
+_KEY = f"trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query(f"WITH k AS (SELECT doc_id, text, {_KEY} AS k FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS n FROM k WHERE length(k) >= 8) SELECT doc_id, text FROM r WHERE n = 1")
@@ -696,7 +700,7 @@ def token_sets(t):
     return t("documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n"))
 
 
-@query(f"SELECT doc_id, len(list_distinct(list_filter(str_split_regex(translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}'), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], w)))) AS n FROM documents")
+@query(f"SELECT doc_id, len(list_distinct(list_filter(str_split_regex(strip_accents(lower(text)), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], w)))) AS n FROM documents")
 def text_token_sets(t):
     """How many distinct words each whole text has."""
     return t("documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n"))

@@ -109,7 +109,7 @@ def caterpillar_order(t):
 _AUTHOR = "CASE s_suppkey % 3 WHEN 0 THEN 'É' ELSE 'e' END || s_name"
 
 
-@query(f"WITH w AS (SELECT s_suppkey AS key, {_AUTHOR} AS author, 2000 + s_nationkey AS year FROM supplier), c AS (SELECT * FROM w WHERE key IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) SELECT key, author, year, row_number() OVER (ORDER BY translate(lower(author), '{text.ACCENTED}', '{text.PLAIN}'), year, key) AS place FROM c")
+@query(f"WITH w AS (SELECT s_suppkey AS key, {_AUTHOR} AS author, 2000 + s_nationkey AS year FROM supplier), c AS (SELECT * FROM w WHERE key IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) SELECT key, author, year, row_number() OVER (ORDER BY strip_accents(lower(author)), year, key) AS place FROM c")
 def cited_bibliography(t):
     s = t("supplier")
     works = s.select(F.col("s_suppkey").alias("key"), F.concat(F.when(F.col("s_suppkey") % 3 == 0, "É").otherwise("e"), "s_name").alias("author"), (2000 + F.col("s_nationkey")).alias("year"))
