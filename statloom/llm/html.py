@@ -121,12 +121,12 @@ def blocks(page: str) -> list[_Block]:
             if open_tag not in INLINE:
                 standing.pop()
 
-    last: dict[str, int] = {}  # where each embedded element's last end tag starts
+    last_ends: dict[str, int] = {}  # where each embedded element's last end tag starts
 
     def ends_later(tag: str, place: int) -> bool:
-        if tag not in last:
-            last[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)), default=-1)
-        return last[tag] >= place
+        if tag not in last_ends:
+            last_ends[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)), default=-1)
+        return last_ends[tag] >= place
 
     # quotes hide the end of a tag until some quote stays open to the end of the page; then they no longer do, so that
     # no more than one tag is read to the page's end in vain
@@ -176,8 +176,8 @@ def blocks(page: str) -> list[_Block]:
             closes = "p"
         if closes and places.get(closes):
             stops = SELF_CLOSING[closes]
-            last = max((places[s][-1] for s in stops if places.get(s)), default=0) if stops else standing[-1]
-            if places[closes][-1] >= last:
+            nearest = max((places[s][-1] for s in stops if places.get(s)), default=0) if stops else standing[-1]
+            if places[closes][-1] >= nearest:
                 cut(places[closes][-1])
         if attributes.endswith("/") and tag in INLINE:
             continue

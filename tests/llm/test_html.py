@@ -104,3 +104,8 @@ def test_quotes_hide_the_end_of_a_tag():
     assert html.main_text(f'<article><p title="a > b">{SENTENCE}</p></article>') == SENTENCE
     assert html.main_text(f'<article><p title="a>{SENTENCE}</p></article>') == SENTENCE
     assert html.main_text(f"<article><p>{SENTENCE}<!-- no > text --></p></article><!-- to the end {SENTENCE}") == SENTENCE
+
+
+def test_embedded_elements_after_lists_and_paragraphs():
+    page = f"<ul><li>a<li>b</ul><article><p>{SENTENCE}<p>{SENTENCE}<svg><text>drawn</text></svg><video src=x></video></article>"
+    assert html.main_text(page) == f"{SENTENCE} {SENTENCE}"
