@@ -1,9 +1,14 @@
 """Main text of web pages by minimum cut.
 
-A page becomes a row of text blocks. A linear classifier over the block's elements, links and length gives each block
-the cost of calling it content or boilerplate; these are the capacities of its edges to the two terminals. Edges
-between neighbours in page order and between blocks of one parent make unlike labels cost something. The minimum cut
-parts content from boilerplate with the least total cost.
+A page becomes a row of text blocks, the nodes of a network. A classifier over a block's length, links and elements gives
+it the cost of calling it content or boilerplate: the capacities of its edges to the two terminals. Edges between
+neighbours in page order and between blocks of one parent make unlike labels cost something. The minimum cut parts
+content from boilerplate with the least total cost.
+
+What a page says about itself ties a block to a terminal for good: an article element, hidden blocks, menus and notices
+by element or name. Such pages are also where the costs are learned, from text and links alone, so that they hold for
+pages and blocks that say nothing: a logistic regression over patterns of features, and for each kind of edge the odds
+that its ends agree. All pages count; Spark sums at most a few hundred counts.
 """
 
 from __future__ import annotations
@@ -12,7 +17,9 @@ import html as entities
 import re
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,12 +50,23 @@ BOILERPLATE_NAMES = frozenset(
 )
 CONTENT_NAMES = frozenset("article articlebody body content entry main maincontent post story text".split())
 
-#: The classifier: evidence in favour of content.
-START = -0.4
-IN_CONTENT, OUTSIDE_CONTENT, IN_NAMED, IN_BOILERPLATE, HIDDEN_BLOCK = 4.0, -4.0, 1.5, -12.0, -12.0
-PARAGRAPH, HEADING, LONG_TEXT, LINKS = 0.6, 0.3, 2.0, -4.0
-#: Smoothness: neighbours in page order, the same with one parent, and next but one with one parent.
-NEXT, NEXT_SIBLING, SECOND_SIBLING = 0.5, 0.9, 0.3
+#: A block that the page itself labels is tied to its terminal by this much.
+TIED = 1e6
+#: Bins of length (doublings), of the share of links, and kinds of block; named or not is the fourth feature.
+LENGTHS, LINK_SHARES, KINDS = 11, 4, 4
+PATTERNS = LENGTHS * LINK_SHARES * KINDS * 2
+#: Edges: neighbours in page order with unlike parents, the same with one parent, next but one with one parent.
+NEXT, NEXT_SIBLING, SECOND_SIBLING = range(3)
+#: The regression's penalty, a normal prior's precision on each coefficient but the intercept.
+RIDGE = 1.0
+
+
+@dataclass(frozen=True)
+class Costs:
+    """Evidence for content of each pattern of features (against it, if negative), and what parting an edge costs."""
+
+    evidence: tuple[float, ...]
+    edges: tuple[float, float, float]
 
 
 class _Block:
@@ -194,15 +212,46 @@ def blocks(page: str) -> list[_Block]:
     return found
 
 
-def evidence(block: _Block, length: int, has_content: bool) -> float:
-    """The classifier's evidence for content (against it, if negative)."""
-    z = START + LONG_TEXT * min(length / 120, 1.5) + LINKS * min(block.links / max(length, 1), 1.0)
-    if block.content:
-        z += IN_CONTENT
-    elif has_content:
-        z += OUTSIDE_CONTENT
-    z += IN_NAMED * block.named + IN_BOILERPLATE * block.boilerplate
-    return z + PARAGRAPH * (block.tag in ("p", "blockquote", "pre")) + HEADING * (block.tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
+def pattern(block: _Block, length: int) -> int:
+    """The number of a block's pattern of features."""
+    size = min((length + 1).bit_length() - 1, LENGTHS - 1)
+    share = 0 if not block.links else 1 + min(int(3 * block.links / max(length, block.links)), 2)
+    kind = 1 if block.tag in ("p", "blockquote", "pre") else 2 if block.tag in ("h1", "h2", "h3", "h4", "h5", "h6") else 3 if block.tag in ("li", "td", "th", "dt", "dd") else 0
+    return ((size * LINK_SHARES + share) * KINDS + kind) * 2 + block.named
+
+
+def _design() -> np.ndarray:
+    """A row of indicators for each pattern, the intercept first."""
+    n = np.arange(PATTERNS)
+    named, kind, share, size = n % 2, n // 2 % KINDS, n // (2 * KINDS) % LINK_SHARES, n // (2 * KINDS * LINK_SHARES)
+    one_hot = [np.eye(width)[v] for v, width in ((size, LENGTHS), (share, LINK_SHARES), (kind, KINDS))]
+    return np.column_stack([np.ones(PATTERNS), *one_hot, named])
+
+
+def costs_from(blocks_seen: np.ndarray, content: np.ndarray, unlike: np.ndarray, alike: np.ndarray) -> Costs:
+    """Costs from the number of blocks and of content blocks of each pattern, and of each kind of edge's ends."""
+    x, beta = _design(), np.zeros(2 + LENGTHS + LINK_SHARES + KINDS)
+    penalty = np.diag([1e-6, *[RIDGE] * (len(beta) - 1)])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(x @ beta)))
+        step = np.linalg.solve(x.T * (blocks_seen * p * (1 - p)) @ x + penalty, x.T @ (content - blocks_seen * p) - penalty @ beta)
+        beta = beta + np.clip(step, -2, 2)
+        if np.max(np.abs(step)) < 1e-8:
+            break
+    # a block has up to four edges whose evidence is much the same, so each counts a quarter
+    edges = np.maximum(np.log((alike + 1) / (unlike + 1)), 0) / 4
+    return Costs(tuple(float(v) for v in x @ beta), tuple(float(v) for v in edges))
+
+
+def _prior() -> Costs:
+    """Costs where no page labels itself: long blocks are content, links aren't."""
+    n = np.arange(PATTERNS)
+    named, kind, share, size = n % 2, n // 2 % KINDS, n // (2 * KINDS) % LINK_SHARES, n // (2 * KINDS * LINK_SHARES)
+    z = -0.4 + np.minimum((2.0**size - 1) / 60, 3.0) - np.array([0, 1, 2.5, 4])[share] + 1.5 * named + np.array([0, 0.6, 0.3, 0])[kind]
+    return Costs(tuple(float(v) for v in z), (0.5, 0.9, 0.3))
+
+
+PRIOR = _prior()
 
 
 def minimum_cut(weights: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -240,72 +289,153 @@ def minimum_cut(weights: list[float], edges: list[tuple[int, int, float]]) -> li
 
 
 def _flow(nodes: list[int], weights: list[float], near: list, label: list) -> set[int]:
-    """Nodes on the source's side of a minimum cut, by shortest augmenting paths."""
-    source, sink = -1, -2
-    room: dict[int, dict[int, float]] = {source: {}, sink: {}, **{i: {} for i in nodes}}
+    """Nodes on the source's side of a minimum cut: blocking flows through levels of equal distance from the source."""
+    place = {i: k for k, i in enumerate(nodes)}
+    source, sink = len(nodes), len(nodes) + 1
+    # edge 2k and its reverse 2k + 1
+    ends: list[int] = []
+    room: list[float] = []
+    out: list[list[int]] = [[] for _ in range(len(nodes) + 2)]
 
     def join(a: int, b: int, there: float, back: float) -> None:
-        room[a][b] = room[a].get(b, 0.0) + there
-        room[b][a] = room[b].get(a, 0.0) + back
+        out[a].append(len(ends))
+        out[b].append(len(ends) + 1)
+        ends.extend((b, a))
+        room.extend((there, back))
 
     for i in nodes:
         if weights[i] > 0:
-            join(source, i, weights[i], 0.0)
+            join(source, place[i], weights[i], 0.0)
         elif weights[i] < 0:
-            join(i, sink, -weights[i], 0.0)
+            join(place[i], sink, -weights[i], 0.0)
         for j, c in near[i]:
             if label[j] is None and i < j:
-                join(i, j, c, c)
+                join(place[i], place[j], c, c)
     while True:
-        before = {source: source}
+        level = [-1] * len(out)
+        level[source] = 0
         queue = deque([source])
-        while queue and sink not in before:
+        while queue:
             a = queue.popleft()
-            for b, c in room[a].items():
-                if c > 1e-9 and b not in before:
-                    before[b] = a
-                    queue.append(b)
-        if sink not in before:
-            return set(before)
-        path, b = [], sink
-        while b != source:
-            path.append((before[b], b))
-            b = before[b]
-        most = min(room[a][b] for a, b in path)
-        for a, b in path:
-            room[a][b] -= most
-            room[b][a] += most
-
-
-def main_text(page: str | None) -> str:
-    """Content blocks in page order, white space inside them as one space, joined by one space."""
-    if not page:
-        return ""
-    found = blocks(page)
-    texts = [" ".join("".join(b.text).split()) for b in found]
-    kept = [(b, t) for b, t in zip(found, texts, strict=True) if t]
-    has_content = any(b.content and not b.boilerplate for b, _ in kept)
-    weights = [evidence(b, len(t), has_content) for b, t in kept]
+            for e in out[a]:
+                if room[e] > 1e-9 and level[ends[e]] < 0:
+                    level[ends[e]] = level[a] + 1
+                    queue.append(ends[e])
+        if level[sink] < 0:
+            return {i for i in nodes if level[place[i]] >= 0}
+        tried = [0] * len(out)
+        path: list[int] = []
+        at = source
+        while True:
+            if at == sink:
+                most = min(room[e] for e in path)
+                cut = 0
+                for k in reversed(range(len(path))):
+                    room[path[k]] -= most
+                    room[path[k] ^ 1] += most
+                    if room[path[k]] <= 1e-9:
+                        cut = k
+                at = ends[path[cut] ^ 1]
+                del path[cut:]
+                continue
+            while tried[at] < len(out[at]):
+                e = out[at][tried[at]]
+                if room[e] > 1e-9 and level[ends[e]] == level[at] + 1:
+                    break
+                tried[at] += 1
+            if tried[at] < len(out[at]):
+                path.append(e)
+                at = ends[e]
+            elif path:
+                at = ends[path.pop() ^ 1]
+                tried[at] += 1
+            else:
+                break
+
+
+def _network(page: str) -> tuple[list[tuple[_Block, str]], list[tuple[int, int, int]], bool]:
+    """Blocks with their texts, edges as (block, block, kind), and whether the page marks its content."""
+    kept = [(b, t) for b in blocks(page) if (t := " ".join("".join(b.text).split()))]
     edges = []
     for i in range(1, len(kept)):
-        same = kept[i][0].parent == kept[i - 1][0].parent
-        edges.append((i - 1, i, NEXT_SIBLING if same else NEXT))
+        edges.append((i - 1, i, NEXT_SIBLING if kept[i][0].parent == kept[i - 1][0].parent else NEXT))
         if i > 1 and kept[i][0].parent == kept[i - 2][0].parent:
             edges.append((i - 2, i, SECOND_SIBLING))
-    return " ".join(t for (_, t), keep in zip(kept, minimum_cut(weights, edges), strict=True) if keep)
+    return kept, edges, any(b.content and not b.boilerplate for b, _ in kept)
+
+
+def labels(kept: list[tuple[_Block, str]], edges: list[tuple[int, int, int]], has_content: bool, costs: Costs) -> list[bool]:
+    """Whether each block is content, by the minimum cut."""
+    weights = []
+    for b, t in kept:
+        if b.boilerplate or has_content and not b.content:
+            weights.append(-TIED)
+        else:
+            weights.append(TIED if has_content else costs.evidence[pattern(b, len(t))])
+    return minimum_cut(weights, [(i, j, costs.edges[kind]) for i, j, kind in edges])
+
+
+def main_text(page: str | None, costs: Costs = PRIOR) -> str:
+    """Content blocks in page order, white space inside them as one space, joined by one space."""
+    if not page:
+        return ""
+    kept, edges, has_content = _network(page)
+    return " ".join(t for (_, t), keep in zip(kept, labels(kept, edges, has_content, costs), strict=True) if keep)
+
+
+def _counts(page: str) -> np.ndarray:
+    """Blocks and content blocks of each pattern, then unlike and like ends of each kind of edge, of a page that marks
+    its content (zeros for another)."""
+    out = np.zeros((2, PATTERNS + 3), dtype=np.int64)
+    kept, edges, has_content = _network(page)
+    if has_content:
+        told = [b.content and not b.boilerplate for b, _ in kept]
+        for (b, t), y in zip(kept, told, strict=True):
+            k = pattern(b, len(t))
+            out[0, k] += 1
+            out[1, k] += y
+        for i, j, kind in edges:
+            out[int(told[i] == told[j]), PATTERNS + kind] += 1
+    return out
+
+
+def fit(pages: DataFrame) -> Costs:
+    """Costs learned from all rows of pages whose html marks its content; PRIOR where there is none.
+
+    Each task adds up counts by pattern; Spark adds up those, and no more than their sums (two for each of PATTERNS + 3)
+    reach the driver. Null and empty html counts nothing; a page that is there twice counts twice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, PATTERNS + 3), dtype=np.int64)
+        for b in batches:
+            for page in b.column("html").to_pylist():
+                total += _counts(page)
+        found = np.nonzero(total.any(axis=0))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[0, found]), pa.array(total[1, found])], names=["k", "a", "b"])
+
+    rows = pages.select(F.col("html").cast("string").alias("html")).where("html != ''").mapInArrow(run, "k int, a long, b long")
+    total = np.zeros((2, PATTERNS + 3))
+    for k, a, b in rows.groupBy("k").agg(F.sum("a"), F.sum("b")).collect():
+        total[:, k] = a, b
+    seen, content = total[:, :PATTERNS]
+    if not 0 < content.sum() < seen.sum():
+        return PRIOR
+    return costs_from(seen, content, *total[:, PATTERNS:])
 
 
-def extract(pages: DataFrame, id_column: str = "page_id") -> DataFrame:
-    """One row per row of pages: page_id, url, text, n_chars.
+def extract(pages: DataFrame, id_column: str = "page_id", costs: Costs | None = None) -> DataFrame:
+    """One row per row of pages: page_id, url, text, n_chars. Costs are learned from the same pages if none are given.
 
     A null or empty html, and a page without content, has an empty text. Whole pages are read, however long and however
     badly nested; equal rows give equal results; an empty table gives an empty result; further columns are ignored.
     """
+    known = costs or fit(pages)
     picked = pages.select(F.col(id_column).alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x) for x in b.column("html").to_pylist()]
+            texts = [main_text(x, known) for x in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return picked.mapInArrow(run, f"page_id {picked.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 import time
 
 import pandas as pd
@@ -59,7 +60,6 @@ def test_operator(spark):
 
 def test_test_pages_against_their_articles():
     import html as entities
-    import re
 
     for page in pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html:
         article = re.search(r"<article>(.*?)</article>", page, re.S)[1]
@@ -109,3 +109,57 @@ def test_quotes_hide_the_end_of_a_tag():
 def test_embedded_elements_after_lists_and_paragraphs():
     page = f"<ul><li>a<li>b</ul><article><p>{SENTENCE}<p>{SENTENCE}<svg><text>drawn</text></svg><video src=x></video></article>"
     assert html.main_text(page) == f"{SENTENCE} {SENTENCE}"
+
+
+def bare(page):
+    """The same page without what it says of its parts."""
+    page = re.sub(r"</?(article|main|nav|aside|footer|header|form|section)\b[^>]*>", lambda m: "</div>" if m[0][1] == "/" else "<div>", page)
+    return re.sub(r"""\s(class|id|role|style)="[^"]*\"""", "", page)
+
+
+def test_learned_costs_and_the_cut_on_bare_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    learned = html.fit(pages.where("page_id % 2 = 0"))
+    assert html.fit(pages.where("page_id % 2 = 0").repartition(7)) == learned
+    alone = html.Costs(learned.evidence, (0.0, 0.0, 0.0))
+    wrong = {"cut": 0, "alone": 0}
+    turned = n = 0
+    for (page,) in pages.where("page_id % 2 = 1").select("html").collect():
+        # between paragraphs stand headings that link to themselves; alone they look like a menu's
+        head, article, rest = re.fullmatch(r"(.*)<article>(.*?)</article>(.*)", page, re.S).groups()
+        words = re.split(r"\s+", re.sub(r"<[^>]*>", " ", article).strip())
+        lines = [" ".join(x) for i in range(0, len(words), 33) for x in (words[i : i + 30], words[i + 30 : i + 33]) if x]
+        marked = "".join(f"<p>{x}</p>" if k % 2 == 0 else f"<h2><a href='#s{k}'>{x}</a></h2>" for k, x in enumerate(lines))
+        plain = f"{bare(head)}<div>{marked}</div>{bare(rest)}"
+        kept, edges, has_content = html._network(plain)
+        first = len(html._network(bare(head))[0])
+        truth = [first <= k < first + len(lines) for k in range(len(kept))]
+        assert not has_content
+        found = {"cut": html.labels(kept, edges, False, learned), "alone": html.labels(kept, edges, False, alone)}
+        for name, got in found.items():
+            wrong[name] += sum(a != b for a, b in zip(got, truth, strict=True))
+        turned += sum(a != b for a, b in zip(found["cut"], found["alone"], strict=True))
+        n += len(truth)
+    print(wrong, turned, n)
+    assert turned > 0.2 * n and wrong["cut"] < 0.05 * wrong["alone"]
+
+
+def test_bare_pages_give_their_articles(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    learned = html.fit(pages.where("page_id % 2 = 0"))
+    rows = [r["html"] for r in pages.where("page_id % 2 = 1").collect()]
+    assert sum(html.main_text(bare(p), learned) == html.main_text(p) for p in rows) >= 0.95 * len(rows)
+
+
+def test_costs_without_pages_that_label_themselves(spark):
+    df = spark.createDataFrame([("<p>x</p>",), (None,), ("",)], "html string")
+    assert html.fit(df) == html.PRIOR and html.fit(df.limit(0)) == html.PRIOR
+
+
+def test_many_undecided_blocks_take_little_time():
+    random.seed(1)
+    for weights in ([random.uniform(-2, 2) for _ in range(20_000)], [0.5 if i % 2 else -0.5 for i in range(20_000)], [0.5 if i < 10_000 else -0.5 for i in range(20_000)]):
+        edges = [(i - 1, i, 1.5) for i in range(1, 20_000)] + [(i - 2, i, 0.5) for i in range(2, 20_000)]
+        began = time.process_time()
+        html.minimum_cut(weights, edges)
+        assert time.process_time() - began < 5
