@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from statloom.functions import text
 from statloom.functions.expressions import d
+from statloom.functions.lineage import shared_folder
 from statloom.operators import audit, bivariate, cleaning, describe, guards, privacy, regression, results, survival
 from statloom.plans.queries import KEY, query
+from statloom.sources.literature import read_literature, write_index
 from statloom.streaming import stateful
 
 # Tests with p values made from counts, one for each priority and status.
@@ -349,3 +351,16 @@ def repeated_answers(t):
 def session_limits(t):
     """Sessions of at most three days whose events are at most 12 hours apart, as the table has few events a user."""
     return stateful.limited_sessions(t("events"), "user_id", "ts", 12 * 60, 72)
+
+
+# sources
+
+
+@query("SELECT CAST(1990 + doc_id % 30 AS INTEGER) AS year, source AS kind, count(*) AS n, count(DISTINCT doc_id) AS dois, CAST(sum(coalesce(n_chars, 0)) AS BIGINT) AS citations FROM documents WHERE doc_id % 30 >= 15 GROUP BY 1, 2")
+def literature_pages(t):
+    """Works made of all documents, written as a service's pages; those of the later years are read back."""
+    works = t("documents").select(F.concat(F.lit("10.9/"), "doc_id").alias("doi"), F.concat_ws(" ", "lang", "doc_id").alias("title"), (1990 + F.col("doc_id") % 30).cast("int").alias("year"), F.col("n_chars").alias("citations"), F.col("source").alias("kind"))
+    folder = shared_folder(works.sparkSession)
+    write_index(works, folder)
+    back = read_literature(works.sparkSession, folder, ("doi", "year", "citations", "kind"), first_year=2005)
+    return back.groupBy("year", "kind").agg(F.count("*").alias("n"), F.count_distinct("doi").alias("dois"), F.sum("citations").alias("citations"))
