@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -101,7 +101,14 @@ def linear_mixed(df: DataFrame, y: str, xs: list[str], cluster: str) -> Mixed:
 
 
 def random_effects(df: DataFrame, y: str, xs: list[str], cluster: str, model: Mixed) -> DataFrame:
-    """cluster, n, effect, se, low, high of a linear model's random intercepts."""
+    """cluster, n, effect, se, low, high of a model's random intercepts.
+
+    Of a linear model they are shrunken means of residuals; of a logit the modes of their posterior, with the standard
+    error that its curvature there gives. Rows with a null in any column are left out; effects are 0 where the clusters
+    don't vary.
+    """
+    if model.residual != model.residual:
+        return _logistic_effects(df, y, xs, cluster, model)
     eta = F.lit(float(model.fit.coef[0]))
     for c, b in zip(xs, model.fit.coef[1:], strict=True):
         eta = eta + F.lit(float(b)) * d(F.col(c))
@@ -109,7 +116,70 @@ def random_effects(df: DataFrame, y: str, xs: list[str], cluster: str, model: Mi
     per = rows.groupBy("cluster").agg(F.count("*").cast("double").alias("n"), F.avg("e").alias("m"))
     shrink = F.lit(model.between) * F.col("n") / (F.lit(model.between) * F.col("n") + F.lit(model.residual))
     effect, se = shrink * F.col("m"), F.sqrt(F.lit(model.between) * (1.0 - shrink))
-    return per.select("cluster", F.col("n").cast("long").alias("n"), effect.alias("effect"), se.alias("se"), (effect - 1.96 * se).alias("low"), (effect + 1.96 * se).alias("high"))
+    return _with_bounds(per.select("cluster", F.col("n").cast("long").alias("n"), effect.alias("effect"), se.alias("se")))
+
+
+def _with_bounds(effects: DataFrame) -> DataFrame:
+    return effects.select("*", (F.col("effect") - 1.96 * F.col("se")).alias("low"), (F.col("effect") + 1.96 * F.col("se")).alias("high"))
+
+
+def extreme_clusters(effects: DataFrame) -> DataFrame:
+    """clusters, and above and below: those whose interval lies on one side of 0."""
+    return effects.agg(F.count("*").alias("clusters"), F.count_if(F.col("low") > 0).alias("above"), F.count_if(F.col("high") < 0).alias("below"))
+
+
+def _patterns(df: DataFrame, y: str, xs: list[str], cluster: str) -> DataFrame:
+    """Rows (cluster, x, yes, n), each cluster's together in one partition and one after another."""
+    rows = design(df, y, xs, cluster)
+    per = rows.groupBy("cluster", "x").agg(F.sum("y").alias("yes"), F.count("*").cast("double").alias("n"))
+    return per.repartition("cluster").sortWithinPartitions("cluster")
+
+
+def whole_clusters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of sorted rows, cut anew at ends of clusters: no more than a batch and the cluster that goes on after it
+    is held at a time."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        names = batch["cluster"].to_numpy()
+        begins = int(np.argmax(names == names[-1]))  # of the cluster that may go on in the next batch
+        if held and (begins or held[-1]["cluster"].iloc[-1] != names[-1]):
+            # what is held goes on in the first rows at most, and ends before the batch's last cluster
+            yield pd.concat([*held, batch[:begins]], ignore_index=True)
+            held = []
+        elif begins:
+            yield batch[:begins].reset_index(drop=True)
+        held.append(batch[begins:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _modes(eta: np.ndarray, yes: np.ndarray, n: np.ndarray, group: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior modes of groups' standard normal effects, and the curvature of the log-posterior there."""
+    m = group.max() + 1
+    u = np.zeros(m)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(eta + sigma * u[group])))
+        h = sigma**2 * np.bincount(group, n * p * (1 - p), m) + 1
+        step = (sigma * np.bincount(group, yes - n * p, m) - u) / h
+        u = u + np.clip(step, -2, 2)
+        if np.max(np.abs(step)) < 1e-10:
+            break
+    p = 1 / (1 + np.exp(-(eta + sigma * u[group])))
+    return u, sigma**2 * np.bincount(group, n * p * (1 - p), m) + 1
+
+
+def _logistic_effects(df: DataFrame, y: str, xs: list[str], cluster: str, model: Mixed) -> DataFrame:
+    beta, sigma = np.asarray(model.fit.coef, dtype=float), math.sqrt(model.between)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in whole_clusters(batches):
+            group, names = pd.factorize(b["cluster"])
+            u, h = _modes(np.stack(b["x"].to_numpy()) @ beta, b["yes"].to_numpy(), b["n"].to_numpy(), group, sigma)
+            yield pd.DataFrame({"cluster": names, "n": np.bincount(group, b["n"].to_numpy()).astype(np.int64), "effect": sigma * u, "se": sigma / np.sqrt(h)})
+
+    return _with_bounds(_patterns(df, y, xs, cluster).mapInPandas(run, "cluster string, n long, effect double, se double"))
 
 
 def climb(total: Callable[[np.ndarray], np.ndarray], theta: np.ndarray, edge: Callable[[np.ndarray], bool], step: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -232,45 +302,31 @@ def explained(df: DataFrame, xs: list[str], cluster: str, model: Mixed) -> tuple
 
 
 def logistic_mixed(df: DataFrame, y: str, xs: list[str], cluster: str, nodes: int = NODES) -> Mixed:
-    """Random-intercept logit. Clusters are independent, so each likelihood is a sum over tasks that hold whole clusters,
-    as (pattern, count) rows; the search for its top runs on the driver with numeric derivatives."""
-    rows = design(df, y, xs, cluster)
+    """Random-intercept logit. Clusters are independent, so each likelihood is a sum over tasks, which hold whole clusters
+    as (pattern, count) rows, a batch of them at a time; the search for its top runs on the driver with numeric
+    derivatives."""
     k = len(xs) + 1
-    per = rows.groupBy("cluster", "x").agg(F.sum("y").alias("yes"), F.count("*").cast("double").alias("n"))
-    held = per.repartition("cluster").sortWithinPartitions("cluster").persist()
+    held = _patterns(df, y, xs, cluster).persist()
     points, weights = np.polynomial.hermite.hermgauss(nodes)
 
     def total(thetas: np.ndarray) -> np.ndarray:
         """Log-likelihoods at each row of thetas (coefficients, log sigma)."""
 
         def run(batches):
-            frames = [b for b in batches if len(b)]
-            if not frames:
-                return
-            b = pd.concat(frames)
-            x, yes, n = np.stack(b["x"].to_numpy()), b["yes"].to_numpy(), b["n"].to_numpy()
-            group = pd.factorize(b["cluster"])[0]
-            m = group.max() + 1
-            add = lambda v: np.bincount(group, v, m)
-            out = []
-            for theta in thetas:
-                eta, sigma = x @ theta[:k], math.exp(theta[k])
-                u = np.zeros(m)
-                for _ in range(25):
-                    p = 1 / (1 + np.exp(-(eta + sigma * u[group])))
-                    h = sigma**2 * add(n * p * (1 - p)) + 1
-                    step = (sigma * add(yes - n * p) - u) / h
-                    u = u + np.clip(step, -2, 2)
-                    if np.max(np.abs(step)) < 1e-8:
-                        break
-                p = 1 / (1 + np.exp(-(eta + sigma * u[group])))
-                s = 1 / np.sqrt(sigma**2 * add(n * p * (1 - p)) + 1)
-                parts = []
-                for z, w in zip(points, weights, strict=True):
-                    v = u + math.sqrt(2) * s * z
-                    e = eta + sigma * v[group]
-                    parts.append(math.log(w) + z * z + add(yes * e - n * np.logaddexp(0, e)) - v * v / 2)
-                out.append(float(np.sum(np.logaddexp.reduce(parts, axis=0) + np.log(s) + 0.5 * math.log(2) - 0.5 * math.log(2 * math.pi))))
+            out = np.zeros(len(thetas))
+            for b in whole_clusters(batches):
+                x, yes, n = np.stack(b["x"].to_numpy()), b["yes"].to_numpy(), b["n"].to_numpy()
+                group = pd.factorize(b["cluster"])[0]
+                for at, theta in enumerate(thetas):
+                    eta, sigma = x @ theta[:k], math.exp(theta[k])
+                    u, h = _modes(eta, yes, n, group, sigma)
+                    s = 1 / np.sqrt(h)
+                    parts = []
+                    for z, w in zip(points, weights, strict=True):
+                        v = u + math.sqrt(2) * s * z
+                        e = eta + sigma * v[group]
+                        parts.append(math.log(w) + z * z + np.bincount(group, yes * e - n * np.logaddexp(0, e), len(u)) - v * v / 2)
+                    out[at] += np.sum(np.logaddexp.reduce(parts, axis=0) + np.log(s) + 0.5 * math.log(2) - 0.5 * math.log(2 * math.pi))
             yield pd.DataFrame({"i": np.arange(len(out)), "v": out})
 
         return held.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()

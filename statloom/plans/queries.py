@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -813,3 +814,15 @@ def ward_classes(t):
     rows = t("lineitem").select(F.monotonically_increasing_id().alias("id"), (d(F.col("l_quantity")) / 50.0).alias("a"), (d(F.col("l_extendedprice")) / 100000.0).alias("b"))
     classes, _ = factorial.classify(rows, ["a", "b"], "id")
     return classes.groupBy("class").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS cluster, count(*) AS n, 0e0 AS score, true AS within FROM customer WHERE c_acctbal IS NOT NULL AND c_nationkey IS NOT NULL AND c_mktsegment IS NOT NULL GROUP BY c_nationkey", "score", 5)
+def logistic_effects(t):
+    """Random intercepts of nations in a logit of customers' balances. At a posterior's mode its slope is nil: the sum of
+    residuals is the effect over the variance; and its error is below the standard deviation between nations."""
+    rows = t("customer").select(F.col("c_nationkey").cast("string").alias("nation"), (F.col("c_acctbal") > 1000 * (F.col("c_nationkey") % 7)).cast("double").alias("y"), (F.col("c_mktsegment") == "BUILDING").cast("double").alias("x")).dropna()
+    model = multilevel.logistic_mixed(rows, "y", ["x"], "nation")
+    effects = multilevel.random_effects(rows, "y", ["x"], "nation", model)
+    eta = float(model.fit.coef[0]) + float(model.fit.coef[1]) * F.col("x") + F.col("effect")
+    sums = rows.join(effects, F.col("nation") == F.col("cluster")).groupBy("cluster", "n", "effect", "se").agg(F.sum(F.col("y") - 1.0 / (1.0 + F.exp(-eta))).alias("s"))
+    return sums.select("cluster", "n", (F.col("s") - F.col("effect") / model.between).alias("score"), F.col("se").between(0.0, math.sqrt(model.between)).alias("within"))
