@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, StopWordsRemover
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.text import STOP_WORDS, initials, inverted_text, sentences, short_citation, shorten, strip_tags, title_key
@@ -20,15 +20,22 @@ LIMITS = r"(?i)\b(limit|caution|bias|generali[sz]e|further research)"
 
 
 def dedupe(works: DataFrame, order: str) -> DataFrame:
-    """The first record of each DOI, then the first of each title key; short keys go. `order` ranks arrival.
+    """The first record of each DOI, then the first of each title key; short keys and null titles go. `order` ranks arrival.
 
-    Two passes of one row_number each: records without a DOI only meet by title.
+    Records meet by the SHA-256 of their DOI or key, and each task sends no more than its first record of each, so a text
+    is shuffled at most once as a value and a key that many records share makes no task large. Records without a DOI only
+    meet by title. Of records that arrive alike one stays; a null order arrives first.
     """
-    keyed = works.withColumn("_key", title_key(F.col("title"))).withColumn("_doi", F.nullif(F.lower(F.trim("doi")), F.lit("")))
-    by_doi = F.row_number().over(Window.partitionBy("_doi").orderBy(order))
-    once = keyed.where("_doi is null").unionByName(keyed.where("_doi is not null").withColumn("_n", by_doi).where("_n = 1").drop("_n"))
-    by_key = F.row_number().over(Window.partitionBy("_key").orderBy(order))
-    return once.where(F.length("_key") >= SHORTEST_TITLE).withColumn("_n", by_key).where("_n = 1").select(*works.columns)
+    doi = F.nullif(F.lower(F.trim("doi")), F.lit(""))
+    place = F.struct(F.col(order).isNotNull(), F.col(order))  # never null, as min_by leaves out nulls
+    record = F.struct(*[F.col(f"`{c}`") for c in works.columns])
+
+    def first(rows: DataFrame, key: Column) -> DataFrame:
+        return rows.groupBy(F.sha2(key, 256).alias("_key")).agg(F.min_by(record, place).alias("_record")).select("_record.*")
+
+    once = works.where(doi.isNull()).unionByName(first(works.where(doi.isNotNull()), doi))
+    key = title_key(F.col("title"))
+    return first(once.where(F.length(key) >= SHORTEST_TITLE), key)
 
 
 def score(relevance: Column, citations: Column, age: Column, has_abstract: Column) -> Column:
