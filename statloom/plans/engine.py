@@ -247,6 +247,9 @@ def run(df: DataFrame, plan: AnalysisPlan, key: bytes = b"") -> dict[str, DataFr
             if plan.cluster and "multilevel" in plan.analyses and model in ("logistic", "linear"):
                 second = [q for q, v in owner.items() if v in plan.level2]
                 results["multilevel"] = multilevel.staged(rows, y, [q for q in quoted if q not in second], second, plan.cluster, model == "logistic", plan.random_slope)
+                whole = (multilevel.logistic_mixed if model == "logistic" else multilevel.linear_mixed)(rows, y, quoted, plan.cluster)
+                effects = results["context_effects"] = multilevel.random_effects(rows, y, quoted, plan.cluster, whole)
+                results["context_extremes"] = multilevel.extreme_clusters(effects)
     if plan.duration and plan.event and "survival" in plan.analyses:
         subjects = survival.subjects(df, plan.duration, plan.event)
         curve = results["survival"] = survival.kaplan_meier(subjects)

@@ -61,3 +61,16 @@ def test_clusters_that_do_not_vary_and_nulls(spark):
     assert sorted((r["cluster"], r["n"]) for r in got) == [(str(k), 40) for k in range(4)]
     assert all(abs(r["effect"]) < 0.01 for r in got) and model.between < 0.01
     assert multilevel.random_effects(df.limit(0), "y", ["x"], "g", model).count() == 0
+
+
+@pytest.mark.parametrize("outcome", ["binary", "continuous"])
+def test_the_configured_analysis_gives_effects(spark, rows, outcome):
+    from statloom.plans.engine import AnalysisPlan, run
+
+    table = rows[0].assign(w=lambda t: t["y"] + t["x"] / 7 + np.arange(len(t)) % 13)
+    y = "y" if outcome == "binary" else "w"
+    plan = AnalysisPlan(outcome=y, explanatory=("x",), cluster="g", analyses=("model", "multilevel"), kinds={y: outcome, "x": "continuous"})
+    found = run(spark.createDataFrame(table), plan)
+    effects = found["context_effects"].collect()
+    assert len(effects) == 30 and sum(r["n"] for r in effects) == 3000 and found["context_extremes"].first()["clusters"] == 30
+    assert {r["stage"] for r in found["multilevel"].collect()} == {"M0", "M1"}
