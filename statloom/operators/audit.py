@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statloom.functions import dist
 from statloom.functions.expressions import d, ratio
+from statloom.operators.bivariate import chi_square, crosstab, mann_whitney_p
 from statloom.operators.order import quantiles
 
 MISSING_LIMIT, RARE = 0.05, 5
+#: Rows with and without a value that a comparison of an outcome's numbers needs.
+LEAST_ROWS = 5
 
 
 def missing(df: DataFrame) -> DataFrame:
@@ -51,3 +55,34 @@ def missingness_by_outcome(df: DataFrame, column: str, outcome: str) -> DataFram
     n = a + b + c + e
     gap = F.greatest(F.lit(0.0), F.abs(a * e - b * c) - n / 2.0)
     return one.select("a", "b", "c", "d", ratio(n * gap * gap, (a + b) * (c + e) * (a + c) * (b + e)).alias("chi2"))
+
+
+def missingness_tests(df: DataFrame, outcome: str, numeric: bool, columns: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
+    """variable, rate, test, statistic, p, related: whether an outcome differs where a column has no value.
+
+    Columns with more than MISSING_LIMIT of their values missing are tested: a numeric outcome by Mann-Whitney's U of the
+    rows without a value, if LEAST_ROWS rows are in both groups; categories by chi-square, with Yates's correction in
+    tables of two by two. A column that isn't missing in any row with an outcome, or in all, has no test.
+    """
+    schema = "variable string, rate double, test string, statistic double, p double, related boolean"
+    listed = columns or [c for c in df.columns if c != outcome]
+    rates = {r["variable"]: r["rate"] for r in missing(df.select(*[F.col(f"`{c}`") for c in listed])).where("flagged").collect()}  # a row for each column
+    parts = []
+    for name in [c for c in listed if c in rates]:
+        rows = df.where(F.col(f"`{outcome}`").isNotNull()).select(F.col(f"`{outcome}`").alias("y"), F.when(F.col(f"`{name}`").isNull(), "a missing").otherwise("b known").alias("m"))
+        if numeric:
+            one = mann_whitney_p(rows, "y", "m").where((F.col("n1") >= LEAST_ROWS) & (F.col("n2") >= LEAST_ROWS))
+            told = one.select(F.lit("Mann-Whitney").alias("test"), F.col("u").alias("statistic"), "p")
+        else:
+            gap = F.abs(d(F.col("n")) - F.col("expected"))
+            yates = crosstab(rows, "m", "y").agg(F.sum(F.pow(gap - F.least(F.lit(0.5), gap), F.lit(2.0)) / F.col("expected")).alias("corrected"))
+            one = chi_square(rows, "m", "y").where("chi2 is not null").crossJoin(yates)  # one row each
+            statistic = F.when(F.col("df") == 1, F.col("corrected")).otherwise(F.col("chi2"))
+            told = one.select(F.lit("chi-square").alias("test"), statistic.alias("statistic"), "df").withColumn("p", dist.p_chi2(F.col("statistic"), F.col("df"))).drop("df")
+        parts.append(told.select(F.lit(name).alias("variable"), F.lit(rates[name]).alias("rate"), "test", "statistic", "p", (F.col("p") < alpha).alias("related")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

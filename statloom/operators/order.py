@@ -9,18 +9,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most ranges that a global order is split into; fewer where the session has fewer shuffle partitions.
-RANGES = 128
+#: Rows that one range of a global order holds, about. There are at least as many ranges as shuffle partitions.
+RANGE_ROWS = 500_000
+#: Cuts of an order that one nested comparison tells apart; more are told in two steps.
+STEP = 64
 
 
-def cuts_of(df: DataFrame, order: str, ranges: int = RANGES) -> list[float]:
-    """Approximate quantiles at which rows are split into ranges of the order."""
-    ranges = max(1, min(ranges, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return sorted(set(df.approxQuantile(order, [k / ranges for k in range(1, ranges)], 1.0 / (2 * ranges)))) if ranges > 1 else []
+def cuts_of(df: DataFrame, order: str, range_rows: int = RANGE_ROWS) -> list[float]:
+    """Approximate quantiles at which rows are split into ranges of the order, so many that a range stays near range_rows
+    rows however many there are. A table that needs more ranges than shuffle partitions is read twice."""
+
+    def found(ranges: int) -> tuple[int, list[float]]:
+        shares = [k / ranges for k in range(1, ranges)] or [0.5]
+        one = df.agg(F.count(order).alias("n"), F.percentile_approx(F.col(order).cast("double"), shares, 2 * ranges).alias("cuts")).first()
+        return one["n"], sorted({c for c in one["cuts"] or [] if c == c}) if ranges > 1 else []
+
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n, cuts = found(ranges)
+    return found(-(-n // range_rows))[1] if n > ranges * range_rows else cuts
 
 
 def cut_place(x: Column, cuts: list[float]) -> Column:
-    """How many of the sorted cuts lie below x, by halving, as nested comparisons."""
+    """How many of the sorted cuts lie below x: by halving, as nested comparisons; of more than STEP cuts every STEP-th is
+    told so, and those between two of them are counted."""
+    if len(cuts) > STEP:
+        coarse = cut_place(x, cuts[STEP - 1 :: STEP])
+        between_two = F.slice(F.lit([float(c) for c in cuts]), coarse * STEP + 1, F.lit(STEP))
+        return coarse * STEP + F.size(F.filter(between_two, lambda c: x > c))
 
     def between(low: int, high: int) -> Column:
         if low == high:
@@ -31,14 +46,14 @@ def cut_place(x: Column, cuts: list[float]) -> Column:
     return between(0, len(cuts))
 
 
-def running_sums(df: DataFrame, order: str, sums: dict[str, str], within: list[str] | None = None, ranges: int = RANGES, cuts: list[float] | None = None) -> DataFrame:
+def running_sums(df: DataFrame, order: str, sums: dict[str, str], within: list[str] | None = None, cuts: list[float] | None = None) -> DataFrame:
     """Adds, for each column c of sums, the sum of c over rows of the group with a smaller `order` as sums[c].
 
     df has one row per group and order value; order is numeric and not null. Cuts of the order, from cuts_of(), spare
     finding them again; whatever they are, the sums are the same.
     """
     within = within or []
-    split = df.withColumn("_range", cut_place(F.col(order), cuts_of(df, order, ranges) if cuts is None else cuts))
+    split = df.withColumn("_range", cut_place(F.col(order), cuts_of(df, order) if cuts is None else cuts))
     totals = split.groupBy(*within, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*within, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in sums])

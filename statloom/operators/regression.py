@@ -8,12 +8,13 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from statloom.functions import dist
 from statloom.functions.expressions import Z_95, d
-from statloom.operators.order import value_ranks
+from statloom.operators.order import cut_place, cuts_of, running_sums, value_ranks
 
 MOST_STEPS, TOLERANCE = 60, 1e-9
 
@@ -490,20 +491,32 @@ def predictions(df: DataFrame, y: str, xs: list[str], fit: Fit, key: list[str] |
 def hosmer_lemeshow(predicted: DataFrame, key: list[str], groups: int = 10) -> DataFrame:
     """chi2, df of the deciles of fitted values (y, fitted, key columns); the first groups are the larger ones.
 
-    Places are found by counts of distinct fitted values, so only ties at one fitted value are ordered by key together.
+    Places are found by counts of distinct fitted values. Only the values that straddle an edge of two groups, fewer than
+    there are groups, need their rows ordered by key; where the first key is a number, ranges of it are ordered apart.
     """
-    from statloom.operators.order import running_sums
-
-    counted = predicted.groupBy(F.col("fitted").alias("value")).agg(F.count("*").alias("ties"))
-    starts = running_sums(counted, "value", {"ties": "before"})
-    inside = F.row_number().over(Window.partitionBy("fitted").orderBy(*key))
-    placed = predicted.join(starts.select("value", "before"), F.col("fitted") == F.col("value")).withColumn("at", F.col("before") + inside - 1)
-    n = predicted.agg(F.count("*").alias("n"))
-    placed = placed.crossJoin(F.broadcast(n))  # one row
-    size, more = F.floor(F.col("n") / groups), F.col("n") % groups
+    counted = predicted.groupBy(F.col("fitted").alias("value")).agg(F.count("*").alias("ties"), F.sum("y").alias("events"))
+    n = counted.agg(F.sum("ties").alias("rows"))
+    size, more = F.floor(F.col("rows") / groups), F.col("rows") % groups
     edge = more * (size + 1)
-    bucket = F.when(F.col("at") < edge, F.floor(F.col("at") / (size + 1))).otherwise(more + F.floor((F.col("at") - edge) / F.greatest(size, F.lit(1))))
-    per = placed.withColumn("bucket", bucket).groupBy("bucket").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("o"), F.sum("fitted").alias("e"))
+
+    def bucket(at: Column) -> Column:
+        return F.when(at < edge, F.floor(at / (size + 1))).otherwise(more + F.floor((at - edge) / F.greatest(size, F.lit(1))))
+
+    starts = running_sums(counted, "value", {"ties": "before"}).crossJoin(F.broadcast(n))  # one row
+    placed = starts.withColumn("first", bucket(F.col("before"))).withColumn("last", bucket(F.col("before") + F.col("ties") - 1))
+    whole = placed.where("first = last").select(F.col("first").alias("bucket"), d(F.col("ties")).alias("n"), F.col("events").alias("o"), (F.col("value") * F.col("ties")).alias("e"))
+
+    parted = F.broadcast(placed.where("first < last").select("value", "before", "rows"))  # fewer than groups
+    rows = predicted.join(parted, F.col("fitted") == F.col("value"))
+    number = isinstance(predicted.schema[key[0]].dataType, NumericType)
+    rows = rows.withColumn("part", cut_place(F.col(key[0]), cuts_of(predicted, key[0])) if number else F.lit(0))
+    sizes = rows.groupBy("fitted", "part").agg(F.count("*").alias("size"))
+    earlier = F.sum("size").over(Window.partitionBy("fitted").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    ordered = rows.withColumn("inside", F.row_number().over(Window.partitionBy("fitted", "part").orderBy(*key)))
+    numbered = ordered.join(sizes.select("fitted", "part", F.coalesce(earlier, F.lit(0)).alias("earlier")), ["fitted", "part"])
+    cut = numbered.select(bucket(F.col("before") + F.col("earlier") + F.col("inside") - 1).alias("bucket"), F.lit(1.0).alias("n"), F.col("y").alias("o"), F.col("fitted").alias("e"))
+
+    per = whole.unionByName(cut).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("o").alias("o"), F.sum("e").alias("e"))
     gap = F.col("o") - F.col("e")
     return per.agg(F.sum(gap * gap / (F.col("e") * (1.0 - F.col("e") / F.col("n")))).alias("chi2"), (F.count("*") - 2).alias("df"))
 

@@ -96,8 +96,18 @@ def bibliography(works: DataFrame, cited: DataFrame) -> DataFrame:
 
 
 def newest(rows: DataFrame, owner: str, at: str, key: str) -> DataFrame:
-    """rows with their place among their owner's, the newest first."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy(F.desc(at), key)))
+    """rows with their place among their owner's, the newest first; rows without a time come last.
+
+    at is a date or a time. Places are counted within an owner's days, so that a busy owner is spread over tasks, and
+    later days' rows are added: those are one row a day.
+    """
+    # a struct, as equal structs may hold nulls and equal columns may not
+    days = rows.withColumn("_day", F.struct(F.col(owner).alias("owner"), F.to_date(at).alias("day")))
+    inside = F.row_number().over(Window.partitionBy("_day").orderBy(F.desc(at), key))
+    counts = days.groupBy("_day").agg(F.count("*").alias("_rows"))
+    later = F.sum("_rows").over(Window.partitionBy("_day.owner").orderBy(F.desc("_day.day")).rowsBetween(Window.unboundedPreceding, -1))
+    joined = days.withColumn("_inside", inside).join(counts.select("_day", F.coalesce(later, F.lit(0)).alias("_later")), "_day")
+    return joined.select(*rows.columns, (F.col("_later") + F.col("_inside")).cast("int").alias("place"))
 
 
 def union_facts(*sections: DataFrame) -> DataFrame:

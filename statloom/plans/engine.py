@@ -200,6 +200,8 @@ def run(df: DataFrame, plan: AnalysisPlan, key: bytes = b"") -> dict[str, DataFr
     if "audit" in plan.analyses:
         results["missing"] = audit.missing(df)
         results["duplicates"] = audit.duplicate_rows(df)
+        if plan.outcome:
+            results["missingness"] = audit.missingness_tests(df, plan.outcome, kinds[plan.outcome].kind in NUMERIC, [c for c in used if c != plan.outcome], plan.alpha)
         numbers = [c for c in used if kinds[c].kind in NUMERIC]
         if numbers:
             results["outliers"] = audit.outliers(df, numbers)

@@ -372,6 +372,55 @@ def dunn_pairs(t):
     return bivariate.dunn(t("customer"), "c_acctbal", "c_mktsegment").select("a", "b", "z")
 
 
+def _normal_p(z: str) -> str:
+    """Two-sided p of a normal statistic, by Simpson's rule over 2,000 steps of its density."""
+    weight = "CASE WHEN i = 0 OR i = 2000 THEN 1e0 WHEN i % 2 = 1 THEN 4e0 ELSE 2e0 END"
+    end = f"least(abs({z}), 40e0)"
+    return f"greatest(0e0, 1e0 - 2e0*{end}/6000e0/sqrt(2e0*pi())*list_sum(list_transform(range(0, 2001), lambda i: {weight}*exp(-power({end}*i/2000e0, 2e0)/2e0))))"
+
+
+@query(
+    _ranks("customer", "c_acctbal", "c_mktsegment") + f""", n AS (SELECT sum(n) AS n FROM s), z AS (SELECT a.g AS a, b.g AS b, (a.rs/a.n-b.rs/b.n)/sqrt((n.n*(n.n+1e0)/12e0-ties/(12e0*(n.n-1e0)))*(1e0/a.n+1e0/b.n)) AS z FROM s a JOIN s b ON a.g < b.g, n, t),
+    p AS (SELECT a, b, {_normal_p('z')} AS p FROM z), o AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, a, b) AS i FROM p)
+    SELECT a, b, p, least(1e0, max((m-i+1)*p) OVER (ORDER BY i)) AS p_holm FROM o""",
+    "p p_holm",
+)
+def dunn_p_values(t):
+    """The p of each pair of groups and Holm's, which leave no pair's error to chance."""
+    return bivariate.dunn(t("customer"), "c_acctbal", "c_mktsegment").select("a", "b", "p", "p_holm")
+
+
+_PARTLY = ["CASE WHEN event_id % 11 <> 0 THEN value END AS often", "CASE WHEN event_id % 40 <> 0 THEN value END AS seldom", "CASE WHEN event_id % 3 <> 0 OR value < 40 THEN value END AS tied", "value", "event_type"]
+
+
+@query(
+    f"""WITH e AS (SELECT {', '.join(_PARTLY)} FROM events), r AS (SELECT often IS NULL AS m1, tied IS NULL AS m2, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1)/2e0 AS r FROM e WHERE value IS NOT NULL),
+    t AS (SELECT sum(power(n, 3e0) - n) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM e WHERE value IS NOT NULL GROUP BY value)),
+    g AS (SELECT 'often' AS variable, CAST(count(*) FILTER (m1) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT m1) AS DOUBLE) AS n2, sum(r) FILTER (m1) AS rs FROM r UNION ALL SELECT 'tied', count(*) FILTER (m2), count(*) FILTER (NOT m2), sum(r) FILTER (m2) FROM r),
+    u AS (SELECT *, n1+n2 AS n, rs-n1*(n1+1e0)/2e0 AS u FROM g, t), z AS (SELECT *, greatest(0e0, abs(u-n1*n2/2e0)-0.5e0)/sqrt(n1*n2/12e0*(n+1e0-ties/(n*(n-1e0)))) AS z FROM u),
+    s AS (SELECT 'often' AS variable, avg(CAST(often IS NULL AS DOUBLE)) AS rate FROM e UNION ALL SELECT 'tied', avg(CAST(tied IS NULL AS DOUBLE)) FROM e UNION ALL SELECT 'seldom', avg(CAST(seldom IS NULL AS DOUBLE)) FROM e)
+    SELECT variable, rate, 'Mann-Whitney' AS test, u AS statistic, {_normal_p('z')} AS p, {_normal_p('z')} < 0.05e0 AS related FROM z JOIN s USING (variable) WHERE rate > 0.05e0""",
+    "rate statistic p",
+)
+def missingness_numbers(t):
+    """Whether the value of events differs where a column that is partly missing has none; one column is missing too seldom."""
+    e = t("events").selectExpr(*_PARTLY)
+    return audit.missingness_tests(e.drop("event_type"), "value", True)
+
+
+@query(
+    f"""WITH e AS (SELECT {', '.join(_PARTLY)} FROM events), c AS (SELECT event_type AS y, tied IS NULL AS m, CAST(count(*) AS DOUBLE) AS o FROM e WHERE event_type IS NOT NULL GROUP BY 1, 2),
+    y AS (SELECT y, sum(o) AS ny FROM c GROUP BY 1), m AS (SELECT m, sum(o) AS nm FROM c GROUP BY 1), x AS (SELECT coalesce(o, 0e0) AS o, nm*ny/(SELECT sum(o) FROM c) AS x FROM y CROSS JOIN m LEFT JOIN c USING (y, m)),
+    k AS (SELECT sum((o-x)*(o-x)/x) AS chi2, (SELECT count(*) FROM y) - 1 AS df FROM x), r AS (SELECT avg(CAST(tied IS NULL AS DOUBLE)) AS rate FROM e)
+    SELECT 'tied' AS variable, rate, 'chi-square' AS test, chi2 AS statistic FROM k, r WHERE df > 1""",
+    "rate statistic",
+)
+def missingness_categories(t):
+    """Whether the kinds of events differ where a column that is partly missing has no value."""
+    e = t("events").selectExpr(*_PARTLY)
+    return audit.missingness_tests(e, "event_type", False, ["tied"]).drop("p", "related")
+
+
 @query()
 def games_howell_pairs(t):
     return bivariate.games_howell(t("customer"), "c_acctbal", "c_mktsegment")
@@ -446,7 +495,45 @@ def ols_simple(t):
     return rows.sparkSession.createDataFrame([(float(fit.coef[1]), float(fit.coef[0]), float(fit.extra["r2"]))], "slope double, intercept double, r2 double")
 
 
-@query()
+def _least_squares(table: str, y: str, xs: list[str]) -> str:
+    """CTEs g0 ... gk that sweep X'X (a), X'y (b) to its inverse and the estimates, and c, the HC3 covariance, each in one row.
+
+    The sweep of pivot p turns it to 1/p, its row to r/p, its column to -c/p, and subtracts c r/p from all others.
+    """
+    k = len(xs) + 1
+    x = ["1e0", *[f"CAST({c} AS DOUBLE)" for c in xs]]
+    cells = [(f"a{i}_{j}", i, j) for i in range(k) for j in range(k)] + [(f"b{i}", i, k) for i in range(k)]
+    name = {(i, j): n for n, i, j in cells}
+    value = lambda j: f"CAST({y} AS DOUBLE)" if j == k else x[j]
+    steps = ["g0 AS (SELECT " + ", ".join(f"sum({x[i]}*{value(j)}) AS {n}" for n, i, j in cells) + f", count(*) AS n FROM {table})"]
+    for p in range(k):
+        pivot = name[p, p]
+
+        def swept(i: int, j: int, p: int = p, pivot: str = pivot) -> str:
+            if i == p:
+                return f"1e0/{pivot}" if j == p else f"{name[p, j]}/{pivot}"
+            return f"-{name[i, p]}/{pivot}" if j == p else f"{name[i, j]}-{name[i, p]}*{name[p, j]}/{pivot}"
+
+        steps.append(f"g{p + 1} AS (SELECT " + ", ".join(f"{swept(i, j)} AS {n}" for n, i, j in cells) + f", n FROM g{p})")
+    fitted = " + ".join(f"b{i}*{x[i]}" for i in range(k))
+    leverage = " + ".join(f"a{i}_{j}*{x[i]}*{x[j]}" for i in range(k) for j in range(k))
+    steps.append(f"w AS (SELECT {', '.join(f'{x[i]} AS x{i}' for i in range(k))}, power(({value(k)} - ({fitted}))/(1e0 - ({leverage})), 2e0) AS w FROM {table}, g{k})")
+    steps.append("m AS (SELECT " + ", ".join(f"sum(w*x{i}*x{j}) AS m{i}_{j}" for i in range(k) for j in range(k)) + " FROM w)")
+    steps.append("c AS (SELECT " + ", ".join(f"b{i}, sqrt({' + '.join(f'a{i}_{u}*m{u}_{v}*a{v}_{i}' for u in range(k) for v in range(k))}) AS s{i}" for i in range(k)) + f" FROM g{k}, m)")
+    return ", ".join(steps)
+
+
+def _terms(table: str, y: str, xs: list[str]) -> str:
+    """A SELECT of term, estimate, se of least squares with HC3 errors."""
+    each = " UNION ALL ".join(f"SELECT '{n}' AS term, b{i} AS estimate, s{i} AS se FROM c" for i, n in enumerate(["(intercept)", *xs]))
+    return f"WITH {_least_squares(table, y, xs)} SELECT * FROM ({each})"
+
+
+def _with_p(terms: str) -> str:
+    return f"SELECT *, {_normal_p('estimate/se')} AS p FROM ({terms})"
+
+
+@query(f"SELECT term, estimate, se, estimate/se AS z, p, estimate - 1.96e0*se AS low, estimate + 1.96e0*se AS high FROM ({_with_p(_terms('lineitem', 'l_extendedprice', ['l_quantity', 'l_discount', 'l_tax']))})", "estimate se z p low high", 3)
 def ols_hc3(t):
     rows = t("lineitem")
     return regression.ols(rows, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]).table(rows.sparkSession)
@@ -525,12 +612,22 @@ def events_per_parameter(t):
     return t("lineitem").agg(F.count_if(e).alias("events"), (F.least(F.count_if(e), F.count_if(~e)) / 3.0).alias("per_parameter"))
 
 
-@query()
+_CHANGE = "CASE WHEN crude_p < 0.05e0 AND adjusted_p >= 0.05e0 THEN 'confounded' WHEN crude_p >= 0.05e0 AND adjusted_p < 0.05e0 THEN 'revealed' ELSE 'same' END"
+_CRUDE = " UNION ALL ".join(f"SELECT * FROM ({_with_p(_terms('lineitem', 'l_extendedprice', [x]))})" for x in ("l_quantity", "l_discount"))
+
+
+@query(
+    f"""SELECT term, c.estimate AS crude, c.p AS crude_p, a.estimate AS adjusted, a.p AS adjusted_p, {_CHANGE} AS change FROM ({_CRUDE}) c JOIN ({_with_p(_terms('lineitem', 'l_extendedprice', ['l_quantity', 'l_discount']))}) a USING (term) WHERE term <> '(intercept)'""",
+    "crude crude_p adjusted adjusted_p", 3,
+)
 def crude_vs_adjusted(t):
     return regression.crude_and_adjusted(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], "linear")
 
 
-@query()
+@query(
+    f"SELECT 1 AS model, term, estimate, p FROM ({_with_p(_terms('lineitem', 'l_extendedprice', ['l_quantity']))}) UNION ALL SELECT 2, term, estimate, p FROM ({_with_p(_terms('lineitem', 'l_extendedprice', ['l_quantity', 'l_discount', 'l_tax']))})",
+    "estimate p", 3,
+)
 def nested_models(t):
     return regression.nested(t("lineitem"), "l_extendedprice", [["l_quantity"], ["l_discount", "l_tax"]], "linear")
 
@@ -564,6 +661,14 @@ def pca_axes(t):
     return rows.sparkSession.createDataFrame([(i + 1, float(v), float(s)) for i, (v, s) in enumerate(zip(found["eigenvalues"], found["shares"], strict=True))], "axis int, eigenvalue double, share double")
 
 
+@query("WITH r AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem) SELECT 1 AS axis, 1e0+r AS eigenvalue, (1e0+r)/2e0 AS share FROM r UNION ALL SELECT 2, 1e0-r, (1e0-r)/2e0 FROM r", "eigenvalue share")
+def pca_pair(t):
+    """Of two columns the eigenvalues have a closed form, which the SQL states."""
+    rows = t("lineitem")
+    found = factorial.pca(rows, ["l_quantity", "l_extendedprice"])
+    return rows.sparkSession.createDataFrame([(i + 1, float(v), float(s)) for i, (v, s) in enumerate(zip(found["eigenvalues"], found["shares"], strict=True))], "axis int, eigenvalue double, share double")
+
+
 @query()
 def mca_axes(t):
     rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))

@@ -8,7 +8,7 @@ from statloom.functions import text
 from statloom.functions.expressions import d
 from statloom.functions.lineage import shared_folder
 from statloom.operators import audit, bivariate, cleaning, describe, guards, privacy, regression, results, survival
-from statloom.plans.queries import KEY, query
+from statloom.plans.queries import KEY, SQL, query
 from statloom.sources.literature import read_literature, write_index
 from statloom.streaming import stateful
 
@@ -364,3 +364,7 @@ def literature_pages(t):
     write_index(works, folder)
     back = read_literature(works.sparkSession, folder, ("doi", "year", "citations", "kind"), first_year=2005)
     return back.groupBy("year", "kind").agg(F.count("*").alias("n"), F.count_distinct("doi").alias("dois"), F.sum("citations").alias("citations"))
+
+
+#: Queries of the same rows.
+SQL["pseudonymize"], SQL["sentence_split"] = SQL["pseudonyms"], SQL["sentences_in_order"]

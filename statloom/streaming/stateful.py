@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,11 +13,24 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 IDLE_MINUTES, ABSOLUTE_HOURS = 30, 8
 
 
+#: A key's events are cut into slices of time that are so many windows (or idle times) long.
+SLICE = 16
+
+
 def window_counts(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """events with the number of the key's events in the last `seconds`, its own included."""
+    """events with the number of the key's events in the last `seconds`, its own included.
+
+    A task counts one slice of a key's time, so that a busy key is spread. Events less than a window before the next
+    slice also go there, to be counted with its first ones. Events without a time count each other, as one slice.
+    """
+    span, width = seconds * 1_000_000, SLICE * seconds * 1_000_000
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("in_window", F.count("*").over(w))
+    own, into = at - F.pmod(at, F.lit(width)), F.pmod(at, F.lit(width))
+    here = F.struct(own.alias("slice"), F.lit(True).alias("counted"))
+    there = F.struct((own + width).alias("slice"), F.lit(False).alias("counted"))
+    sent = events.withColumn("_at", at).withColumn("_to", F.explode(F.when(into >= width - span, F.array(here, there)).otherwise(F.array(here))))
+    w = Window.partitionBy(key, "_to.slice").orderBy("_at").rangeBetween(-span, 0)
+    return sent.withColumn("in_window", F.count("*").over(w)).where("_to.counted").drop("_at", "_to")
 
 
 def limited_sessions(events: DataFrame, key: str, ts: str, idle_minutes: int = IDLE_MINUTES, absolute_hours: int = ABSOLUTE_HOURS) -> DataFrame:
@@ -50,12 +63,29 @@ def limited_sessions(events: DataFrame, key: str, ts: str, idle_minutes: int = I
 
 
 def sessions(events: DataFrame, key: str, ts: str, idle_minutes: int = IDLE_MINUTES) -> DataFrame:
-    """key, session, start, end, n: runs of events no more than the idle time apart."""
-    order = Window.partitionBy(key).orderBy(ts)
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(order).cast("timestamp"))
-    marked = events.withColumn("_new", F.when(gap.isNull() | (gap > idle_minutes * 60_000_000), 1).otherwise(0))
-    numbered = marked.withColumn("session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "session").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"))
+    """key, session, start, end, n: runs of events no more than the idle time apart.
+
+    Runs are found within slices of a key's time, then those that meet across slices are joined. A slice has no more than
+    SLICE + 1 runs, so that the second step sees few rows of even a busy key. Each event without a time is a session.
+    """
+    idle = idle_minutes * 60_000_000
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    slice_ = micros(F.col(ts)) - F.pmod(micros(F.col(ts)), F.lit(SLICE * idle))
+    slim = events.select(F.col(key), F.col(ts).alias("_ts"), slice_.alias("_slice"))
+
+    def opened(before: Column, at: Column) -> Column:
+        gap = micros(at) - micros(before)
+        return F.when(gap.isNull() | (gap > idle), 1).otherwise(0)
+
+    def numbered(rows: DataFrame, within: list[str], order: list[str], last: str, first: str, name: str) -> DataFrame:
+        """rows with the running number of what the gap from `last` of one row to `first` of the next opens."""
+        w = Window.partitionBy(*within).orderBy(*order)
+        marked = rows.withColumn("_new", opened(F.lag(last).over(w), F.col(first)))
+        return marked.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+    runs = numbered(slim, [key, "_slice"], ["_ts"], "_ts", "_ts", "_run").groupBy(key, "_slice", "_run").agg(F.min("_ts").alias("start"), F.max("_ts").alias("end"), F.count("*").alias("n"))
+    whole = numbered(runs, [key], ["start", "_run"], "end", "start", "session")
+    return whole.groupBy(key, "session").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
 
 
 def retained(rows: DataFrame, ts: str, days: int, now: str) -> DataFrame:
