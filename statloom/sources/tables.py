@@ -13,7 +13,9 @@ from statloom.sources.labelled import read_labelled
 from statloom.sources.workbook import read_workbook
 
 DELIMITERS = (";", ",", "\t", "|")
-ENCODINGS = ("UTF-8", "windows-1252")
+ENCODINGS = ("UTF-8", "windows-1252", "ISO-8859-1")
+#: Bytes that windows-1252 and ISO-8859-1 read differently, as the latter reads them. Spark's readers know only the latter.
+SPECIAL = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
 SAMPLE = 20_000
 MOST_COLUMNS = 2000
 
@@ -28,24 +30,49 @@ def sniff(sample: str) -> tuple[str, bool]:
     return best, best != "," and re.search(r"\d,\d", sample) is not None
 
 
-def head(spark: SparkSession, path: str) -> tuple[str, str]:
-    """The first characters of a text file and its encoding. Only the lines needed are read."""
-    for encoding in ENCODINGS:
-        lines = spark.read.option("encoding", encoding).text(path).limit(60).collect()  # a bounded head
-        text = "\n".join(r["value"] for r in lines)[:SAMPLE]
-        if "�" not in text:
-            return text.removeprefix("﻿"), encoding
-    return text, ENCODINGS[-1]
+def text_form(spark: SparkSession, path: str) -> tuple[str, int]:
+    """The encoding of a text file and its number of lines, in one pass over all its bytes.
 
+    UTF-8 where every line is valid UTF-8; else windows-1252, or ISO-8859-1 where bytes occur that the former has no
+    character for.
+    """
+    line = F.col("value")  # as the file's bytes: they are not decoded when lines are split
+    unmapped = F.decode(line.cast("binary"), "ISO-8859-1").rlike("[\u0081\u008d\u008f\u0090\u009d]")
+    one = spark.read.text(path).agg(F.count("*").alias("n"), F.bool_and(F.is_valid_utf8(line)).alias("utf8"), F.bool_or(unmapped).alias("unmapped")).first()
+    return ENCODINGS[0] if one["utf8"] is not False else ENCODINGS[2] if one["unmapped"] else ENCODINGS[1], one["n"]
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """A delimited file as texts, cleaned: names, null words, numbers."""
-    sample, encoding = head(spark, path)
-    sep, _ = sniff(sample)
-    rows = spark.read.csv(path, header=True, sep=sep, encoding=encoding, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", multiLine=False)
-    if len(rows.columns) > MOST_COLUMNS:
+
+def head(spark: SparkSession, path: str, encoding: str) -> str:
+    """The first characters of a text file, as Spark's readers take them. Only the lines needed are read."""
+    lines = spark.read.option("encoding", encoding).text(path).limit(60).collect()  # a bounded head
+    return "\n".join(r["value"] for r in lines)[:SAMPLE].removeprefix("\ufeff")
+
+
+def check_shape(rows: int, columns: int, most_rows: int | None, most_cells: int | None) -> None:
+    """An error where a table has more columns than MOST_COLUMNS, or more rows or cells than asked for."""
+    if columns > MOST_COLUMNS:
         raise ValueError(f"more than {MOST_COLUMNS} columns")
-    return clean(rows.toDF(*clean_names([c.removeprefix("﻿") for c in rows.columns])))
+    if most_rows is not None and rows > most_rows:
+        raise ValueError(f"more than {most_rows} rows")
+    if most_cells is not None and rows * columns > most_cells:
+        raise ValueError(f"more than {most_cells} cells")
+
+
+def read_delimited(spark: SparkSession, path: str, most_rows: int | None = None, most_cells: int | None = None) -> DataFrame:
+    """A delimited file as texts, cleaned: names, null words, numbers with a decimal point or comma.
+
+    Limits on rows and cells, if any, are checked on the number of lines after the header, before columns are parsed.
+    """
+    encoding, lines = text_form(spark, path)
+    readable = ENCODINGS[2] if encoding == ENCODINGS[1] else encoding
+    sep, _ = sniff(head(spark, path, readable))
+    rows = spark.read.csv(path, header=True, sep=sep, encoding=readable, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", multiLine=False)
+    check_shape(max(lines - 1, 0), len(rows.columns), most_rows, most_cells)
+    if encoding == ENCODINGS[1]:
+        meant = SPECIAL.encode("latin-1").decode("cp1252")
+        names = [c.translate(str.maketrans(SPECIAL, meant)) for c in rows.columns]
+        rows = rows.select(*[F.translate(F.col(f"`{c}`"), SPECIAL, meant).alias(n) for c, n in zip(rows.columns, names, strict=True)])
+    return clean(rows.toDF(*clean_names([c.removeprefix("\ufeff") for c in rows.columns])))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
