@@ -64,8 +64,9 @@ def strip_tags(c: Column) -> Column:
 
 
 def sentences(c: Column, shortest: int = 20) -> Column:
-    """Sentences longer than `shortest` characters."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) > shortest)
+    """Sentences longer than `shortest` characters, without spaces at their ends."""
+    trimmed = F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.trim(s))  # F.trim itself would take each one's place as what to trim
+    return F.filter(trimmed, lambda s: F.length(s) > shortest)
 
 
 def tokens(c: Column) -> Column:
