@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,28 +21,73 @@ SEED, REPLICATES = 42, 200
 #: Ranges of the score that AUC counts are kept in: quantiles of the whole table's score, each split in equal parts.
 SCORE_QUANTILES, SCORE_PARTS = 128, 8
 MOST_STEPS, TOLERANCE, RIDGE = 30, 1e-8, 1e-6
+#: Rows that are weighed at once, and the largest mean whose counts are drawn by a table.
+BLOCK, MOST_TABLED = 1024, 128
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Each unsigned 64-bit number as one that looks random: the finaliser of SplitMix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@cache
+def _poisson(mean: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distribution function at 0, 1, 2 ... of a Poisson count, and the count for each 16 leading bits of a uniform
+    number; -1 where these bits leave it open."""
+    k = np.arange(mean + 12 * math.isqrt(mean) + 24)
+    below = np.cumsum(np.exp(k * math.log(mean) - mean - np.array([math.lgamma(i + 1.0) for i in k])))
+    at = np.searchsorted(below, np.arange((1 << 16) + 1) / (1 << 16), "right")
+    return below, np.where(at[:-1] == at[1:], at[:-1], -1).astype(np.float32)
 
 
 def _draws(key: np.ndarray, n: np.ndarray, replicates: int) -> np.ndarray:
-    """Poisson counts with mean n, one column a replicate, seeded by each row's key, so that a task run again draws alike."""
-    return np.stack([np.random.default_rng([SEED, k & 0xFFFFFFFF, (k >> 32) & 0xFFFFFFFF]).poisson(c, replicates) for k, c in zip(key.tolist(), n.tolist(), strict=True)]).astype(float)
+    """Poisson counts with mean n, one column a replicate, seeded by each row's key, so that a task run again draws alike.
+
+    A 64-bit hash of the key and a number gives the leading bits of four replicates' uniform numbers, which are inverted
+    by a table; where they leave the count open a further hash gives the rest. Large means take a generator a row.
+    """
+    seeds = _mixed(key.astype(np.int64).view(np.uint64) ^ np.uint64(SEED))
+    step = np.uint64(0x9E3779B97F4A7C15)
+    blocks = np.arange(1, -(-replicates // 4) + 1, dtype=np.uint64) * step
+    bits = _mixed(seeds[:, None] + blocks).astype("<u8").view("<u2")[:, :replicates]
+    out = np.empty(bits.shape)
+    for c in np.unique(n).astype(np.int64).tolist():
+        own = slice(None) if (n == c).all() else np.flatnonzero(n == c)
+        if c > MOST_TABLED:
+            out[own] = [np.random.default_rng([SEED, k & 0xFFFFFFFF, (k >> 32) & 0xFFFFFFFF]).poisson(c, replicates) for k in key[own].tolist()]
+            continue
+        below, counts = _poisson(c)
+        told = counts[bits[own]]
+        i, r = np.nonzero(told < 0)
+        rest = (_mixed(~seeds[own][i] + (r + 1).astype(np.uint64) * step) >> np.uint64(11)) / 2.0**53
+        told[i, r] = np.searchsorted(below, (bits[own][i, r] + rest) / (1 << 16), "right")
+        out[own] = told
+    return out
 
 
-def _replicate_sums(rows: DataFrame, replicates: int, size: int, function) -> np.ndarray:
-    """Sums over all rows of function(y, x, n, drawn), a matrix of replicates by size, added up in Spark."""
+def _replicate_sums(rows: DataFrame, replicates: int, size: int, function, draw: bool = True) -> np.ndarray:
+    """Sums over all rows of function(y, x, n, drawn), a matrix of replicates by size, added up in Spark. Without draw
+    the drawn counts are n itself."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((replicates, size))
         for b in batches:
-            if len(b):
-                y, x, n = b["y"].to_numpy(dtype=float), np.stack(b["x"].to_numpy()), b["n"].to_numpy(dtype=float)
-                total += function(y, x, n, _draws(b["key"].to_numpy(), n, replicates))
-        r, i = np.nonzero(total)
-        yield pd.DataFrame({"r": r.astype("int32"), "i": i.astype("int32"), "v": total[r, i]})
-
-    got = rows.mapInPandas(run, "r int, i int, v double").groupBy("r", "i").agg(F.sum("v").alias("v")).toPandas()
+            y, n, key = (b.column(c).to_numpy() for c in ("y", "n", "key"))
+            x = b.column("x").flatten().to_numpy().reshape(len(y), -1)
+            for k in range(0, len(y), BLOCK):
+                own = slice(k, k + BLOCK)
+                total += function(y[own], x[own], n[own], _draws(key[own], n[own], replicates) if draw else n[own][:, None])
+        yield pa.RecordBatch.from_arrays([pa.array(range(replicates), pa.int32()), pa.array([t.tobytes() for t in total], pa.binary())], names=["r", "sums"])
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = sum((np.frombuffer(v) for v in parts["sums"]), np.zeros(size))
+        return pd.DataFrame({"r": parts["r"].iloc[:1], "sums": [total.tobytes()]})
+
+    got = rows.mapInArrow(run, "r int, sums binary").groupBy("r").applyInPandas(add, "r int, sums binary").toPandas()
     out = np.zeros((replicates, size))
-    out[got["r"].to_numpy(), got["i"].to_numpy()] = got["v"].to_numpy()
+    out[got["r"].to_numpy()] = [np.frombuffer(v) for v in got["sums"]]
     return out
 
 
@@ -47,12 +95,12 @@ def _chance(eta: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
 
 
-def _replicate_logits(rows: DataFrame, replicates: int, start: np.ndarray, moments) -> np.ndarray:
+def _replicate_logits(rows: DataFrame, replicates: int, start: np.ndarray, moments, draw: bool = True) -> np.ndarray:
     """Newton steps of all replicates' logistic fits at once; moments(beta) gives the function of each pass's sums,
     which are a gradient and then a matrix of curvature for each replicate."""
     beta, k = np.tile(start, (replicates, 1)), len(start)
     for _ in range(MOST_STEPS):
-        sums = _replicate_sums(rows, replicates, k + k * k, moments(beta))
+        sums = _replicate_sums(rows, replicates, k + k * k, moments(beta), draw)
         curvature = sums[:, k:].reshape(replicates, k, k) + RIDGE * np.eye(k)
         step = np.linalg.solve(curvature, (sums[:, :k] - RIDGE * beta)[:, :, None])[:, :, 0]
         beta = beta + step
@@ -70,19 +118,19 @@ def _score_edges(rows: DataFrame, beta: np.ndarray) -> np.ndarray:
     return np.append((q[:-1, None] + parts * np.diff(q)[:, None]).ravel(), q[-1])
 
 
-def _auc_counts(rows: DataFrame, beta: np.ndarray, edges: np.ndarray) -> np.ndarray:
+def _auc_counts(rows: DataFrame, beta: np.ndarray, edges: np.ndarray, draw: bool = True) -> np.ndarray:
     """Counts by replicate, set (drawn or all rows), outcome (1 or 0) and range of the replicate's score."""
     replicates, width = len(beta), len(edges) + 1
+    first = np.arange(replicates) * width
 
     def count(y, x, n, drawn):
-        place = np.searchsorted(edges, x @ beta.T, "right")
+        code = (np.searchsorted(edges, x @ beta.T, "right") + first).ravel()
         out = np.empty((replicates, 4, width))
-        for r in range(replicates):
-            for j, w in enumerate((drawn[:, r] * y, drawn[:, r] * (1 - y), n * y, n * (1 - y))):
-                out[r, j] = np.bincount(place[:, r], w, width)
+        for j, w in enumerate((drawn * y[:, None], drawn * (1 - y)[:, None], (n * y)[:, None], (n * (1 - y))[:, None])):
+            out[:, j] = np.bincount(code, np.broadcast_to(w, (len(y), replicates)).ravel(), replicates * width).reshape(replicates, width)
         return out.reshape(replicates, 4 * width)
 
-    return _replicate_sums(rows, replicates, 4 * width, count).reshape(replicates, 2, 2, width)
+    return _replicate_sums(rows, replicates, 4 * width, count, draw).reshape(replicates, 2, 2, width)
 
 
 def _auc(counts: np.ndarray) -> np.ndarray:
@@ -114,11 +162,7 @@ def bootstrap(df: DataFrame, y: str, xs: list[str], binary: bool, replicates: in
 
             return moments
 
-        def whole(beta):
-            f = fitted(beta)
-            return lambda y_, x, n, drawn: f(y_, x, n, n[:, None])
-
-        base = _replicate_logits(rows, 1, np.zeros(k), whole)[0]
+        base = _replicate_logits(rows, 1, np.zeros(k), fitted, False)[0]
         beta = _replicate_logits(rows, replicates, base, fitted)
 
         def calibrated(line):
@@ -131,10 +175,10 @@ def bootstrap(df: DataFrame, y: str, xs: list[str], binary: bool, replicates: in
 
             return moments
 
-        line = _replicate_logits(rows, replicates, np.array([0.0, 1.0]), calibrated)
+        line = _replicate_logits(rows, replicates, np.array([0.0, 1.0]), calibrated, False)
         edges = _score_edges(rows, base)
         auc = _auc(_auc_counts(rows, beta, edges))
-        own = _auc_counts(rows, base[None], edges)[0, 1]
+        own = _auc_counts(rows, base[None], edges, False)[0, 1]
         apparent, optimism = float(_auc(own)), float(np.mean(auc[:, 0] - auc[:, 1]))
         error = float(np.sum(own[0] * own[1]) / 2 / max(own[0].sum() * own[1].sum(), 1e-300))
         return {"apparent": apparent, "optimism": optimism, "corrected": apparent - optimism, "slope": float(np.mean(line[:, 1])), "auc_error": error}
@@ -150,7 +194,7 @@ def _linear_optimism(rows: DataFrame, k: int, replicates: int) -> dict[str, floa
         return np.hstack([drawn.T @ products, drawn.T @ (x * y[:, None]), (drawn.T @ (y * y))[:, None]])
 
     sums = _replicate_sums(rows, replicates, k * k + k + 1, moments)
-    whole = _replicate_sums(rows, 1, k * k + k + 1, lambda y, x, n, drawn: moments(y, x, n, n[:, None]))[0]
+    whole = _replicate_sums(rows, 1, k * k + k + 1, moments, False)[0]
 
     def r2(beta, m):
         a, b, yy = m[: k * k].reshape(k, k), m[k * k : -1], m[-1]

@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -253,6 +254,23 @@ def test_bootstrap_against_whole_arrays(spark):
     assert got["optimism"] == pytest.approx(np.mean([r2(line(w), w) - r2(line(w), n) for w in drawn.T]), abs=1e-9)
 
 
+def test_draws_are_poisson_and_cheap():
+    rng = np.random.default_rng(3)
+    key = rng.integers(-(2**63), 2**63 - 1, 100_000)
+    start = time.process_time()
+    ones = reliability._draws(key, np.ones(len(key)), 50)
+    assert time.process_time() - start < 1.0  # a generator for each row took some seconds
+    for k in range(4):
+        assert (ones == k).mean() == pytest.approx(np.exp(-1) / [1, 1, 2, 6][k], rel=5e-3)
+    n = rng.choice([1.0, 7.0, 128.0, 129.0, 5000.0], 2000)
+    drawn = reliability._draws(key[:2000], n, 50)
+    assert np.array_equal(drawn[700:900], reliability._draws(key[700:900], n[700:900], 50))
+    for c in np.unique(n):
+        away = (drawn[n == c] - c) / np.sqrt(c)
+        assert abs(away.mean()) < 0.04 and away.var() == pytest.approx(1.0, rel=0.05)
+    assert abs(np.corrcoef(ones[:, :8].T) - np.eye(8)).max() < 0.02
+
+
 def test_choice_of_tests(spark):
     rng = np.random.default_rng(9)
     two = spark.createDataFrame([("a" if i % 2 else "b", float(rng.standard_normal())) for i in range(120)], "g string, v double")
