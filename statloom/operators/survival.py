@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import dist
 from statloom.functions.expressions import d
+from statloom.functions.lineage import checkpointed
 from statloom.operators.order import cuts_of, running_sums
 
 
@@ -22,9 +23,15 @@ def subjects(df: DataFrame, time: str, event: str, group: str | None = None) ->
     return rows.select(d(F.col(time)).alias("t"), flag.alias("e"), (F.col(group).cast("string") if group else F.lit("all")).alias("group"))
 
 
+def times_of(rows: DataFrame) -> DataFrame:
+    """group, t, d (events), m (leaving) of each distinct time. They are written down, so that rows are read, and
+    whatever they are joined from, once, however often the times are read."""
+    return checkpointed(rows.groupBy("group", "t").agg(F.sum("e").alias("d"), F.count("*").alias("m")))
+
+
 def risk_table(rows: DataFrame) -> DataFrame:
     """group, t, d (events), m (leaving), at_risk of each distinct time; times are grouped before any window."""
-    per = rows.groupBy("group", "t").agg(F.sum("e").alias("d"), F.count("*").alias("m"))
+    per = times_of(rows)
     totals = per.groupBy("group").agg(F.sum("m").alias("total"))
     run = running_sums(per, "t", {"m": "left"}, ["group"])
     return run.join(totals, "group").select("group", "t", "d", "m", (F.col("total") - F.col("left")).alias("at_risk"))
@@ -46,7 +53,7 @@ def medians(curve: DataFrame) -> DataFrame:
 def log_rank(rows: DataFrame) -> DataFrame:
     """chi2, df, p of the k-sample log-rank test."""
     spark = rows.sparkSession
-    per = risk_table(rows).select("group", "t", d(F.col("d")).alias("d"), d(F.col("m")).alias("m"))
+    per = times_of(rows).select("group", "t", d(F.col("d")).alias("d"), d(F.col("m")).alias("m"))
     groups = [r["group"] for r in per.select("group").distinct().orderBy("group").collect()]  # the groups compared
     k = len(groups)
     by_time = per.groupBy("t").agg(*[F.sum(F.when(F.col("group") == g, F.col("m")).otherwise(0.0)).alias(f"m{i}") for i, g in enumerate(groups)], *[F.sum(F.when(F.col("group") == g, F.col("d")).otherwise(0.0)).alias(f"d{i}") for i, g in enumerate(groups)])
@@ -165,11 +172,13 @@ def concordance(df: DataFrame, time: str, event: str, score: str) -> DataFrame:
     """Harrell's C of a risk score and the pairs it rests on: those whose earlier time is an event; equal scores are half.
 
     Exact without pairs of rows: scores become dense ranks, and two ranks are told apart at the highest bit in which
-    they differ. For each bit and the bits above it, counts by time meet through running sums.
+    they differ. For each bit and the bits above it, counts by time meet through running sums. Counts by time and score
+    are written down, so that rows are read once.
     """
     rows = df.where(f"`{time}` is not null and `{event}` is not null and `{score}` is not null").select(d(F.col(time)).alias("t"), F.when(d(F.col(event)) > 0, 1).otherwise(0).alias("e"), d(F.col(score)).alias("s"))
-    ranks = running_sums(rows.select("s").distinct().withColumn("one", F.lit(1)), "s", {"one": "rank"})
-    cells = rows.join(ranks.select("s", "rank"), "s").groupBy("t", "rank").agg(F.count("*").alias("n"), F.sum("e").alias("e"))
+    counts = checkpointed(rows.groupBy("t", "s").agg(F.count("*").alias("n"), F.sum("e").alias("e")))
+    ranks = running_sums(counts.select("s").distinct().withColumn("one", F.lit(1)), "s", {"one": "rank"})
+    cells = counts.join(ranks.select("s", "rank"), "s").drop("s")
     bits = max(1, int(ranks.agg(F.max("rank").alias("r")).first()["r"] or 0).bit_length())
     high = F.expr(f"shiftright(rank, {bits} - level)")
     level = cells.withColumn("level", F.explode(F.array(*[F.lit(k) for k in range(bits)]))).withColumn("above", high)

@@ -280,3 +280,21 @@ def test_choice_of_tests(spark):
     assert names == ["Welch t", "Mann-Whitney", "Welch ANOVA"]
     small = spark.createDataFrame([("a" if i < 6 else "b", "y" if i % 3 else "n") for i in range(12)], "x string, y string")
     assert bivariate.compare_categories(small, "x", "y").first()["test"] == "Fisher"
+
+
+@pytest.mark.parametrize("take", ["concordance", "log_rank", "kaplan_meier"])
+def test_survival_reads_rows_once(spark, take):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    kind = "t double, e int, s double, g string"
+    rows = spark.createDataFrame([(float(i % 11), i % 2, float(i * 7 % 23), "ab"[i % 3 == 0]) for i in range(300)], kind).mapInPandas(watched, kind)
+    if take == "concordance":
+        assert survival.concordance(rows, "t", "e", "s").first()["pairs"] > 0
+    else:
+        getattr(survival, take)(survival.subjects(rows, "t", "e", "g")).collect()
+    assert seen.value == 300
