@@ -298,3 +298,21 @@ def test_survival_reads_rows_once(spark, take):
     else:
         getattr(survival, take)(survival.subjects(rows, "t", "e", "g")).collect()
     assert seen.value == 300
+
+
+def test_halvings_are_counted_in_one_reading(spark, monkeypatch):
+    monkeypatch.setattr(factorial, "MOST_LEAVES", 50)
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rng = np.random.default_rng(5)
+    points = [(i, *map(float, p)) for i, p in enumerate(rng.random((2000, 2)))]
+    rows = spark.createDataFrame(points, "id long, a double, b double").mapInPandas(watched, "id long, a double, b double")
+    _, leaves = factorial.clustering_features(rows, ["a", "b"])
+    assert seen.value == 2 * 2000  # spans, then all halvings
+    got = leaves.toPandas()
+    assert 20 < len(got) <= 50 and got["n"].sum() == 2000 and got["s0"].sum() == pytest.approx(sum(p[1] for p in points))
