@@ -81,8 +81,9 @@ def shorten(c: Column, n: int = 260) -> Column:
     return F.when(F.length(c) <= n, c).otherwise(F.concat(F.when(cut != "", cut).otherwise(F.substring(c, 1, n)), F.lit("…")))
 
 
-#: A written number, once its parts stand apart: groups of three digits after spaces, or a run of letters, digits and marks.
-_RUN = r"[-−]?[0-9]{1,3}(?:\p{Zs}[0-9]{3}\b)+[\p{L}\p{N}_.,]*|[-−]?[\p{L}\p{N}_.,]+"
+#: A written number, once its parts stand apart, with the letters, digits and marks that follow it: groups of three digits
+#: after spaces, or a run that begins with a digit. None begins within a run.
+_RUN = r"(?=[-−0-9])(?<![\p{L}\p{N}_.,])(?:[-−]?[0-9]{1,3}(?:\p{Zs}[0-9]{3}\b)+[\p{L}\p{N}_.,]*|[-−]?[0-9][\p{L}\p{N}_.,]*)"
 _NUMBER = r"^[-−]?[0-9]+([.,][0-9]+)?$"
 
 
@@ -92,21 +93,31 @@ def number_texts(c: Column) -> Column:
     A hyphen after a letter, digit or mark is no sign, and a mark before a letter ends a number; so both become bars.
     Runs of letters, digits and marks are numbers if they are digits with at most one decimal mark.
     """
-    apart = F.regexp_replace(c, r"([\p{L}\p{N}_.,])[-−]", "$1|")
-    apart = F.regexp_replace(apart, r"([0-9])[.,](\p{L})", "$1|$2")
+    apart = F.regexp_replace(c, r"[-−](?<=[\p{L}\p{N}_.,][-−])", "|")
+    apart = F.regexp_replace(apart, r"[.,](?<=[0-9].)(?=\p{L})", "|")
     runs = F.regexp_extract_all(apart, F.lit(_RUN), F.lit(0))
     bare = F.transform(runs, lambda x: F.regexp_replace(F.regexp_replace(x, r"\p{Zs}", ""), "[.,]+$", ""))
     return F.filter(bare, lambda x: x.rlike(_NUMBER))
 
 
+def number_value(x: Column) -> Column:
+    """A number of number_texts() as a double: a decimal comma or point, a sign."""
+    return F.translate(x, ",−", ".-").try_cast("double")
+
+
+def number_decimals(x: Column) -> Column:
+    """How many decimals a number of number_texts() is written with."""
+    return F.length(F.regexp_extract(x, "[.,]([0-9]+)$", 1))
+
+
 def numbers(c: Column) -> Column:
     """The numbers of a text as doubles: digits with spaces between thousands, a decimal comma or point, a sign."""
-    return F.transform(number_texts(c), lambda x: F.translate(x, ",−", ".-").try_cast("double"))
+    return F.transform(number_texts(c), lambda x: number_value(x))
 
 
 def decimals(c: Column) -> Column:
     """How many decimals each number of numbers() is written with."""
-    return F.transform(number_texts(c), lambda x: F.length(F.regexp_extract(x, "[.,]([0-9]+)$", 1)))
+    return F.transform(number_texts(c), lambda x: number_decimals(x))
 
 
 def clean_markdown(c: Column) -> Column:

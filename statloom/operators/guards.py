@@ -5,37 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.text import citations, decimals, fold, is_causal, is_injection, numbers
+from statloom.functions.text import citations, fold, is_causal, is_injection, number_decimals, number_texts, number_value
 
 FREE_INTEGERS, FIRST_YEAR, LAST_YEAR = 10, 1900, 2100
 
 
 def quoted_numbers(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, value, decimals of every number in the texts."""
-    both = F.arrays_zip(numbers(F.col(text)).alias("value"), decimals(F.col(text)).alias("decimals"))
-    return texts.select(key, F.explode(both).alias("v")).select(key, F.col("v.value").alias("value"), F.coalesce("v.decimals", F.lit(0)).alias("decimals")).where("value is not null")
+    found = texts.select(key, F.explode(number_texts(F.col(text))).alias("v"))
+    return found.select(key, number_value(F.col("v")).alias("value"), F.coalesce(number_decimals(F.col("v")), F.lit(0)).alias("decimals")).where("value is not null")
 
 
 def unsupported_numbers(quoted: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
     """Numbers that no allowed value rounds to. Small whole numbers are free; years must be listed.
 
-    A band anti join as an equality join: both sides are put in cells of the quoted precision, and the two cells beside
-    are looked at as well.
+    A band anti join as an equality join: both sides are put in cells of the quoted precision, and a fact is in the two
+    cells beside its own as well. So the texts, the longer side, are read once and their numbers stay single rows.
     """
     v, dec = F.col("value"), F.col("decimals")
     whole = (dec == 0) & (v == F.floor(v))
     year = whole & v.between(FIRST_YEAR, LAST_YEAR)
-    need = quoted.where(~(whole & (F.abs(v) <= FREE_INTEGERS)) | year).withColumn("scale", F.pow(F.lit(10.0), dec))
-    cells = need.withColumn("cell", F.explode(F.array(*[F.round(v * F.col("scale")) + k for k in (-1, 0, 1)])))
+    scale = F.pow(F.lit(10.0), dec)
+    need = quoted.where(~(whole & (F.abs(v) <= FREE_INTEGERS)) | year).withColumn("cell", F.round(v * scale))
     facts = allowed.select(F.col("fact").cast("double").alias("fact")).distinct().withColumn("decimals", F.explode(F.sequence(F.lit(0), F.lit(6))))
-    facts = facts.withColumn("cell", F.round(F.col("fact") * F.pow(F.lit(10.0), F.col("decimals"))))
-    close = F.abs(cells["value"] - facts["fact"]) <= 0.5 / cells["scale"] + 1e-9
-    exact = cells["value"] == facts["fact"]
-    rounded = (F.abs(cells["value"]) >= 10) & (cells["value"] == F.round(facts["fact"]))
-    is_year = (cells["decimals"] == 0) & cells["value"].between(FIRST_YEAR, LAST_YEAR)
-    ok = F.when(is_year, exact).when(cells["decimals"] == 0, exact | rounded).otherwise(close)
-    matched = cells.join(facts, (cells["cell"] == facts["cell"]) & (cells["decimals"] == facts["decimals"]) & ok, "left_semi")
-    return need.drop("scale").join(matched.select(key, "value", "decimals").distinct(), [key, "value", "decimals"], "left_anti")
+    facts = facts.withColumn("cell", F.explode(F.array(*[F.round(F.col("fact") * F.pow(F.lit(10.0), F.col("decimals"))) + k for k in (-1, 0, 1)])))
+    close = F.abs(need["value"] - facts["fact"]) <= 0.5 / F.pow(F.lit(10.0), need["decimals"]) + 1e-9
+    exact = need["value"] == facts["fact"]
+    rounded = (F.abs(need["value"]) >= 10) & (need["value"] == F.round(facts["fact"]))
+    is_year = (need["decimals"] == 0) & need["value"].between(FIRST_YEAR, LAST_YEAR)
+    ok = F.when(is_year, exact).when(need["decimals"] == 0, exact | rounded).otherwise(close)
+    return need.join(facts, (need["cell"] == facts["cell"]) & (need["decimals"] == facts["decimals"]) & ok, "left_anti").drop("cell").select(key, "value", "decimals")
 
 
 def unknown_citations(texts: DataFrame, key: str, text: str, bibliography: DataFrame) -> DataFrame:

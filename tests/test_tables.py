@@ -222,3 +222,19 @@ def test_symmetric_numbers_get_pearson(spark):
     assert bivariate.compare_numbers(spark.createDataFrame(rows, "x double, y double"), "x", "y").first()["test"] == "Pearson"
     few = spark.createDataFrame([(v, v * 2 + (i % 3) * 0.1) for i, v in enumerate([-1.6, -1.1, -0.8, -0.5, -0.3, -0.1, 0.1, 0.3, 0.5, 0.8, 1.1, 1.6])], "x double, y double")
     assert bivariate.compare_numbers(few, "x", "y").first()["test"] == "Pearson"
+
+
+def test_number_checks_read_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    texts = ["It rose by 12.34 to 57, then 3.1", "In 2020 it was 1 250,5 or x77", "a1-5 and 12.3", None, "no number"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").mapInPandas(watched, "id long, t string")
+    allowed = spark.createDataFrame([(12.341,), (57.4,), (1250.5,), (2021.0,)], "fact double")
+    bad = guards.unsupported_numbers(guards.quoted_numbers(docs, "id", "t"), allowed, "id").collect()
+    assert sorted((r["id"], r["value"], r["decimals"]) for r in bad) == [(0, 3.1, 1), (1, 2020.0, 0)]
+    assert seen.value == len(texts)
