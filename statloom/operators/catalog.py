@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, NumericType, StructField, TimestampNTZType, TimestampType
 
 KINDS = ("identifier", "binary", "nominal", "ordinal", "count", "continuous", "date", "text")
 #: Limits of the rules.
@@ -37,19 +37,35 @@ def _is_number(kind) -> bool:
     return isinstance(kind, NumericType)
 
 
+def _distinct_values(df: DataFrame, fields: list[StructField]) -> DataFrame:
+    """variable and n_unique of each column that has a value. Columns of a type are taken together, each value with its
+    column's name alone, so that what a task holds of a value is not as wide as the table."""
+    out = None
+    for kind in dict.fromkeys(f.dataType for f in fields):
+        of = [F.struct(F.lit(f.name).alias("variable"), F.col(f"`{f.name}`").alias("value")) for f in fields if f.dataType == kind]
+        values = df.select(F.explode(F.array(*of)).alias("v")).select("v.*").where("value is not null").distinct()
+        part = values.groupBy("variable").agg(F.count("*").alias("n_unique"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def profile(df: DataFrame) -> DataFrame:
     """One row per column: counts, distinct values, range, whether whole numbers, whether zero occurs."""
     parts, names = [], [f for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct", "binary")]
     for i, f in enumerate(names):
         c = F.col(f"`{f.name}`")
         n = c.cast("double") if _is_number(f.dataType) else F.lit(None).cast("double")
-        parts += [F.count(c).alias(f"n{i}"), F.count_distinct(c).alias(f"u{i}"), F.min(n).alias(f"lo{i}"), F.max(n).alias(f"hi{i}"), F.bool_and(n == F.floor(n)).alias(f"w{i}"), F.bool_or(n == 0).alias(f"z{i}")]
+        parts += [F.count(c).alias(f"n{i}"), F.min(n).alias(f"lo{i}"), F.max(n).alias(f"hi{i}"), F.bool_and(n == F.floor(n)).alias(f"w{i}"), F.bool_or(n == 0).alias(f"z{i}")]
     one = df.agg(F.count("*").alias("rows"), *parts)
     rows = [
-        F.struct(F.lit(f.name).alias("variable"), F.lit(f.dataType.typeName()).alias("type"), F.col("rows"), F.col(f"n{i}").alias("n_valid"), F.col(f"u{i}").alias("n_unique"), F.col(f"lo{i}").alias("low"), F.col(f"hi{i}").alias("high"), F.coalesce(F.col(f"w{i}"), F.lit(False)).alias("whole"), F.coalesce(F.col(f"z{i}"), F.lit(False)).alias("has_zero"))
+        F.struct(F.lit(f.name).alias("variable"), F.lit(f.dataType.typeName()).alias("type"), F.col("rows"), F.col(f"n{i}").alias("n_valid"), F.col(f"lo{i}").alias("low"), F.col(f"hi{i}").alias("high"), F.coalesce(F.col(f"w{i}"), F.lit(False)).alias("whole"), F.coalesce(F.col(f"z{i}"), F.lit(False)).alias("has_zero"))
         for i, f in enumerate(names)
     ]
-    return one.select(F.explode(F.array(*rows)).alias("v")).select("v.*")
+    each = one.select(F.explode(F.array(*rows)).alias("v")).select("v.*")
+    if not names:
+        return each
+    found = each.join(F.broadcast(_distinct_values(df, names)), "variable", "left")  # a row a column
+    return found.select("variable", "type", "rows", "n_valid", F.coalesce("n_unique", F.lit(0).cast("long")).alias("n_unique"), "low", "high", "whole", "has_zero")
 
 
 def with_kinds(profiled: DataFrame, types: dict[str, bool], dates: set[str]) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom.functions import text
-from statloom.operators import bivariate, cleaning, guards, hypotheses, literature, privacy
+from statloom.operators import bivariate, catalog, cleaning, guards, hypotheses, literature, privacy
 from statloom.plans.engine import AnalysisPlan, facts, run
 from statloom.sources import tables
 from statloom.sources.simulated import survey
@@ -238,3 +238,12 @@ def test_number_checks_read_texts_once(spark):
     bad = guards.unsupported_numbers(guards.quoted_numbers(docs, "id", "t"), allowed, "id").collect()
     assert sorted((r["id"], r["value"], r["decimals"]) for r in bad) == [(0, 3.1, 1), (1, 2020.0, 0)]
     assert seen.value == len(texts)
+
+
+def test_distinct_values_are_counted_without_widening_rows(spark):
+    rows = [(i, float(i % 3) * (-1.0) ** i, f"n{i % 5}" if i % 2 else None, None, i % 7, [i]) for i in range(60)]
+    df = spark.createDataFrame(rows, "`a.b` long, x double, s string, none string, k int, list array<int>")
+    found = catalog.infer(df)
+    assert [(r["variable"], r["n_valid"], r["n_missing"], r["n_unique"]) for r in found.collect()] == [("a.b", 60, 0, 60), ("x", 60, 0, 5), ("s", 30, 30, 5), ("none", 0, 60, 0), ("k", 60, 0, 7)]
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert catalog.infer(df.limit(0)).where("n_unique = 0 and kind = 'nominal'").count() == 5
