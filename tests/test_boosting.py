@@ -105,3 +105,17 @@ def test_engine(table):
 def test_outcome_with_one_class(table, value):
     fit = logistic(table.withColumn("y", F.lit(value)), "y", ["a", "b"])
     assert fit.kind == "firth" and np.all(np.isfinite(fit.coef)) and (fit.coef[0] > 0) == (value == 1.0)
+
+
+def test_importance_needs_no_usual_model(spark, monkeypatch):
+    from statloom.operators import regression
+
+    def never(*_):
+        raise AssertionError("a usual model was fitted")
+
+    table = spark.range(0, 1000, 1, 2).selectExpr("id", "cast(id % 7 as double) AS a", "cast(pmod(xxhash64(id), 5) as double) AS b", "cast(id % 7 > 3 as double) AS y")
+    settings = Settings(rounds=1, rate=0.9, folds=2, leaves=3)
+    want = boosting.cross_validated(table, "y", ["a", "b"], True, "id", None, settings)[1].orderBy("variable").collect()
+    monkeypatch.setattr(regression, "fit_kind", never)
+    got = boosting.importance(table, "y", ["a", "b"], True, "id", None, settings).orderBy("variable").collect()
+    assert got == want and got[0]["importance"] > 0.3 > 0.05 > abs(got[1]["importance"])
