@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import cache
+from itertools import combinations_with_replacement, product
 
 import numpy as np
 import pandas as pd
@@ -15,12 +16,18 @@ from pyspark.sql import functions as F
 from statloom.functions import dist
 from statloom.functions.expressions import d
 from statloom.operators.order import adjust_p, quantiles
-from statloom.operators.regression import design, fit_kind
+from statloom.operators.regression import _pairs_of, _symmetric, design, fit_kind
 
 SEED, REPLICATES = 42, 200
 #: Ranges of the score that AUC counts are kept in: quantiles of the whole table's score, each split in equal parts.
 SCORE_QUANTILES, SCORE_PARTS = 128, 8
+#: Cells of equal width that a score is looked up in, and replicates that are counted at once.
+CELLS, COUNTED = 1 << 16, 20
 MOST_STEPS, TOLERANCE, RIDGE = 30, 1e-8, 1e-6
+#: Highest degree of the sums of products that stand for the rows near a fit (its bound holds up to 4), and most products.
+MOST_DEGREE, MOST_PRODUCTS = 4, 250
+#: Passes over the rows begin at a fit that is known this well.
+START = 0.01
 #: Rows that are weighed at once, and the largest mean whose counts are drawn by a table.
 BLOCK, MOST_TABLED = 1024, 128
 
@@ -39,7 +46,7 @@ def _poisson(mean: int) -> tuple[np.ndarray, np.ndarray]:
     k = np.arange(mean + 12 * math.isqrt(mean) + 24)
     below = np.cumsum(np.exp(k * math.log(mean) - mean - np.array([math.lgamma(i + 1.0) for i in k])))
     at = np.searchsorted(below, np.arange((1 << 16) + 1) / (1 << 16), "right")
-    return below, np.where(at[:-1] == at[1:], at[:-1], -1).astype(np.float32)
+    return below, np.where(at[:-1] == at[1:], at[:-1], -1).astype(np.int16)
 
 
 def _draws(key: np.ndarray, n: np.ndarray, replicates: int) -> np.ndarray:
@@ -59,26 +66,28 @@ def _draws(key: np.ndarray, n: np.ndarray, replicates: int) -> np.ndarray:
             out[own] = [np.random.default_rng([SEED, k & 0xFFFFFFFF, (k >> 32) & 0xFFFFFFFF]).poisson(c, replicates) for k in key[own].tolist()]
             continue
         below, counts = _poisson(c)
-        told = counts[bits[own]]
-        i, r = np.nonzero(told < 0)
+        told = np.take(counts, bits[own], mode="clip")
+        i, r = np.divmod(np.flatnonzero(told < 0), replicates)
         rest = (_mixed(~seeds[own][i] + (r + 1).astype(np.uint64) * step) >> np.uint64(11)) / 2.0**53
         told[i, r] = np.searchsorted(below, (bits[own][i, r] + rest) / (1 << 16), "right")
         out[own] = told
     return out
 
 
-def _replicate_sums(rows: DataFrame, replicates: int, size: int, function, draw: bool = True) -> np.ndarray:
-    """Sums over all rows of function(y, x, n, drawn), a matrix of replicates by size, added up in Spark. Without draw
-    the drawn counts are n itself."""
+def _replicate_sums(rows: DataFrame, shape: tuple[int, int], function, draws: int = 0, block: int = BLOCK) -> np.ndarray:
+    """Sums over all rows of function(y, x, n, drawn), a matrix of this shape, added up in Spark. A column of drawn holds
+    one of the draws' counts; without draws it is n."""
+    replicates, size = shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((replicates, size))
+        total = np.zeros(shape)
+        np.empty(3 << 20)  # once a large array was freed, the allocator keeps what blocks free, and they fault no pages in anew
         for b in batches:
-            y, n, key = (b.column(c).to_numpy() for c in ("y", "n", "key"))
-            x = b.column("x").flatten().to_numpy().reshape(len(y), -1)
-            for k in range(0, len(y), BLOCK):
-                own = slice(k, k + BLOCK)
-                total += function(y[own], x[own], n[own], _draws(key[own], n[own], replicates) if draw else n[own][:, None])
+            y, n, key, *xs = (c.to_numpy() for c in b.columns)
+            x = np.column_stack([np.ones(len(y)), *xs])
+            for k in range(0, len(y), block):
+                own = slice(k, k + block)
+                total += function(y[own], x[own], n[own], _draws(key[own], n[own], draws) if draws else n[own][:, None])
         yield pa.RecordBatch.from_arrays([pa.array(range(replicates), pa.int32()), pa.array([t.tobytes() for t in total], pa.binary())], names=["r", "sums"])
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
@@ -86,7 +95,7 @@ def _replicate_sums(rows: DataFrame, replicates: int, size: int, function, draw:
         return pd.DataFrame({"r": parts["r"].iloc[:1], "sums": [total.tobytes()]})
 
     got = rows.mapInArrow(run, "r int, sums binary").groupBy("r").applyInPandas(add, "r int, sums binary").toPandas()
-    out = np.zeros((replicates, size))
+    out = np.zeros(shape)
     out[got["r"].to_numpy()] = [np.frombuffer(v) for v in got["sums"]]
     return out
 
@@ -95,12 +104,12 @@ def _chance(eta: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
 
 
-def _replicate_logits(rows: DataFrame, replicates: int, start: np.ndarray, moments, draw: bool = True) -> np.ndarray:
-    """Newton steps of all replicates' logistic fits at once; moments(beta) gives the function of each pass's sums,
-    which are a gradient and then a matrix of curvature for each replicate."""
-    beta, k = np.tile(start, (replicates, 1)), len(start)
+def _replicate_logits(rows: DataFrame, start: np.ndarray, moments, draws: int = 0) -> np.ndarray:
+    """Newton steps of all replicates' logistic fits at once, a row of start each; moments(beta) gives the function of
+    each pass's sums, which are a gradient and then a matrix of curvature for each replicate."""
+    beta, (replicates, k) = start, start.shape
     for _ in range(MOST_STEPS):
-        sums = _replicate_sums(rows, replicates, k + k * k, moments(beta), draw)
+        sums = _replicate_sums(rows, (replicates, k + k * k), moments(beta), draws)
         curvature = sums[:, k:].reshape(replicates, k, k) + RIDGE * np.eye(k)
         step = np.linalg.solve(curvature, (sums[:, :k] - RIDGE * beta)[:, :, None])[:, :, 0]
         beta = beta + step
@@ -109,28 +118,123 @@ def _replicate_logits(rows: DataFrame, replicates: int, start: np.ndarray, momen
     return beta
 
 
+def _whole_logit(rows: DataFrame, k: int) -> np.ndarray:
+    """Newton steps of the whole table's logistic fit, from sums of columns."""
+    beta, x = np.zeros(k), [F.lit(1.0), *[F.col(f"x{i}") for i in range(1, k)]]
+    for _ in range(MOST_STEPS):
+        eta = sum((F.lit(float(b)) * c for b, c in zip(beta, x, strict=True)), F.lit(0.0))
+        p = 1.0 / (1.0 + F.exp(-F.least(F.greatest(eta, F.lit(-30.0)), F.lit(30.0))))
+        weighed = rows.withColumn("p", p).withColumns({"e": F.col("n") * (F.col("y") - F.col("p")), "v": F.col("n") * F.col("p") * (1.0 - F.col("p"))})
+        one = weighed.agg(*[F.sum(F.col("e") * c).alias(f"g{i}") for i, c in enumerate(x)], *[F.sum(F.col("v") * x[i] * x[j]).alias(f"a{i}_{j}") for i, j in _pairs_of(k)]).first()
+        step = np.linalg.solve(_symmetric(one, "a", k) + RIDGE * np.eye(k), np.array([one[f"g{i}"] for i in range(k)]) - RIDGE * beta)
+        beta = beta + step
+        if np.max(np.abs(step)) < TOLERANCE:
+            break
+    return beta
+
+
+def _products(k: int) -> list[np.ndarray]:
+    """The products of k columns by degree, from 1, as the columns that each multiplies."""
+    out = [np.arange(k)[:, None]]
+    for degree in range(2, MOST_DEGREE + 1):
+        if degree > 2 and sum(map(len, out)) + math.comb(k + degree - 1, degree) > MOST_PRODUCTS:
+            break
+        out.append(np.array(list(combinations_with_replacement(range(k), degree))))
+    return out
+
+
+def _expansions(rows: DataFrame, centre: np.ndarray, draws: int) -> list[np.ndarray]:
+    """By degree, from 1, the symmetric tensors of each replicate, then of all rows: sums of w (y - p) x, then of the
+    products of x times w and the derivatives of the chance p at the centre over their factorials. They give the gradient of
+    the likelihood at any coefficients near the centre, without another pass."""
+    k = len(centre)
+    products = _products(k)
+    before = [[{tuple(t): i for i, t in enumerate(low.tolist())}[tuple(t[:-1])] for t in high.tolist()] for low, high in zip(products, products[1:], strict=False)]
+
+    def sums(y, x, n, drawn):
+        p, columns = _chance(x @ centre), np.ascontiguousarray(x.T)
+        v = p * (1 - p)
+        parts, product_ = [columns * (y - p)], columns
+        for high, low, slope in zip(products[1:], before, (v, v * (1 - 2 * p) / 2, v * (1 - 6 * v) / 6), strict=False):
+            product_ = product_[low] * columns[high[:, -1]]
+            parts.append(product_ * slope)
+        part = np.vstack(parts)
+        return np.vstack([(part @ drawn).T, part @ n])
+
+    found = _replicate_sums(rows, (draws + 1, sum(map(len, products))), sums, draws)
+    out, at = [], 0
+    for own in products:
+        place = {tuple(t): at + i for i, t in enumerate(own.tolist())}
+        whole = [place[tuple(sorted(t))] for t in product(range(k), repeat=own.shape[1])]
+        out.append(found[:, whole].reshape(-1, *[k] * own.shape[1]))
+        at += len(own)
+    return out
+
+
+def _near(tensors: list[np.ndarray], centre: np.ndarray, low: np.ndarray, high: np.ndarray, span: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each replicate's fit q of coefficients span q, from the tensors at the centre, and a bound on the Newton step that a
+    pass over the rows, which lie between low and high, would still take.
+
+    Derivatives of the chance p up to the fourth are at most p (1 - p), which grows by at most e^t over a way t. So what the
+    tensors leave out of a row's residual is at most p (1 - p) e^t t^degree / degree!, and by Cauchy and Schwarz it moves
+    q_j by no more than that factor times the root of (curvature^-1)_jj and of the sum of w p (1 - p).
+    """
+    degree, q = len(tensors), start
+    curvature = np.einsum("rim,rij,rjl->rml", span, tensors[1], span) + RIDGE * np.eye(span.shape[2])
+    away = lambda q: np.einsum("rim,rm->ri", span, q) - centre
+    with np.errstate(all="ignore"):
+        for _ in range(MOST_STEPS):
+            lost, d_ = 0.0, away(q)
+            for t in tensors[:0:-1]:
+                lost = np.einsum("r...i,ri->r...", t + lost, d_)
+            gradient = np.einsum("rim,ri->rm", span, tensors[0] - lost) - RIDGE * q
+            step = np.linalg.solve(curvature, gradient[:, :, None])[:, :, 0]
+            q = q + step
+            if np.max(np.abs(step)) < TOLERANCE / 100:
+                break
+        d_ = away(q)
+        reach = np.maximum(np.abs(np.maximum(d_ * low, d_ * high).sum(1)), np.abs(np.minimum(d_ * low, d_ * high).sum(1)))
+        widest = np.sqrt(np.max(np.diagonal(np.linalg.inv(curvature), axis1=1, axis2=2), 1) * tensors[1][:, 0, 0])
+        return q, np.max(np.abs(step), 1) + widest * np.exp(reach) * reach**degree / math.factorial(degree)
+
+
 def _score_edges(rows: DataFrame, beta: np.ndarray) -> np.ndarray:
     """Edges of the score's ranges: near-quantiles over all rows, with equal parts between neighbours."""
-    eta = sum((F.lit(float(b)) * F.col("x")[i] for i, b in enumerate(beta)), F.lit(0.0))
+    eta = sum((F.lit(float(b)) * F.col(f"x{i}") for i, b in enumerate(beta[1:], 1)), F.lit(float(beta[0])))
     shares = [k / SCORE_QUANTILES for k in range(SCORE_QUANTILES + 1)]
     q = np.unique(rows.agg(F.percentile_approx(eta, shares).alias("q")).first()["q"])
     parts = np.arange(SCORE_PARTS) / SCORE_PARTS
     return np.append((q[:-1, None] + parts * np.diff(q)[:, None]).ravel(), q[-1])
 
 
-def _auc_counts(rows: DataFrame, beta: np.ndarray, edges: np.ndarray, draw: bool = True) -> np.ndarray:
-    """Counts by replicate, set (drawn or all rows), outcome (1 or 0) and range of the replicate's score."""
-    replicates, width = len(beta), len(edges) + 1
-    first = np.arange(replicates) * width
+def _auc_counts(rows: DataFrame, beta: np.ndarray, edges: np.ndarray, draws: int) -> np.ndarray:
+    """Counts by score (a row of beta), set (drawn, for the first scores, or all rows), outcome (1 or 0) and range of the
+    score. Edges move to those of cells of equal width, in which a range is looked up, unless two would meet there."""
+    scores, width = len(beta), len(edges) + 1
+    scale = CELLS / (edges[-1] - edges[0]) if edges[-1] > edges[0] else math.nan
+    cells = np.round((edges - edges[0]) * scale)
+    tabled = bool(np.all(np.diff(cells) > 0)) and len(edges) > 1
+    ranges = np.searchsorted(cells, np.arange(-1, CELLS + 1), "right") if tabled else None
+    scaled = np.column_stack([(beta[:, 0] - edges[0]) * scale + 1, beta[:, 1:] * scale]) if tabled else beta
 
     def count(y, x, n, drawn):
-        code = (np.searchsorted(edges, x @ beta.T, "right") + first).ravel()
-        out = np.empty((replicates, 4, width))
-        for j, w in enumerate((drawn * y[:, None], drawn * (1 - y)[:, None], (n * y)[:, None], (n * (1 - y))[:, None])):
-            out[:, j] = np.bincount(code, np.broadcast_to(w, (len(y), replicates)).ravel(), replicates * width).reshape(replicates, width)
-        return out.reshape(replicates, 4 * width)
-
-    return _replicate_sums(rows, replicates, 4 * width, count, draw).reshape(replicates, 2, 2, width)
+        out = np.zeros((scores, 2, 2 * width))
+        columns, outcome = np.ascontiguousarray(x.T), np.where(y > 0, 0, width)
+        for r in range(0, scores, COUNTED):
+            score = scaled[r : r + COUNTED] @ columns
+            m, most = len(score), max(0, min(draws - r, COUNTED))
+            if tabled:
+                code = np.take(ranges, np.clip(score, 0, CELLS + 1, out=score).astype(np.intp), mode="clip")
+            else:
+                code = np.searchsorted(edges, score, "right")
+            code += outcome
+            code += np.arange(m)[:, None] * (2 * width)
+            out[r : r + m, 1] = np.bincount(code.ravel(), np.broadcast_to(n, code.shape).ravel(), m * 2 * width).reshape(m, -1)
+            if most:
+                out[r : r + most, 0] = np.bincount(code[:most].ravel(), drawn[:, r : r + most].T.ravel(), most * 2 * width).reshape(most, -1)
+        return out.reshape(scores, -1)
+
+    return _replicate_sums(rows, (scores, 4 * width), count, draws, 10 * BLOCK).reshape(scores, 2, 2, width)
 
 
 def _auc(counts: np.ndarray) -> np.ndarray:
@@ -143,12 +247,15 @@ def bootstrap(df: DataFrame, y: str, xs: list[str], binary: bool, replicates: in
     """Optimism-corrected AUC and calibration slope (binary) or R squared (linear).
 
     Rows stay distributed, as distinct patterns with counts. A replicate weighs each pattern by a Poisson count seeded
-    by the pattern's hash, the limit of drawing rows with replacement. Each pass sums the gradients and curvatures of
-    all replicates; only these small matrices reach the driver. AUC counts pairs within one of some thousand ranges of
-    the score as ties; auc_error bounds what that can change in the apparent AUC.
+    by the pattern's hash, the limit of drawing rows with replacement. One pass sums what gives all replicates' gradients
+    near the whole table's fit; passes that sum each replicate's own gradient and curvature follow where a bound on what is
+    left out asks for them, as on small tables. Only these small matrices reach the driver. AUC counts pairs within one of
+    some thousand ranges of the score as ties; auc_error bounds what that can change in the apparent AUC.
     """
     k = len(xs) + 1
-    rows = design(df, y, xs).groupBy("y", "x").agg(F.count("*").cast("double").alias("n")).withColumn("key", F.xxhash64("y", "x")).persist()
+    names = [f"x{i}" for i in range(1, k)]
+    rows = design(df, y, xs).select("y", *[F.col("x")[i].alias(c) for i, c in enumerate(names, 1)]).groupBy("y", *names).agg(F.count("*").cast("double").alias("n"))
+    rows = rows.select("y", "n", F.xxhash64("y", F.lit(1.0), *names).alias("key"), *names).persist()
     try:
         if not binary:
             return _linear_optimism(rows, k, replicates)
@@ -162,8 +269,14 @@ def bootstrap(df: DataFrame, y: str, xs: list[str], binary: bool, replicates: in
 
             return moments
 
-        base = _replicate_logits(rows, 1, np.zeros(k), fitted, False)[0]
-        beta = _replicate_logits(rows, replicates, base, fitted)
+        base = _whole_logit(rows, k)
+        ends = rows.agg(*[f(c) for f in (F.min, F.max) for c in names]).first()
+        low, high = np.array([1.0, *ends[: k - 1]], float), np.array([1.0, *ends[k - 1 :]], float)
+        tensors = _expansions(rows, base, replicates)
+        drawn, whole = [t[:-1] for t in tensors], [np.repeat(t[-1:], replicates, 0) for t in tensors]
+        beta, left = _near(drawn, base, low, high, np.tile(np.eye(k), (replicates, 1, 1)), np.tile(base, (replicates, 1)))
+        if not np.max(left) < TOLERANCE:
+            beta = _replicate_logits(rows, np.where((left < START)[:, None], beta, base), fitted, replicates)
 
         def calibrated(line):
             def moments(y_, x, n, drawn):
@@ -175,10 +288,12 @@ def bootstrap(df: DataFrame, y: str, xs: list[str], binary: bool, replicates: in
 
             return moments
 
-        line = _replicate_logits(rows, replicates, np.array([0.0, 1.0]), calibrated, False)
-        edges = _score_edges(rows, base)
-        auc = _auc(_auc_counts(rows, beta, edges))
-        own = _auc_counts(rows, base[None], edges, False)[0, 1]
+        itself = np.tile([0.0, 1.0], (replicates, 1))
+        line, left = _near(whole, base, low, high, np.stack([np.tile(np.eye(k)[0], (replicates, 1)), beta], 2), itself)
+        if not np.max(left) < TOLERANCE:
+            line = _replicate_logits(rows, np.where((left < START)[:, None], line, itself), calibrated)
+        counts = _auc_counts(rows, np.vstack([beta, base]), _score_edges(rows, base), replicates)
+        auc, own = _auc(counts[:-1]), counts[-1, 1]
         apparent, optimism = float(_auc(own)), float(np.mean(auc[:, 0] - auc[:, 1]))
         error = float(np.sum(own[0] * own[1]) / 2 / max(own[0].sum() * own[1].sum(), 1e-300))
         return {"apparent": apparent, "optimism": optimism, "corrected": apparent - optimism, "slope": float(np.mean(line[:, 1])), "auc_error": error}
@@ -193,8 +308,8 @@ def _linear_optimism(rows: DataFrame, k: int, replicates: int) -> dict[str, floa
         products = (x[:, :, None] * x[:, None, :]).reshape(len(x), k * k)
         return np.hstack([drawn.T @ products, drawn.T @ (x * y[:, None]), (drawn.T @ (y * y))[:, None]])
 
-    sums = _replicate_sums(rows, replicates, k * k + k + 1, moments)
-    whole = _replicate_sums(rows, 1, k * k + k + 1, moments, False)[0]
+    sums = _replicate_sums(rows, (replicates, k * k + k + 1), moments, replicates)
+    whole = _replicate_sums(rows, (1, k * k + k + 1), moments)[0]
 
     def r2(beta, m):
         a, b, yy = m[: k * k].reshape(k, k), m[k * k : -1], m[-1]

@@ -2,6 +2,7 @@ import math
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -254,6 +255,63 @@ def test_bootstrap_against_whole_arrays(spark):
     assert got["optimism"] == pytest.approx(np.mean([r2(line(w), w) - r2(line(w), n) for w in drawn.T]), abs=1e-9)
 
 
+def _logit(x, y, w):
+    b = np.zeros(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-x @ b))
+        b = b + np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x, x.T @ (w * (y - p)))
+    return b
+
+
+def _rank_auc(score, y, w):
+    of = np.unique(score, return_inverse=True)[1]
+    pos, neg = np.bincount(of, w * y), np.bincount(of, w * (1 - y))
+    return pos @ (np.cumsum(neg) - neg / 2) / (pos.sum() * neg.sum())
+
+
+def test_bootstrap_of_a_large_table_takes_two_passes(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.random((20_000, 2)) * 2 - 1
+    y = (rng.random(len(x)) < 1 / (1 + np.exp(-x @ [1.0, -0.5]))).astype(float)
+    rows = spark.createDataFrame(pd.DataFrame({"y": y, "a": x[:, 0], "b": x[:, 1]}))
+    key = rows.select(F.xxhash64("y", F.array(F.lit(1.0), "a", "b"))).toPandas().iloc[:, 0].to_numpy()
+    x, passes, sums = np.column_stack([np.ones(len(x)), x]), [], reliability._replicate_sums
+    monkeypatch.setattr(reliability, "_replicate_sums", lambda *given: passes.append(given) or sums(*given))
+    got = reliability.bootstrap(rows.crossJoin(spark.range(100)), "y", ["a", "b"], True, 12)
+    assert len(passes) == 2  # one for all fits and slopes, one for AUC; each Newton step was a pass before
+    n = np.full(len(x), 100.0)
+    drawn = reliability._draws(key, n, 12)
+    fits = [_logit(x, y, w) for w in drawn.T]
+    assert got["slope"] == pytest.approx(np.mean([_logit(np.column_stack([x[:, 0], x @ b]), y, n)[1] for b in fits]), abs=1e-8)
+    assert got["optimism"] == pytest.approx(np.mean([_rank_auc(x @ b, y, w) - _rank_auc(x @ b, y, n) for b, w in zip(fits, drawn.T, strict=True)]), abs=1e-5)
+    assert abs(got["apparent"] - _rank_auc(x @ _logit(x, y, n), y, n)) <= got["auc_error"] < 1e-3
+
+    few = slice(0, 2000)  # far from the fit of all rows: the bound is wide, and holds
+    frame = spark.createDataFrame(pd.DataFrame({"y": y[few], "n": 1.0, "key": key[few], "x1": x[few, 1], "x2": x[few, 2]}))
+    base, drawn = _logit(x[few], y[few], np.ones(2000)), reliability._draws(key[few], np.ones(2000), 12)
+    assert reliability._whole_logit(frame, 3) == pytest.approx(base, abs=1e-8)
+    tensors = [t[:-1] for t in reliability._expansions(frame, base, 12)]
+    beta, left = reliability._near(tensors, base, x[few].min(0), x[few].max(0), np.tile(np.eye(3), (12, 1, 1)), np.tile(base, (12, 1)))
+    away = np.abs(beta - [_logit(x[few], y[few], w) for w in drawn.T]).max(1)
+    assert np.all(away <= 1.1 * left) and 1e-8 < left.min() and left.max() < 0.05
+
+
+def test_bootstrap_of_skewed_scores_and_many_columns(spark):
+    rng = np.random.default_rng(13)
+    x = np.column_stack([np.exp(3 * rng.standard_normal(1200)), rng.standard_normal((1200, 7))])
+    y = (rng.random(1200) < 1 / (1 + np.exp(-np.clip(x[:, 0] / 20, 0, 3) - x[:, 1] + 0.5 * x[:, 2]))).astype(float)
+    names = [f"c{i}" for i in range(8)]
+    rows = spark.createDataFrame(pd.DataFrame({"y": y} | {c: x[:, i] for i, c in enumerate(names)}))
+    key = rows.select(F.xxhash64("y", F.array(F.lit(1.0), *names))).toPandas().iloc[:, 0].to_numpy()
+    x, n = np.column_stack([np.ones(len(x)), x]), np.ones(len(x))
+    drawn = reliability._draws(key, n, 10)
+    fits = [_logit(x, y, w) for w in drawn.T]
+    got = reliability.bootstrap(rows, "y", names, True, 10)
+    assert abs(got["apparent"] - _rank_auc(x @ _logit(x, y, n), y, n)) <= got["auc_error"] < 1e-3
+    assert got["optimism"] == pytest.approx(np.mean([_rank_auc(x @ b, y, w) - _rank_auc(x @ b, y, n) for b, w in zip(fits, drawn.T, strict=True)]), abs=2e-4)
+    assert got["slope"] == pytest.approx(np.mean([_logit(np.column_stack([x[:, 0], x @ b]), y, n)[1] for b in fits]), abs=1e-6)
+
+
 def test_draws_are_poisson_and_cheap():
     rng = np.random.default_rng(3)
     key = rng.integers(-(2**63), 2**63 - 1, 100_000)
