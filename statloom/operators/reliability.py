@@ -270,8 +270,8 @@ def bootstrap(df: DataFrame, y: str, xs: list[str], binary: bool, replicates: in
             return moments
 
         base = _whole_logit(rows, k)
-        ends = rows.agg(*[f(c) for f in (F.min, F.max) for c in names]).first()
-        low, high = np.array([1.0, *ends[: k - 1]], float), np.array([1.0, *ends[k - 1 :]], float)
+        ends = rows.agg(*[f(c) for f in (F.min, F.max) for c in ("n", *names)]).first()
+        low, high = np.array([1.0, *ends[1:k]], float), np.array([1.0, *ends[k + 1 :]], float)
         tensors = _expansions(rows, base, replicates)
         drawn, whole = [t[:-1] for t in tensors], [np.repeat(t[-1:], replicates, 0) for t in tensors]
         beta, left = _near(drawn, base, low, high, np.tile(np.eye(k), (replicates, 1, 1)), np.tile(base, (replicates, 1)))
